@@ -254,3 +254,215 @@ union all select 5, 'expected_tenure', cast(max(expected_tenure) as double) from
 union all select 10 + segment_pos * 2, lower(clv_quartile) || '_churn_rate_pct', churn_rate_pct from cbc
 union all select 11 + segment_pos * 2, lower(clv_quartile) || '_avg_clv', avg_clv from cbc
 union all select 30, 'premium_saving_10pct', cast(saving_10pct_churn_cut as double) from pt"""))
+
+
+# ---------------------------------------------------------------- scoring
+from .operators.score import SCORECARDS  # noqa: E402
+
+
+def _d(x: float) -> str:
+    return f"cast({float(x)!r} as double)"
+
+
+def margin_sql(name: str, present=None) -> str:
+    sc = SCORECARDS[name]
+    terms = [_d(sc.intercept)]
+    for f in FEATURES:
+        if sc.coef.get(f):
+            x = f"cast({f} as double)" if present is None or f in present else "cast(0 as double)"
+            terms.append(f"{_d(sc.coef[f])} * {x}")
+    return " + ".join(terms)
+
+
+def prob_sql(name: str, present=None) -> str:
+    return f"round(cast(1 as double) / (cast(1 as double) + exp(-({margin_sql(name, present)}))), 9)"
+
+
+def scored_sql(models) -> str:
+    parts = [f"select customerID customer_id, '{m}' model_used, label, split, clv, {prob_sql(m)} churn_probability from en"
+             for m in models]
+    return f"""sc0 as ({' union all '.join(parts)}),
+sc as (select customer_id, model_used, label, split, clv, cast(churn_probability > 0.5 as int) churn_prediction, churn_probability,
+  cast(1 as double) - churn_probability no_churn_probability,
+  case when churn_probability > 0.5 then 'Churn' else 'No Churn' end prediction_label from sc0)"""
+
+
+MODELS = list(SCORECARDS)
+SC1 = scored_sql(["scorecard"])
+SCA = scored_sql(MODELS)
+OUT6 = "customer_id, model_used, churn_prediction, churn_probability, no_churn_probability, prediction_label"
+register("score_batch", with_base(*PREP_ENC, SC1, body=f"select {OUT6} from sc"))
+register("score_all_models", with_base(*PREP_ENC, SCA, body=f"select {OUT6} from sc"))
+_PART = {"tenure", "MonthlyCharges", "TotalCharges", "tenure_bucket", "services_count", "monthly_to_total_ratio",
+         "long_tenure_low_value", "expected_tenure", "clv"}
+register("score_partial_input", with_base(CLEAN, SPLIT, MED, f"""
+pp as (select customerID, tenure, MonthlyCharges, coalesce(case when isnan(try_cast(TotalCharges as double)) then null else try_cast(TotalCharges as double) end, 0.0) TotalCharges from cust),
+pq as (select *, {prob_sql('scorecard', _PART)} churn_probability from pp cross join med)""", body="""
+select customerID customer_id, 'scorecard' model_used, cast(churn_probability > 0.5 as int) churn_prediction, churn_probability,
+  cast(1 as double) - churn_probability no_churn_probability, case when churn_probability > 0.5 then 'Churn' else 'No Churn' end prediction_label from pq"""))
+register("reject_incomplete", with_base(CLEAN, body="""
+select customerID, concat_ws(',', case when tenure is null then 'missing tenure' end, case when MonthlyCharges is null then 'missing MonthlyCharges' end) reason
+from cl where tenure is null or MonthlyCharges is null"""))
+TIERS = """
+ti as (select customer_id, model_used, churn_probability,
+  case when churn_prediction = 1 then 'High Risk' else 'Low Risk' end risk_label,
+  case when churn_probability > 0.75 or churn_probability < 0.25 then 'High' else 'Medium' end confidence,
+  case when churn_probability * 100 < 33 then 'low' when churn_probability * 100 < 66 then 'medium' else 'high' end gauge_band,
+  churn_probability * 100 >= 70 above_alert_line,
+  case when clv > 2500 then 'HIGH' when clv > 1500 then 'MEDIUM' else 'STANDARD' end value_priority,
+  case when churn_probability > 0.7 then 'URGENT' when churn_probability > 0.4 then 'MODERATE' else 'LOW' end action_tier from sc)
+"""
+register("score_tiers", with_base(*PREP_ENC, SC1, TIERS, body="select * from ti"))
+
+from .functions import constants as _K  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+ACTS = "acts as (select * from (values " + ", ".join(
+    f"({_q(t)}, {i + 1}, {_q(_K.ACTION_HEADLINES[t])}, {_q(a)})" for t, acts in _K.ACTIONS.items()
+    for i, a in enumerate(acts)) + ") as t(action_tier, pos, headline, action))"
+register("recommended_actions", with_base(*PREP_ENC, SC1, TIERS, ACTS, body="""
+select ti.action_tier, ti.customer_id, acts.pos, acts.headline, acts.action from ti join acts using (action_tier)"""))
+_RF = _K.RISK_FACTOR_TEXTS
+RISK = f"""
+rf0 as (select customerID customer_id, unnest([
+  case when Contract is not distinct from 'Month-to-month' then {{'pos': 1, 'factor': {_q(_RF[0])}}} end,
+  case when InternetService is not distinct from 'Fiber optic' and TechSupport is not distinct from 'No' then {{'pos': 2, 'factor': {_q(_RF[1])}}} end,
+  case when PaymentMethod is not distinct from 'Electronic check' then {{'pos': 3, 'factor': {_q(_RF[2])}}} end,
+  case when coalesce(tenure < 6, false) then {{'pos': 4, 'factor': {_q(_RF[3])}}} end,
+  case when coalesce(MonthlyCharges > 80, false) then {{'pos': 5, 'factor': {_q(_RF[4])}}} end,
+  case when OnlineSecurity is not distinct from 'No' and OnlineBackup is not distinct from 'No' then {{'pos': 6, 'factor': {_q(_RF[5])}}} end]) r from cl),
+rf1 as (select customer_id, r.pos pos, r.factor factor from rf0 where r is not null),
+rf as (select * from rf1 union all select customerID, 0, {_q(_K.RISK_FACTOR_DEFAULT)} from cl
+   where customerID not in (select customer_id from rf1))
+"""
+register("risk_factors", with_base(CLEAN, RISK, body="select * from rf"))
+register("risk_factor_counts", with_base(CLEAN, RISK, body="select pos, factor, count(*) customers from rf group by all"))
+_dv = []
+for _c, _allowed in _K.CATEGORY_DOMAINS.items():
+    _dv.append(f"select customerID customer_id, '{_c}' \"column\", cast({_c} as varchar) value from cl "
+               f"where not coalesce({_c} in ({', '.join(_q(a) for a in _allowed)}), false)")
+for _c, (_lo, _hi) in _K.NUMERIC_DOMAINS.items():
+    _dv.append(f"select customerID, '{_c}', cast({_c} as varchar) from cl where {_c} is null or {_c} < {_lo} or {_c} > {_hi}")
+register("domain_violations", with_base(CLEAN, body=" union all ".join(_dv)))
+_FORM = ["customerID", "tenure", "MonthlyCharges", "Contract", "InternetService", "TechSupport", "OnlineSecurity",
+         "OnlineBackup", "PhoneService", "MultipleLines", "PaymentMethod", "SeniorCitizen", "Partner"]
+register("apply_form_defaults", with_base(body="select " + ", ".join(_FORM) + ", " + ", ".join(
+    f"{_q(v)} {c}" for c, v in _K.FORM_DEFAULTS.items()) + ", cast(tenure as double) * MonthlyCharges TotalCharges from cust"))
+register("score_summary", with_base(*PREP_ENC, SCA, body="""
+select model_used, count(*) customers, cast(sum(churn_prediction) as bigint) predicted_churners from sc group by model_used"""))
+
+# ---------------------------------------------------------------- metrics
+CM = """
+cm as (select model_used, split, sum(case when label=0 and churn_prediction=0 then 1 else 0 end) tn,
+  sum(case when label=0 and churn_prediction=1 then 1 else 0 end) fp, sum(case when label=1 and churn_prediction=0 then 1 else 0 end) fn,
+  sum(case when label=1 and churn_prediction=1 then 1 else 0 end) tp from sc group by model_used, split)
+"""
+SCNT = """
+scd as (select model_used, split, churn_probability, sum(case when label=1 then 1 else 0 end) pos, sum(case when label=0 then 1 else 0 end) neg
+   from sc group by all),
+scp as (select *, coalesce(sum(pos) over w, 0) pos_before, coalesce(sum(neg) over w, 0) neg_before,
+   sum(pos) over (partition by model_used, split) pos_total, sum(neg) over (partition by model_used, split) neg_total from scd
+   window w as (partition by model_used, split order by churn_probability desc rows between unbounded preceding and 1 preceding))
+"""
+AUC = """
+au as (select model_used, split, case when 2*max(pos_total)*max(neg_total) = 0 then null else
+   cast(sum(neg * (2*pos_before + pos)) as double) / cast(2*max(pos_total)*max(neg_total) as double) end auc from scp group by all)
+"""
+
+
+def _ratio_sql(n, d):
+    return f"case when {d} = 0 then 0.0 else {n} / {d} end"
+
+
+MLONG = f"""
+rt as (select cm.*, au.auc auc_roc,
+  {_ratio_sql('cast(tp as double)', 'cast(tp + fp as double)')} "precision",
+  {_ratio_sql('cast(tp as double)', 'cast(tp + fn as double)')} recall,
+  {_ratio_sql('2 * cast(tp as double)', '(2 * cast(tp as double) + cast(fp as double) + cast(fn as double))')} f1,
+  ({_ratio_sql('cast(tp as double)', 'cast(tp + fn as double)')} + {_ratio_sql('cast(tn as double)', 'cast(tn + fp as double)')}) / 2 balanced_accuracy
+  from cm join au using (model_used, split)),
+ml as (select model_used model, 'train' fit_on, split, m.metric metric, m.value value from rt, unnest([
+  {{'metric': 'precision', 'value': "precision"}}, {{'metric': 'recall', 'value': recall}}, {{'metric': 'f1', 'value': f1}},
+  {{'metric': 'auc_roc', 'value': auc_roc}}, {{'metric': 'balanced_accuracy', 'value': balanced_accuracy}},
+  {{'metric': 'tn', 'value': cast(tn as double)}}, {{'metric': 'fp', 'value': cast(fp as double)}},
+  {{'metric': 'fn', 'value': cast(fn as double)}}, {{'metric': 'tp', 'value': cast(tp as double)}}]) as u(m))
+"""
+METRICS = PREP_ENC + [SCA, CM, SCNT, AUC, MLONG]
+register("confusion_matrix", with_base(*PREP_ENC, SCA, CM, body="select * from cm"))
+register("classification_metrics", with_base(*METRICS, body="select * from ml"))
+register("auc", with_base(*PREP_ENC, SCA, SCNT, AUC, body="select * from au"))
+register("roc_curve", with_base(*PREP_ENC, SCA, SCNT, body="""
+select model_used, split, churn_probability threshold,
+  case when neg_total = 0 then 0.0 else cast(neg_before + neg as double) / cast(neg_total as double) end fpr,
+  case when pos_total = 0 then 0.0 else cast(pos_before + pos as double) / cast(pos_total as double) end tpr from scp
+union all select distinct model_used, split, 'inf'::double, 0.0, 0.0 from scp"""))
+register("model_summary", with_base(*METRICS, body="""
+select array_to_string(list_transform(string_split(model, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ') model_name, model,
+  max(case when split='val' and metric='auc_roc' then value end) val_auc_roc, max(case when split='test' and metric='auc_roc' then value end) test_auc_roc,
+  max(case when split='test' and metric='recall' then value end) test_recall, max(case when split='test' and metric='precision' then value end) test_precision,
+  max(case when split='test' and metric='f1' then value end) test_f1 from ml group by model"""))
+_ORDER = "case model " + " ".join(f"when '{m}' then {i + 1}" for i, m in enumerate(MODELS)) + " end"
+BEST = f"""
+bm as (select split, metric, model best_model, value best_value from (select *, row_number() over (partition by split, metric
+  order by value desc, {_ORDER}) rn from ml where metric in ('auc_roc','f1','precision','recall')) where rn = 1)
+"""
+register("best_model", with_base(*METRICS, BEST, body="select * from bm"))
+register("target_alerts", with_base(*METRICS, BEST, body="""
+select ml.model, ml.metric, ml.value, case ml.metric when 'auc_roc' then 0.8 else 0.6 end target from ml
+join bm on bm.split='val' and bm.metric='auc_roc' and ml.model=bm.best_model
+where ml.split='val' and ml.metric in ('auc_roc','recall') and ml.value < case ml.metric when 'auc_roc' then 0.8 else 0.6 end"""))
+
+
+# ---------------------------------------------------------------- explanations
+def _coef(m, f):
+    return _d(SCORECARDS[m].coef.get(f, 0.0))
+
+
+def importance_sql(m: str) -> str:
+    return " union all ".join(
+        f"select '{m}' model, '{f}' feature, round_even(abs({_coef(m, f)} * stddev_pop(cast({f} as double))), 9) importance, "
+        f"{_coef(m, f)} coefficient, round_even(stddev_pop(cast({f} as double)), 9) std_dev from en where split='train'"
+        for f in FEATURES)
+
+
+IMP = f"imp as ({' union all '.join(importance_sql(m) for m in MODELS)})"
+
+
+def contrib_sql(m: str) -> str:
+    return " union all ".join(
+        f"select customerID, '{m}' model, '{f}' feature, cast({f} as double) value, {_coef(m, f)} * cast({f} as double) contribution from en"
+        for f in FEATURES)
+
+
+CON = f"con as ({contrib_sql('scorecard')})"
+CONA = f"cona as ({' union all '.join(contrib_sql(m) for m in MODELS)})"
+TOPF = """
+tf as (select *, row_number() over (partition by customerID, model order by abs(contribution) desc, feature) rank from con)
+"""
+register("lr_importance", with_base(*PREP_ENC, IMP, body="select * from imp"))
+register("lr_contributions", with_base(*PREP_ENC, CON, body="""
+select customerID, model, feature, round_even(value, 9) + cast(0 as double) value, round_even(contribution, 9) + cast(0 as double) contribution from con"""))
+register("top_factors", with_base(*PREP_ENC, CON, TOPF, body="""
+select customerID, model, rank, feature, round_even(value, 9) + cast(0 as double) value, round_even(contribution, 9) + cast(0 as double) contribution from tf where rank <= 15"""))
+register("waterfall", with_base(*PREP_ENC, CON, TOPF, body=f"""
+select customerID, 'scorecard' model, 0 rank, 'base_value' feature, round_even({_d(SCORECARDS['scorecard'].intercept)}, 9) contribution,
+  round_even({_d(SCORECARDS['scorecard'].intercept)}, 9) running from en
+union all
+select customerID, model, rank, feature, round_even(contribution, 9) + cast(0 as double),
+  round_even({_d(SCORECARDS['scorecard'].intercept)} + sum(contribution) over (partition by customerID, model order by rank rows between unbounded preceding and current row), 9) + cast(0 as double)
+from tf where rank <= 15"""))
+register("mean_abs_contribution", with_base(*PREP_ENC, CONA, body="""
+select model, feature, round_even(avg(abs(round_even(contribution, 9))), 7) importance from cona group by all"""))
+TOPI = """
+ti2 as (select model, row_number() over (partition by model order by importance desc, feature) rank, feature, importance from imp)
+"""
+register("top_importance", with_base(*PREP_ENC, IMP, TOPI, body="select * from ti2 where rank <= 15"))
+register("compare_importance", with_base(*PREP_ENC, IMP, TOPI, body="select feature, " + ", ".join(
+    f"coalesce(max(case when model='{m}' then importance end), 0.0) {m}" for m in MODELS) +
+    ", round_even((" + " + ".join(f"coalesce(max(case when model='{m}' then importance end), 0.0)" for m in MODELS) +
+    f") / {len(MODELS)}, 9) avg_importance from imp where feature in (select feature from ti2 where rank <= 15) group by feature "
+    "order by avg_importance desc, feature limit 15"))

@@ -258,3 +258,178 @@ def q_premium_takeaway(spark, sf_dir):
 def q_clv_insights(spark, sf_dir):
     f = _prep(spark, sf_dir).features
     return CLV.clv_insights(f, CLV.churn_by_clv(CLV.assign_quartiles(f)))
+
+
+# ------------------------------------------------------------------ scoring (frozen scorecards)
+from ..operators import explain as EX  # noqa: E402
+from ..operators import metrics as ME  # noqa: E402
+from ..operators import score as SC  # noqa: E402
+
+MODELS = list(SC.SCORECARDS)
+FORM_FIELDS = ["customerID", "tenure", "MonthlyCharges", "Contract", "InternetService", "TechSupport",
+               "OnlineSecurity", "OnlineBackup", "PhoneService", "MultipleLines", "PaymentMethod",
+               "SeniorCitizen", "Partner"]
+
+
+def _scoring_input(spark, sf_dir):
+    """Raw customer rows through the fitted state (median, encoder) of the train split."""
+    p = _prep(spark, sf_dir)
+    return SC.features_for_scoring(p.split, p.median, p.encoder)
+
+
+def _scored(spark, sf_dir, models=None):
+    enc = _scoring_input(spark, sf_dir)
+    outs = [SC.score(enc, SC.SCORECARDS[m], keep=["label", "split", "clv"]) for m in (models or MODELS)]
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+@query("score_batch")
+def q_score_batch(spark, sf_dir):
+    return _scored(spark, sf_dir, ["scorecard"]).drop("label", "split", "clv")
+
+
+@query("score_all_models")
+def q_score_all_models(spark, sf_dir):
+    return _scored(spark, sf_dir).drop("label", "split", "clv")
+
+
+@query("score_partial_input")
+def q_score_partial_input(spark, sf_dir):
+    p = _prep(spark, sf_dir)
+    part = customers(spark, sf_dir).select("customerID", "tenure", "MonthlyCharges", "TotalCharges")
+    enc = SC.features_for_scoring(part, p.median, p.encoder)
+    return SC.score(enc, SC.SCORECARDS["scorecard"])
+
+
+@query("reject_incomplete")
+def q_reject_incomplete(spark, sf_dir):
+    _, rejected = SC.reject_incomplete(FE.clean(customers(spark, sf_dir)))
+    return rejected.select("customerID", "reason")
+
+
+@query("score_tiers")
+def q_score_tiers(spark, sf_dir):
+    return SC.tiers(_scored(spark, sf_dir, ["scorecard"]))
+
+
+@query("recommended_actions")
+def q_recommended_actions(spark, sf_dir):
+    return SC.recommended_actions(SC.tiers(_scored(spark, sf_dir, ["scorecard"])))
+
+
+@query("risk_factors")
+def q_risk_factors(spark, sf_dir):
+    return SC.risk_factors(FE.clean(customers(spark, sf_dir)))
+
+
+@query("risk_factor_counts")
+def q_risk_factor_counts(spark, sf_dir):
+    return SC.risk_factor_counts(SC.risk_factors(FE.clean(customers(spark, sf_dir))))
+
+
+@query("domain_violations")
+def q_domain_violations(spark, sf_dir):
+    return SC.domain_violations(FE.clean(customers(spark, sf_dir)))
+
+
+@query("apply_form_defaults")
+def q_apply_form_defaults(spark, sf_dir):
+    form = customers(spark, sf_dir).select(*FORM_FIELDS)
+    return SC.apply_form_defaults(form)
+
+
+@query("score_summary")
+def q_score_summary(spark, sf_dir):
+    return SC.score_summary(_scored(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ metrics
+def _metrics(spark, sf_dir):
+    return ME.metrics_long(_scored(spark, sf_dir), fit_on="train")
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return ME.confusion(_scored(spark, sf_dir), ["model_used", "split"])
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+@query("auc")
+def q_auc(spark, sf_dir):
+    return ME.auc(_scored(spark, sf_dir), ["model_used", "split"])
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    return ME.roc_curve(_scored(spark, sf_dir), ["model_used", "split"])
+
+
+@query("model_summary")
+def q_model_summary(spark, sf_dir):
+    return ME.model_summary(_metrics(spark, sf_dir))
+
+
+@query("best_model")
+def q_best_model(spark, sf_dir):
+    return ME.best_model(_metrics(spark, sf_dir), MODELS)
+
+
+@query("target_alerts")
+def q_target_alerts(spark, sf_dir):
+    return ME.target_alerts(_metrics(spark, sf_dir), MODELS)
+
+
+# ------------------------------------------------------------------ explanations
+def _importance(spark, sf_dir):
+    train = _train(_scoring_input(spark, sf_dir))
+    return EX.importance_long(*[EX.linear_importance(train, SC.SCORECARDS[m]) for m in MODELS])
+
+
+@query("lr_importance")
+def q_lr_importance(spark, sf_dir):
+    train = _train(_scoring_input(spark, sf_dir))
+    out = EX.linear_importance(train, SC.SCORECARDS[MODELS[0]])
+    for m in MODELS[1:]:
+        out = out.unionByName(EX.linear_importance(train, SC.SCORECARDS[m]))
+    return out
+
+
+@query("lr_contributions")
+def q_lr_contributions(spark, sf_dir):
+    return EX.contributions(_scoring_input(spark, sf_dir), SC.SCORECARDS["scorecard"])
+
+
+@query("top_factors")
+def q_top_factors(spark, sf_dir):
+    return EX.top_factors(_scoring_input(spark, sf_dir), SC.SCORECARDS["scorecard"], 15)
+
+
+@query("waterfall")
+def q_waterfall(spark, sf_dir):
+    return EX.waterfall(_scoring_input(spark, sf_dir), SC.SCORECARDS["scorecard"], 15)
+
+
+@query("mean_abs_contribution")
+def q_mean_abs_contribution(spark, sf_dir):
+    enc = _scoring_input(spark, sf_dir)
+    c = EX.contributions(enc, SC.SCORECARDS[MODELS[0]])
+    for m in MODELS[1:]:
+        c = c.unionByName(EX.contributions(enc, SC.SCORECARDS[m]))
+    return EX.mean_abs_contribution(c)
+
+
+@query("top_importance")
+def q_top_importance(spark, sf_dir):
+    return EX.top_importance(_importance(spark, sf_dir), 15)
+
+
+@query("compare_importance")
+def q_compare_importance(spark, sf_dir):
+    return EX.compare_importance(_importance(spark, sf_dir), MODELS, 15)

@@ -32,6 +32,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.driver.memory", os.environ.get("RETENTION_DRIVER_MEMORY", "8g"))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
