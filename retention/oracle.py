@@ -466,3 +466,20 @@ register("compare_importance", with_base(*PREP_ENC, IMP, TOPI, body="select feat
     ", round_even((" + " + ".join(f"coalesce(max(case when model='{m}' then importance end), 0.0)" for m in MODELS) +
     f") / {len(MODELS)}, 9) avg_importance from imp where feature in (select feature from ti2 where rank <= 15) group by feature "
     "order by avg_importance desc, feature limit 15"))
+
+
+# ---------------------------------------------------------------- SMOTE
+ZST = "zs as (select " + ", ".join(
+    f"avg(cast({f} as double)) m_{f}, stddev_pop(cast({f} as double)) s_{f}" for f in FEATURES) + " from en where split='train')"
+ZT = "zt as (select customerID, label, " + ", ".join(
+    f"round_even(case when s_{f} = 0 then 0.0 else (cast({f} as double) - m_{f}) / s_{f} end, 9) as {f}" for f in FEATURES) + \
+    " from en cross join zs where split='train')"
+_DIST = "sqrt(cast(0 as double) + " + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in FEATURES) + ")"
+register("smote_knn", with_base(*PREP_ENC, ZST, ZT, f"""
+pr as (select a.customerID, b.customerID neighbor_id, {_DIST} distance from zt a join zt b
+   on a.customerID <> b.customerID where a.label = 1 and b.label = 1),
+rk as (select *, row_number() over (partition by customerID order by distance, neighbor_id) rank from pr)""",
+    body="select customerID, rank, neighbor_id, round_even(distance, 9) distance from rk where rank <= 5"))
+register("smote_counts", with_base(*PREP_ENC, body="""
+select label, count(*) before, case when label = 1 then greatest(count(*), (select count(*) from en where split='train' and label = 0))
+  else count(*) end after from en where split='train' group by label"""))

@@ -433,3 +433,76 @@ def q_top_importance(spark, sf_dir):
 @query("compare_importance")
 def q_compare_importance(spark, sf_dir):
     return EX.compare_importance(_importance(spark, sf_dir), MODELS, 15)
+
+
+# ------------------------------------------------------------------ SMOTE
+from ..operators import models as MD  # noqa: E402
+from ..operators import smote as SM  # noqa: E402
+
+
+def _scaled_train(spark, sf_dir):
+    """Training rows as the logistic pipeline sees them: imputed, population z-scores."""
+    train = _train(_prep(spark, sf_dir).encoded)
+    meds = {r["column"]: r["value"] for r in FE.median_table(train, K.FEATURES).collect()}
+    base = FE.impute(train, meds, K.FEATURES)
+    scaling = EN.fit_standardizer(base, K.FEATURES)
+    return base.withColumns({f: EN.standardize_expr(f, m, s) for f, (m, s) in scaling.items()})
+
+
+@query("smote_knn")
+def q_smote_knn(spark, sf_dir):
+    mins = _scaled_train(spark, sf_dir).where(F.col("label") == 1)
+    return SM.knn(mins, 5).drop("neighbor_vec")
+
+
+@query("smote_counts")
+def q_smote_counts(spark, sf_dir):
+    tr = _scaled_train(spark, sf_dir)
+    return SM.smote_counts(tr, SM.oversample(tr, ratio=1.0))
+
+
+@query("smote_points")
+def q_smote_points(spark, sf_dir):
+    tr = _scaled_train(spark, sf_dir)
+    return SM.oversample(tr, ratio=1.0).where(F.col("customerID").contains("#smote"))
+
+
+# ------------------------------------------------------------------ Spark ML models (no SQL oracle)
+def _fit_eval(spark, sf_dir, model):
+    enc = _prep(spark, sf_dir).encoded
+    fm = MD.fit(model, _train(enc))
+    return MD.evaluate([fm], enc.where(F.col("split") != "train"))
+
+
+@query("train_logistic")
+def q_train_logistic(spark, sf_dir):
+    return _fit_eval(spark, sf_dir, "logistic_regression")
+
+
+@query("train_forest")
+def q_train_forest(spark, sf_dir):
+    return _fit_eval(spark, sf_dir, "random_forest")
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf_dir):
+    return _fit_eval(spark, sf_dir, "xgboost")
+
+
+@query("cv_results")
+def q_cv_results(spark, sf_dir):
+    return MD.cross_validate("logistic_regression", _train(_prep(spark, sf_dir).encoded), n_iter=2, folds=5)
+
+
+@query("score_ml_models")
+def q_score_ml_models(spark, sf_dir):
+    enc = _prep(spark, sf_dir).encoded
+    fitted = [MD.fit(m, _train(enc)) for m in K.MODEL_NAMES]
+    return MD.score_all(fitted, enc, keep=["customerID"])
+
+
+@query("train_final")
+def q_train_final(spark, sf_dir):
+    enc = _prep(spark, sf_dir).encoded
+    fm = MD.refit_final("random_forest", enc)
+    return MD.evaluate([fm], enc.where(F.col("split") == "test"), fit_on="train+val")
