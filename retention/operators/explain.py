@@ -58,14 +58,15 @@ def top_factors(df: DataFrame, scorer: LinearScorer, k: int = 15, id_col: str =
 
 def waterfall(df: DataFrame, scorer: LinearScorer, k: int = 15, id_col: str = K.ID_COL) -> DataFrame:
     """Base value then the top-k contributions with running totals."""
-    top = _sorted_top(scorer, k)
     base = F.lit(float(scorer.intercept))
-    steps = F.transform(top, lambda x, i: F.struct(
-        (i + 1).alias("rank"), x["feature"].alias("feature"), x["contribution"].alias("contribution"),
-        F.aggregate(F.slice(top, 1, i + 1), base, lambda acc, y: acc + y["contribution"]).alias("running")))
-    first = F.array(F.struct(F.lit(0).alias("rank"), F.lit("base_value").alias("feature"),
-                             base.alias("contribution"), base.alias("running")))
-    return df.select(id_col, F.explode(F.concat(first, steps)).alias("s")).select(
+    first = F.struct(F.lit(0).alias("rank"), F.lit("base_value").alias("feature"),
+                     base.alias("contribution"), base.alias("running"))
+    # one pass over the sorted top-k: each step appends (rank, feature, c, running + c)
+    steps = F.aggregate(_sorted_top(scorer, k), F.array(first), lambda acc, x: F.array_append(acc, F.struct(
+        (F.element_at(acc, -1)["rank"] + 1).alias("rank"), x["feature"].alias("feature"),
+        x["contribution"].alias("contribution"),
+        (F.element_at(acc, -1)["running"] + x["contribution"]).alias("running"))))
+    return df.select(id_col, F.explode(steps).alias("s")).select(
         id_col, F.lit(scorer.name).alias("model"), "s.rank", "s.feature",
         _r("s.contribution").alias("contribution"), _r("s.running").alias("running"))
 

@@ -2,15 +2,16 @@
 
 Exact k-nearest minority neighbours without comparing all pairs:
 
-1. every point gets a projection p = sum(x) / sqrt(d); by Cauchy-Schwarz
-   |p_i - p_j| <= ||x_i - x_j||, so the projection gap is a lower bound on distance;
-2. points are ranked by (p, id) with the two-level prefix sum; each point meets the
-   2k points next to it in that order (an equi-join on rank + offset) - the k-th
+1. every point is projected on the top-3 principal axes U (orthonormal, from one
+   d x d covariance aggregate); ||U(x_i - x_j)|| <= ||x_i - x_j||, so the projected
+   gap is a lower bound on the distance;
+2. points are ranked on the first axis with the two-level prefix sum; each point meets
+   the 4k points next to it in that order (an equi-join on rank + offset) - the k-th
    smallest of those distances, r_i, bounds its true k-th neighbour distance;
-3. a band join on p finds every j with |p_i - p_j| <= r_i: p is cut into cells of
-   width W, point i probes the cells covering [p_i - r_i, p_i + r_i], point j sits in
-   one cell (equi-join on cell), then the exact distance is computed and the k
-   smallest (ties by id) are kept. No pair outside a band is ever formed.
+3. a band join on a 3-d grid of the projections finds every j with
+   ||U(x_i - x_j)|| <= r_i: point i probes the cells covering its r_i-box, point j
+   sits in one cell (equi-join on the cell), then the exact distance is computed and
+   the k smallest (ties by id) are kept. No pair outside a band is ever formed.
 
 Synthesis is deterministic: the n_new synthetic rows are dealt round-robin over the
 minority points in hash order (exact counts, no driver loop); the neighbour and the
@@ -38,58 +39,108 @@ def _vector(features: list[str]):
     return F.array(*[F.bround(F.col(f).cast("double"), DIGITS) for f in features])
 
 
-def _dist(a: str, b: str):
-    sq = F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
-
-
-def knn(points: DataFrame, k: int = 5, id_col: str = K.ID_COL, features: list[str] = K.FEATURES) -> DataFrame:
+def _dist(a: list[str], b: list[str]):
+    """Euclidean distance as plain column arithmetic (whole-stage codegen), summed in
+    feature order from 0.0."""
+    acc = F.lit(0.0)
+    for x, y in zip(a, b):
+        acc = acc + (F.col(x) - F.col(y)) * (F.col(x) - F.col(y))
+    return F.sqrt(acc)
+
+
+def _principal_axes(pts: DataFrame, xs: list[str], m: int) -> list[list[float]]:
+    """Top-m eigenvectors of the covariance of the points: one aggregate of d(d+1)/2 sums
+    (a d x d matrix, independent of the row count), eigen-decomposed as fitted state."""
+    import numpy as np
+    d = len(xs)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]
+    aggs += [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
+    r = pts.agg(*aggs).first()
+    n = max(r["n"], 1)
+    mean = np.array([r[f"s{i}"] or 0.0 for i in range(d)]) / n
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[i, j] = cov[j, i] = (r[f"p{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1][:m]
+    return [[float(v) for v in vecs[:, k]] for k in order]
+
+
+def knn(points: DataFrame, k: int = 5, id_col: str = K.ID_COL, features: list[str] = K.FEATURES,
+        axes: int = 3) -> DataFrame:
     """(id, rank, neighbor_id, distance, neighbor_vec) for the k nearest other points."""
     d = len(features)
-    pts = points.select(F.col(id_col).alias("id"), _vector(features).alias("vec"))
-    pts = pts.withColumn("proj", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / math.sqrt(d))
+    xs = [f"x{i}" for i in range(d)]
+    # the other side of each pair is ONE struct column: per-column aliases of 28 fields make
+    # the optimizer's constraint inference grow combinatorially
+    ys = [f"nv.{x}" for x in xs]
+    pts = points.select(F.col(id_col).alias("id"),
+                        *[F.bround(F.col(f).cast("double"), DIGITS).alias(x) for f, x in zip(features, xs)])
     # the point set is read by every step below: materialise it once (reliable checkpoint)
     pts = cut_lineage(pts)
-    rng = pts.agg(F.min("proj").alias("lo"), F.max("proj").alias("hi"))
-    # 1-row range table; bucket grid of fixed size for the prefix sum
+    # orthonormal axes U: ||U(x - y)|| <= ||x - y||, so projected gaps bound distances from below
+    m = min(axes, d)
+    U = _principal_axes(pts, xs, m)
+    ps = [f"p{a}" for a in range(m)]
+    proj = {}
+    for a in range(m):
+        e = F.lit(0.0)
+        for w_, x in zip(U[a], xs):
+            e = e + F.lit(w_) * F.col(x)
+        proj[ps[a]] = e
+    pts = pts.withColumns(proj)
+    rng = pts.agg(*[F.min(p).alias(f"lo_{p}") for p in ps], *[F.max(p).alias(f"hi_{p}") for p in ps])
+    # 1-row range table; bucket grid of fixed size on the first axis for the prefix sum
     grid = pts.crossJoin(F.broadcast(rng)).withColumn("_g", F.lit(0))
-    bucket = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("proj") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS),
-                F.lit(BUCKETS - 1))).cast("int")
-    ranked = prefix_sums(grid.withColumn("one", F.lit(1)), ["_g"], bucket, [F.col("proj"), F.col("id")], ["one"]) \
-        .select("id", "vec", "proj", F.col("one_before").alias("pos"))
-
-    # step 2: neighbours in projection order -> upper bound r on the k-th distance
-    probe = ranked.select("id", "vec", F.explode(F.array(*[F.col("pos") + o for o in range(-k, k + 1) if o]))
+    lo0, hi0 = F.col(f"lo_{ps[0]}"), F.col(f"hi_{ps[0]}")
+    bucket = F.when(hi0 == lo0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col(ps[0]) - lo0) / (hi0 - lo0) * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
+    ranked = prefix_sums(grid.withColumn("one", F.lit(1)), ["_g"], bucket, [F.col(ps[0]), F.col("id")], ["one"]) \
+        .select("id", *xs, *ps, F.col("one_before").alias("pos"))
+    other = [F.struct(*xs).alias("nv")]
+
+    # step 2: neighbours in first-axis order -> upper bound r on the k-th distance
+    probe = ranked.select("id", *xs, F.explode(F.array(*[F.col("pos") + o for o in range(-2 * k, 2 * k + 1) if o]))
                           .alias("pos_j"))
-    cand = probe.join(ranked.select(F.col("pos").alias("pos_j"), F.col("vec").alias("vec_j")), "pos_j")
-    bound = (cand.select("id", _dist("vec", "vec_j").alias("dd")).groupBy("id")
-             .agg(F.sort_array(F.collect_list("dd")).alias("ds")))           # <= 2k values per point
+    cand = probe.join(ranked.select(F.col("pos").alias("pos_j"), *other), "pos_j")
+    bound = (cand.select("id", _dist(xs, ys).alias("dd")).groupBy("id")
+             .agg(F.sort_array(F.collect_list("dd")).alias("ds")))           # <= 4k values per point
     bound = bound.select("id", F.when(F.size("ds") >= k, F.col("ds")[k - 1]).otherwise(F.lit(float("inf")))
                          .alias("r"))
     withr = ranked.join(bound, "id")
 
-    # step 3: band join on the projection
-    # cell width: most points probe <= 3 cells (90th percentile of r); never below range/4096,
-    # so no point probes more than 4097 cells. W only affects cost, never the result.
-    span = withr.agg(F.percentile_approx(F.when(F.col("r") < float("inf"), F.col("r")), 0.9).alias("w"),
-                     F.min("proj").alias("plo"), F.max("proj").alias("phi"))
-    w = F.greatest(F.coalesce(F.col("w"), F.lit(0.0)), (F.col("phi") - F.col("plo")) / BUCKETS, F.lit(1e-9))
+    # step 3: band join on an m-dimensional grid of the projections.
+    # cell width: half of the median r, so a typical point probes 5 cells per axis and hot
+    # central cells stay small; never below range/32 per axis, so no point probes more than
+    # 33^m cells. W only affects cost, never the result.
+    span = withr.agg(F.percentile_approx(F.when(F.col("r") < float("inf"), F.col("r")), 0.5).alias("w"),
+                     *[F.min(p).alias(f"lo_{p}") for p in ps], *[F.max(p).alias(f"hi_{p}") for p in ps])
+    w = F.greatest(F.coalesce(F.col("w") / 2, F.lit(0.0)),
+                   *[(F.col(f"hi_{p}") - F.col(f"lo_{p}")) / 32 for p in ps], F.lit(1e-9))
     cells = withr.crossJoin(F.broadcast(span)).withColumn("W", w)            # 1-row side
-    lo_c = F.floor((F.greatest(F.col("proj") - F.col("r"), F.col("plo"))) / F.col("W"))
-    hi_c = F.floor((F.least(F.col("proj") + F.col("r"), F.col("phi"))) / F.col("W"))
-    left = cells.select("id", "vec", "proj", "r", F.explode(F.sequence(lo_c.cast("long"), hi_c.cast("long")))
-                        .alias("cell"))
-    right = cells.select(F.col("id").alias("nid"), F.col("vec").alias("nvec"), F.col("proj").alias("nproj"),
-                         F.floor(F.col("proj") / F.col("W")).cast("long").alias("cell"))
-    pairs = (left.join(right, "cell")
-             .where((F.col("nid") != F.col("id")) & (F.abs(F.col("nproj") - F.col("proj")) <= F.col("r")))
-             .select("id", "nid", "nvec", "r", _dist("vec", "nvec").alias("distance"))
-             .where(F.col("distance") <= F.col("r")))
+    slack = F.col("r") * (1 + 1e-9) + 1e-12                                  # float rounding of projections
+    left = cells.select("id", *xs, *ps, "r", "W", *[f"lo_{p}" for p in ps], *[f"hi_{p}" for p in ps])
+    for a, p in enumerate(ps):
+        lo_c = F.floor(F.greatest(F.col(p) - slack, F.col(f"lo_{p}")) / F.col("W")).cast("long")
+        hi_c = F.floor(F.least(F.col(p) + slack, F.col(f"hi_{p}")) / F.col("W")).cast("long")
+        left = left.withColumn(f"c{a}", F.explode(F.sequence(lo_c, hi_c)))
+    right = cells.select(F.col("id").alias("nid"), *other, F.struct(*ps).alias("np"),
+                         *[F.floor(F.col(p) / F.col("W")).cast("long").alias(f"c{a}") for a, p in enumerate(ps)])
+    gap2 = F.lit(0.0)
+    for p in ps:
+        gap2 = gap2 + (F.col(p) - F.col(f"np.{p}")) * (F.col(p) - F.col(f"np.{p}"))
+    pairs = (left.join(right, [f"c{a}" for a in range(m)])
+             .where((F.col("nid") != F.col("id")) & (gap2 <= slack * slack))
+             .select("id", "nid", "r", _dist(xs, ys).alias("distance"))
+             .where(F.col("distance") <= F.col("r"))
+             .select("id", "nid", "distance"))                                # narrow rows into the sort
     wk = Window.partitionBy("id").orderBy("distance", "nid")
-    return (pairs.withColumn("rank", F.row_number().over(wk)).where(F.col("rank") <= k)
+    top = pairs.withColumn("rank", F.row_number().over(wk)).where(F.col("rank") <= k)
+    vecs = pts.select(F.col("id").alias("nid"), F.array(*xs).alias("neighbor_vec"))
+    return (top.join(vecs, "nid")                                               # k rows per point
             .select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"),
-                    F.bround("distance", DIGITS).alias("distance"), F.col("nvec").alias("neighbor_vec")))
+                    F.bround("distance", DIGITS).alias("distance"), "neighbor_vec"))
 
 
 def oversample(train: DataFrame, ratio: float = 1.0, k: int = 5, label: str = "label",
