@@ -506,3 +506,60 @@ def q_train_final(spark, sf_dir):
     enc = _prep(spark, sf_dir).encoded
     fm = MD.refit_final("random_forest", enc)
     return MD.evaluate([fm], enc.where(F.col("split") == "test"), fit_on="train+val")
+
+
+# ------------------------------------------------------------------ tree explanations (no SQL oracle)
+from ..operators import tree_explain as TX  # noqa: E402
+
+
+def _fitted(spark, sf_dir, model):
+    enc = _prep(spark, sf_dir).encoded
+    return enc, MD.fit(model, _train(enc))
+
+
+@query("tree_contributions")
+def q_tree_contributions(spark, sf_dir):
+    """Path-dependent TreeSHAP of the boosted-trees model for every customer (I4)."""
+    enc, fm = _fitted(spark, sf_dir, "xgboost")
+    return TX.tree_contributions(fm, "xgboost", enc)
+
+
+def _forest_sample_shap(spark, sf_dir):
+    enc, fm = _fitted(spark, sf_dir, "random_forest")
+    sample = SP.seeded_sample(_train(enc), 100)            # the reference explains 100 sampled rows
+    return TX.tree_contributions(fm, "random_forest", sample)
+
+
+@query("tree_global_importance")
+def q_tree_global_importance(spark, sf_dir):
+    """Mean |SHAP| per feature of the forest over the seeded 100-row sample."""
+    c = _forest_sample_shap(spark, sf_dir).where(F.col("feature") != "base_value")
+    return EX.mean_abs_contribution(c)
+
+
+@query("beeswarm")
+def q_beeswarm(spark, sf_dir):
+    """(feature, value, shap) rows of the 20 most important features."""
+    c = _forest_sample_shap(spark, sf_dir).where(F.col("feature") != "base_value")
+    top = EX.top_importance(EX.mean_abs_contribution(c), 20).select("feature", "rank")
+    return c.join(F.broadcast(top), "feature").select("customerID", "rank", "feature", "value", "contribution")
+
+
+@query("default_importance")
+def q_default_importance(spark, sf_dir):
+    """Model-native importance of the forest and the boosted trees."""
+    enc = _prep(spark, sf_dir).encoded
+    out = None
+    for m in ("random_forest", "xgboost"):
+        t = TX.default_importance(MD.fit(m, _train(enc)), m)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("sampled_shapley")
+def q_sampled_shapley(spark, sf_dir):
+    """Permutation Shapley values of the logistic pipeline for 50 sampled rows."""
+    enc, fm = _fitted(spark, sf_dir, "logistic_regression")
+    rows = SP.seeded_sample(enc.where(F.col("split") == "test"), 50)
+    background = SP.seeded_sample(_train(enc), 10, seed=7)
+    return TX.sampled_shapley(fm, rows, background, permutations=4)

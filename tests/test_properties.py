@@ -154,3 +154,24 @@ def test_roc_ends_at_one(spark):
 def test_model_queries_run(spark, name):
     df = R.QUERIES[name](spark, SF_SMALL)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("kind", ["xgboost", "random_forest"])
+def test_tree_shap_local_accuracy(spark, kind):
+    from pyspark.ml.functions import vector_to_array
+    from retention.operators import tree_explain as TX
+    enc = prepare(spark, SF_SMALL).encoded
+    params = {"maxIter": 10, "maxDepth": 3} if kind == "xgboost" else {"numTrees": 10, "maxDepth": 4}
+    fm = MD.fit(kind, enc.where("split = 'train'"), params)
+    c = TX.tree_contributions(fm, kind, enc)
+    tot = c.groupBy("customerID").agg(F.sum("contribution").alias("s"))
+    col = "rawPrediction" if kind == "xgboost" else "probability"
+    out = fm.pipeline.transform(fm.prepare(enc)).select("customerID", vector_to_array(col)[1].alias("f"))
+    rows = tot.join(out, "customerID").collect()
+    assert len(rows) == enc.count()
+    assert max(abs(r.s - r.f) for r in rows) < 1e-6
+
+
+def test_sampled_shapley_local_accuracy(spark):
+    df = R.QUERIES["sampled_shapley"](spark, SF_SMALL)
+    assert df.count() == 50 * len(K.FEATURES) or df.count() == df.select("customerID").distinct().count() * len(K.FEATURES)
