@@ -181,8 +181,8 @@ register("class_weights", with_base(CLEAN, SPLIT, body="""
 select label, n_c, t.n / (t.k * n_c) weight from (select label, count(*) n_c from sp where split='train' group by label) c
 cross join (select count(*) n, count(distinct label) k from sp where split='train') t"""))
 register("scale_pos_weight", with_base(CLEAN, SPLIT, body="""
-select neg, pos, cast(floor(neg / pos) as double) scale_pos_weight from (select sum(case when label=0 then 1 else 0 end) neg,
-  sum(case when label=1 then 1 else 0 end) pos from sp where split='train')"""))
+select neg, pos, cast(floor(neg / pos) as double) scale_pos_weight from (select cast(sum(case when label=0 then 1 else 0 end) as bigint) neg,
+  cast(sum(case when label=1 then 1 else 0 end) as bigint) pos from sp where split='train')"""))
 register("attach_label", with_base(*PREP, body=f"select ft.customerID, ft.clv, ft.split, {LABEL.replace('Churn', 'cust.Churn')} churn from ft join cust using (customerID)"))
 
 # ---------------------------------------------------------------- encoding
@@ -357,9 +357,9 @@ select model_used, count(*) customers, cast(sum(churn_prediction) as bigint) pre
 
 # ---------------------------------------------------------------- metrics
 CM = """
-cm as (select model_used, split, sum(case when label=0 and churn_prediction=0 then 1 else 0 end) tn,
-  sum(case when label=0 and churn_prediction=1 then 1 else 0 end) fp, sum(case when label=1 and churn_prediction=0 then 1 else 0 end) fn,
-  sum(case when label=1 and churn_prediction=1 then 1 else 0 end) tp from sc group by model_used, split)
+cm as (select model_used, split, cast(sum(case when label=0 and churn_prediction=0 then 1 else 0 end) as bigint) tn,
+  cast(sum(case when label=0 and churn_prediction=1 then 1 else 0 end) as bigint) fp, cast(sum(case when label=1 and churn_prediction=0 then 1 else 0 end) as bigint) fn,
+  cast(sum(case when label=1 and churn_prediction=1 then 1 else 0 end) as bigint) tp from sc group by model_used, split)
 """
 SCNT = """
 scd as (select model_used, split, churn_probability, sum(case when label=1 then 1 else 0 end) pos, sum(case when label=0 then 1 else 0 end) neg
@@ -412,7 +412,7 @@ bm as (select split, metric, model best_model, value best_value from (select *,
 """
 register("best_model", with_base(*METRICS, BEST, body="select * from bm"))
 register("target_alerts", with_base(*METRICS, BEST, body="""
-select ml.model, ml.metric, ml.value, case ml.metric when 'auc_roc' then 0.8 else 0.6 end target from ml
+select ml.model, ml.metric, ml.value, case ml.metric when 'auc_roc' then cast(0.8 as double) else cast(0.6 as double) end target from ml
 join bm on bm.split='val' and bm.metric='auc_roc' and ml.model=bm.best_model
 where ml.split='val' and ml.metric in ('auc_roc','recall') and ml.value < case ml.metric when 'auc_roc' then 0.8 else 0.6 end"""))
 
@@ -441,7 +441,7 @@ def contrib_sql(m: str) -> str:
 CON = f"con as ({contrib_sql('scorecard')})"
 CONA = f"cona as ({' union all '.join(contrib_sql(m) for m in MODELS)})"
 TOPF = """
-tf as (select *, row_number() over (partition by customerID, model order by abs(contribution) desc, feature) rank from con)
+tf as (select *, cast(row_number() over (partition by customerID, model order by abs(contribution) desc, feature) as int) rank from con)
 """
 register("lr_importance", with_base(*PREP_ENC, IMP, body="select * from imp"))
 register("lr_contributions", with_base(*PREP_ENC, CON, body="""
@@ -458,7 +458,7 @@ from tf where rank <= 15"""))
 register("mean_abs_contribution", with_base(*PREP_ENC, CONA, body="""
 select model, feature, round_even(avg(abs(round_even(contribution, 9))), 7) importance from cona group by all"""))
 TOPI = """
-ti2 as (select model, row_number() over (partition by model order by importance desc, feature) rank, feature, importance from imp)
+ti2 as (select model, cast(row_number() over (partition by model order by importance desc, feature) as int) rank, feature, importance from imp)
 """
 register("top_importance", with_base(*PREP_ENC, IMP, TOPI, body="select * from ti2 where rank <= 15"))
 register("compare_importance", with_base(*PREP_ENC, IMP, TOPI, body="select feature, " + ", ".join(
@@ -478,7 +478,7 @@ _DIST = "sqrt(cast(0 as double) + " + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.
 register("smote_knn", with_base(*PREP_ENC, ZST, ZT, f"""
 pr as (select a.customerID, b.customerID neighbor_id, {_DIST} distance from zt a join zt b
    on a.customerID <> b.customerID where a.label = 1 and b.label = 1),
-rk as (select *, row_number() over (partition by customerID order by distance, neighbor_id) rank from pr)""",
+rk as (select *, cast(row_number() over (partition by customerID order by distance, neighbor_id) as int) rank from pr)""",
     body="select customerID, rank, neighbor_id, round_even(distance, 9) distance from rk where rank <= 5"))
 register("smote_counts", with_base(*PREP_ENC, body="""
 select label, count(*) before, case when label = 1 then greatest(count(*), (select count(*) from en where split='train' and label = 0))
