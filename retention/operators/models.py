@@ -174,23 +174,45 @@ def _weights(train: DataFrame, model: str) -> DataFrame:
     return train
 
 
-def fit(model: str, train: DataFrame, params: dict | None = None, smote: bool = True) -> FittedModel:
-    """Fit one pipeline on encoded training rows (columns FEATURES + label)."""
-    params = {**DEFAULT_PARAMS[model], **(params or {})}
+@dataclass
+class FitInput:
+    """Parameter-independent part of a fit: imputation medians, scaling, the prepared
+    training rows and (logistic + SMOTE) the minority neighbour table."""
+    medians: dict[str, float]
+    scaling: dict[str, tuple[float, float]]
+    base: DataFrame
+    neighbours: DataFrame | None = None
+
+
+def prepare_fit(model: str, train: DataFrame, smote: bool = True) -> FitInput:
     medians = {r["column"]: r["value"] for r in FE.median_table(train, K.FEATURES).collect()}  # 28 rows
     base = FE.impute(train, medians, K.FEATURES)
-    scaling = {}
+    scaling, nn = {}, None
     if model == "logistic_regression":
         scaling = EN.fit_standardizer(base, K.FEATURES)
         base = base.withColumns({f: EN.standardize_expr(f, m, s) for f, (m, s) in scaling.items()})
         if smote:
-            from .smote import oversample
-            base = oversample(base, ratio=float(params.get("smote_ratio", 1.0)))
+            from .smote import minority_neighbours
+            base, nn = minority_neighbours(base)
+    return FitInput(medians, scaling, base, nn)
+
+
+def fit_prepared(model: str, prep: FitInput, params: dict | None = None) -> FittedModel:
+    params = {**DEFAULT_PARAMS[model], **(params or {})}
+    base = prep.base
+    if prep.neighbours is not None:
+        from .smote import oversample
+        base = oversample(base, ratio=float(params.get("smote_ratio", 1.0)), neighbours=prep.neighbours)
     base = _weights(base, model)
     assembler = VectorAssembler(inputCols=K.FEATURES, outputCol="features", handleInvalid="error")
     pipe = Pipeline(stages=[assembler, _classifier(model, params)])
     pm = pipe.fit(base.withColumns({f: F.col(f).cast("double") for f in K.FEATURES}))
-    return FittedModel(model, pm, medians, scaling, params)
+    return FittedModel(model, pm, prep.medians, prep.scaling, params)
+
+
+def fit(model: str, train: DataFrame, params: dict | None = None, smote: bool = True) -> FittedModel:
+    """Fit one pipeline on encoded training rows (columns FEATURES + label)."""
+    return fit_prepared(model, prepare_fit(model, train, smote), params)
 
 
 def evaluate(fitted: list[FittedModel], df: DataFrame, fit_on: str = "train") -> DataFrame:
@@ -208,12 +230,14 @@ def cross_validate(model: str, train: DataFrame, n_iter: int = 2, folds: int = 5
     training side; recall / precision / f1 / roc_auc for both sides in a long table (M4)."""
     maps = sample_params(model, n_iter, seed)
     spark = train.sparkSession
+    # imputation, scaling and SMOTE neighbours depend on the fold only: once per fold
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        preps = list(ex.map(lambda k: prepare_fit(model, train.where(F.col("fold") != k)), range(folds)))
     jobs = list(itertools.product(range(len(maps)), range(folds)))
 
     def run(job):
         i, k = job
-        tr = train.where(F.col("fold") != k)
-        fm = fit(model, tr, maps[i])
+        fm = fit_prepared(model, preps[k], maps[i])
         sides = train.withColumn("split", F.when(F.col("fold") == k, F.lit("test")).otherwise(F.lit("train")))
         s = fm.transform(sides, keep=["label", "split"])
         m = ME.metrics_long(s).where(F.col("metric").isin("recall", "precision", "f1", "auc_roc"))

@@ -143,23 +143,47 @@ def knn(points: DataFrame, k: int = 5, id_col: str = K.ID_COL, features: list[st
                     F.bround("distance", DIGITS).alias("distance"), "neighbor_vec"))
 
 
-def oversample(train: DataFrame, ratio: float = 1.0, k: int = 5, label: str = "label",
-               id_col: str = K.ID_COL, features: list[str] = K.FEATURES, seed: int = SEED) -> DataFrame:
-    """Training rows plus synthetic minority rows so that minority = ratio x majority.
-    Only ``id_col``, ``label`` and the feature columns are kept."""
-    base = cut_lineage(train.select(id_col, label, *features))
+def _classes(base: DataFrame, label: str):
     counts = {r[label]: r["n"] for r in base.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 rows
     if len(counts) < 2:
-        return base
+        return counts, None, None
     minority = min(counts, key=lambda c: (counts[c], c))
     majority = max(counts, key=lambda c: (counts[c], -c))
+    return counts, minority, majority
+
+
+def minority_neighbours(train: DataFrame, k: int = 5, label: str = "label", id_col: str = K.ID_COL,
+                        features: list[str] = K.FEATURES) -> tuple[DataFrame, DataFrame | None]:
+    """(materialised training rows, k-NN table of the minority class) - the part of SMOTE
+    that does not depend on the sampling ratio."""
+    base = cut_lineage(train.select(id_col, label, *features))
+    counts, minority, _ = _classes(base, label)
+    if minority is None or counts[minority] < 2:
+        return base, None
+    nn = knn(base.where(F.col(label) == minority), min(k, counts[minority] - 1), id_col, features)
+    # k rows per minority point, read by every synthesis that reuses it: materialise once
+    return base, cut_lineage(nn)
+
+
+def oversample(train: DataFrame, ratio: float = 1.0, k: int = 5, label: str = "label",
+               id_col: str = K.ID_COL, features: list[str] = K.FEATURES, seed: int = SEED,
+               neighbours: DataFrame | None = None) -> DataFrame:
+    """Training rows plus synthetic minority rows so that minority = ratio x majority.
+    Only ``id_col``, ``label`` and the feature columns are kept. ``neighbours`` (from
+    ``minority_neighbours`` on the same rows) skips the neighbour search."""
+    if neighbours is None:
+        base, nn = minority_neighbours(train, k, label, id_col, features)
+    else:
+        base, nn = train.select(id_col, label, *features), neighbours
+    counts, minority, majority = _classes(base, label)
+    if minority is None or nn is None:
+        return base
     n_min, n_maj = counts[minority], counts[majority]
     n_new = int(ratio * n_maj) - n_min
-    if n_new <= 0 or n_min < 2:
-        return base
-    mins = base.where(F.col(label) == minority)
+    if n_new <= 0:
+        return base.withColumns({f: F.col(f).cast("double") for f in features})
     kk = min(k, n_min - 1)
-    nn = knn(mins, kk, id_col, features)
+    mins = base.where(F.col(label) == minority)
     per, extra = divmod(n_new, n_min)
     pos = hash_positions(mins.select(C.seeded_hash(id_col, seed).alias("_key"), F.lit(0).alias("_g")), ["_g"], "_key")
     keyed = mins.withColumn("_key", C.seeded_hash(id_col, seed)).join(pos.select("_key", "w_before"), "_key")
