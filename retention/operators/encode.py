@@ -146,3 +146,53 @@ def assemble(df: DataFrame, features: list[str] = K.FEATURES, output: str = "fea
 
 def label_col():
     return C.churn_label(K.TARGET)
+
+
+# ---------------------------------------------------------------- pipeline stage
+import json  # noqa: E402
+
+from pyspark import keyword_only  # noqa: E402
+from pyspark.ml import Estimator, Model  # noqa: E402
+from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
+from pyspark.ml.param.shared import HasInputCols  # noqa: E402
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
+
+
+class _EncoderParams(HasInputCols):
+    nullAs = Param(Params._dummy(), "nullAs", "missing value handling: 'nan' class or 'first' (unseen)",
+                   typeConverter=TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(nullAs="nan", inputCols=list(K.CATEGORICAL))
+
+
+class CategoryEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Spark ML stage: alphabetical label codes per category column, unseen -> 0."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, nullAs="nan"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "CategoryEncoderModel":
+        state = fit_encoder(dataset, self.getOrDefault(self.inputCols))
+        return CategoryEncoderModel(codes=json.dumps(state.codes, sort_keys=True),
+                                    nullAs=self.getOrDefault(self.nullAs),
+                                    inputCols=self.getOrDefault(self.inputCols))
+
+
+class CategoryEncoderModel(Model, _EncoderParams, DefaultParamsReadable, DefaultParamsWritable):
+    codes = Param(Params._dummy(), "codes", "fitted codes as JSON {column: {value: code}}",
+                  typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, codes=None, nullAs="nan", inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def state(self) -> EncoderState:
+        return EncoderState(json.loads(self.getOrDefault(self.codes)))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return encode(dataset, self.state(), null_as=self.getOrDefault(self.nullAs))
