@@ -57,6 +57,17 @@ class LinearScorer:
                          for f in K.FEATURES])
 
 
+def from_spark_lr(fitted) -> LinearScorer:
+    """LinearScorer equal to a fitted logistic pipeline (``models.FittedModel``): the Spark ML
+    coefficients and intercept over the pipeline's population z-scores. Apply it to rows
+    imputed with ``fitted.medians`` (``features.impute``); scaling is part of the scorer."""
+    lr = fitted.pipeline.stages[-1]
+    coef = dict(zip(K.FEATURES, (float(c) for c in lr.coefficients.toArray())))
+    mean = {f: float(m) for f, (m, s) in fitted.scaling.items()}
+    scale = {f: float(s) for f, (m, s) in fitted.scaling.items()}
+    return LinearScorer(fitted.name, coef, float(lr.intercept), mean, scale)
+
+
 # FIXED VALUES of this library (not from the reference): two frozen scorecards
 # over encoded features, used as deterministic stand-ins for fitted models.
 SCORECARDS = {
@@ -90,6 +101,17 @@ def customer_id(df: DataFrame, row_col: str | None = None) -> Column:
     return F.coalesce(*cands)
 
 
+def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """0-based position of each row in the input (P15 batch ids). Consecutive indices need
+    zipWithIndex (one extra pass that counts rows per partition); the result is stable under
+    recomputation because the input partitioning is."""
+    if name in df.columns:
+        return df
+    schema = df.schema.add(name, "long", False)
+    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    return df.sparkSession.createDataFrame(rdd, schema)
+
+
 def score(df: DataFrame, scorer: LinearScorer, keep: list[str] | None = None,
           row_col: str | None = None) -> DataFrame:
     """6-field scoring result per row (M11); empty input -> empty output."""

@@ -563,3 +563,10 @@ def q_sampled_shapley(spark, sf_dir):
     rows = SP.seeded_sample(enc.where(F.col("split") == "test"), 50)
     background = SP.seeded_sample(_train(enc), 10, seed=7)
     return TX.sampled_shapley(fm, rows, background, permutations=4)
+
+
+@query("lr_model_top_factors")
+def q_lr_model_top_factors(spark, sf_dir):
+    """Top-15 coefficient contributions of the fitted logistic pipeline for every customer."""
+    enc, fm = _fitted(spark, sf_dir, "logistic_regression")
+    return EX.top_factors(FE.impute(enc, fm.medians, K.FEATURES), SC.from_spark_lr(fm), 15)

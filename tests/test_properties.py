@@ -196,3 +196,27 @@ def test_importance_sink_partitions_by_model(spark, tmp_out):
     assert {"model=scorecard", "model=scorecard_b"} <= set(os.listdir(tmp_out + "/imp"))
     back = spark.read.option("header", True).csv(tmp_out + "/imp")
     assert back.count() == imp.count()
+
+
+def test_batch_without_ids_gets_positional_ids(spark):
+    p = prepare(spark, SF_SMALL)
+    raw = customers(spark, SF_SMALL).select("tenure", "MonthlyCharges", "TotalCharges").orderBy("tenure", "MonthlyCharges")
+    feats = SC.features_for_scoring(SC.with_row_index(raw), p.median, p.encoder)
+    out = SC.score(feats, SC.SCORECARDS["scorecard"], row_col="row_index")
+    ids = sorted(r.customer_id for r in out.collect())
+    assert ids == sorted(f"customer_{i}" for i in range(raw.count()))
+
+
+def test_spark_lr_as_linear_scorer(spark):
+    from pyspark.ml.functions import vector_to_array
+    from retention.operators import explain as EX
+    from retention.operators import features as FE
+    enc = prepare(spark, SF_SMALL).encoded
+    fm = MD.fit("logistic_regression", enc.where("split = 'train'"), {"maxIter": 50})
+    sc = SC.from_spark_lr(fm)
+    imputed = FE.impute(enc, fm.medians, K.FEATURES)
+    mine = imputed.select("customerID", (F.lit(1.0) / (F.lit(1.0) + F.exp(-sc.margin()))).alias("p"))
+    spark_p = fm.pipeline.transform(fm.prepare(enc)).select("customerID", vector_to_array("probability")[1].alias("q"))
+    rows = mine.join(spark_p, "customerID").collect()
+    assert max(abs(r.p - r.q) for r in rows) < 1e-9
+    assert EX.top_factors(imputed, sc, 15).count() == enc.count() * 15
