@@ -102,14 +102,21 @@ def customer_id(df: DataFrame, row_col: str | None = None) -> Column:
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based position of each row in the input (P15 batch ids). Consecutive indices need
-    zipWithIndex (one extra pass that counts rows per partition); the result is stable under
-    recomputation because the input partitioning is."""
+    """0-based position of each row in the input (P15 batch ids), JVM-side: the
+    monotonically increasing id carries the partition index in its upper bits; rows per
+    partition are counted (one row per partition), prefix-summed and broadcast back. The
+    result is deterministic for a given input partitioning, so a recomputed task gets the
+    same ids."""
     if name in df.columns:
         return df
-    schema = df.schema.add(name, "long", False)
-    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    from pyspark.sql import Window
+    d = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33))
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))        # one row per input partition
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offsets), "_pid")                          # bounded by the partition count
+            .withColumn(name, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+            .drop("_mid", "_pid", "_off"))
 
 
 def score(df: DataFrame, scorer: LinearScorer, keep: list[str] | None = None,
