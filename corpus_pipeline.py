@@ -6,16 +6,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retention.llm import simhash
+from retention.llm import quality, simhash, toxicity
+from retention.llm.queries import labelled
 from retention.session import ensure_checkpoint_dir
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay if the compression classifier, trained on the labelled ones, scores them 0.3 or more."""
+    return quality.keep_good(docs, quality.fit(labelled(spark, sf_dir, "quality")))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay if the network, trained on the labelled ones, scores them below 0.3."""
+    return toxicity.keep_clean(docs, toxicity.fit(labelled(spark, sf_dir, "toxic")))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
     return simhash.keep_first(docs, "doc_id", "text", words=4, max_bits=4)
 
 
-STAGES = [("simhash_near_dedup", simhash_near_dedup)]
+STAGES = [("quality_classifier", quality_classifier), ("toxicity", toxicity_filter),
+          ("simhash_near_dedup", simhash_near_dedup)]
 
 #: the stages score and compare texts, which SQL cannot express; tests/llm checks them against brute force
 ORACLE_SQL = None

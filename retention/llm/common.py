@@ -109,6 +109,12 @@ class Platt:
         self.w = w
         return self
 
+    def towards(self, share: float | None, of_sample: float) -> Platt:
+        """Move the intercept from the sample's share of label 1 to the share among all labelled rows."""
+        if share and 0 < share < 1 and 0 < of_sample < 1:
+            self.w[-1] += np.log(share / (1 - share)) - np.log(of_sample / (1 - of_sample))
+        return self
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, dtype=np.float64).reshape(-1, len(self.mean))
         return sigmoid(np.c_[(x - self.mean) / self.std, np.ones(len(x))] @ self.w)

@@ -5,8 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read
+from . import langid, minhash, quality, simhash, toxicity
+from .common import fold_remainder, read
+
+THRESHOLD = 0.3
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """doc_id, text and one label of the labelled documents."""
+    marks = read(spark, sf_dir, "labels").select("doc_id", label)
+    return read(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
+
+
+def _scored(found: DataFrame, k: int, held: int) -> DataFrame:
+    return found.select("doc_id", (fold_remainder("doc_id", k) == held).alias("held_out"), "score",
+                        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic").where(fold_remainder("doc_id", 4) != 2))
+    return _scored(toxicity.score(read(spark, sf_dir, "documents"), model), 4, 2)
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_pairs(read(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit(labelled(spark, sf_dir, "quality").where(fold_remainder("doc_id", 5) != 0))
+    return _scored(quality.score(read(spark, sf_dir, "documents"), model), 5, 0)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold_remainder("doc_id", 4) != 2))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (fold_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op6_quality": op6_quality,
+           "op8_langid": op8_langid, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
