@@ -5,35 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, quality, simhash, toxicity
+from . import decontaminate, kdshard, langid, minhash, packing, quality, simhash, toxicity
 from .common import fold_remainder, read
 
 THRESHOLD = 0.3
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """doc_id, text and one label of the labelled documents."""
-    marks = read(spark, sf_dir, "labels").select("doc_id", label)
-    return read(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
-
-
 def _scored(found: DataFrame, k: int, held: int) -> DataFrame:
     return found.select("doc_id", (fold_remainder("doc_id", k) == held).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic").where(fold_remainder("doc_id", 4) != 2))
-    return _scored(toxicity.score(read(spark, sf_dir, "documents"), model), 4, 2)
+    docs, marks = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, marks.where(fold_remainder("doc_id", 4) != 2))
+    return _scored(toxicity.score(docs, model), 4, 2)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = {"size": F.log2(F.octet_length("text") + 1), "lang": F.crc32("lang"), "source": F.crc32("source")}
+    found = kdshard.shard(read(spark, sf_dir, "documents"), dims, 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.fit(labelled(spark, sf_dir, "quality").where(fold_remainder("doc_id", 5) != 0))
-    return _scored(quality.score(read(spark, sf_dir, "documents"), model), 5, 0)
+    docs, marks = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, marks.where(fold_remainder("doc_id", 5) != 0))
+    return _scored(quality.score(docs, model), 5, 0)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +50,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", words=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -50,6 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op6_quality": op6_quality,
+           "op4_decontaminate": op4_decontaminate, "op5_kdshard": op5_kdshard, "op9_packing": op9_packing,
            "op8_langid": op8_langid, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
