@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kdshard, langid, minhash, packing, quality, simhash, toxicity
+from . import decontaminate, htmltext, kdshard, langid, minhash, packing, quality, simhash, tokencount, toxicity
 from .common import fold_remainder, read
 
 THRESHOLD = 0.3
@@ -26,6 +26,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokencount.Tokenizer())
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), 5, 0)
 
 
+def op7_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold_remainder("doc_id", 4) != 2))
@@ -60,8 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op6_quality": op6_quality,
-           "op4_decontaminate": op4_decontaminate, "op5_kdshard": op5_kdshard, "op9_packing": op9_packing,
-           "op8_langid": op8_langid, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_tokencount, op4_decontaminate, op5_kdshard, op6_quality,
+                                   op7_htmltext, op8_langid, op9_packing, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
