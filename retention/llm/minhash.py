@@ -2,8 +2,8 @@
 
 The word shingles of a text are hashed once. The top bits of a hash choose one of ``BINS`` bins, the smallest rest
 stays in the bin. An empty bin takes the value of a bin that a second hash of (bin, attempt) picks, attempt by
-attempt, until it hits one that was filled at first (optimal densification). Of every bin the low ``BITS``
-bits are kept and packed. Two fingerprints agree in a bin by chance with probability 2^-BITS, so the likeness is
+attempt, until it hits one that was filled at first (optimal densification). Of every bin's value, hashed with the
+bin's number, the low ``BITS`` bits are kept and packed. Two fingerprints agree in a bin by chance with probability 2^-BITS, so the likeness is
 (share of equal bins - 2^-BITS) / (1 - 2^-BITS), not below 0.
 
 ``edited_pairs`` also needs each text's successor: rows are range-partitioned and sorted once, neighbours in a
@@ -55,11 +55,11 @@ def _probes(bins: int, block: int, width: int = 64) -> np.ndarray:
     return (x % np.uint64(bins)).astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> str:
-    """Lower-case hex of the packed bins. A text without words has the empty fingerprint."""
+def fingerprint(text: str | None, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> bytes:
+    """The packed bins. A text without words has the empty fingerprint."""
     h = shingle_hashes(text or "", words)
     if not len(h):
-        return ""
+        return b""
     h.sort()
     shift = np.uint64(64 - bins.bit_length() + 1)
     at = (h >> shift).astype(np.int64)
@@ -74,17 +74,19 @@ def fingerprint(text: str | None, words: int = WORDS, bins: int = BINS, bits: in
         first, hit = hits.argmax(axis=1), hits.any(axis=1)
         value[empty[hit]] = value[tried[np.arange(len(empty)), first][hit]]
         empty, block = empty[~hit], block + 1
-    low = (value & np.uint64((1 << bits) - 1)).astype(np.uint8)
-    return np.packbits((low[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1).tobytes().hex()
+    # a value that fills many bins is hashed with each bin's number, else its low bits agree by chance in all or none
+    value = (value ^ np.arange(bins, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    low = ((value ^ (value >> np.uint64(32))) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    return np.packbits((low[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1).tobytes()
 
 
-def likeness(a: str, b: str, bins: int = BINS, bits: int = BITS) -> float:
+def likeness(a: bytes, b: bytes, bins: int = BINS, bits: int = BITS) -> float:
     """Estimated Jaccard likeness of the shingle sets; two empty fingerprints: 1; one empty: 0."""
     if not a or not b:
         return float(a == b)
     if a == b:
         return 1.0
-    x = np.unpackbits(np.frombuffer(bytes.fromhex(a), np.uint8) ^ np.frombuffer(bytes.fromhex(b), np.uint8))
+    x = np.unpackbits(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8))
     same = 1 - x[:bins * bits].reshape(bins, bits).any(axis=1).mean()
     chance = 2.0 ** -bits
     return float(max(0.0, (same - chance) / (1 - chance)))
@@ -93,7 +95,7 @@ def likeness(a: str, b: str, bins: int = BINS, bits: int = BITS) -> float:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint string) of every row; null text counts as empty, empty text has the fingerprint ''."""
     return map_texts(docs, id_col, text_col, "fingerprint string",
-                     lambda texts: [pa.array([fingerprint(t) for t in texts], pa.string())])
+                     lambda texts: [pa.array([fingerprint(t).hex() for t in texts], pa.string())])
 
 
 def edited(text: str, following: str) -> str:
@@ -103,16 +105,16 @@ def edited(text: str, following: str) -> str:
 
 
 _OUT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("text", pa.string()),
-                  ("n_chars", pa.int64()), ("sha", pa.string()), ("fp", pa.string()), ("efp", pa.string()),
+                  ("n_chars", pa.int64()), ("sha", pa.binary()), ("fp", pa.binary()), ("efp", pa.binary()),
                   ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_DDL = ("kind int, part int, id bigint, text string, n_chars bigint, sha string, fp string, efp string, "
+_DDL = ("kind int, part int, id bigint, text string, n_chars bigint, sha binary, fp binary, efp binary, "
         "near_edited double, near_next double")
 
 
-def _compare(text: str, following: str, fp: str, next_fp: str) -> tuple:
+def _compare(text: str, following: str, fp: bytes, next_fp: bytes) -> tuple:
     new = edited(text, following)
     efp = fingerprint(new)
-    return (len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fp, efp,
+    return (len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest(), fp, efp,
             likeness(fp, efp), likeness(fp, next_fp))
 
 
@@ -169,9 +171,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield _batch([(2, 0, i, None, *_compare(t, f, p, q)) for i, t, f, p, q in rows])
 
     every = found.where("kind = 2").union(border.mapInArrow(finish, _DDL))
-    return every.select(F.col("id").cast(kind).alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"),
-                        F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
-                        "near_edited", "near_next")
+    text_of = {"sha": "edited_sha256", "fp": "fingerprint", "efp": "edited_fingerprint"}
+    return every.select(F.col("id").cast(kind).alias(id_col), "n_chars",
+                        *[F.lower(F.hex(c)).alias(name) for c, name in text_of.items()], "near_edited", "near_next")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
