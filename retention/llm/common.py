@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["read", "cut_lineage", "labelled_sample", "fold_remainder", "map_texts", "filter_texts", "Platt", "sigmoid"]
+__all__ = ["read", "cut_lineage", "labelled_sample", "fold_remainder", "map_texts", "filter_texts", "free_name",
+           "Platt", "sigmoid"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,22 +24,29 @@ def fold_remainder(id_col: str | Column, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col, F.lit(""))) % k
 
 
-def labelled_sample(rows: DataFrame, text: str, label: str, per_label: int, labels: Iterable | None = None,
-                    max_chars: int | None = None) -> dict:
-    """Training texts by label: at most ``per_label`` rows of each label, the first ones in hash order of the text.
+def labelled_sample(docs: DataFrame, marks: DataFrame | None, id_col: str, text: str, label: str, per_label: int,
+                    max_chars: int, labels: Iterable | None = None) -> dict:
+    """Training texts by label: about ``per_label`` rows of each label at most, those of the lowest hash of the id.
 
-    A distributed top-k per label (each partition keeps its own k), so the driver gets at most
-    ``per_label`` x labels rows. With ``max_chars`` only texts of at most that many characters
-    are drawn, which bounds the bytes; null texts and labels teach nothing and are left out.
+    ``marks`` holds (id, label); None: ``docs`` has the label itself. The rows of each label are counted, a
+    threshold on the hash then lets through the wanted share, and only those few rows meet their texts (a broadcast of at
+    most ``per_label`` ids for each label). Texts of more than ``max_chars`` characters, null texts, ids and labels
+    are not drawn.
     """
-    rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(text).alias("_text"), F.col(label).alias("_label"))
-    if max_chars:
-        rows = rows.where(F.length("_text") <= max_chars)
-    if labels is None:
-        labels = [r[0] for r in rows.select("_label").distinct().orderBy("_label").collect()]
-    return {x: [r[0] for r in rows.where(F.col("_label") == F.lit(x)).select("_text")
-                .orderBy(F.xxhash64("_text"), "_text").limit(per_label).collect()] for x in labels}
+    rows = (docs if marks is None else marks).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
+    rows = rows.where("_id is not null and _label is not null").withColumn(
+        "_h", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / (1 << 30))
+    count = {r[0]: r[1] for r in rows.groupBy("_label").agg(F.count("*")).collect()}
+    out: dict = {x: [] for x in (sorted(count) if labels is None else labels)}
+    share = F.lit(0.0)
+    for x in out:
+        share = F.when(F.col("_label") == F.lit(x), F.lit(1.1 * per_label / max(1, count.get(x, 0)))).otherwise(share)
+    chosen = rows.where(F.col("_h") < share).select("_id", "_label", "_h").distinct()
+    texts = docs.where(F.length(text) <= max_chars).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    for x, t in sorted(((r["_label"], (r["_h"], r["_text"])) for r in texts.join(F.broadcast(chosen), "_id").collect())):
+        if x in out and len(out[x]) < per_label:
+            out[x].append(t[1])
+    return out
 
 
 def map_texts(rows: DataFrame, id_col: str, text_col: str, schema: str,
@@ -86,6 +94,13 @@ def filter_texts(rows: DataFrame, text_col: str, keep: Callable[[list], np.ndarr
     return rows.mapInArrow(run, rows.schema)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -97,10 +112,14 @@ class Platt:
         self.ridge = ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 30) -> Platt:
-        x = np.asarray(x, dtype=np.float64).reshape(len(y), -1)
+        x = np.asarray(x, dtype=np.float64)
+        x = x.reshape(len(y), x.shape[1] if x.ndim > 1 else 1)
         self.mean, self.std = (x.mean(0), x.std(0) + 1e-9) if len(y) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         z = np.c_[(x - self.mean) / self.std, np.ones(len(y))]
-        w = np.zeros(z.shape[1])
+        w = self.w = np.zeros(z.shape[1])
+        if len(set(np.asarray(y).tolist())) < 2:  # one label, or none, has no curve
+            w[-1] = np.log((1 + np.sum(y)) / (1 + len(y) - np.sum(y)))
+            return self
         ridge = np.diag([self.ridge * max(1, len(y))] * x.shape[1] + [1e-9])
         for _ in range(steps):
             p = sigmoid(z @ w)

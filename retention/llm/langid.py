@@ -130,11 +130,12 @@ class LanguageModel:
         return lang, score
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> LanguageModel:
+def fit(rows: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
+        per_lang: int = PER_LANG) -> LanguageModel:
     """Document frequencies over all rows with text and language; weights from ``per_lang`` texts of each language."""
     rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     model = LanguageModel(*document_frequencies(rows, text))
-    return model.fit(labelled_sample(rows, text, lang, per_lang, None, MAX_CHARS))
+    return model.fit(labelled_sample(rows, None, id_col, text, lang, per_lang, MAX_CHARS))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,9 +80,10 @@ class CompressionClassifier:
         return self.curve(self.features(texts))
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "quality", per_label: int = PER_LABEL) -> CompressionClassifier:
-    """Train on a bounded sample of labelled rows: at most ``per_label`` of each label."""
-    found = labelled_sample(rows, text, label, per_label, [1, 0], MAX_CHARS)
+def fit(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
+        per_label: int = PER_LABEL) -> CompressionClassifier:
+    """Train on a bounded sample of the rows that ``marks`` (id, label) labels: at most ``per_label`` of each label."""
+    found = labelled_sample(docs, marks, id_col, text, label, per_label, MAX_CHARS, [1, 0])
     return CompressionClassifier().fit(found[1], found[0])
 
 

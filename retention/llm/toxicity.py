@@ -103,7 +103,8 @@ class BiGru:
         g = np.random.default_rng(seed)
         def init(*shape):
             return (g.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {"word": init(WORD_ROWS, EMBED) * 12, "gram": init(GRAM_ROWS, EMBED) * 90,
+        # words never met add nothing; n-grams begin small
+        self.p = {"word": np.zeros((WORD_ROWS, EMBED), np.float32), "gram": init(GRAM_ROWS, EMBED) * 9,
                   "Wa": init(2 * HIDDEN, ATTEND), "ba": np.zeros(ATTEND, np.float32), "va": init(ATTEND),
                   "w": init(2 * HIDDEN), "b": np.zeros(1, np.float32)}
         for d in "fb":
@@ -328,10 +329,11 @@ class ToxicityModel:
         return self.curve(np.clip(self.features(texts), -20, 20))
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
-    """Train on a bounded sample of labelled rows: at most ``per_label`` of each label."""
-    found = labelled_sample(rows, text, label, per_label, [1, 0], MAX_CHARS)
-    share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
+def fit(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
+        per_label: int = PER_LABEL) -> ToxicityModel:
+    """Train on a bounded sample of the rows that ``marks`` (id, label) labels: at most ``per_label`` of each label."""
+    found = labelled_sample(docs, marks, id_col, text, label, per_label, MAX_CHARS, [1, 0])
+    share = marks.agg(F.avg(F.col(label).cast("double"))).first()[0]
     return ToxicityModel().fit(found[1], found[0], share)
 
 
