@@ -40,6 +40,7 @@ NAMES = frozenset("ad ads adsense advert adverts advertisement advertising banne
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
           "th": ("tr", "table"), "option": ("select",)}
 _NAME = re.compile(r"[A-Za-z]+(?:-ads)?")
+_UNFINISHED = re.compile(r"<[/!?A-Za-z][^<>]*\Z")  # a tag that the page's end cuts off
 
 
 class Lines(HTMLParser):
@@ -147,7 +148,7 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """The blocks of the main content in page order, joined by newlines; empty if there are none."""
     parser = Lines()
-    parser.feed(html or "")
+    parser.feed(_UNFINISHED.sub("", html or ""))
     parser.close()
     parser.flush()
     lines = parser.lines

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_texts
+from .common import cut_lineage, free_name, map_texts
 from .components import connected_components
 
 SEED = 42
@@ -181,9 +181,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k2 = F.xxhash64(F.lit("second"), F.col(text_col), F.col(id_col))
     own = cut_lineage(fingerprints(docs, id_col, text_col, words, k1=k1, k2=k2))
     of = _groups(own, id_col, max_bits, blocks)
+    c1, c2, nth = (free_name(n, docs.columns) for n in ("_k1", "_k2", "_nth"))
     chosen = (own.join(of, "fp").groupBy("label")
               .agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "k1", "k2"))
-                   .alias("c")).select(F.col("c.k1").alias("_k1"), F.col("c.k2").alias("_k2")))
-    rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(chosen, ["_k1", "_k2"], "left_semi")
-    order = Window.partitionBy("_k1", "_k2").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+                   .alias("c")).select(F.col("c.k1").alias(c1), F.col("c.k2").alias(c2)))
+    rows = docs.withColumns({c1: k1, c2: k2}).join(chosen, [c1, c2], "left_semi")
+    order = Window.partitionBy(c1, c2).orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
