@@ -7,6 +7,7 @@ so every operator applies them the same way (SURVEY traps T1-T10, T19):
   the read boundary (``nan_to_null``) because Spark orders NaN above every number.
 * string comparisons that must treat a missing value as "different" use the
   null-safe ``<=>`` (``eq_safe``), never ``=`` / ``!=``.
+* every tier, label and band of a missing probability is missing;
 * rounding that must match pandas / numpy is half-even (``bround``).
 """
 
@@ -105,20 +106,20 @@ def flag_long_tenure_low_value(median: Column) -> Column:
 
 
 def churn_label(c: Column | str = K.TARGET) -> Column:
-    """'Yes' or numeric 1 -> 1, everything else -> 0."""
-    c = F.col(c) if isinstance(c, str) else c
-    return (eq_safe(c.cast("string"), "Yes") | eq_safe(c.cast("string"), "1")).cast("int")
+    """'Yes' or numeric 1 (of any type, '1' and 1.0 too) -> 1, everything else -> 0."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return (eq_safe(c, "Yes") | eq_safe(c.try_cast("double"), 1.0)).cast("int")
 
 
 def prediction_label(p: Column | str = "churn_probability") -> Column:
     p = F.col(p) if isinstance(p, str) else p
-    return F.when(p > K.DECISION_THRESHOLD, F.lit("Churn")).otherwise(F.lit("No Churn"))
+    return F.when(p > K.DECISION_THRESHOLD, F.lit("Churn")).when(p.isNotNull(), F.lit("No Churn"))
 
 
 def confidence(p: Column | str = "churn_probability") -> Column:
     p = F.col(p) if isinstance(p, str) else p
     return (F.when((p > K.CONFIDENCE_HIGH_ABOVE) | (p < K.CONFIDENCE_HIGH_BELOW), F.lit("High"))
-            .otherwise(F.lit("Medium")))
+            .when(p.isNotNull(), F.lit("Medium")))
 
 
 def gauge_band(p: Column | str = "churn_probability") -> Column:
@@ -126,7 +127,7 @@ def gauge_band(p: Column | str = "churn_probability") -> Column:
     p = F.col(p) if isinstance(p, str) else p
     s = p * 100
     _, b1, b2, _ = K.GAUGE_BANDS
-    return F.when(s < b1, F.lit("low")).when(s < b2, F.lit("medium")).otherwise(F.lit("high"))
+    return F.when(s < b1, F.lit("low")).when(s < b2, F.lit("medium")).when(p.isNotNull(), F.lit("high"))
 
 
 def value_priority(clv: Column | str = "clv") -> Column:
@@ -138,12 +139,7 @@ def value_priority(clv: Column | str = "clv") -> Column:
 def action_tier(p: Column | str = "churn_probability") -> Column:
     p = F.col(p) if isinstance(p, str) else p
     return (F.when(p > K.ACTION_URGENT_ABOVE, F.lit("URGENT"))
-            .when(p > K.ACTION_MODERATE_ABOVE, F.lit("MODERATE")).otherwise(F.lit("LOW")))
-
-
-def hex_bucket(hex_col: Column, digits: int = 3) -> Column:
-    """Integer value of the first ``digits`` hex digits of an md5 string (uniform buckets)."""
-    return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")
+            .when(p > K.ACTION_MODERATE_ABOVE, F.lit("MODERATE")).when(p.isNotNull(), F.lit("LOW")))
 
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:

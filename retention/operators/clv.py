@@ -1,9 +1,6 @@
 """Customer-lifetime-value segments and reports.
 
-Quartile edges are exact linear-interpolated percentiles (as the reference's
-quantile cut). To keep the final percentile merge small at scale, rows are first
-grouped by distinct clv value (partial aggregation); the percentile is then taken
-over (value, count) pairs - bounded by the distinct clv domain, not the row count.
+Quartile edges and segment medians are exact linear-interpolated quantiles (``quantile.exact_quantiles``).
 Segment assignment is a CASE against the 1-row edge table (broadcast), so no rows
 are shuffled to assign segments.
 """
@@ -14,22 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .quantile import exact_quantiles
 
 SEG_LOW, SEG_MEDIUM, SEG_HIGH, SEG_PREMIUM = K.CLV_SEGMENTS
 
 
-def _value_counts(df: DataFrame, col: str = "clv", by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    return (df.where(F.col(col).isNotNull()).groupBy(*by, col)
-            .agg(F.count(F.lit(1)).alias("_w")))
-
-
 def quartile_edges(df: DataFrame, col: str = "clv") -> DataFrame:
     """1 row: q1, q2, q3 (A4)."""
-    vc = _value_counts(df, col)
-    p = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_w"))
-    return vc.agg(p.alias("_q")).select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"),
-                                        F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(df, F.col(col), [0.25, 0.5, 0.75])
+    return q.select(F.col("q0").alias("q1"), F.col("q1").alias("q2"), F.col("q2").alias("q3"))
 
 
 def segment_expr(col: str = "clv"):
@@ -59,8 +49,7 @@ def churn_by_clv(seg: DataFrame, label: str = "label", col: str = "clv") -> Data
     stats = seg.groupBy("clv_quartile", "segment_pos").agg(
         F.avg(label).alias("_rate"), F.sum(label).cast("bigint").alias("churned_count"),
         F.count(F.lit(1)).alias("total_customers"), F.avg(col).alias("_avg"))
-    med = (_value_counts(seg, col, ["clv_quartile"])
-           .groupBy("clv_quartile").agg(F.percentile(F.col(col), F.lit(0.5), F.col("_w")).alias("_med")))
+    med = exact_quantiles(seg, F.col(col), [0.5], ["clv_quartile"]).withColumnRenamed("q0", "_med")
     rate = F.bround(F.col("_rate"), 4)
     return (stats.join(med, "clv_quartile", "left")
             .select("clv_quartile", "segment_pos", rate.alias("churn_rate"), "churned_count",

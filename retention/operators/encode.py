@@ -20,7 +20,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..functions import constants as K
 
 MAX_ENCODER_ROWS = 100_000
@@ -144,10 +143,6 @@ def assemble(df: DataFrame, features: list[str] = K.FEATURES, output: str = "fea
         df.withColumns({f: F.col(f).cast("double") for f in features}))
 
 
-def label_col():
-    return C.churn_label(K.TARGET)
-
-
 # ---------------------------------------------------------------- pipeline stage
 import json  # noqa: E402
 

@@ -23,50 +23,57 @@ def _r(c, digits: int = DIGITS):
     return F.bround(c, digits) + F.lit(0.0)
 
 
-def linear_importance(train: DataFrame, scorer: LinearScorer) -> DataFrame:
-    """importance = |coef x population std of the transformed feature|."""
-    stds = train.agg(*[F.stddev_pop(scorer.scaled(f)).alias(f) for f in K.FEATURES])
+def linear_importance(train: DataFrame, *scorers: LinearScorer) -> DataFrame:
+    """importance = |coef x population std of the transformed feature| (I1, A16), for all scorers in one pass."""
+    stds = train.agg(*[F.stddev_pop(s.scaled(f)).alias(f"{i}_{f}") for i, s in enumerate(scorers) for f in K.FEATURES])
     rows = stds.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(float(scorer.coef.get(f, 0.0))).alias("coefficient"),
-                 F.col(f).alias("std_dev")) for f in K.FEATURES])).alias("r")).select("r.*")
-    return rows.select(F.lit(scorer.name).alias("model"), "feature",
+        F.struct(F.lit(s.name).alias("model"), F.lit(f).alias("feature"),
+                 F.lit(float(s.coef.get(f, 0.0))).alias("coefficient"), F.col(f"{i}_{f}").alias("std_dev"))
+        for i, s in enumerate(scorers) for f in K.FEATURES])).alias("r")).select("r.*")
+    return rows.select("model", "feature",
                        F.bround(F.abs(F.col("coefficient") * F.col("std_dev")), DIGITS).alias("importance"),
                        "coefficient", F.bround("std_dev", DIGITS).alias("std_dev"))
 
 
 def contributions(df: DataFrame, scorer: LinearScorer, id_col: str = K.ID_COL) -> DataFrame:
-    """Long table (customerID, model, feature, value, contribution)."""
+    """Long table (customerID, model, feature, value, coefficient, contribution); value is the raw value."""
     return df.select(id_col, F.explode(scorer.contributions()).alias("c")).select(
         id_col, F.lit(scorer.name).alias("model"), "c.feature",
-        _r("c.value").alias("value"), _r("c.contribution").alias("contribution"))
+        _r("c.value").alias("value"), "c.coefficient", _r("c.contribution").alias("contribution"))
 
 
-def _sorted_top(scorer: LinearScorer, k: int):
-    """Row-local: contributions sorted by |contribution| desc, then feature; first k."""
+def _sorted_top(scorer: LinearScorer, k: int | None = None):
+    """Row-local: contributions sorted by |contribution| desc, then feature; first k (None: all)."""
     keyed = F.transform(scorer.contributions(), lambda x: F.struct(
         (-F.abs(x["contribution"])).alias("neg_abs"), x["feature"].alias("feature"),
-        x["value"].alias("value"), x["contribution"].alias("contribution")))
-    return F.slice(F.sort_array(keyed), 1, k)
+        x["value"].alias("value"), x["coefficient"].alias("coefficient"), x["contribution"].alias("contribution")))
+    return F.slice(F.sort_array(keyed), 1, k) if k else F.sort_array(keyed)
 
 
 def top_factors(df: DataFrame, scorer: LinearScorer, k: int = 15, id_col: str = K.ID_COL) -> DataFrame:
     """Top-k features per customer by |contribution|."""
     return df.select(id_col, F.posexplode(_sorted_top(scorer, k)).alias("pos", "c")).select(
         id_col, F.lit(scorer.name).alias("model"), (F.col("pos") + 1).alias("rank"), "c.feature",
-        _r("c.value").alias("value"), _r("c.contribution").alias("contribution"))
+        _r("c.value").alias("value"), "c.coefficient", _r("c.contribution").alias("contribution"))
 
 
 def waterfall(df: DataFrame, scorer: LinearScorer, k: int = 15, id_col: str = K.ID_COL) -> DataFrame:
-    """Base value then the top-k contributions with running totals."""
+    """Base value, the k-1 largest contributions and the sum of all others, with running totals; the last
+    running total is the scorer's margin (I7)."""
     base = F.lit(float(scorer.intercept))
     first = F.struct(F.lit(0).alias("rank"), F.lit("base_value").alias("feature"),
                      base.alias("contribution"), base.alias("running"))
-    # one pass over the sorted top-k: each step appends (rank, feature, c, running + c)
-    steps = F.aggregate(_sorted_top(scorer, k), F.array(first), lambda acc, x: F.array_append(acc, F.struct(
-        (F.element_at(acc, -1)["rank"] + 1).alias("rank"), x["feature"].alias("feature"),
-        x["contribution"].alias("contribution"),
-        (F.element_at(acc, -1)["running"] + x["contribution"]).alias("running"))))
-    return df.select(id_col, F.explode(steps).alias("s")).select(
+
+    def step(acc, name, value):
+        return F.array_append(acc, F.struct((F.element_at(acc, -1)["rank"] + 1).alias("rank"), name.alias("feature"),
+                                            value.alias("contribution"),
+                                            (F.element_at(acc, -1)["running"] + value).alias("running")))
+
+    ranked = df.select(id_col, _sorted_top(scorer).alias("_all"))
+    # one pass over the sorted array: each step appends (rank, feature, c, running + c)
+    top = F.aggregate(F.slice("_all", 1, k - 1), F.array(first), lambda acc, x: step(acc, x["feature"], x["contribution"]))
+    rest = F.aggregate(F.slice("_all", k, len(K.FEATURES)), F.lit(0.0), lambda acc, x: acc + x["contribution"])
+    return ranked.select(id_col, F.explode(step(top, F.lit("other_features"), rest)).alias("s")).select(
         id_col, F.lit(scorer.name).alias("model"), "s.rank", "s.feature",
         _r("s.contribution").alias("contribution"), _r("s.running").alias("running"))
 
@@ -93,11 +100,3 @@ def compare_importance(importance: DataFrame, models: list[str], top_n: int = 15
     avg = sum((F.col(m) for m in models[1:]), F.col(models[0])) / len(models)
     out = piv.withColumn("avg_importance", F.bround(avg, DIGITS))
     return out.orderBy(F.col("avg_importance").desc(), "feature").limit(top_n)
-
-
-def importance_long(*tables: DataFrame) -> DataFrame:
-    out = tables[0].select("model", "feature", "importance")
-    for t in tables[1:]:
-        out = out.unionByName(t.select("model", "feature", "importance"))
-    return out
-

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
+from .quantile import exact_quantiles
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -29,14 +30,8 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def exact_median(df: DataFrame, col: str) -> DataFrame:
-    """Exact (linearly interpolated) median as a 1-row DataFrame ``median``.
-
-    Values are first grouped (partial aggregation, one row per distinct value), and
-    the percentile is taken over (value, count) pairs, so the final single-task
-    merge handles the distinct domain (cents of a charge), not the rows."""
-    counts = (df.select(C.nan_to_null(F.col(col).cast("double")).alias("v"))
-              .where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("w")))
-    return counts.agg(F.percentile(F.col("v"), F.lit(0.5), F.col("w")).alias("median"))
+    """Exact (linearly interpolated) median as a 1-row DataFrame ``median``."""
+    return exact_quantiles(df, C.nan_to_null(F.col(col).cast("double")), [0.5]).select(F.col("q0").alias("median"))
 
 
 def fit_median(df: DataFrame, col: str = "MonthlyCharges") -> float | None:
@@ -47,14 +42,11 @@ def fit_median(df: DataFrame, col: str = "MonthlyCharges") -> float | None:
 def median_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long table (column, value): exact median of each numeric column (A2).
 
-    One unpivot + one grouped aggregation over (column, value) counts, not one job
-    per column."""
+    One unpivot for all columns; columns without any value have no row."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), C.inf_to_null(F.col(c).cast("double")).alias("v"))
         for c in columns])).alias("s")).select("s.column", "s.v")
-    counts = (stacked.where(F.col("v").isNotNull())
-              .groupBy("column", "v").agg(F.count(F.lit(1)).alias("w")))
-    return counts.groupBy("column").agg(F.percentile(F.col("v"), F.lit(0.5), F.col("w")).alias("value"))
+    return exact_quantiles(stacked, F.col("v"), [0.5], ["column"]).select("column", F.col("q0").alias("value"))
 
 
 def engineer(df: DataFrame, median: float | Column | None, mode: str = "score") -> DataFrame:
@@ -81,10 +73,6 @@ def engineer(df: DataFrame, median: float | Column | None, mode: str = "score")
     return df.withColumns(out)
 
 
-def with_label(df: DataFrame, target: str = K.TARGET) -> DataFrame:
-    return df.withColumn("label", C.churn_label(target))
-
-
 def impute(df: DataFrame, medians: dict[str, float], columns: list[str] | None = None) -> DataFrame:
     """NaN/+-inf -> missing -> the fitted median, numeric columns only."""
     cols = [c for c in (columns or list(medians)) if c in df.columns]

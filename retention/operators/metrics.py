@@ -5,7 +5,7 @@ conditional counts; no per-model or per-split job. The AUC and ROC need counts
 ordered by score: scores are first collapsed to distinct values per group
 (partial aggregation), then ordered with the two-level prefix sum on a fixed grid
 of 10,001 score buckets (``rank.prefix_sums``), never with a whole-table window.
-The AUC numerator is summed in integers (2 x count products) so it is exact.
+The AUC numerator is summed in decimals (2 x count products) so it is exact and cannot overflow.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import cut_lineage
 from .rank import prefix_sums
 
 SCORE_GRID = 10_000
@@ -48,9 +49,13 @@ def score_counts(scored: DataFrame, groups: list[str], label: str = "label",
                  prob: str = "churn_probability") -> DataFrame:
     """Distinct scores per group with positive / negative counts, plus the counts of
     strictly higher scores (``pos_before``, ``neg_before``) and the group totals."""
-    distinct = scored.groupBy(*groups, prob).agg(
+    # the prefix sum reads it twice: scored rows are read once
+    return _with_ranks(cut_lineage(scored.groupBy(*groups, prob).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
-        F.sum((F.col(label) == 0).cast("long")).alias("neg"))
+        F.sum((F.col(label) == 0).cast("long")).alias("neg"))), groups, prob)
+
+
+def _with_ranks(distinct: DataFrame, groups: list[str], prob: str) -> DataFrame:
     # descending score order == ascending bucket of (grid - floor(score * grid))
     bucket = (F.lit(SCORE_GRID) - F.floor(F.col(prob) * SCORE_GRID)).cast("int")
     return prefix_sums(distinct, groups, bucket, [F.col(prob).desc()], ["pos", "neg"])
@@ -58,13 +63,16 @@ def score_counts(scored: DataFrame, groups: list[str], label: str = "label",
 
 def auc(scored: DataFrame, groups: list[str], label: str = "label", prob: str = "churn_probability") -> DataFrame:
     """ROC AUC with tied scores counted half (A15) - equal to the rank-sum statistic."""
-    sc = score_counts(scored, groups, label, prob)
-    num2 = F.sum(F.col("neg") * (2 * F.col("pos_before") + F.col("pos")))
+    return _auc_of(score_counts(scored, groups, label, prob), groups)
+
+
+def _auc_of(sc: DataFrame, groups: list[str]) -> DataFrame:
+    # decimals: the counts' products pass a bigint from about 2e9 rows of each class
+    num2 = F.sum(F.col("neg").cast("decimal(18,0)") * (2 * F.col("pos_before") + F.col("pos")).cast("decimal(19,0)"))
     agg = sc.groupBy(*groups).agg(num2.alias("_num2"), F.first("pos_total").alias("_p"),
                                   F.first("neg_total").alias("_n"))
-    den = 2 * F.col("_p") * F.col("_n")
-    return agg.select(*groups, F.when(den == 0, F.lit(None).cast("double"))
-                      .otherwise(F.col("_num2").cast("double") / den.cast("double")).alias("auc"))
+    den = (F.col("_p").cast("decimal(18,0)") * (2 * F.col("_n")).cast("decimal(19,0)")).cast("double")
+    return agg.select(*groups, F.when(den != 0, F.col("_num2").cast("double") / den).alias("auc"))
 
 
 def roc_curve(scored: DataFrame, groups: list[str], label: str = "label",
@@ -83,9 +91,15 @@ def roc_curve(scored: DataFrame, groups: list[str], label: str = "label",
 
 def metrics_long(scored: DataFrame, label: str = "label", model: str = "model_used",
                  split: str = "split", fit_on: str = "train") -> DataFrame:
-    """Long metrics table (model, fit_on, split, metric, value) (M6, F5 ``metrics``)."""
-    g = [model, split]
-    r = rates(confusion(scored, g, label), g).join(auc(scored, g, label), g)
+    """Long metrics table (model, fit_on, split, metric, value) (M6, F5 ``metrics``). The scored rows are read
+    once, into counts per (model, split, score, prediction), from which every metric follows."""
+    g, prob, pred = [model, split], "churn_probability", "churn_prediction"
+    table = cut_lineage(scored.groupBy(*g, prob, pred).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"),
+                                                           F.sum((F.col(label) == 0).cast("long")).alias("neg")))
+    cm = table.groupBy(*g).agg(*[F.sum(F.when(F.col(pred) == v, F.col(side)).otherwise(0)).alias(n) for n, v, side in
+                                 (("tn", 0, "neg"), ("fp", 1, "neg"), ("fn", 0, "pos"), ("tp", 1, "pos"))])
+    scores = table.groupBy(*g, prob).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    r = rates(cm, g).join(_auc_of(_with_ranks(scores, g, prob), g), g)
     names = ["precision", "recall", "f1", "auc_roc", "balanced_accuracy", "tn", "fp", "fn", "tp"]
     r = r.withColumnRenamed("auc", "auc_roc")
     return r.select(F.col(model).alias("model"), F.lit(fit_on).alias("fit_on"), F.col(split).alias("split"),

@@ -19,9 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# hard bound on the broadcast bucket table (groups x buckets rows)
-MAX_BUCKET_ROWS = 2_000_000
-
 
 def prefix_sums(distinct: DataFrame, group_cols: list[str], bucket: Column, order: list[Column],
                 value_cols: list[str]) -> DataFrame:

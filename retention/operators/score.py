@@ -51,8 +51,10 @@ class LinearScorer:
         return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin())), PROB_DIGITS)
 
     def contributions(self) -> Column:
-        """array<struct<feature, value, contribution>> over all features, in feature order."""
-        return F.array(*[F.struct(F.lit(f).alias("feature"), self.scaled(f).alias("value"),
+        """array<struct<feature, value, coefficient, contribution>> over all features, in feature order.
+        ``value`` is the raw feature value, the contribution coefficient x scaled value."""
+        return F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                                  F.lit(float(self.coef.get(f, 0.0))).alias("coefficient"),
                                   (F.lit(float(self.coef.get(f, 0.0))) * self.scaled(f)).alias("contribution"))
                          for f in K.FEATURES])
 
@@ -68,8 +70,9 @@ def from_spark_lr(fitted) -> LinearScorer:
     return LinearScorer(fitted.name, coef, float(lr.intercept), mean, scale)
 
 
-# FIXED VALUES of this library (not from the reference): two frozen scorecards
+# FIXED VALUES of this library (not from the reference): frozen scorecards
 # over encoded features, used as deterministic stand-ins for fitted models.
+# DENSE has a coefficient for each of the 28 features: (7 * position mod 23 - 11) / 50.
 SCORECARDS = {
     "scorecard": LinearScorer("scorecard", {
         "Contract": -1.1, "internet_no_tech_support": 0.9, "tenure": -0.035,
@@ -78,6 +81,7 @@ SCORECARDS = {
         "Contract": -0.8, "InternetService": -0.4, "TechSupport": -0.3,
         "tenure_bucket": 0.1, "services_count": -0.05, "clv": 0.0002}, 0.6),
 }
+DENSE = LinearScorer("scorecard_dense", {f: (7 * i % 23 - 11) / 50 for i, f in enumerate(K.FEATURES)}, 0.25)
 
 
 def features_for_scoring(df: DataFrame, median: float | None, encoder: EN.EncoderState,
@@ -120,8 +124,12 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 
 def score(df: DataFrame, scorer: LinearScorer, keep: list[str] | None = None,
-          row_col: str | None = None) -> DataFrame:
-    """6-field scoring result per row (M11); empty input -> empty output."""
+          row_col: str | None = None, medians: dict[str, float] | None = None) -> DataFrame:
+    """6-field scoring result per row (M11); empty input -> empty output. With ``medians`` missing numeric
+    features take the fitted median first (P16), so every row gets a probability; without them a missing
+    input gives a missing probability."""
+    if medians:
+        df = FE.impute(df, medians, [f for f in K.NUMERIC_FEATURES if f in medians])
     aligned = EN.align_features(df, K.FEATURES, keep=[c for c in df.columns if c not in K.FEATURES])
     p = scorer.probability()
     out = aligned.select(*(keep or []), customer_id(aligned, row_col).alias("customer_id"),
@@ -153,7 +161,8 @@ def tiers(scored: DataFrame, clv_col: str = "clv") -> DataFrame:
     p = F.col("churn_probability")
     return scored.select(
         "customer_id", "model_used", "churn_probability",
-        F.when(F.col("churn_prediction") == 1, F.lit("High Risk")).otherwise(F.lit("Low Risk")).alias("risk_label"),
+        F.when(F.col("churn_prediction") == 1, F.lit("High Risk"))
+        .when(F.col("churn_prediction") == 0, F.lit("Low Risk")).alias("risk_label"),
         C.confidence(p).alias("confidence"), C.gauge_band(p).alias("gauge_band"),
         (p * 100 >= K.GAUGE_ALERT_LINE).alias("above_alert_line"),
         C.value_priority(clv_col).alias("value_priority"), C.action_tier(p).alias("action_tier"))

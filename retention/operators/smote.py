@@ -1,21 +1,20 @@
 """SMOTE oversampling of the minority class on the training rows.
 
-Exact k-nearest minority neighbours without comparing all pairs:
-
-1. every point is projected on the top-3 principal axes U (orthonormal, from one
-   d x d covariance aggregate); ||U(x_i - x_j)|| <= ||x_i - x_j||, so the projected
-   gap is a lower bound on the distance;
-2. points are ranked on the first axis with the two-level prefix sum; each point meets
-   the 4k points next to it in that order (an equi-join on rank + offset) - the k-th
-   smallest of those distances, r_i, bounds its true k-th neighbour distance;
-3. a band join on a 3-d grid of the projections finds every j with
-   ||U(x_i - x_j)|| <= r_i: point i probes the cells covering its r_i-box, point j
-   sits in one cell (equi-join on the cell), then the exact distance is computed and
-   the k smallest (ties by id) are kept. No pair outside a band is ever formed.
-
-Synthesis is deterministic: the n_new synthetic rows are dealt round-robin over the
-minority points in hash order (exact counts, no driver loop); the neighbour and the
-gap u in [0, 1) come from the md5 of (id, t). New point = x + u * (neighbour - x).
+Exact k-nearest minority neighbours, block against block:
+
+1. the points are dealt into blocks of about ``BLOCK`` by the hash of their row key;
+2. every pair of blocks is one task's work: all distances of the two blocks in numpy (summed feature by feature, so
+   they are the same everywhere), of which each point keeps its k nearest there. No pair of points is ever a row;
+3. the k nearest over all blocks are the first k of k x blocks candidates per point.
+
+The work is quadratic in the minority points that a fit uses. ``max_fit_rows`` bounds them: beyond it the points of the
+lowest hash stand for the class, both as seeds and as neighbours (None: all points, the default).
+
+Points are told apart by a row key, not by the id: copies of an id are points of their own.
+
+Synthesis is deterministic: the n_new synthetic rows are dealt round-robin over the minority points in hash order (exact
+counts, no driver loop); the neighbour and the gap u in [0, 1) come from the md5 of (row key, t).
+New point = x + u * (neighbour - x).
 """
 
 from __future__ import annotations
@@ -28,118 +27,74 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import constants as K
 from ..session import cut_lineage
-from .rank import hash_positions, prefix_sums
+from .rank import hash_positions
 
 DIGITS = 9
 SEED = 42
-BUCKETS = 4096
+BLOCK = 2048
+KEY = "_row_key"
 
 
 def _vector(features: list[str]):
     return F.array(*[F.bround(F.col(f).cast("double"), DIGITS) for f in features])
 
 
-def _dist(a: list[str], b: list[str]):
-    """Euclidean distance as plain column arithmetic (whole-stage codegen), summed in
-    feature order from 0.0."""
-    acc = F.lit(0.0)
-    for x, y in zip(a, b):
-        acc = acc + (F.col(x) - F.col(y)) * (F.col(x) - F.col(y))
-    return F.sqrt(acc)
+def with_row_key(df: DataFrame, id_col: str = K.ID_COL, features: list[str] = K.FEATURES) -> DataFrame:
+    """Add the row key: the id, with ~2, ~3, ... for further rows of that id."""
+    if KEY in df.columns:
+        return df
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(*features))
+    key = F.concat_ws("~", F.col(id_col).cast("string"), F.when(nth > 1, nth.cast("string")))
+    return df.withColumn(KEY, key)
 
 
-def _principal_axes(pts: DataFrame, xs: list[str], m: int) -> list[list[float]]:
-    """Top-m eigenvectors of the covariance of the points: one aggregate of d(d+1)/2 sums
-    (a d x d matrix, independent of the row count), eigen-decomposed as fitted state."""
+def _nearest(k: int):
+    """Kernel of one pair of blocks: each left point's k nearest right points."""
     import numpy as np
-    d = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]
-    aggs += [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    r = pts.agg(*aggs).first()
-    n = max(r["n"], 1)
-    mean = np.array([r[f"s{i}"] or 0.0 for i in range(d)]) / n
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = (r[f"p{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1][:m]
-    return [[float(v) for v in vecs[:, k]] for k in order]
-
-
-def knn(points: DataFrame, k: int = 5, id_col: str = K.ID_COL, features: list[str] = K.FEATURES,
-        axes: int = 3) -> DataFrame:
-    """(id, rank, neighbor_id, distance, neighbor_vec) for the k nearest other points."""
-    d = len(features)
-    xs = [f"x{i}" for i in range(d)]
-    # the other side of each pair is ONE struct column: per-column aliases of 28 fields make
-    # the optimizer's constraint inference grow combinatorially
-    ys = [f"nv.{x}" for x in xs]
-    pts = points.select(F.col(id_col).alias("id"),
-                        *[F.bround(F.col(f).cast("double"), DIGITS).alias(x) for f, x in zip(features, xs)])
-    # the point set is read by every step below: materialise it once (reliable checkpoint)
-    pts = cut_lineage(pts)
-    # orthonormal axes U: ||U(x - y)|| <= ||x - y||, so projected gaps bound distances from below
-    m = min(axes, d)
-    U = _principal_axes(pts, xs, m)
-    ps = [f"p{a}" for a in range(m)]
-    proj = {}
-    for a in range(m):
-        e = F.lit(0.0)
-        for w_, x in zip(U[a], xs):
-            e = e + F.lit(w_) * F.col(x)
-        proj[ps[a]] = e
-    pts = pts.withColumns(proj)
-    rng = pts.agg(*[F.min(p).alias(f"lo_{p}") for p in ps], *[F.max(p).alias(f"hi_{p}") for p in ps])
-    # 1-row range table; bucket grid of fixed size on the first axis for the prefix sum
-    grid = pts.crossJoin(F.broadcast(rng)).withColumn("_g", F.lit(0))
-    lo0, hi0 = F.col(f"lo_{ps[0]}"), F.col(f"hi_{ps[0]}")
-    bucket = F.when(hi0 == lo0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(ps[0]) - lo0) / (hi0 - lo0) * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
-    ranked = prefix_sums(grid.withColumn("one", F.lit(1)), ["_g"], bucket, [F.col(ps[0]), F.col("id")], ["one"]) \
-        .select("id", *xs, *ps, F.col("one_before").alias("pos"))
-    other = [F.struct(*xs).alias("nv")]
-
-    # step 2: neighbours in first-axis order -> upper bound r on the k-th distance
-    probe = ranked.select("id", *xs, F.explode(F.array(*[F.col("pos") + o for o in range(-2 * k, 2 * k + 1) if o]))
-                          .alias("pos_j"))
-    cand = probe.join(ranked.select(F.col("pos").alias("pos_j"), *other), "pos_j")
-    bound = (cand.select("id", _dist(xs, ys).alias("dd")).groupBy("id")
-             .agg(F.sort_array(F.collect_list("dd")).alias("ds")))           # <= 4k values per point
-    bound = bound.select("id", F.when(F.size("ds") >= k, F.col("ds")[k - 1]).otherwise(F.lit(float("inf")))
-                         .alias("r"))
-    withr = ranked.join(bound, "id")
-
-    # step 3: band join on an m-dimensional grid of the projections.
-    # cell width: half of the median r, so a typical point probes 5 cells per axis and hot
-    # central cells stay small; never below range/32 per axis, so no point probes more than
-    # 33^m cells. W only affects cost, never the result.
-    span = withr.agg(F.percentile_approx(F.when(F.col("r") < float("inf"), F.col("r")), 0.5).alias("w"),
-                     *[F.min(p).alias(f"lo_{p}") for p in ps], *[F.max(p).alias(f"hi_{p}") for p in ps])
-    w = F.greatest(F.coalesce(F.col("w") / 2, F.lit(0.0)),
-                   *[(F.col(f"hi_{p}") - F.col(f"lo_{p}")) / 32 for p in ps], F.lit(1e-9))
-    cells = withr.crossJoin(F.broadcast(span)).withColumn("W", w)            # 1-row side
-    slack = F.col("r") * (1 + 1e-9) + 1e-12                                  # float rounding of projections
-    left = cells.select("id", *xs, *ps, "r", "W", *[f"lo_{p}" for p in ps], *[f"hi_{p}" for p in ps])
-    for a, p in enumerate(ps):
-        lo_c = F.floor(F.greatest(F.col(p) - slack, F.col(f"lo_{p}")) / F.col("W")).cast("long")
-        hi_c = F.floor(F.least(F.col(p) + slack, F.col(f"hi_{p}")) / F.col("W")).cast("long")
-        left = left.withColumn(f"c{a}", F.explode(F.sequence(lo_c, hi_c)))
-    right = cells.select(F.col("id").alias("nid"), *other, F.struct(*ps).alias("np"),
-                         *[F.floor(F.col(p) / F.col("W")).cast("long").alias(f"c{a}") for a, p in enumerate(ps)])
-    gap2 = F.lit(0.0)
-    for p in ps:
-        gap2 = gap2 + (F.col(p) - F.col(f"np.{p}")) * (F.col(p) - F.col(f"np.{p}"))
-    pairs = (left.join(right, [f"c{a}" for a in range(m)])
-             .where((F.col("nid") != F.col("id")) & (gap2 <= slack * slack))
-             .select("id", "nid", "r", _dist(xs, ys).alias("distance"))
-             .where(F.col("distance") <= F.col("r"))
-             .select("id", "nid", "distance"))                                # narrow rows into the sort
-    wk = Window.partitionBy("id").orderBy("distance", "nid")
-    top = pairs.withColumn("rank", F.row_number().over(wk)).where(F.col("rank") <= k)
-    vecs = pts.select(F.col("id").alias("nid"), F.array(*xs).alias("neighbor_vec"))
-    return (top.join(vecs, "nid")                                               # k rows per point
-            .select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"),
+    import pandas as pd
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(left["v"]) if len(left) else np.zeros((0, 1)), np.stack(right["v"]) if len(right) else np.zeros((0, 1))
+        ids, others = left["key"].to_numpy(), right["key"].to_numpy()
+        if not len(x) or not len(y):
+            return pd.DataFrame({"key": [], "nkey": [], "distance": []})
+        by_name = np.argsort(others, kind="stable")  # equal distances fall in the order of the keys
+        y, others = y[by_name], others[by_name]
+        out = []
+        for i in range(0, len(x), 256):
+            d = np.zeros((len(x[i:i + 256]), len(y)))
+            for f in range(x.shape[1]):
+                gap = x[i:i + 256, f, None] - y[None, :, f]
+                d += gap * gap
+            d = np.sqrt(d)
+            d[ids[i:i + 256, None] == others[None, :]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d, best, axis=1)
+            keep = np.isfinite(near)
+            out.append(pd.DataFrame({"key": np.repeat(ids[i:i + 256], best.shape[1])[keep.ravel()],
+                                     "nkey": others[best].ravel()[keep.ravel()], "distance": near.ravel()[keep.ravel()]}))
+        return pd.concat(out)
+
+    return run
+
+
+def knn(points: DataFrame, k: int = 5, id_col: str = K.ID_COL, features: list[str] = K.FEATURES) -> DataFrame:
+    """(id, row key, rank, neighbor_id, neighbor_key, distance, neighbor_vec) for the k nearest other points."""
+    pts = cut_lineage(with_row_key(points, id_col, features).select(
+        F.col(KEY).alias("key"), F.col(id_col).alias("id"), _vector(features).alias("v")))
+    blocks = max(1, math.ceil(pts.count() / BLOCK))
+    own = pts.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("b"))
+    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = own.select("key", "v", F.col("b").alias("i"), F.explode(all_blocks).alias("j"))
+    right = own.select("key", "v", F.explode(all_blocks).alias("i"), F.col("b").alias("j"))
+    near = (left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+            .applyInPandas(_nearest(k), "key string, nkey string, distance double"))
+    order = Window.partitionBy("key").orderBy("distance", "nkey")  # k x blocks rows a point
+    top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = pts.select("key", "id")
+    others = pts.select(F.col("key").alias("nkey"), F.col("id").alias("neighbor_id"), F.col("v").alias("neighbor_vec"))
+    return (top.join(others, "nkey").join(names, "key")
+            .select(F.col("id").alias(id_col), F.col("key").alias(KEY), "rank", "neighbor_id", F.col("nkey").alias("neighbor_key"),
                     F.bround("distance", DIGITS).alias("distance"), "neighbor_vec"))
 
 
@@ -153,53 +108,56 @@ def _classes(base: DataFrame, label: str):
 
 
 def minority_neighbours(train: DataFrame, k: int = 5, label: str = "label", id_col: str = K.ID_COL,
-                        features: list[str] = K.FEATURES) -> tuple[DataFrame, DataFrame | None]:
+                        features: list[str] = K.FEATURES, max_fit_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(materialised training rows, k-NN table of the minority class) - the part of SMOTE
     that does not depend on the sampling ratio."""
-    base = cut_lineage(train.select(id_col, label, *features))
+    base = cut_lineage(with_row_key(train, id_col, features).select(id_col, KEY, label, *features))
     counts, minority, _ = _classes(base, label)
     if minority is None or counts[minority] < 2:
         return base, None
-    nn = knn(base.where(F.col(label) == minority), min(k, counts[minority] - 1), id_col, features)
+    points = base.where(F.col(label) == minority)
+    if max_fit_rows and counts[minority] > max_fit_rows:
+        points = points.orderBy(C.seeded_hash(KEY, SEED), KEY).limit(max_fit_rows)
     # k rows per minority point, read by every synthesis that reuses it: materialise once
-    return base, cut_lineage(nn)
+    return base, cut_lineage(knn(points, k, id_col, features))
 
 
 def oversample(train: DataFrame, ratio: float = 1.0, k: int = 5, label: str = "label",
                id_col: str = K.ID_COL, features: list[str] = K.FEATURES, seed: int = SEED,
-               neighbours: DataFrame | None = None) -> DataFrame:
+               neighbours: DataFrame | None = None, max_fit_rows: int | None = None) -> DataFrame:
     """Training rows plus synthetic minority rows so that minority = ratio x majority.
     Only ``id_col``, ``label`` and the feature columns are kept. ``neighbours`` (from
     ``minority_neighbours`` on the same rows) skips the neighbour search."""
     if neighbours is None:
-        base, nn = minority_neighbours(train, k, label, id_col, features)
+        base, nn = minority_neighbours(train, k, label, id_col, features, max_fit_rows)
     else:
-        base, nn = train.select(id_col, label, *features), neighbours
+        base, nn = with_row_key(train, id_col, features).select(id_col, KEY, label, *features), neighbours
     counts, minority, majority = _classes(base, label)
+    rows = base.drop(KEY).withColumns({f: F.col(f).cast("double") for f in features})
     if minority is None or nn is None:
-        return base
-    n_min, n_maj = counts[minority], counts[majority]
-    n_new = int(ratio * n_maj) - n_min
+        return base.drop(KEY)
+    n_new = int(ratio * counts[majority]) - counts[minority]
     if n_new <= 0:
-        return base.withColumns({f: F.col(f).cast("double") for f in features})
-    kk = min(k, n_min - 1)
-    mins = base.where(F.col(label) == minority)
+        return rows
+    seeds = nn.groupBy(KEY).agg(F.max("rank").alias("kk"))  # the points of the fit, and their neighbours
+    n_min = seeds.count()
+    mins = base.where(F.col(label) == minority).join(seeds, KEY)
     per, extra = divmod(n_new, n_min)
-    pos = hash_positions(mins.select(C.seeded_hash(id_col, seed).alias("_key"), F.lit(0).alias("_g")), ["_g"], "_key")
-    keyed = mins.withColumn("_key", C.seeded_hash(id_col, seed)).join(pos.select("_key", "w_before"), "_key")
+    pos = hash_positions(seeds.select(C.seeded_hash(KEY, seed).alias("_key"), F.lit(0).alias("_g")), ["_g"], "_key")
+    keyed = mins.withColumn("_key", C.seeded_hash(KEY, seed)).join(pos.select("_key", "w_before"), "_key")
     reps = F.lit(per) + (F.col("w_before") < extra).cast("int")
-    gen = (keyed.where(reps > 0).select(id_col, _vector(features).alias("vec"),
+    gen = (keyed.where(reps > 0).select(KEY, "kk", _vector(features).alias("vec"),
                                         F.explode(F.sequence(F.lit(0), reps - 1)).alias("t")))
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit("/"), F.col("t").cast("string"), F.lit(f"/{seed}")))
+    h = F.md5(F.concat(F.col(KEY), F.lit("/"), F.col("t").cast("string"), F.lit(f"/{seed}")))
     gen = gen.withColumns({
-        "rank": (F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(kk)) + 1).cast("int"),
+        "rank": (F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.col("kk")) + 1).cast("int"),
         "u": F.conv(F.substring(h, 9, 8), 16, 10).cast("double") / float(2 ** 32)})
-    syn = gen.join(nn.select(id_col, "rank", "neighbor_vec"), [id_col, "rank"])
+    syn = gen.join(nn.select(KEY, "rank", "neighbor_vec"), [KEY, "rank"])
     new_vec = F.zip_with("vec", "neighbor_vec", lambda a, b: a + F.col("u") * (b - a))
-    syn = syn.select(F.concat(F.col(id_col).cast("string"), F.lit("#smote"), F.col("t").cast("string")).alias(id_col),
+    syn = syn.select(F.concat(F.col(KEY), F.lit("#smote"), F.col("t").cast("string")).alias(id_col),
                      F.lit(minority).cast(base.schema[label].dataType).alias(label), new_vec.alias("v"))
     syn = syn.select(id_col, label, *[F.col("v")[i].alias(f) for i, f in enumerate(features)])
-    return base.withColumns({f: F.col(f).cast("double") for f in features}).unionByName(syn)
+    return rows.unionByName(syn)
 
 
 def smote_counts(train: DataFrame, oversampled: DataFrame, label: str = "label") -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..session import ensure_checkpoint_dir
+from .split import seeded_sample
 
 
 @dataclass
@@ -224,27 +225,23 @@ def default_importance(fitted, kind: str) -> DataFrame:
                               "model string, feature string, importance double")
 
 
-MAX_BACKGROUND = 100
-
-
-def sampled_shapley(fitted, df: DataFrame, background: DataFrame, permutations: int = 8,
+def sampled_shapley(fitted, df: DataFrame, background: DataFrame, permutations: int = 4, background_rows: int = 10,
                     id_col: str = K.ID_COL, seed: int = 42) -> DataFrame:
     """Model-agnostic permutation Shapley values as one Spark job.
 
     For each explained row, permutation p and background row b, the coalitions along
     the permutation are materialised as rows (features before position k from the
     explained row, the rest from b), scored by ONE ``transform``, and the marginal
-    contributions are averaged with ``groupBy``. Permutations and the background sample
-    (at most ``MAX_BACKGROUND`` rows, checked) enter as literal arrays exploded per row;
-    the explained rows are the distributed side."""
+    contributions are averaged with ``groupBy``. The background is a seeded sample of ``background_rows``
+    rows, the precision of the estimate; it and the permutations enter as literal arrays exploded per row.
+    All rows of ``df`` are explained."""
     import random
     feats = list(K.FEATURES)
     d = len(feats)
     rng = random.Random(seed)
     perms = [rng.sample(range(d), d) for _ in range(permutations)]
-    bg_rows = fitted.prepare(background).select(*[F.col(f).cast("double") for f in feats]).take(MAX_BACKGROUND + 1)
-    if len(bg_rows) > MAX_BACKGROUND:
-        raise ValueError(f"background sample larger than {MAX_BACKGROUND} rows")
+    sample = seeded_sample(background, background_rows, seed, id_col)
+    bg_rows = fitted.prepare(sample).select(*[F.col(f).cast("double") for f in feats]).collect()
     perm_arr = F.array(*[F.array(*[F.lit(i) for i in p]) for p in perms])
     bg_arr = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg_rows])
     x = fitted.prepare(df).select(F.col(id_col).cast("string").alias(id_col), *[F.col(f).cast("double") for f in feats])

@@ -58,7 +58,7 @@ register("customers", with_base(body="select * from cust"))
 
 
 # ---------------------------------------------------------------- building blocks
-LABEL = "case when Churn='Yes' or Churn='1' then 1 else 0 end"
+LABEL = "case when Churn='Yes' or coalesce(try_cast(Churn as double) = 1, false) then 1 else 0 end"
 
 CLEAN = """
 cl as (select * replace (
@@ -176,7 +176,7 @@ register("train_val_union", with_base(CLEAN, SPLIT, body="select customerID, spl
 register("split_report", with_base(CLEAN, SPLIT, body="""
 select c.split, c.Churn, c.n, t.split_total, round_even(c.n / t.split_total, 6) share
 from (select split, Churn, count(*) n from sp group by all) c join (select split, count(*) split_total from sp group by all) t using (split)"""))
-register("seeded_sample", with_base(CLEAN, SPLIT, body="select customerID, label, split from sp order by md5(concat(customerID,'/42')), customerID limit 100"))
+register("seeded_sample", with_base(CLEAN, SPLIT, body="select customerID, label, split from sp where split='test' order by md5(concat(customerID,'/42')), customerID limit 100"))
 register("class_weights", with_base(CLEAN, SPLIT, body="""
 select label, n_c, t.n / (t.k * n_c) weight from (select label, count(*) n_c from sp where split='train' group by label) c
 cross join (select count(*) n, count(distinct label) k from sp where split='train') t"""))
@@ -192,8 +192,10 @@ register("encode_selffit", with_base(*PREP, f"""
 es as (select "column", value, cast(dense_rank() over (partition by "column" order by value) - 1 as int) code
    from (select distinct "column", value from ({stack_sql('ft')})))""", encoded_sql("ft", "es", "ens"),
     body="select customerID, " + ", ".join(CATEGORICAL) + " from ens"))
-register("unseen_categories", with_base(*PREP, ENCODER, body=f"""
-select s."column", s.value, count(*) "rows" from ({stack_sql('ft', "split<>'train'")}) s
+register("unseen_categories", with_base(*PREP, ENCODER, """
+fu as (select * replace (case when c_custkey % 17 = 0 then 'Three year' else Contract end as Contract,
+  case when c_custkey % 19 = 0 then 'Voucher' else PaymentMethod end as PaymentMethod) from ft)""", body=f"""
+select s."column", s.value, count(*) "rows" from ({stack_sql('fu', "split<>'train'")}) s
 where not exists (select 1 from ev where ev."column"=s."column" and ev.value=s.value) group by all"""))
 _Z = ["tenure", "MonthlyCharges", "TotalCharges", "clv", "expected_tenure"]
 register("standardize", with_base(*PREP_ENC, "st as (select " + ", ".join(
@@ -300,9 +302,25 @@ pp as (select customerID, tenure, MonthlyCharges, coalesce(case when isnan(try_c
 pq as (select *, {prob_sql('scorecard', _PART)} churn_probability from pp cross join med)""", body="""
 select customerID customer_id, 'scorecard' model_used, cast(churn_probability > 0.5 as int) churn_prediction, churn_probability,
   cast(1 as double) - churn_probability no_churn_probability, case when churn_probability > 0.5 then 'Churn' else 'No Churn' end prediction_label from pq"""))
-register("reject_incomplete", with_base(CLEAN, body="""
+GAPS = """
+gp as (select * replace (case when c_custkey % 11 <> 0 then tenure end as tenure,
+  case when c_custkey % 13 <> 0 then MonthlyCharges end as MonthlyCharges) from cl)
+"""
+register("reject_incomplete", with_base(CLEAN, GAPS, body="""
 select customerID, concat_ws(',', case when tenure is null then 'missing tenure' end, case when MonthlyCharges is null then 'missing MonthlyCharges' end) reason
-from cl where tenure is null or MonthlyCharges is null"""))
+from gp where tenure is null or MonthlyCharges is null"""))
+# a row without gaps scores as it always does
+register("score_accepted", with_base(*PREP_ENC, SC1, body=f"select {OUT6} from sc where cast(substr(customer_id, 2) as bigint) % 11 <> 0 and cast(substr(customer_id, 2) as bigint) % 13 <> 0"))
+# of the scorecard's features only tenure, MonthlyCharges (medians) and internet_no_tech_support, Contract, SeniorCitizen,
+# PaymentMethod (not touched by the gaps) count
+register("score_imputed", with_base(*PREP_ENC, """
+mt as (select quantile_cont(tenure, 0.5) mt, quantile_cont(MonthlyCharges, 0.5) mm from en where split='train')""", f"""
+eg as (select * replace (case when c_custkey % 11 = 0 then mt else tenure end as tenure,
+  case when c_custkey % 13 = 0 then mm else MonthlyCharges end as MonthlyCharges) from en cross join mt)""", f"""
+sg0 as (select customerID customer_id, {prob_sql('scorecard')} churn_probability from eg)""", body="""
+select customer_id, 'scorecard' model_used, cast(churn_probability > 0.5 as int) churn_prediction, churn_probability,
+  cast(1 as double) - churn_probability no_churn_probability,
+  case when churn_probability > 0.5 then 'Churn' else 'No Churn' end prediction_label from sg0"""))
 TIERS = """
 ti as (select customer_id, model_used, churn_probability,
   case when churn_prediction = 1 then 'High Risk' else 'Low Risk' end risk_label,
@@ -434,7 +452,7 @@ IMP = f"imp as ({' union all '.join(importance_sql(m) for m in MODELS)})"
 
 def contrib_sql(m: str) -> str:
     return " union all ".join(
-        f"select customerID, '{m}' model, '{f}' feature, cast({f} as double) value, {_coef(m, f)} * cast({f} as double) contribution from en"
+        f"select customerID, '{m}' model, '{f}' feature, cast({f} as double) value, {_coef(m, f)} coefficient, {_coef(m, f)} * cast({f} as double) contribution from en"
         for f in FEATURES)
 
 
@@ -445,16 +463,21 @@ tf as (select *, cast(row_number() over (partition by customerID, model order by
 """
 register("lr_importance", with_base(*PREP_ENC, IMP, body="select * from imp"))
 register("lr_contributions", with_base(*PREP_ENC, CON, body="""
-select customerID, model, feature, round_even(value, 9) + cast(0 as double) value, round_even(contribution, 9) + cast(0 as double) contribution from con"""))
+select customerID, model, feature, round_even(value, 9) + cast(0 as double) value, coefficient, round_even(contribution, 9) + cast(0 as double) contribution from con"""))
 register("top_factors", with_base(*PREP_ENC, CON, TOPF, body="""
-select customerID, model, rank, feature, round_even(value, 9) + cast(0 as double) value, round_even(contribution, 9) + cast(0 as double) contribution from tf where rank <= 15"""))
-register("waterfall", with_base(*PREP_ENC, CON, TOPF, body=f"""
-select customerID, 'scorecard' model, 0 rank, 'base_value' feature, round_even({_d(SCORECARDS['scorecard'].intercept)}, 9) contribution,
-  round_even({_d(SCORECARDS['scorecard'].intercept)}, 9) running from en
-union all
-select customerID, model, rank, feature, round_even(contribution, 9) + cast(0 as double),
-  round_even({_d(SCORECARDS['scorecard'].intercept)} + sum(contribution) over (partition by customerID, model order by rank rows between unbounded preceding and current row), 9) + cast(0 as double)
-from tf where rank <= 15"""))
+select customerID, model, rank, feature, round_even(value, 9) + cast(0 as double) value, coefficient, round_even(contribution, 9) + cast(0 as double) contribution from tf where rank <= 15"""))
+# the dense scorecard: coefficient (7 i mod 23 - 11) / 50 of the i-th feature, intercept 0.25
+COND = "cond as (" + " union all ".join(
+    f"select customerID, '{f}' feature, {(7 * i % 23 - 11) / 50!r}::double * cast({f} as double) c from en"
+    for i, f in enumerate(FEATURES)) + ")"
+register("waterfall", with_base(*PREP_ENC, COND, """
+wr as (select *, cast(row_number() over (partition by customerID order by abs(c) desc, feature) as int) rank from cond),
+wo as (select customerID, 15 rank, 'other_features' feature, sum(c) c from wr where rank >= 15 group by customerID),
+wa as (select customerID, rank, feature, c from wr where rank < 15 union all select * from wo
+  union all select customerID, 0, 'base_value', 0.25::double from en)""", body="""
+select customerID, 'scorecard_dense' model, rank, feature, round_even(c, 9) + 0::double contribution,
+  round_even(sum(c) over (partition by customerID order by rank rows between unbounded preceding and current row), 9) + 0::double running
+from wa"""))
 register("mean_abs_contribution", with_base(*PREP_ENC, CONA, body="""
 select model, feature, round_even(avg(abs(round_even(contribution, 9))), 7) importance from cona group by all"""))
 TOPI = """
@@ -483,3 +506,31 @@ rk as (select *, cast(row_number() over (partition by customerID order by distan
 register("smote_counts", with_base(*PREP_ENC, body="""
 select label, count(*) before, case when label = 1 then greatest(count(*), (select count(*) from en where split='train' and label = 0))
   else count(*) end after from en where split='train' group by label"""))
+
+# synthetic points: dealt round-robin in md5 order, neighbour and gap from md5(id/t/42)
+_SYN = ", ".join(f"a.{f} + g.u * (b.{f} - a.{f}) as {f}" for f in FEATURES)
+register("smote_points", with_base(*PREP_ENC, ZST, ZT, f"""
+pr as (select a.customerID, b.customerID neighbor_id, {_DIST} distance from zt a join zt b
+   on a.customerID <> b.customerID where a.label = 1 and b.label = 1),
+rk as (select *, cast(row_number() over (partition by customerID order by distance, neighbor_id) as int) rank from pr),
+nn as (select * from rk where rank <= 5)""", """
+cn as (select cast(sum(case when label=1 then 1 else 0 end) as bigint) n1, cast(sum(case when label=0 then 1 else 0 end) as bigint) n0 from zt),
+od as (select customerID, row_number() over (order by md5(concat(customerID, '/42'))) - 1 nth from zt where label = 1),
+rp as (select customerID, (n0 - n1) // n1 + case when nth < (n0 - n1) % n1 then 1 else 0 end reps from od cross join cn),
+gt as (select customerID, unnest(range(reps)) t from rp),
+gh as (select *, md5(concat(customerID, '/', cast(t as varchar), '/42')) h from gt),
+g as (select customerID, t, cast(concat('0x', substr(h, 1, 8)) as bigint) % (select least(5, n1 - 1) from cn) + 1 rank,
+   cast(cast(concat('0x', substr(h, 9, 8)) as bigint) as double) / 4294967296.0::double u from gh)""", body=f"""
+select concat(g.customerID, '#smote', cast(g.t as varchar)) customerID, 1 label, {_SYN}
+from g join zt a on a.customerID = g.customerID join nn on nn.customerID = g.customerID and nn.rank = g.rank
+join zt b on b.customerID = nn.neighbor_id"""))
+
+# ---------------------------------------------------------------- invariants: every one holds
+for _name, _rows in {
+    "check_logistic": ["gradient_is_zero", "learns_the_train_split", "l1_keeps_coefficients"],
+    "check_trees": [f"{m}_{c}" for m in ("random_forest", "xgboost")
+                    for c in ("adds_up", "explains_every_customer", "refit_agrees", "importance_is_one")],
+    "check_shapley": ["adds_up", "explains_every_test_row"],
+    "check_search": ["folds_sides_metrics", "best_is_the_mean", "no_constant_model"],
+}.items():
+    register(_name, "select * from (values " + ", ".join(f"('{r}', true)" for r in _rows) + ") t(name, ok)")

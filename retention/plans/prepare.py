@@ -41,6 +41,8 @@ class Prepared:
         return df.where(F.col("split") == "train") if self.fit_on == "train" else df
 
 
+# by application and path: a session of another application never sees these frames; data rewritten under a
+# path needs prepare(..., refresh=True)
 _CACHE: dict[tuple, Prepared] = {}
 
 
@@ -49,14 +51,17 @@ def clear_cache() -> None:
 
 
 def split_customers(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
-    sp = stratified_split(FE.clean(customers(spark, sf_dir)))
-    return cut_lineage(sp) if checkpoint else sp
+    rows = FE.clean(customers(spark, sf_dir))
+    if not checkpoint:
+        return stratified_split(rows)
+    # the split reads its rows three times (keys, buckets, rows): the view over the big tables runs once
+    return cut_lineage(stratified_split(cut_lineage(rows)))
 
 
 def prepare(spark: SparkSession, sf_dir: str, fit_on: str = "train", mode: str = "score",
-            checkpoint: bool = True) -> Prepared:
-    key = (id(spark), sf_dir, fit_on, mode, checkpoint)
-    if key in _CACHE:
+            checkpoint: bool = True, refresh: bool = False) -> Prepared:
+    key = (spark.sparkContext.applicationId, sf_dir, fit_on, mode, checkpoint)
+    if key in _CACHE and not refresh:
         return _CACHE[key]
     sp = split_customers(spark, sf_dir, checkpoint)
     fit = sp.where(F.col("split") == "train") if fit_on == "train" else sp

@@ -143,7 +143,8 @@ def q_split_report(spark, sf_dir):
 
 @query("seeded_sample")
 def q_seeded_sample(spark, sf_dir):
-    return SP.seeded_sample(_prep(spark, sf_dir).split, 100).select("customerID", "label", "split")
+    test = _prep(spark, sf_dir).split.where(F.col("split") == "test")
+    return SP.seeded_sample(test, 100).select("customerID", "label", "split")
 
 
 @query("class_weights")
@@ -183,7 +184,11 @@ def q_encode_selffit(spark, sf_dir):
 def q_unseen_categories(spark, sf_dir):
     p = _prep(spark, sf_dir)
     table = EN.encoder_table(_train(p.features), K.CATEGORICAL)
-    return EN.unseen_categories(p.features.where(F.col("split") != "train"), table)
+    # every customer is checked; a rule on the key plants values that training never saw
+    rows = p.features.withColumns({
+        "Contract": F.when(F.col("c_custkey") % 17 == 0, F.lit("Three year")).otherwise(F.col("Contract")),
+        "PaymentMethod": F.when(F.col("c_custkey") % 19 == 0, F.lit("Voucher")).otherwise(F.col("PaymentMethod"))})
+    return EN.unseen_categories(rows.where(F.col("split") != "train"), table)
 
 
 @query("standardize")
@@ -278,12 +283,15 @@ def _scoring_input(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, models=None):
-    enc = _scoring_input(spark, sf_dir)
-    outs = [SC.score(enc, SC.SCORECARDS[m], keep=["label", "split", "clv"]) for m in (models or MODELS)]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    """All models in one projection over one scan: each row is scored by each and then exploded."""
+    enc = EN.align_features(_scoring_input(spark, sf_dir), K.FEATURES, keep=["customerID", "label", "split"])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), SC.SCORECARDS[m].probability().alias("p"))
+                               for m in (models or MODELS)])).alias("s")
+    rows = enc.select("label", "split", "clv", SC.customer_id(enc).alias("customer_id"), each)
+    return rows.select("label", "split", "clv", "customer_id", F.col("s.m").alias("model_used"),
+                       (F.col("s.p") > K.DECISION_THRESHOLD).cast("int").alias("churn_prediction"),
+                       F.col("s.p").alias("churn_probability"), (F.lit(1.0) - F.col("s.p")).alias("no_churn_probability"),
+                       C.prediction_label(F.col("s.p")).alias("prediction_label"))
 
 
 @query("score_batch")
@@ -306,10 +314,33 @@ def q_score_partial_input(spark, sf_dir):
 
 @query("reject_incomplete")
 def q_reject_incomplete(spark, sf_dir):
-    _, rejected = SC.reject_incomplete(FE.clean(customers(spark, sf_dir)))
+    _, rejected = SC.reject_incomplete(_with_gaps(FE.clean(customers(spark, sf_dir))))
     return rejected.select("customerID", "reason")
 
 
+def _with_gaps(rows):
+    """Every customer, with values taken away by a rule on the key: the view itself has none missing."""
+    return rows.withColumns({"tenure": F.when(F.col("c_custkey") % 11 != 0, F.col("tenure")),
+                             "MonthlyCharges": F.when(F.col("c_custkey") % 13 != 0, F.col("MonthlyCharges"))})
+
+
+@query("score_accepted")
+def q_score_accepted(spark, sf_dir):
+    """The scoring chain with rejection (P14): only complete rows are scored."""
+    p = _prep(spark, sf_dir)
+    accepted, _ = SC.reject_incomplete(_with_gaps(FE.clean(customers(spark, sf_dir))))
+    return SC.score(SC.features_for_scoring(accepted, p.median, p.encoder), SC.SCORECARDS["scorecard"])
+
+
+@query("score_imputed")
+def q_score_imputed(spark, sf_dir):
+    """The scoring chain with imputation (P16, M11): missing numbers take the train split's median."""
+    p = _prep(spark, sf_dir)
+    meds = {r["column"]: r["value"] for r in FE.median_table(_train(p.encoded), K.NUMERIC_FEATURES).collect()}
+    enc = SC.features_for_scoring(_with_gaps(FE.clean(customers(spark, sf_dir))), p.median, p.encoder)
+    return SC.score(enc, SC.SCORECARDS["scorecard"], medians=meds)
+
+
 @query("score_tiers")
 def q_score_tiers(spark, sf_dir):
     return SC.tiers(_scored(spark, sf_dir, ["scorecard"]))
@@ -388,17 +419,12 @@ def q_target_alerts(spark, sf_dir):
 
 # ------------------------------------------------------------------ explanations
 def _importance(spark, sf_dir):
-    train = _train(_scoring_input(spark, sf_dir))
-    return EX.importance_long(*[EX.linear_importance(train, SC.SCORECARDS[m]) for m in MODELS])
+    return EX.linear_importance(_train(_scoring_input(spark, sf_dir)), *SC.SCORECARDS.values())
 
 
 @query("lr_importance")
 def q_lr_importance(spark, sf_dir):
-    train = _train(_scoring_input(spark, sf_dir))
-    out = EX.linear_importance(train, SC.SCORECARDS[MODELS[0]])
-    for m in MODELS[1:]:
-        out = out.unionByName(EX.linear_importance(train, SC.SCORECARDS[m]))
-    return out
+    return _importance(spark, sf_dir)
 
 
 @query("lr_contributions")
@@ -413,7 +439,7 @@ def q_top_factors(spark, sf_dir):
 
 @query("waterfall")
 def q_waterfall(spark, sf_dir):
-    return EX.waterfall(_scoring_input(spark, sf_dir), SC.SCORECARDS["scorecard"], 15)
+    return EX.waterfall(_scoring_input(spark, sf_dir), SC.DENSE, 15)
 
 
 @query("mean_abs_contribution")
@@ -452,7 +478,7 @@ def _scaled_train(spark, sf_dir):
 @query("smote_knn")
 def q_smote_knn(spark, sf_dir):
     mins = _scaled_train(spark, sf_dir).where(F.col("label") == 1)
-    return SM.knn(mins, 5).drop("neighbor_vec")
+    return SM.knn(mins, 5).drop("neighbor_vec", SM.KEY, "neighbor_key")
 
 
 @query("smote_counts")
@@ -524,23 +550,23 @@ def q_tree_contributions(spark, sf_dir):
     return TX.tree_contributions(fm, "xgboost", enc)
 
 
-def _forest_sample_shap(spark, sf_dir):
+def _forest_test_shap(spark, sf_dir):
+    """The forest's attributions of every test row."""
     enc, fm = _fitted(spark, sf_dir, "random_forest")
-    sample = SP.seeded_sample(_train(enc), 100)            # the reference explains 100 sampled rows
-    return TX.tree_contributions(fm, "random_forest", sample)
+    return TX.tree_contributions(fm, "random_forest", enc.where(F.col("split") == "test"))
 
 
 @query("tree_global_importance")
 def q_tree_global_importance(spark, sf_dir):
-    """Mean |SHAP| per feature of the forest over the seeded 100-row sample."""
-    c = _forest_sample_shap(spark, sf_dir).where(F.col("feature") != "base_value")
+    """Mean |SHAP| per feature of the forest over the test split."""
+    c = _forest_test_shap(spark, sf_dir).where(F.col("feature") != "base_value")
     return EX.mean_abs_contribution(c)
 
 
 @query("beeswarm")
 def q_beeswarm(spark, sf_dir):
     """(feature, value, shap) rows of the 20 most important features."""
-    c = _forest_sample_shap(spark, sf_dir).where(F.col("feature") != "base_value")
+    c = _forest_test_shap(spark, sf_dir).where(F.col("feature") != "base_value")
     top = EX.top_importance(EX.mean_abs_contribution(c), 20).select("feature", "rank")
     return c.join(F.broadcast(top), "feature").select("customerID", "rank", "feature", "value", "contribution")
 
@@ -558,11 +584,9 @@ def q_default_importance(spark, sf_dir):
 
 @query("sampled_shapley")
 def q_sampled_shapley(spark, sf_dir):
-    """Permutation Shapley values of the logistic pipeline for 50 sampled rows."""
+    """Permutation Shapley values of the logistic pipeline for every test row."""
     enc, fm = _fitted(spark, sf_dir, "logistic_regression")
-    rows = SP.seeded_sample(enc.where(F.col("split") == "test"), 50)
-    background = SP.seeded_sample(_train(enc), 10, seed=7)
-    return TX.sampled_shapley(fm, rows, background, permutations=4)
+    return TX.sampled_shapley(fm, enc.where(F.col("split") == "test"), _train(enc))
 
 
 @query("lr_model_top_factors")
@@ -570,3 +594,81 @@ def q_lr_model_top_factors(spark, sf_dir):
     """Top-15 coefficient contributions of the fitted logistic pipeline for every customer."""
     enc, fm = _fitted(spark, sf_dir, "logistic_regression")
     return EX.top_factors(FE.impute(enc, fm.medians, K.FEATURES), SC.from_spark_lr(fm), 15)
+
+
+# ------------------------------------------------------------------ invariants of the fitted models
+def _checks(spark, rows: dict[str, bool]) -> DataFrame:
+    return spark.createDataFrame([(k, bool(v)) for k, v in rows.items()], "name string, ok boolean")
+
+
+@query("check_logistic")
+def q_check_logistic(spark, sf_dir):
+    """The logistic fits sit at the optimum of their penalised loss; l1 at C = 1 is no constant model (M1)."""
+    train = _train(_prep(spark, sf_dir).encoded)
+    prep = MD.prepare_fit("logistic_regression", train)
+    rows = SM.oversample(prep.base, ratio=1.0, neighbours=prep.neighbours)
+    ridge, lasso = (MD.fit_prepared("logistic_regression", prep, {"penalty": p, "C": 1.0}) for p in ("l2", "l1"))
+    clf = ridge.pipeline.stages[-1]
+    w = dict(zip(K.FEATURES, (float(x) for x in clf.coefficients.toArray())))
+    margin = F.lit(float(clf.intercept))
+    for f in K.FEATURES:
+        margin = margin + F.lit(w[f]) * F.col(f)
+    miss = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("label")
+    g = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(miss * F.col(f)).alias(f) for f in K.FEATURES]).first()
+    residual = max(abs(g[f] + w[f] / g["n"]) for f in K.FEATURES)
+    scored = ridge.transform(train, keep=["label", "split"])
+    auc = ME.auc(scored, ["model_used", "split"]).first()["auc"]
+    return _checks(spark, {"gradient_is_zero": residual < 1e-3, "learns_the_train_split": auc > 0.7,
+                           "l1_keeps_coefficients": any(abs(x) > 1e-9 for x in lasso.pipeline.stages[-1].coefficients.toArray())})
+
+
+@query("check_trees")
+def q_check_trees(spark, sf_dir):
+    """Attributions add up to the model's output for every customer, refits agree, importances add up to 1."""
+    from pyspark.ml.functions import vector_to_array
+    enc = _prep(spark, sf_dir).encoded
+    rows = {}
+    small = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "xgboost": {"maxIter": 10, "maxDepth": 3}}
+    for m, col in (("random_forest", "probability"), ("xgboost", "rawPrediction")):
+        fm, again = (MD.fit(m, _train(enc), small[m]) for _ in range(2))
+        total = TX.tree_contributions(fm, m, enc).groupBy("customerID").agg(
+            F.sum("contribution").alias("s"), F.count(F.lit(1)).alias("n"))
+        out = fm.pipeline.transform(fm.prepare(enc)).select("customerID", vector_to_array(col)[1].alias("f"))
+        r = total.join(out, "customerID").agg(F.max(F.abs(F.col("s") - F.col("f"))).alias("gap"), F.min("n").alias("lo"),
+                                              F.max("n").alias("hi"), F.count(F.lit(1)).alias("rows")).first()
+        rows[f"{m}_adds_up"] = r["gap"] < 1e-6
+        rows[f"{m}_explains_every_customer"] = (r["lo"], r["hi"], r["rows"]) == (29, 29, enc.count())
+        a, b = (x.transform(enc, keep=["customerID"]) for x in (fm, again))
+        rows[f"{m}_refit_agrees"] = a.exceptAll(b).isEmpty()
+        imp = TX.default_importance(fm, m).agg(F.sum("importance")).first()[0]
+        rows[f"{m}_importance_is_one"] = abs(imp - 1) < 1e-9
+    return _checks(spark, rows)
+
+
+@query("check_shapley")
+def q_check_shapley(spark, sf_dir):
+    """Permutation Shapley values of every test row add up to its output less the background's mean."""
+    from pyspark.ml.functions import vector_to_array
+    enc, fm = _fitted(spark, sf_dir, "logistic_regression")
+    test, train = enc.where(F.col("split") == "test"), _train(enc)
+    total = (TX.sampled_shapley(fm, test, train, permutations=2, background_rows=5).groupBy("customerID")
+             .agg(F.sum("contribution").alias("s")))
+
+    def out(df):
+        return fm.pipeline.transform(fm.prepare(df)).select("customerID", vector_to_array("probability")[1].alias("p"))
+
+    base = out(SP.seeded_sample(train, 5)).agg(F.avg("p")).first()[0]
+    r = total.join(out(test), "customerID").agg(F.max(F.abs(F.col("s") + F.lit(base) - F.col("p"))).alias("gap"),
+                                                F.count(F.lit(1)).alias("n")).first()
+    return _checks(spark, {"adds_up": r["gap"] < 1e-9, "explains_every_test_row": r["n"] == test.count()})
+
+
+@query("check_search")
+def q_check_search(spark, sf_dir):
+    """One searched map: five folds with a held-out and a training side, from which the best map follows (M4, M5)."""
+    cv = MD.cross_validate("logistic_regression", _train(_prep(spark, sf_dir).encoded), n_iter=1)
+    rows, best = cv.collect(), MD.best_params(cv).collect()
+    held = [r["value"] for r in rows if r["side"] == "test" and r["metric"] == "auc_roc"]
+    return _checks(spark, {"folds_sides_metrics": len(rows) == 5 * 2 * 4 and len({r["fold"] for r in rows}) == 5,
+                           "best_is_the_mean": len(best) == 1 and abs(best[0]["mean_test_auc"] - sum(held) / 5) < 1e-9,
+                           "no_constant_model": min(held) != 0.5})

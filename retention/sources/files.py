@@ -13,6 +13,7 @@ Writers never coalesce to one file: output parallelism follows the data.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,9 @@ def read_state(spark: SparkSession, path: str):
     def _try(p):
         try:
             return spark.read.parquet(p)
-        except Exception:  # noqa: BLE001 - absent state is a supported case
+        except AnalysisException as e:  # absent state is a supported case; other faults are not
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
     enc = _try(f"{path}/encoder")
     med_df = _try(f"{path}/medians")
@@ -88,3 +91,13 @@ def save_predictions(df: DataFrame, path: str) -> str:
 def save_importance(df: DataFrame, path: str) -> None:
     """One CSV folder per model."""
     df.write.mode("overwrite").partitionBy("model").option("header", True).csv(path)
+
+
+def save_metrics(metrics: DataFrame, path: str) -> None:
+    """The long metrics table (validation and test rows alike), one folder per split."""
+    metrics.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def save_best_params(best: DataFrame, path: str) -> None:
+    """(model, param_id, params as JSON, mean_test_auc), the chosen map of each model."""
+    best.write.mode("overwrite").json(path)

@@ -88,7 +88,7 @@ def test_models_learn_signal_and_persist(spark, tmp_out):
         fm = MD.fit(name, train)
         m = MD.evaluate([fm], enc.where("split = 'test'"))
         auc = m.where("metric = 'auc_roc'").first()["value"]
-        assert auc > 0.6, (name, auc)
+        assert auc >= 0.7, (name, auc)
         fm.save(tmp_out)
         back = MD.FittedModel.load(tmp_out, name)
         a = fm.transform(enc, keep=["customerID"]).orderBy("customerID").collect()
@@ -97,9 +97,9 @@ def test_models_learn_signal_and_persist(spark, tmp_out):
 
 
 def test_param_sampling_is_distinct_and_seeded():
-    assert MD.param_grid_size("logistic_regression") == 72
-    assert MD.param_grid_size("random_forest") == 2700
-    assert MD.param_grid_size("xgboost") == 8748
+    assert MD.param_grid_size("logistic_regression") == 36
+    assert MD.param_grid_size("random_forest") == 720
+    assert MD.param_grid_size("xgboost") == 972
     a = MD.sample_params("random_forest", 75)
     assert len({str(sorted(p.items())) for p in a}) == 75 and a == MD.sample_params("random_forest", 75)
 
@@ -152,8 +152,10 @@ def test_roc_ends_at_one(spark):
 
 @pytest.mark.parametrize("name", ["train_gbt", "cv_results"])
 def test_model_queries_run(spark, name):
-    df = R.QUERIES[name](spark, SF_SMALL)
-    assert df.count() > 0
+    rows = R.QUERIES[name](spark, SF_SMALL).collect()
+    auc = [r["value"] for r in rows if r["metric"] == "auc_roc"]
+    assert len(rows) == (18 if name == "train_gbt" else 2 * 5 * 2 * 4) and max(auc) > 0.5
+    assert all(r["value"] is None or 0 <= r["value"] for r in rows)
 
 
 @pytest.mark.parametrize("kind", ["xgboost", "random_forest"])
@@ -173,8 +175,7 @@ def test_tree_shap_local_accuracy(spark, kind):
 
 
 def test_sampled_shapley_local_accuracy(spark):
-    df = R.QUERIES["sampled_shapley"](spark, SF_SMALL)
-    assert df.count() == 50 * len(K.FEATURES) or df.count() == df.select("customerID").distinct().count() * len(K.FEATURES)
+    assert all(r.ok for r in R.QUERIES["check_shapley"](spark, SF_SMALL).collect())
 
 
 def test_category_encoder_stage_round_trip(spark, tmp_out):
@@ -220,3 +221,105 @@ def test_spark_lr_as_linear_scorer(spark):
     rows = mine.join(spark_p, "customerID").collect()
     assert max(abs(r.p - r.q) for r in rows) < 1e-9
     assert EX.top_factors(imputed, sc, 15).count() == enc.count() * 15
+
+
+@pytest.mark.parametrize("small", [20_000, 10])
+def test_exact_quantiles_against_numpy(spark, monkeypatch, small):
+    import numpy as np
+    from retention.operators import quantile as Q
+    monkeypatch.setattr(Q, "SMALL", small)
+    g = np.random.default_rng(1)
+    groups = {"ties": g.integers(0, 4, 30_000).astype(float), "wide": g.lognormal(0, 3, 25_001), "one": np.array([7.0]),
+              "two": np.array([1.0, 2.0]), "same": np.full(500, 3.5)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("ties", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r for r in Q.exact_quantiles(df, F.col("v"), probs, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert np.allclose([got[k][f"q{i}"] for i in range(5)], np.quantile(vs, probs), rtol=1e-12), k
+    assert Q.exact_quantiles(df.where("false"), F.col("v"), [0.5]).first()["q0"] is None
+
+
+def test_no_percentile_merge_over_raw_values(spark):
+    for name in ("median_table", "clv_quartile_edges", "churn_by_clv"):
+        plan = R.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert " percentile(" not in plan, name
+
+
+def test_scored_rows_are_read_once(spark):
+    for name in ("score_all_models", "classification_metrics", "compare_importance"):
+        plan = R.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lineitem") == 0, name
+    plan = R._scored(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+
+
+def test_smote_copies_of_an_id_are_points_of_their_own(spark, monkeypatch):
+    import numpy as np
+    g = np.random.default_rng(2)
+    ids = [f"C{i}" for i in range(8)] + [f"C{i}" for i in range(4)]
+    rows = [(i, *map(float, g.normal(size=3))) for i in ids]
+    df = spark.createDataFrame(rows, "customerID string, a double, b double, c double")
+    for block in (2048, 3):
+        monkeypatch.setattr(SM, "BLOCK", block)
+        nn = SM.knn(df, 3, features=["a", "b", "c"]).collect()
+        assert len(nn) == 36
+        x = np.round(np.array([r[1:] for r in rows]), 9)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        want = sorted(round(v, 6) for row in np.sort(d, axis=1)[:, :3] for v in row)
+        assert sorted(round(r.distance, 6) for r in nn) == want
+
+
+def test_missing_probability_has_no_tier(spark):
+    df = spark.createDataFrame([(None, 1.0, "a", "m", None), (0.9, 1.0, "b", "m", 1)],
+                               "churn_probability double, clv double, customer_id string, model_used string, churn_prediction int")
+    rows = {r.customer_id: r for r in SC.tiers(df).collect()}
+    assert [rows["a"][c] for c in ("risk_label", "confidence", "gauge_band", "action_tier")] == [None] * 4
+    assert [rows["b"][c] for c in ("risk_label", "confidence", "gauge_band", "action_tier")] == ["High Risk", "High", "high", "URGENT"]
+
+
+def test_numeric_labels(spark):
+    from retention.functions import columns as C
+    df = spark.createDataFrame([(1.0, "1"), (0.0, "Yes"), (None, "No"), (2.0, "1.0")], "d double, s string")
+    assert [tuple(r) for r in df.select(C.churn_label("d"), C.churn_label("s")).collect()] == [(1, 1), (0, 1), (0, 0), (0, 1)]
+
+
+def test_waterfall_ends_at_the_margin(spark):
+    from retention.operators import explain as EX
+    enc = R._scoring_input(spark, SF_SMALL)
+    w = EX.waterfall(enc, SC.DENSE, 15)
+    last = w.where("rank = 15").select("customerID", "running")
+    got = enc.select("customerID", SC.DENSE.margin().alias("m")).join(last, "customerID").collect()
+    assert len(got) == enc.count() and max(abs(r.m - r.running) for r in got) < 1e-6
+
+
+def test_training_flow(spark, tmp_out):
+    from retention.plans.train import training_flow
+    enc = prepare(spark, SF_SMALL).encoded
+    t = training_flow(enc, tmp_out, {"logistic_regression": 1, "random_forest": 0}, folds=2)
+    assert set(t.best) == {"logistic_regression", "random_forest"} and t.summary.count() == 2
+    kinds = {(r.model, r.fit_on, r.split) for r in t.metrics.collect()}
+    assert len(kinds) == 2 * 3
+    assert spark.read.parquet(f"{tmp_out}/metrics").count() == t.metrics.count()
+    assert spark.read.json(f"{tmp_out}/best_params").count() == 2
+    back = MD.FittedModel.load(f"{tmp_out}/models", "random_forest")
+    assert back.transform(enc).exceptAll(t.final["random_forest"].transform(enc)).isEmpty()
+
+
+def test_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+    from retention import session as S
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    spark = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        S.ensure_checkpoint_dir(spark)
+
+
+def test_state_faults_are_not_absence(spark, tmp_out):
+    os.makedirs(tmp_out + "/state/encoder")
+    with open(tmp_out + "/state/encoder/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        FS.read_state(spark, tmp_out + "/state")
