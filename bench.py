@@ -1,5 +1,6 @@
 """Benchmark: headline queries end to end at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
+Each query that takes under ``AGAIN_BELOW`` seconds runs three times and counts by its median.
 Preparation (fixture view from the parquet tables, stratified split, lineage cut,
 fitted median and encoder) is timed once as ``prepare``; every query then runs on
 the prepared state and is forced with the ``noop`` sink (full computation, nothing
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -20,8 +22,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "customers", "churn_by_clv", "stratified_split", "encoder_table", "score_batch",
     "classification_metrics", "roc_curve", "top_factors", "waterfall", "risk_factors",
-    "compare_importance", "smote_knn", "train_forest",
+    "compare_importance", "smote_knn", "train_logistic", "train_forest", "train_gbt",
 ]
+AGAIN_BELOW = 12.0
 
 
 def main() -> None:
@@ -47,9 +50,12 @@ def main() -> None:
     prep.encoded.write.format("noop").mode("overwrite").save()
     times["prepare"] = round(time.perf_counter() - t0, 3)
     for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        runs: list[float] = []
+        while not runs or (len(runs) < 3 and runs[0] < AGAIN_BELOW):
+            t0 = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(runs), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else None}))

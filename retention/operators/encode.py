@@ -4,9 +4,9 @@ Encoder fit: the category columns are unpivoted once and made distinct (map-side
 combine), then ``dense_rank() - 1`` over the sorted values of each column gives
 the codes (alphabetical, as the reference). Missing values are the class 'nan'.
 
-Encoder transform: the fitted table is small state (its size is checked against
-``MAX_ENCODER_ROWS`` at fit), so it is turned into literal ``map`` expressions -
-the lookup is a projection inside whole-stage codegen, no join and no shuffle.
+Encoder transform: a column of few classes (up to ``MAX_LITERAL``) becomes a literal ``map`` expression - the lookup
+is a projection inside whole-stage codegen, no join and no shuffle. A column of more classes is left-joined with its
+part of the fitted table; its classes never reach the driver or the plan. Both give the same codes.
 Unseen values (and, in ``null_as='first'`` parity mode, missing ones) get code 0,
 the first class (T5, T6).
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 
-MAX_ENCODER_ROWS = 100_000
+MAX_LITERAL = 1_000
 NAN_CLASS = "nan"
 
 
@@ -42,22 +42,25 @@ def encoder_table(df: DataFrame, columns: list[str] = K.CATEGORICAL) -> DataFram
 
 @dataclass
 class EncoderState:
-    """Fitted codes: column -> {value: code}."""
+    """Fitted codes: column -> {value: code}, and (value, code) tables of the columns with many classes."""
     codes: dict[str, dict[str, int]] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def from_table(cls, table: DataFrame) -> "EncoderState":
-        n = table.count()
-        if n > MAX_ENCODER_ROWS:
-            raise ValueError(f"encoder has {n} classes (> {MAX_ENCODER_ROWS}); not a category column set")
+    def from_table(cls, table: DataFrame, max_literal: int = MAX_LITERAL) -> "EncoderState":
+        sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        few = [c for c, n in sizes.items() if n <= max_literal]
         codes: dict[str, dict[str, int]] = {}
-        for r in table.collect():  # bounded above
+        for r in table.where(F.col("column").isin(few)).collect():  # at most max_literal rows a column
             codes.setdefault(r["column"], {})[r["value"]] = r["code"]
-        return cls(codes)
+        return cls(codes, {c: table.where(F.col("column") == c).select("value", "code") for c in sizes if c not in codes})
 
     def to_table(self, spark) -> DataFrame:
         rows = [(c, v, k) for c, m in self.codes.items() for v, k in m.items()]
-        return spark.createDataFrame(rows, "column string, value string, code int")
+        out = spark.createDataFrame(rows, "column string, value string, code int")
+        for c, t in self.tables.items():
+            out = out.unionByName(t.withColumn("column", F.lit(c)))
+        return out
 
     def classes(self, column: str) -> list[str]:
         m = self.codes.get(column, {})
@@ -82,7 +85,15 @@ def encode(df: DataFrame, state: EncoderState, null_as: str = "nan") -> DataFram
         if null_as == "nan":
             v = F.coalesce(v, F.lit(NAN_CLASS))
         out[col] = F.coalesce(F.element_at(m, v) if mapping else F.lit(None), F.lit(0)).cast("int")
-    return df.withColumns(out) if out else df
+    df = df.withColumns(out) if out else df
+    for col, table in state.tables.items():
+        if col in df.columns:
+            v = F.col(col).cast("string")
+            keyed = df.withColumn("_value", F.coalesce(v, F.lit(NAN_CLASS)) if null_as == "nan" else v)
+            codes = table.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+            df = (keyed.join(codes, "_value", "left").withColumn(col, F.coalesce("_code", F.lit(0)).cast("int"))
+                  .drop("_value", "_code").select(*df.columns))
+    return df
 
 
 def encode_selffit(df: DataFrame, columns: list[str] = K.CATEGORICAL) -> DataFrame:
@@ -171,7 +182,8 @@ class CategoryEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultP
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "CategoryEncoderModel":
-        state = fit_encoder(dataset, self.getOrDefault(self.inputCols))
+        table = encoder_table(dataset, self.getOrDefault(self.inputCols))
+        state = EncoderState.from_table(table, 2 ** 31)  # the stage keeps all its classes in one parameter
         return CategoryEncoderModel(codes=json.dumps(state.codes, sort_keys=True),
                                     nullAs=self.getOrDefault(self.nullAs),
                                     inputCols=self.getOrDefault(self.inputCols))

@@ -323,3 +323,16 @@ def test_state_faults_are_not_absence(spark, tmp_out):
         f.write("no parquet")
     with pytest.raises(Exception):
         FS.read_state(spark, tmp_out + "/state")
+
+
+def test_encoder_of_many_classes_joins(spark):
+    from retention.operators import encode as EN
+    rows = [(i, f"v{i % 40}" if i % 7 else None, "a" if i % 2 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, big string, small string")
+    table = EN.encoder_table(df.where("id < 200"), ["big", "small"])
+    literal, joined = EN.EncoderState.from_table(table), EN.EncoderState.from_table(table, 10)
+    assert set(joined.tables) == {"big"} and set(joined.codes) == {"small"}
+    for null_as in ("nan", "first"):
+        a, b = (EN.encode(df, s, null_as) for s in (literal, joined))
+        assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert joined.to_table(spark).exceptAll(table).isEmpty()
