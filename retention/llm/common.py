@@ -73,7 +73,7 @@ def map_texts(rows: DataFrame, id_col: str, text_col: str, schema: str,
     return src.mapInArrow(run, f"_id {out_type}, {schema}").withColumnRenamed("_id", id_col)
 
 
-def pieces(b: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(b: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of about ``most_bytes`` so that Python objects of few texts exist at a time."""
     if not b.num_rows:
         return
