@@ -43,7 +43,9 @@ def labelled_sample(docs: DataFrame, marks: DataFrame | None, id_col: str, text:
         share = F.when(F.col("_label") == F.lit(x), F.lit(1.1 * per_label / max(1, count.get(x, 0)))).otherwise(share)
     chosen = rows.where(F.col("_h") < share).select("_id", "_label", "_h").distinct()
     texts = docs.where(F.length(text) <= max_chars).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    for x, t in sorted(((r["_label"], (r["_h"], r["_text"])) for r in texts.join(F.broadcast(chosen), "_id").collect())):
+    # one text of each drawn id, however often the id is repeated
+    drawn = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label", "_h").agg(F.min("_text").alias("_text"))
+    for x, t in sorted((r["_label"], (r["_h"], r["_text"])) for r in drawn.collect()):
         if x in out and len(out[x]) < per_label:
             out[x].append(t[1])
     return out

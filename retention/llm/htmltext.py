@@ -32,14 +32,16 @@ BOILERPLATE = frozenset("aside audio button canvas datalist dialog embed footer
                         "title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
                   "status toolbar".split())
-NAMES = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-ads comment "
+NAMES = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
                   "comments commentlist consent cookie cookies discussion disqus footer gdpr header masthead menu modal "
                   "nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo "
                   "promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor "
                   "sponsored subscribe subscription teaser toolbar widget".split())
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
           "th": ("tr", "table"), "option": ("select",)}
-_NAME = re.compile(r"[A-Za-z]+(?:-ads)?")
+HEADERS = frozenset(("header", "masthead", "banner"))
+_NAME = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _UNFINISHED = re.compile(r"<[/!?A-Za-z][^<>]*\Z")  # a tag that the page's end cuts off
 
 
@@ -88,9 +90,10 @@ class Lines(HTMLParser):
             number = self.sections
             if tag in CHOSEN:
                 chosen = number
-        bad = above[2] or tag in BOILERPLATE or (tag == "header" and not any(x[0] == "article" for x in self.open))
+        inside = any(x[0] in CHOSEN for x in self.open)  # a header there is the article's own
+        bad = above[2] or tag in BOILERPLATE or (tag == "header" and not inside)
         if attrs and not bad and tag not in ("html", "body"):
-            bad = _named_boilerplate(attrs)
+            bad = _named_boilerplate(attrs, HEADERS if inside or tag in CHOSEN else frozenset())
         self.open.append((tag, number, bad, chosen))
 
     def handle_endtag(self, tag: str) -> None:
@@ -110,16 +113,17 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def _named_boilerplate(attrs: list) -> bool:
+def _named_boilerplate(attrs: list, but: frozenset) -> bool:
     for name, value in attrs:
         if name == "hidden":
             return True
+        words = _NAME.findall(_CAMEL.sub(" ", value or "").lower()) if name in ("class", "id") else ()
         value = (value or "").lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and any(w in NAMES for w in _NAME.findall(value)):
+        if any(w in NAMES and w not in but for w in words):
             return True
     return False
 

@@ -27,6 +27,14 @@ def test_page_without_article():
     assert H.main_text(PAGE.replace("{}", body)) == f"Head\n{words}\nShort.\n{words}"
 
 
+def test_names_of_boilerplate():
+    words = " ".join(LONG.split())
+    for name in ("cookieBanner", "site-notice", "reader_comments", "AdSlot ad", "sideBar sidebar"):
+        body = f'<main><div class="article-header"><h1>H</h1></div><div id="{name}"><p>{LONG}</p></div><p>{LONG}</p></main>'
+        assert H.main_text(PAGE.replace("{}", body)) == f"H\n{words}", name
+    assert H.main_text(f'<div class="page-header">x</div><div><p>{LONG}</p></div>') == words
+
+
 def test_comments_inside_an_article_go():
     body = f'<article><p>{LONG}</p><section class="comment-list"><p>{LONG}</p></section></article>'
     assert H.main_text(PAGE.replace("{}", body)) == " ".join(LONG.split())
