@@ -672,3 +672,47 @@ def q_check_search(spark, sf_dir):
     return _checks(spark, {"folds_sides_metrics": len(rows) == 5 * 2 * 4 and len({r["fold"] for r in rows}) == 5,
                            "best_is_the_mean": len(best) == 1 and abs(best[0]["mean_test_auc"] - sum(held) / 5) < 1e-9,
                            "no_constant_model": min(held) != 0.5})
+
+
+# ------------------------------------------------------------------ files: written to the shared folder and read again
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+
+def _new_path(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf_dir):
+    """The raw customers as CSV with a header, scanned with the raw schema and cleaned."""
+    path = _new_path(spark, "customers") + ".csv"
+    FS.write_customers_csv(customers(spark, sf_dir), path)
+    return FE.clean(FS.read_customers(spark, path))
+
+
+@query("scan_split_files")
+def q_scan_split_files(spark, sf_dir):
+    """All splits in one partitioned dataset; the train split by partition pruning."""
+    path = _new_path(spark, "splits")
+    FS.write_splits(_prep(spark, sf_dir).features.select("customerID", "tenure", "MonthlyCharges", "clv", "label", "split"), path)
+    return FS.read_split(spark, path, "train").drop("split")
+
+
+@query("prediction_sink")
+def q_prediction_sink(spark, sf_dir):
+    """Scored rows saved as parquet."""
+    path = _new_path(spark, "predictions") + ".parquet"
+    FS.save_predictions(QUERIES["score_batch"](spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query("importance_sink")
+def q_importance_sink(spark, sf_dir):
+    """Importances saved as CSV, one folder per model."""
+    path = _new_path(spark, "importance")
+    FS.save_importance(QUERIES["lr_importance"](spark, sf_dir), path)
+    schema = "feature string, importance double, coefficient double, std_dev double, model string"
+    return spark.read.option("header", True).schema(schema).csv(path)
