@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join on the node, so neither edges nor labels ever meet on
-the driver, a hot node's edges are split by the skew join, and the number of rounds is
-logarithmic. After each round the edges are checkpointed, which ends their lineage.
+Every step is a grouped minimum (pre-aggregated in each task) and a join on the node, so neither edges nor labels
+ever meet on the driver, and the number of rounds is logarithmic. The minima are checkpointed before the join: both its
+sides then come straight from an exchange, and the skew join can split a hot node's edges. After each round the edges
+are checkpointed too, which ends their lineage.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from .common import cut_lineage
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-    low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    low = cut_lineage(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("a").agg(F.min("b").alias("m"))
+    low = cut_lineage(e.groupBy("a").agg(F.min("b").alias("m")))
     up = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return up.union(low.select("a", F.col("m").alias("b")))
 
