@@ -154,7 +154,8 @@ def _groups(own: DataFrame, id_col: str, max_bits: int, blocks: int) -> DataFram
     label = connected_components(links(distinct.select("fp"), max_bits, blocks))
     named = distinct.join(label, distinct.fp == label.node, "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component"))
+    # checkpointed: the join then has an exchange on both sides, and the skew join can split a large group
+    smallest = cut_lineage(named.groupBy("label").agg(F.min("first").alias("component")))
     return named.join(smallest, "label").select("fp", "label", "component")
 
 
