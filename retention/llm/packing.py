@@ -159,9 +159,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     per_bucket = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in per_bucket.groupBy("length").agg(F.sum("n")).collect()}  # <= longest rows
     made = plan(histogram, capacities, overhead)
-    # lengths x buckets rows at most, in a window per length
+    # lengths x buckets rows at most, in a window per length; checkpointed, else the join below would take over its
+    # partitioning by length alone and put all pieces of a common length in one task
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    before = cut_lineage(per_bucket.select("length", "bucket",
+                                           F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("h", "id", "piece")) - 1
     numbered = cut.withColumn("nth", nth).join(before, ["length", "bucket"]).withColumn(
         "number", F.col("nth") + F.col("before"))

@@ -1,6 +1,7 @@
 """Sharding and packing."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,3 +106,8 @@ def test_packing_odd_tables(make_docs, odd_rows):
     check_packing(make_docs(odd_rows), [len(t or "") for _, t in odd_rows])
     assert packing.pack(make_docs([])).count() == 0
     assert packing.pack(make_docs([(1, None)])).count() == 1  # the end mark
+
+
+def test_a_common_length_is_spread(make_docs):
+    plan = packing.pack(make_docs([(i, "same") for i in range(50)]))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Window .*\n.*Sort .*\n.*Exchange hashpartitioning\(length#\d+L, bucket#", plan)
