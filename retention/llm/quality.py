@@ -7,7 +7,9 @@ bytes is small where the text repeats itself, which neither dictionary tells apa
 their squares, and the difference weighted by the text's length) turns them into a calibrated probability. Lines that
 both labels share say nothing about quality and stay out of the dictionaries.
 
-Training rows are a bounded sample (``PER_LABEL`` rows of each label); scoring reads every whole text.
+Training rows are a bounded sample (``PER_LABEL`` rows of each label); the curve is moved from the sample's share of good
+rows to the share among all labelled ones, so scores do not depend on the size of the table. Scoring reads every whole
+text.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Platt, filter_texts, labelled_sample, map_texts
 
@@ -34,7 +37,8 @@ def _blocks(text: str | None) -> list[bytes]:
 class CompressionClassifier:
     """fit() on good and bad texts; score() gives the probability of label 1 (good)."""
 
-    def fit(self, good: list[str], bad: list[str]) -> CompressionClassifier:
+    def fit(self, good: list[str], bad: list[str], share: float | None = None) -> CompressionClassifier:
+        """share: of good rows among all labelled ones, for the calibration (None: as in the sample)."""
         # one half of the texts builds the dictionaries, the other half calibrates
         lines = [{line for t in x for line in t.split("\n")} for x in (good, bad)]
         shared = lines[0] & lines[1]
@@ -43,7 +47,7 @@ class CompressionClassifier:
         self.prior = (len(good) + 1) / (len(good) + len(bad) + 2)
         cal = [*good[1::2], *bad[1::2]]
         y = np.array([1] * len(good[1::2]) + [0] * len(bad[1::2]))
-        self.curve = Platt().fit(self.features(cal), y)
+        self.curve = Platt().fit(self.features(cal), y).towards(share, float(y.mean()) if len(y) else 0.0)
         return self
 
     @staticmethod
@@ -84,7 +88,9 @@ def fit(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text: str = "
         per_label: int = PER_LABEL) -> CompressionClassifier:
     """Train on a bounded sample of the rows that ``marks`` (id, label) labels: at most ``per_label`` of each label."""
     found = labelled_sample(docs, marks, id_col, text, label, per_label, MAX_CHARS, [1, 0])
-    return CompressionClassifier().fit(found[1], found[0])
+    learnable = marks.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
+    share = learnable.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return CompressionClassifier().fit(found[1], found[0], share)
 
 
 def score(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -95,6 +95,23 @@ def test_models_of_no_or_one_label(spark, make_docs):
     assert {r.lang_pred for r in langid.predict(docs, lang).collect()} == {"und"}
 
 
+def test_quality_scores_do_not_depend_on_the_sample_size(spark, make_docs):
+    """86 % of the labelled rows are good; a small sample holds as many of each label, a large one all rows."""
+    g = np.random.default_rng(3)
+    vocab = [f"{a}{b}{c}" for a in ("ba", "ke", "li", "mo") for b in ("ran", "sti", "lo") for c in "aeiou"]
+    labels = [int(i % 50 >= 7) for i in range(1500)]
+    lean = np.array([np.r_[np.ones(30) * (1 + y), np.ones(30) * (2 - y)] / 90 for y in labels])
+    texts = [" ".join(g.choice(vocab, 30, p=p)) for p in lean]
+    docs = make_docs(list(enumerate(texts))).drop("label")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, quality int")
+    odds = []
+    for per_label in (150, 2000):
+        p = quality.fit(docs, marks, per_label=per_label).score(texts)
+        assert abs(p.mean() - 0.86) < 0.06
+        odds.append(np.log(p / (1 - p)))
+    assert abs(np.median(odds[0] - odds[1])) < 0.6  # ln(0.86 / 0.14) = 1.8 apart without the share
+
+
 def test_platt_separates():
     x = np.r_[np.zeros(50), np.ones(50)]
     curve = Platt().fit(x, x)
