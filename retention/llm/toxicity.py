@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional GRU with attention pooling over word and character inputs, trained in numpy.
 
 Every word enters as its hashed word embedding beside the mean of its hashed character n-gram embeddings (with
-word boundaries). A text is read in windows of ``WINDOW`` words, each overlapping the next by half; the network scores
+word boundaries), both over all its characters; runs without white space are cut into several words. A text is read in windows of ``WINDOW`` words, each overlapping the next by half; the network scores
 every window, and the text's score comes from its highest window, calibrated on texts kept out of training.
 
 Training is multiple-instance: labels belong to texts, so a first pass gives every window its text's label and
@@ -12,6 +12,7 @@ wrongly high). It runs on a bounded sample of labelled rows, ``PER_LABEL`` of ea
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from itertools import chain
 
@@ -30,18 +31,41 @@ PER_LABEL = 1500  # training rows of each label at most
 MAX_CHARS = 6_000  # longer labelled texts are not drawn for training
 BATCH, NOISY_STEPS, BAG_STEPS = 160, 120, 120
 CHUNK = 2048  # windows scored at once
-_BARE = re.compile(r"^[\W_]+|[\W_]+$")
+LONGEST, PIECE, STEP = 24, 16, 12  # characters of a word at most; of a piece of a longer one; from piece to piece
+# vowel signs and accents belong to their word, like letters
+_MARKS = "".join(c for c in map(chr, [*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0)])
+                 if unicodedata.category(c)[0] == "M")
+_APART = f"(?:[^\\w{_MARKS}]|_)+"
+_BREAK = re.compile(_APART)
+_BARE = re.compile(f"^{_APART}|{_APART}$")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words between white space; punctuation at their ends is taken off before they are looked up."""
-    return (text or "").lower().split()
+    """Lower-case words between white space; punctuation at their ends is taken off before they are looked up.
+
+    Of a run of more than ``LONGEST`` characters every part between punctuation is a word, and a part that is still longer
+    (a script without spaces) is cut into pieces that overlap by the longest n-gram less one, so none is left out.
+    """
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    found = []
+    for w in words:
+        if len(w) <= LONGEST:
+            found.append(w)
+            continue
+        for part in _BREAK.split(w):
+            if len(part) > LONGEST:
+                found += [part[i:i + PIECE] for i in range(0, len(part) - PIECE + STEP, STEP)]
+            elif part:
+                found.append(part)
+    return found
 
 
 def _gram_ids(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each n-gram length: the hashed rows of all words in a line, the words that have any, how many each has."""
-    code = np.frombuffer("".join([f"<{w[:40]}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)).clip(max=40) + 2
+    code = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
     left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters up to the word's end
     found = []
     for k in NGRAMS:
@@ -57,12 +81,18 @@ def _gram_ids(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _word_ids(words: list[str]) -> np.ndarray:
     """Rows of whole words: an FNV-like hash over the UTF-8 bytes, computed per word position in numpy."""
-    raw = [w.encode("utf-8", "surrogatepass")[:24] for w in words]
-    grid = np.frombuffer(b"".join([r.ljust(24, b"\0") for r in raw]), dtype=np.uint8).reshape(-1, 24).view(np.uint64)
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     h = np.full(len(words), 0xCBF29CE484222325, dtype=np.uint64)
-    for j in range(3):
-        h = (h ^ grid[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
+    some, at = np.arange(len(raw)), 0
+    while len(some):  # 24 bytes of every word, then the next 24 of the longer ones
+        part = b"".join([raw[i][at:at + 24].ljust(24, b"\0") for i in some])
+        grid = np.frombuffer(part, dtype=np.uint8).reshape(-1, 24).view(np.uint64)
+        for j in range(3):
+            h[some] = (h[some] ^ grid[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            h[some] ^= h[some] >> np.uint64(31)
+        at += 24
+        some = some[size[some] > at]
     return (h % np.uint64(WORD_ROWS)).astype(np.int64)
 
 

@@ -66,6 +66,24 @@ def test_scoring_layout_matches_forward():
     assert win.count.tolist() == [1, 1, 6, 1, 2]
 
 
+def test_toxicity_reads_every_character():
+    """Texts without white space: scripts that have none, and words joined by punctuation."""
+    for n in range(25, 200):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        words = toxicity.words_of(run)
+        grams = {w[i:i + 5] for w in words for i in range(len(w) - 4)}
+        assert grams == {run[i:i + 5] for i in range(n - 4)} and max(map(len, words)) <= toxicity.LONGEST
+    assert toxicity.words_of("don't " + "_".join(["some-words", "joined,by/marks", "ไม่ดีเลย"])) == [
+        "don't", "some", "words", "joined", "by", "marks", "ไม่ดีเลย"]
+    assert len(set(toxicity._word_ids(["д" * 12 + x for x in "абвг"]).tolist())) == 4
+    g = np.random.default_rng(0)
+    clean = ["".join(map(chr, g.integers(0x4E00, 0x4E40, 200))) for _ in range(60)]
+    model = toxicity.ToxicityModel().fit([t[:150] + "毒死坏蛋" * 6 + t[150:] for t in clean], clean)
+    fresh = "".join(map(chr, g.integers(0x4E00, 0x4E40, 400)))
+    late, none = model.score([fresh + "毒死坏蛋" * 6, fresh])
+    assert late > 0.7 > 0.4 > none
+
+
 def test_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     tox = toxicity.ToxicityModel().fit(["bad vile words"] * 4, ["fine good words"] * 4)
