@@ -1,8 +1,9 @@
 """HTML main-text extraction by text-to-tag ratio.
 
 The standard library's parser streams events. Block elements cut the page into lines, each with its decoded text, the
-tags met in it and the sections it lies in. Lines under elements that are boilerplate by tag, role, class or id can never be
-content. Over the rest the ratio of text characters to tags is smoothed with a Gaussian and clustered into two levels (a
+tags met in it and the sections it lies in. Lines under elements that are boilerplate by tag or role can never be
+content. A class or id only marks an element as boilerplate: the mark falls where the element holds an article or most of
+the text that clusters high, and ``article`` and ``main`` are never marked by name. Over the rest the ratio of text characters to tags is smoothed with a Gaussian and clustered into two levels (a
 threshold half way between the cluster means, moved until it rests). The regions that hold high lines are the content:
 ``article`` and ``main`` elements where the page has them, else the sections that most of the high lines lie in. All
 lines of those regions are kept, short ones too.
@@ -27,8 +28,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SECTION = frozenset("article body div main section td".split())
 CHOSEN = frozenset(("article", "main"))
-BOILERPLATE = frozenset("aside audio button canvas datalist dialog embed footer form frame frameset head iframe input "
-                        "label math menu nav noscript object option script search select style svg template textarea "
+BOILERPLATE = frozenset("annotation annotation-xml aside audio button canvas datalist dialog embed footer form frame frameset head iframe input "
+                        "label menu nav noscript object option script search select style svg template textarea "
                         "title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
                   "status toolbar".split())
@@ -40,26 +41,39 @@ NAMES = frozenset("ad ads adsense advert adverts advertisement advertising banne
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
           "th": ("tr", "table"), "option": ("select",)}
 HEADERS = frozenset(("header", "masthead", "banner"))
+CONTROLS = frozenset(("button", "label"))  # text of the article where they stand in one
+#: names whose elements hold other articles than the page's own
+OTHERS = frozenset("comment comments commentlist discussion disqus recommended related replies reply respond teaser".split())
+#: parts of a name that tell how a page is laid out or what is open on it: 'with-sidebar', 'menu-open', 'tag-ads'
+STATES = frozenset("active category closed collapsed disabled enabled expanded has is layout no not off on open opened tag "
+                   "tagged template visible with without".split())
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _UNFINISHED = re.compile(r"<[/!?A-Za-z][^<>]*\Z")  # a tag that the page's end cuts off
 
 
 class Lines(HTMLParser):
-    """Events to lines: text, tags, section numbers from the outside in, chosen section or None."""
+    """Events to lines: text, tags, section numbers from the outside in, chosen section or 0, pieces.
+
+    Pieces are None, or (data, marks) where some of the line lies in elements that are marked as boilerplate by name.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple, int | None]] = []
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, section number or 0, boilerplate, nearest chosen
-        self.text: list[str] = []
+        self.lines: list[tuple[str, int, tuple, int, list | None]] = []
+        #: tag, section number or 0, boilerplate, nearest chosen, marks by name
+        self.open: list[tuple[str, int, bool, int, tuple]] = []
+        self.text: list[tuple[str, tuple]] = []
+        self.others: list[bool] = []  # of every mark: its name is one of OTHERS
+        self.starts: list[tuple[str, tuple]] = []  # of every article and main: tag, marks around it
         self.tags = self.sections = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
+        text = " ".join("".join([data for data, _ in self.text]).split())
         if text:
-            path = tuple(s for _, s, _, _ in self.open if s)
-            self.lines.append((text, self.tags, path, self.open[-1][3] if self.open else 0))
+            path = tuple(x[1] for x in self.open if x[1])
+            pieces = self.text if any(marks for _, marks in self.text) else None
+            self.lines.append((text, self.tags, path, self.open[-1][3] if self.open else 0, pieces))
         if text or self.tags > 8:
             self.tags = 0
         self.text = []
@@ -78,11 +92,11 @@ class Lines(HTMLParser):
                 if name in SECTION or name in CLOSES.get(tag, ()) or (name in BLOCK and tag not in CLOSES):
                     break
         elif tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", ()))
         self.tags += 1
         if tag in VOID:
             return
-        above = self.open[-1] if self.open else ("", 0, False, 0)
+        above = self.open[-1] if self.open else ("", 0, False, 0, ())
         chosen = above[3]
         number = 0
         if tag in SECTION:
@@ -91,10 +105,17 @@ class Lines(HTMLParser):
             if tag in CHOSEN:
                 chosen = number
         inside = any(x[0] in CHOSEN for x in self.open)  # a header there is the article's own
-        bad = above[2] or tag in BOILERPLATE or (tag == "header" and not inside)
+        bad = above[2] or (tag in BOILERPLATE and not (inside and tag in CONTROLS)) or (tag == "header" and not inside)
+        marks = above[4]
         if attrs and not bad and tag not in ("html", "body"):
-            bad = _named_boilerplate(attrs, HEADERS if inside or tag in CHOSEN else frozenset())
-        self.open.append((tag, number, bad, chosen))
+            bad = _hidden(attrs)
+            names = () if bad or tag in CHOSEN else _boilerplate_names(attrs, HEADERS if inside else frozenset())
+            if names:
+                marks = (*marks, len(self.others))
+                self.others.append(not OTHERS.isdisjoint(names))
+        if tag in CHOSEN and not bad:
+            self.starts.append((tag, marks))
+        self.open.append((tag, number, bad, chosen, marks))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -110,24 +131,50 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
-            self.text.append(data)
+            self.text.append((data, self.open[-1][4] if self.open else ()))
+
+    def without_marks(self) -> set[int]:
+        """Marks that fall: around main; around an article, unless its name is one of OTHERS and other articles are free."""
+        free = {m for tag, marks in self.starts for m in marks if tag == "main" or not self.others[m]}
+        if self.starts and not any(free.issuperset(marks) for _, marks in self.starts):
+            free = {m for _, marks in self.starts for m in marks}
+        return free
+
+    def kept(self, free: set[int]) -> list[tuple]:
+        """The lines, without what stands under a mark that is not free."""
+        found = []
+        for line in self.lines:
+            if line[4]:
+                text = " ".join("".join([data for data, marks in line[4] if free.issuperset(marks)]).split())
+                line = (text, *line[1:])
+            if line[0]:
+                found.append(line)
+        return found
 
 
-def _named_boilerplate(attrs: list, but: frozenset) -> bool:
+def _hidden(attrs: list) -> bool:
     for name, value in attrs:
         if name == "hidden":
             return True
-        words = _NAME.findall(_CAMEL.sub(" ", value or "").lower()) if name in ("class", "id") else ()
         value = (value or "").lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if any(w in NAMES and w not in but for w in words):
-            return True
     return False
 
 
+def _boilerplate_names(attrs: list, but: frozenset) -> list[str]:
+    """Boilerplate names that begin or end a class or id."""
+    found = []
+    for name, value in attrs:
+        for token in (value or "").split() if name in ("class", "id") else ():
+            words = _NAME.findall(_CAMEL.sub(" ", token).lower())
+            if words and STATES.isdisjoint(words):
+                found += [w for w in (words[0], words[-1]) if w in NAMES and w not in but]
+    return found
+
+
 def threshold(x: np.ndarray) -> float:
     """Half way between the means of the low and the high values, moved until it rests."""
     t = x.mean()
@@ -149,17 +196,37 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, kernel, mode="full")[r:r + len(x)] / near  # at the ends the weights there are share the whole
 
 
+def high_lines(lines: list[tuple]) -> np.ndarray:
+    ratio = smoothed(np.array([len(line[0]) / max(1, line[1]) for line in lines]))
+    return ratio >= threshold(ratio)
+
+
+def _clustered_free(parser: Lines, free: set[int]) -> set[int]:
+    """Marks of elements that hold more than half of the text of all high lines; under one of OTHERS nine tenths of it."""
+    if all(free.issuperset(marks) for line in parser.lines if line[4] for _, marks in line[4]):
+        return set()
+    weight: dict[int, int] = {}
+    total = 0
+    for line, h in zip(parser.lines, high_lines(parser.lines)):
+        if h:
+            total += len(line[0])
+            for data, marks in line[4] or ():
+                for m in marks:
+                    weight[m] = weight.get(m, 0) + len(" ".join(data.split()))
+    return {m for m, w in weight.items() if (w >= 0.9 * total if parser.others[m] else 2 * w > total)}
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main content in page order, joined by newlines; empty if there are none."""
     parser = Lines()
     parser.feed(_UNFINISHED.sub("", html or ""))
     parser.close()
     parser.flush()
-    lines = parser.lines
+    free = parser.without_marks()
+    lines = parser.kept(free | _clustered_free(parser, free))
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines]))
-    high = ratio >= threshold(ratio)
+    high = high_lines(lines)
     marked = {line[3] for line in lines if line[3]}
     if marked:
         regions = {line[3] for line, h in zip(lines, high) if h and line[3]} or marked
@@ -167,7 +234,7 @@ def main_text(html: str | None) -> str:
     # sections that hold at least half of the text of the high lines, from the outside in, as deep as that holds
     weight: dict[int, int] = {}
     total = 0
-    for (text, _, path, _), h in zip(lines, high):
+    for (text, _, path, _, _), h in zip(lines, high):
         if h:
             total += len(text)
             for s in path:

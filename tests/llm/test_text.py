@@ -40,6 +40,23 @@ def test_comments_inside_an_article_go():
     assert H.main_text(PAGE.replace("{}", body)) == " ".join(LONG.split())
 
 
+@pytest.mark.parametrize("open_,close", [
+    ('<main class="with-sidebar">', "</main>"), ('<article class="post tag-ads comments-open">', "</article>"),
+    ('<div class="layout no-sidebar">', "</div>"), ('<div class="page menu-open">', "</div>"),
+    ('<div class="widget share"><article>', "</article></div>"), ('<div id="related"><main>', "</main></div>"),
+    ('<div class="social widget">', "</div>"), ('<article id="share">', "</article>")])
+def test_names_never_lose_an_article(open_, close):
+    words = " ".join(LONG.split())
+    assert H.main_text(f"<body><nav>menu</nav>{open_}<p>{LONG}</p><p>{LONG}</p>{close}</body>") == f"{words}\n{words}"
+
+
+def test_other_articles_and_formulas():
+    words = " ".join(LONG.split())
+    body = (f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, <label>see</label></p></article>"
+            f'<div id="comments"><article><p>{LONG}</p></article></div>')
+    assert H.main_text(PAGE.replace("{}", body)) == f"{words}\nso x=1, see"
+
+
 @pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain &lt;text", "plain <text"), ("<p", ""), ("<p>a<p>b", "a\nb"),
                                        ("<article><p>x</article", "x"), ("<script>x</script>", ""), ("</div></p>a", "a"),
                                        ("<nav>only menu</nav>", ""), ("<article>" + "<b>" * 3000 + "deep", "deep")])
