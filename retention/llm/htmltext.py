@@ -3,10 +3,12 @@
 The standard library's parser streams events. Block elements cut the page into lines, each with its decoded text, the
 tags met in it and the sections it lies in. Lines under elements that are boilerplate by tag or role can never be
 content. A class or id only marks an element as boilerplate: the mark falls where the element holds an article or most of
-the text that clusters high, and ``article`` and ``main`` are never marked by name. Over the rest the ratio of text characters to tags is smoothed with a Gaussian and clustered into two levels (a
-threshold half way between the cluster means, moved until it rests). The regions that hold high lines are the content:
-``article`` and ``main`` elements where the page has them, else the sections that most of the high lines lie in. All
-lines of those regions are kept, short ones too.
+the text that clusters high, and ``article`` and ``main`` are never marked by name. Over
+the rest the ratio of text characters to tags is, on a log scale, smoothed with a Gaussian and clustered into two levels (a
+threshold half way between the cluster means, moved until it rests). ``article`` and ``main`` elements are the content where
+the page has them. Else it is the innermost section that holds nine tenths of the text of the high lines, and beside it and
+the sections around it the sections of mostly high lines and single high lines. All lines of these regions are kept, short
+ones too; only where the whole body is the region, sections of several mostly low lines at its two ends are menus.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 SIGMA = 1.0
+PLENTY = 100  # characters a tag; more say no more
+APART = 1.0  # levels of logs that are no further apart are one level
+NEARLY = 0.9  # of the text of the high lines
+MENU = 3  # lines at least
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
@@ -66,7 +72,7 @@ class Lines(HTMLParser):
         self.text: list[tuple[str, tuple]] = []
         self.others: list[bool] = []  # of every mark: its name is one of OTHERS
         self.starts: list[tuple[str, tuple]] = []  # of every article and main: tag, marks around it
-        self.tags = self.sections = 0
+        self.tags = self.sections = self.body = 0
 
     def flush(self) -> None:
         text = " ".join("".join([data for data, _ in self.text]).split())
@@ -102,6 +108,8 @@ class Lines(HTMLParser):
         if tag in SECTION:
             self.sections += 1
             number = self.sections
+            if tag == "body":
+                self.body = number
             if tag in CHOSEN:
                 chosen = number
         inside = any(x[0] in CHOSEN for x in self.open)  # a header there is the article's own
@@ -197,8 +205,12 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def high_lines(lines: list[tuple]) -> np.ndarray:
-    ratio = smoothed(np.array([len(line[0]) / max(1, line[1]) for line in lines]))
-    return ratio >= threshold(ratio)
+    ratio = np.array([len(line[0]) / max(1, line[1]) for line in lines])
+    x = smoothed(np.log1p(np.minimum(ratio, PLENTY)))
+    high = x >= threshold(x)
+    if not high.all() and x[high].mean() - x[~high].mean() < APART:
+        high[:] = True
+    return high
 
 
 def _clustered_free(parser: Lines, free: set[int]) -> set[int]:
@@ -213,7 +225,7 @@ def _clustered_free(parser: Lines, free: set[int]) -> set[int]:
             for data, marks in line[4] or ():
                 for m in marks:
                     weight[m] = weight.get(m, 0) + len(" ".join(data.split()))
-    return {m for m, w in weight.items() if (w >= 0.9 * total if parser.others[m] else 2 * w > total)}
+    return {m for m, w in weight.items() if (w >= NEARLY * total if parser.others[m] else 2 * w > total)}
 
 
 def main_text(html: str | None) -> str:
@@ -226,24 +238,38 @@ def main_text(html: str | None) -> str:
     lines = parser.kept(free | _clustered_free(parser, free))
     if not lines:
         return ""
+    if any(line[3] for line in lines):
+        return "\n".join(line[0] for line in lines if line[3])
     high = high_lines(lines)
-    marked = {line[3] for line in lines if line[3]}
-    if marked:
-        regions = {line[3] for line, h in zip(lines, high) if h and line[3]} or marked
-        return "\n".join(line[0] for line in lines if line[3] in regions)
-    # sections that hold at least half of the text of the high lines, from the outside in, as deep as that holds
+    # characters of the high lines, and of all lines, in each section
     weight: dict[int, int] = {}
+    size: dict[int, int] = {}
+    count: dict[int, int] = {}
     total = 0
     for (text, _, path, _, _), h in zip(lines, high):
-        if h:
-            total += len(text)
-            for s in path:
-                weight[s] = weight.get(s, 0) + len(text)
-    deep = [s for s, w in weight.items() if 2 * w >= total]
+        total += len(text) * h
+        for s in path:
+            weight[s] = weight.get(s, 0) + len(text) * h
+            size[s] = size.get(s, 0) + len(text)
+            count[s] = count.get(s, 0) + 1
+    deep = [s for s, w in weight.items() if w >= NEARLY * total]
     if not deep:
         return "\n".join(line[0] for line in lines)
-    best = max(deep)
-    return "\n".join(line[0] for line in lines if best in line[2])
+    best = max(deep)  # each of them lies in the one before
+    around = set(deep)
+
+    parts = {line[2][1] for line in lines if best == parser.body and line[2][:1] == (best,) != line[2]}
+    texts = [s for s in parts if 2 * weight[s] >= size[s]]
+    menus = {s for s in parts if texts and count[s] >= MENU and 2 * weight[s] < size[s]
+             and not min(texts) < s < max(texts)}
+
+    def content(path: tuple, h: bool) -> bool:
+        if best in path:
+            return menus.isdisjoint(path)
+        beside = next((s for s in path if s not in around), None)
+        return h if beside is None else 2 * weight[beside] >= size[beside]
+
+    return "\n".join(line[0] for line, h in zip(lines, high) if content(line[2], h))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

@@ -57,6 +57,20 @@ def test_other_articles_and_formulas():
     assert H.main_text(PAGE.replace("{}", body)) == f"{words}\nso x=1, see"
 
 
+def test_no_part_of_the_content_is_lost():
+    def p(n, c):
+        return f"<p>{' '.join([c * 5] * (n // 6))}</p>"
+
+    menu = "<div>" + "".join(f"<li><a href=x>link{i}</a>" for i in range(12)) + "</div>"
+    for parts in ([p(300, "a"), p(600, "b") + p(500, "c")], [p(400, "a"), p(400, "b")], [p(300, "a"), p(20_000, "b"), p(300, "c")]):
+        for around in ("<div class=content>{}</div>", "{}"):
+            body = around.format("".join(f"<div>{x}</div>" for x in parts))
+            text = H.main_text(f"<body>{menu}{body}{menu}</body>")
+            assert [x for x in "abc" if x * 5 in text] == [x for x in "abc" if x * 5 in body] and "link" not in text
+    body = f"<main><h1>Title</h1><p>Intro.</p><article>{p(3000, 'a')}</article><article><p>Brief.</p></article></main>"
+    assert H.main_text(f"<body>{menu}{body}</body>").split("\n") == ["Title", "Intro.", p(3000, "a")[3:-4], "Brief."]
+
+
 @pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain &lt;text", "plain <text"), ("<p", ""), ("<p>a<p>b", "a\nb"),
                                        ("<article><p>x</article", "x"), ("<script>x</script>", ""), ("</div></p>a", "a"),
                                        ("<nav>only menu</nav>", ""), ("<article>" + "<b>" * 3000 + "deep", "deep")])
