@@ -33,7 +33,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay if no passage of theirs aligns with a benchmark item."""
-    return decontaminate.keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"), whole=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

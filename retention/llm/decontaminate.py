@@ -3,7 +3,8 @@
 1. Word counts of the benchmark's vocabulary over the whole corpus, in one pass, give every word its information
    -log2 p. Counts of a few thousand words leave each task, not counts of the corpus.
 2. A seed starts at every word of an item: the shortest run of at least ``SEED_WORDS`` words that carries ``SEED_BITS``
-   bits, so seeds of common words are longer and chance hits stay as rare as hits of rare words.
+   bits, so seeds of common words are longer and chance hits stay as rare as hits of rare words. With ``whole`` an item
+   that has no seed, being short or common, is searched as a whole: its exact copies are found in tables of any size.
 3. Every whole document is searched for seeds. Hits of one item on nearby diagonals make a passage, with room for
    insertions on both sides.
 4. Smith-Waterman over words (match 1, mismatch and gap -0.5) aligns item and passage. The score is the best local
@@ -16,6 +17,7 @@ searched against all documents. Nothing is shuffled but counts.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,16 +33,23 @@ LEAST = 0.4
 GAP = MISMATCH = 0.5
 BLOCK_ITEMS = 20_000
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+# letters of scripts without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han) and the punctuation of the last two
+_LETTER = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3040-\u30fa\u30fc-\u31ff\u3400-\u4dbf"
+                     "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_STOP = re.compile("[\u3000-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words; ASCII punctuation separates like white space."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACES).split()
+    """Lower-case words; ASCII punctuation separates like white space. Letters of scripts without spaces are words each."""
+    text = (text or "").lower()
+    if not text.isascii() and _LETTER.search(text):
+        text = _STOP.sub(" ", _LETTER.sub(r" \g<0> ", text))
+    return text.encode("utf-8", "surrogatepass").translate(_SPACES).split()
 
 
 class Items:
-    """A block of benchmark items: vocabulary, word numbers (from 1) and, after weigh(), the seeds."""
+    """A block of benchmark items: vocabulary, word numbers (from 1) and, after weigh(), the seeds and whole items."""
 
     def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
@@ -48,8 +57,8 @@ class Items:
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(r[1])], dtype=np.int64)
                       for r in rows]
 
-    def weigh(self, count: np.ndarray, total: int) -> Items:
-        """count: occurrences in the corpus by word number; total: all words of the corpus."""
+    def weigh(self, count: np.ndarray, total: int, whole: bool = False) -> Items:
+        """count: occurrences in the corpus by word number; total: all words; whole: search items without seeds whole."""
         bits = -np.log2((count + 1.0) / (total + len(count) + 1.0))
         found: dict[int, list[tuple]] = {}
         for item, ws in enumerate(self.words):
@@ -60,12 +69,21 @@ class Items:
                     n += 1
                 if n >= SEED_WORDS and b >= SEED_BITS:
                     found.setdefault(n, []).append((int(_keys(ws[i:i + n], n)[0]), item, i))
-        self.seeds = {}
-        for n, rows in found.items():
-            rows.sort()
-            self.seeds[n] = (np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1:] for r in rows]))
+        self.seeds = self._sorted(found)
+        seeded = {r[1] for rows in found.values() for r in rows}
+        short: dict[int, list[tuple]] = {}
+        for item, ws in enumerate(self.words):
+            if whole and len(ws) and item not in seeded:
+                short.setdefault(len(ws), []).append((int(_keys(ws, len(ws))[0]), item, 0))
+        self.whole = self._sorted(short)
         return self
 
+    @staticmethod
+    def _sorted(found: dict[int, list[tuple]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length: sorted keys, and (item, place) of each."""
+        return {n: (np.array([r[0] for r in sorted(rows)], dtype=np.uint64), np.array([r[1:] for r in sorted(rows)]))
+                for n, rows in found.items()}
+
     def numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray, list]:
         """Word numbers of all texts in a line (0: not in the benchmark), a 0 after each; starts; the words."""
         get = self.vocab.get
@@ -83,24 +101,17 @@ class Items:
         hits = [np.zeros((0, 4), dtype=np.int64)]  # text, item, diagonal, place
         known = flat > 0
         for n, (keys, where) in self.seeds.items():
-            if len(flat) < n:
-                continue
-            run = known[:len(flat) - n + 1].copy()
-            for j in range(1, n):
-                run &= known[j:len(flat) - n + 1 + j]
-            at = np.flatnonzero(run)
-            own = _keys(flat, n, at)
-            lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
-            some = hi > lo
-            at, lo, many = at[some], lo[some], (hi - lo)[some]
-            seed = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            place = np.repeat(at, many)
+            place, seed = _hits(flat, known, n, keys)
             text = np.searchsorted(start, place, side="right") - 1
-            item, i = where[seed].T if len(seed) else (seed, seed)
+            item, i = where[seed].T
             hits.append(np.stack([text, item, place - i, place], axis=1))
+        found = []
+        for n, (keys, where) in self.whole.items():
+            place, seed = _hits(flat, known, n, keys)
+            text = np.searchsorted(start, place, side="right") - 1
+            for t, q, a in zip(text.tolist(), where[seed, 0].tolist(), (place - start[text]).tolist()):
+                found.append((t, q, 1.0, a, a + n, b" ".join(words[t][a:a + n]).decode("utf-8", "replace")))
         hits = np.concatenate(hits)
-        if not len(hits):
-            return []
         hits = np.unique(hits[:, :3], axis=0)
         regions: list[list[int]] = []  # text, item, from, to, first diagonal
         for t, q, d in hits.tolist():
@@ -112,7 +123,6 @@ class Items:
                 regions.append([t, q, d - room // 3, d + room + room // 3, d])
         end = np.r_[start[1:] - 1, len(flat) - 1]
         spans = [(t, q, max(a, start[t]), min(b, end[t])) for t, q, a, b, _ in regions]
-        found = []
         for i in range(0, len(spans), 512):
             part = spans[i:i + 512]
             items = [self.words[q] for _, q, _, _ in part]
@@ -133,6 +143,21 @@ class Items:
         return kept
 
 
+def _hits(flat: np.ndarray, known: np.ndarray, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the line of word numbers where a run of n has one of the sorted keys, and that key's number."""
+    if len(flat) < n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    run = known[:len(flat) - n + 1].copy()
+    for j in range(1, n):
+        run &= known[j:len(flat) - n + 1 + j]
+    at = np.flatnonzero(run)
+    own = _keys(flat, n, at)
+    lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+    some = hi > lo
+    at, lo, many = at[some], lo[some], (hi - lo)[some]
+    return np.repeat(at, many), np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 def _keys(ids: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
     """A key for each run of n word numbers (at the given places)."""
     ids = ids.astype(np.uint64)
@@ -168,14 +193,15 @@ def smith_waterman(items: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.
     return best, stop
 
 
-def item_blocks(benchmark: DataFrame, corpus: DataFrame, item_col: str, item_text: str, text_col: str) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, corpus: DataFrame, item_col: str, item_text: str, text_col: str,
+                whole: bool = False) -> Iterator[Items]:
     """The benchmark in blocks, each with seeds weighed against the whole corpus."""
     rows = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     blocks = max(1, math.ceil(rows.count() / BLOCK_ITEMS))
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
         items = Items([tuple(r) for r in part.orderBy("i", "t").collect()])  # about BLOCK_ITEMS rows
-        yield items.weigh(*_word_counts(corpus, text_col, items))
+        yield items.weigh(*_word_counts(corpus, text_col, items), whole)
 
 
 def _word_counts(corpus: DataFrame, text_col: str, items: Items) -> tuple[np.ndarray, int]:
@@ -199,17 +225,17 @@ def _word_counts(corpus: DataFrame, text_col: str, items: Items) -> tuple[np.nda
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", whole: bool = False) -> DataFrame:
     """(id, item id, score, first_word, end_word, passage): every passage of a document that copies an item.
 
-    Null or wordless texts and items match nothing, and so do items that carry less than ``SEED_BITS`` bits in
-    all, which chance would find anywhere. Repeated rows and items each return their rows. Word places count the lower-case
+    Null or wordless texts and items match nothing. Items of less than ``SEED_WORDS`` words or ``SEED_BITS`` bits in all,
+    which chance would find anywhere, match their exact copies with ``whole`` and else nothing. Repeated rows and items each return their rows. Word places count the lower-case
     words of words_of(); passage joins them by spaces.
     """
     kinds = dict(docs.select(id_col).dtypes)[id_col], dict(benchmark.select(item_col).dtypes)[item_col]
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for items in item_blocks(benchmark, docs, item_col, item_text, text_col):
+    for items in item_blocks(benchmark, docs, item_col, item_text, text_col, whole):
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             types = [pa.float64(), pa.int64(), pa.int64(), pa.string()]
             for b in batches:
@@ -229,9 +255,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                        item_text: str = "text") -> DataFrame:
-    """The rows, whole, of which no passage copies an item."""
-    for items in item_blocks(benchmark, docs, item_col, item_text, text_col):
+                        item_text: str = "text", whole: bool = False) -> DataFrame:
+    """The rows, whole, of which no passage copies an item; ``whole`` as in find_passages()."""
+    for items in item_blocks(benchmark, docs, item_col, item_text, text_col, whole):
         def clean(texts: list, items: Items = items) -> np.ndarray:
             keep = np.ones(len(texts), dtype=bool)
             keep[[r[0] for r in items.passages(texts)]] = False

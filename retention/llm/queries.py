@@ -31,7 +31,7 @@ def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op5_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from retention.llm import decontaminate as D
+from retention.llm import queries
 
 
 def naive_sw(a, b):
@@ -73,3 +74,24 @@ def test_shared_passage_stays_a_seed(make_docs, spark):
     docs = [(i, f"{t} {items[0][1]}") if i % 3 else (i, t) for i, t in docs]
     found = D.find_passages(make_docs(docs * 3), spark.createDataFrame(items[:1], "item_id bigint, text string")).collect()
     assert {r.doc_id for r in found} >= {i for i, _ in docs if i % 3}
+
+
+def test_exact_copies_of_every_item(make_docs, spark, tmp_path):
+    """Items without a seed, and scripts without spaces; also by the registered query."""
+    han = "机器学习模型在训练数据中看到测试题目的答案就会得到过高的分数"
+    items = [(1, "word"), (2, "red herring"), (3, "a b c d"), (4, han), (5, "日本"), (6, "ทดสอบภาษาไทย"), (7, "?!"), (8, None)]
+    docs = [(1, "One Word."), (2, "no words"), (3, "a red, herring"), (4, "a b c e a b c d f"), (5, f"前言。{han}，后记"),
+            (6, "在日本。"), (7, "日 本"), (8, "นี่ทดสอบภาษาไทยครับ"), (9, "red"), (10, None), (11, "word word"), (12, "passwords")]
+    expect = {(1, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 5), (8, 6), (11, 1)}
+    for padding in (0, 300):  # bits of a word grow with the table
+        df = make_docs(docs + [(100 + i, f"filler{i} " * 50) for i in range(padding)])
+        bench = spark.createDataFrame(items, "item_id bigint, text string")
+        sf = f"{tmp_path}/{padding}"
+        df.write.parquet(f"{sf}/documents.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        found = queries.QUERIES["op4_decontaminate"](spark, sf).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == expect
+        assert {(r.doc_id, r.item_id) for r in found if r.score == 1.0} == expect
+        assert sorted(r.first_word for r in found if r.doc_id == 11) == [0, 1]
+        kept = {r.doc_id for r in D.keep_uncontaminated(df, bench, whole=True).collect()}
+        assert kept == {2, 9, 10, 12, *range(100, 100 + padding)}
