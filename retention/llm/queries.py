@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, kdshard, langid, minhash, packing, quality, simhash, tokencount, toxicity
+from . import (decontaminate, divergence, htmltext, kdshard, langid, minhash, mixing, packing, quality, simhash, tokencount,
+               toxicity, whitening)
 from .common import fold_remainder, read
 
 THRESHOLD = 0.3
@@ -68,7 +69,45 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_tokencount, op4_decontaminate, op5_kdshard, op6_quality,
-                                   op7_htmltext, op8_langid, op9_packing, op10_simhash)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return whitening.transform(vectors, whitening.fit(vectors, scale=64, offset=1_000_000, components=16))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), least_docs=10, most_terms=10)
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_tokencount, op4_decontaminate, op5_kdshard, op6_quality,
+                                   op7_htmltext, op8_langid, op9_packing, op10_simhash, op11_whitening, op12_divergence,
+                                   op13_mixing)}
+
+ORACLE_SQL: dict[str, str] = {"op12_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+vl AS (SELECT lang, count(*) AS kept, sum(n) AS total FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY w.lang, w.source, w.term),
+gn AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+             1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(gn.total, 0) + 2 * vl.kept) AS p,
+             1 + 1000000000::HUGEINT * (v.n + 2) // (vl.total + 2 * vl.kept) AS q
+      FROM g JOIN v USING (lang) JOIN vl USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gn USING (lang, source)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+k AS (SELECT lang, source, part, item, value,
+             row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM k WHERE part = 'pair' OR rank <= 10
+"""}
