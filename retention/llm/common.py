@@ -36,13 +36,13 @@ def fold_remainder(id_col: str | Column, k: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame | None, id_col: str, text: str, label: str, per_label: int,
-                    max_chars: int, labels: Iterable | None = None) -> dict:
+                    labels: Iterable | None = None) -> dict:
     """Training texts by label: about ``per_label`` rows of each label at most, those of the lowest hash of the id.
 
     ``marks`` holds (id, label); None: ``docs`` has the label itself. The rows of each label are counted, a
     threshold on the hash then lets through the wanted share, and only those few rows meet their texts (a broadcast of at
-    most ``per_label`` ids for each label). Texts of more than ``max_chars`` characters, null texts, ids and labels
-    are not drawn.
+    most ``per_label`` ids for each label). A text is drawn whole and whatever its length; null texts, ids and labels are
+    not drawn.
     """
     rows = (docs if marks is None else marks).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
     rows = rows.where("_id is not null and _label is not null").withColumn(
@@ -53,7 +53,7 @@ def labelled_sample(docs: DataFrame, marks: DataFrame | None, id_col: str, text:
     for x in out:
         share = F.when(F.col("_label") == F.lit(x), F.lit(1.1 * per_label / max(1, count.get(x, 0)))).otherwise(share)
     chosen = rows.where(F.col("_h") < share).select("_id", "_label", "_h").distinct()
-    texts = docs.where(F.length(text) <= max_chars).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     # one text of each drawn id, however often the id is repeated
     drawn = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label", "_h").agg(F.min("_text").alias("_text"))
     for x, t in sorted((r["_label"], (r["_h"], r["_text"])) for r in drawn.collect()):

@@ -1,14 +1,17 @@
 """HTML main-text extraction by text-to-tag ratio.
 
 The standard library's parser streams events. Block elements cut the page into lines, each with its decoded text, the
-tags met in it and the sections it lies in. Lines under elements that are boilerplate by tag or role can never be
-content. A class or id only marks an element as boilerplate: the mark falls where the element holds an article or most of
-the text that clusters high, and ``article`` and ``main`` are never marked by name. Over
-the rest the ratio of text characters to tags is, on a log scale, smoothed with a Gaussian and clustered into two levels (a
-threshold half way between the cluster means, moved until it rests). ``article`` and ``main`` elements are the content where
-the page has them. Else it is the innermost section that holds nine tenths of the text of the high lines, and beside it and
-the sections around it the sections of mostly high lines and single high lines. All lines of these regions are kept, short
-ones too; only where the whole body is the region, sections of several mostly low lines at its two ends are menus.
+tags met in it and the sections it lies in. All lines that a reader sees take part in the clustering, those of menus, forms
+or footers too; but lines under elements that are boilerplate by tag or role can never be content. A class or id only marks
+an element as boilerplate: the mark falls where the element holds an article or nearly all of the text that clusters high
+(comments and the like only if nothing else clusters high), and ``article`` and ``main`` are never marked by name.
+
+The ratio of text characters to tags is, on a log scale, smoothed with a Gaussian and clustered into two levels (a threshold
+half way between the cluster means, moved until it rests). The high lines choose the region: ``article`` and ``main`` elements
+that they fill, as long as these hold most of the high text. Else it is the innermost section that holds nine tenths of the
+text of the high lines, and beside it and the sections around it the sections of mostly high lines and single high lines. All
+lines of these regions are kept, short ones too; only where the whole body is the region, sections of several mostly low
+lines at its two ends are menus. Without a high line there is no text.
 """
 
 from __future__ import annotations
@@ -44,15 +47,18 @@ NAMES = frozenset("ad ads adsense advert adverts advertisement advertising banne
                   "nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo "
                   "promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor "
                   "sponsored subscribe subscription teaser toolbar widget".split())
+#: boilerplate that a reader does not see, or not as text: it does not take part in the clustering either
+UNSEEN = frozenset("annotation annotation-xml audio canvas datalist embed frame frameset head iframe input noscript object script "
+                   "style svg template title video".split())
 CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
           "th": ("tr", "table"), "option": ("select",)}
 HEADERS = frozenset(("header", "masthead", "banner"))
-CONTROLS = frozenset(("button", "label"))  # text of the article where they stand in one
 #: names whose elements hold other articles than the page's own
 OTHERS = frozenset("comment comments commentlist discussion disqus recommended related replies reply respond teaser".split())
 #: parts of a name that tell how a page is laid out or what is open on it: 'with-sidebar', 'menu-open', 'tag-ads'
 STATES = frozenset("active category closed collapsed disabled enabled expanded has is layout no not off on open opened tag "
                    "tagged template visible with without".split())
+NEVER = -1  # the mark of seen boilerplate: it is clustered with the other lines, and never falls
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _UNFINISHED = re.compile(r"<[/!?A-Za-z][^<>]*\Z")  # a tag that the page's end cuts off
@@ -67,7 +73,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple, int, list | None]] = []
-        #: tag, section number or 0, boilerplate, nearest chosen, marks by name
+        #: tag, section number or 0, unseen, nearest chosen, marks by name or NEVER
         self.open: list[tuple[str, int, bool, int, tuple]] = []
         self.text: list[tuple[str, tuple]] = []
         self.others: list[bool] = []  # of every mark: its name is one of OTHERS
@@ -113,17 +119,21 @@ class Lines(HTMLParser):
             if tag in CHOSEN:
                 chosen = number
         inside = any(x[0] in CHOSEN for x in self.open)  # a header there is the article's own
-        bad = above[2] or (tag in BOILERPLATE and not (inside and tag in CONTROLS)) or (tag == "header" and not inside)
         marks = above[4]
-        if attrs and not bad and tag not in ("html", "body"):
-            bad = _hidden(attrs)
+        unseen = above[2] or tag in UNSEEN
+        bad = NEVER in marks or tag in BOILERPLATE or (tag == "header" and not inside)
+        if attrs and not unseen and tag not in ("html", "body"):
+            unseen, role = _hidden(attrs)
+            bad = bad or unseen or role
             names = () if bad or tag in CHOSEN else _boilerplate_names(attrs, HEADERS if inside else frozenset())
             if names:
                 marks = (*marks, len(self.others))
                 self.others.append(not OTHERS.isdisjoint(names))
-        if tag in CHOSEN and not bad:
+        if bad and NEVER not in marks:
+            marks = (*marks, NEVER)
+        if tag in CHOSEN and not bad and not unseen:
             self.starts.append((tag, marks))
-        self.open.append((tag, number, bad, chosen, marks))
+        self.open.append((tag, number, unseen, chosen, marks))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -143,33 +153,32 @@ class Lines(HTMLParser):
 
     def without_marks(self) -> set[int]:
         """Marks that fall: around main; around an article, unless its name is one of OTHERS and other articles are free."""
-        free = {m for tag, marks in self.starts for m in marks if tag == "main" or not self.others[m]}
+        free = {m for tag, marks in self.starts for m in marks if m != NEVER and (tag == "main" or not self.others[m])}
         if self.starts and not any(free.issuperset(marks) for _, marks in self.starts):
-            free = {m for _, marks in self.starts for m in marks}
+            free = {m for _, marks in self.starts for m in marks if m != NEVER}
         return free
 
-    def kept(self, free: set[int]) -> list[tuple]:
-        """The lines, without what stands under a mark that is not free."""
+    def kept(self, free: set[int], high: np.ndarray) -> list[tuple]:
+        """(line, high) of the lines, without what stands under a mark that is not free."""
         found = []
-        for line in self.lines:
+        for line, h in zip(self.lines, high):
             if line[4]:
                 text = " ".join("".join([data for data, marks in line[4] if free.issuperset(marks)]).split())
                 line = (text, *line[1:])
             if line[0]:
-                found.append(line)
+                found.append((line, h))
         return found
 
 
-def _hidden(attrs: list) -> bool:
+def _hidden(attrs: list) -> tuple[bool, bool]:
+    """Whether the attributes hide the element, and whether they give it a boilerplate role."""
+    hidden = role = False
     for name, value in attrs:
-        if name == "hidden":
-            return True
         value = (value or "").lower()
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        hidden |= (name == "hidden" or name == "aria-hidden" and value == "true"
+                   or name == "style" and "display:none" in value.replace(" ", ""))
+        role |= name == "role" and value in ROLES
+    return hidden, role
 
 
 def _boilerplate_names(attrs: list, but: frozenset) -> list[str]:
@@ -205,6 +214,9 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def high_lines(lines: list[tuple]) -> np.ndarray:
+    """Which lines the clustering puts into the level of more text for a tag."""
+    if not lines:
+        return np.zeros(0, dtype=bool)
     ratio = np.array([len(line[0]) / max(1, line[1]) for line in lines])
     x = smoothed(np.log1p(np.minimum(ratio, PLENTY)))
     high = x >= threshold(x)
@@ -213,19 +225,41 @@ def high_lines(lines: list[tuple]) -> np.ndarray:
     return high
 
 
-def _clustered_free(parser: Lines, free: set[int]) -> set[int]:
-    """Marks of elements that hold more than half of the text of all high lines; under one of OTHERS nine tenths of it."""
-    if all(free.issuperset(marks) for line in parser.lines if line[4] for _, marks in line[4]):
-        return set()
+def _clustered_free(parser: Lines, free: set[int], high: np.ndarray) -> set[int]:
+    """Marks of elements that hold nine tenths of the text of all high lines that may be content, in several lines.
+
+    A single line's mark only falls if no other line is high, and one of OTHERS only if no article either is outside it:
+    neither a notice nor comments become the article by their length.
+    """
     weight: dict[int, int] = {}
+    lines_of: dict[int, set[int]] = {}
     total = 0
-    for line, h in zip(parser.lines, high_lines(parser.lines)):
-        if h:
-            total += len(line[0])
-            for data, marks in line[4] or ():
+    for i, (line, h) in enumerate(zip(parser.lines, high)):
+        for data, marks in (line[4] or ((line[0], ()),)) if h else ():
+            if NEVER not in marks:
+                n = len(" ".join(data.split()))
+                total += n
                 for m in marks:
-                    weight[m] = weight.get(m, 0) + len(" ".join(data.split()))
-    return {m for m, w in weight.items() if (w >= NEARLY * total if parser.others[m] else 2 * w > total)}
+                    weight[m] = weight.get(m, 0) + n
+                    lines_of.setdefault(m, set()).add(i)
+    alone = not any(free.issuperset(marks) for _, marks in parser.starts)
+    return {m for m, w in weight.items() if (alone and w == total if parser.others[m] else
+                                             w == total or w >= NEARLY * total and len(lines_of[m]) > 1)}
+
+
+def _chosen(lines: list[tuple], high: np.ndarray) -> set[int]:
+    """The articles and mains that the clusters fill: mostly high text, or half of all high text. They set the region's ends.
+
+    None if high text outside of them outweighs what is in them.
+    """
+    weight: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for line, h in zip(lines, high):
+        weight[line[3]] = weight.get(line[3], 0) + len(line[0]) * h
+        size[line[3]] = size.get(line[3], 0) + len(line[0])
+    total = sum(weight.values())
+    found = {s for s, w in weight.items() if s and w and (2 * w >= size[s] or 2 * w >= total)}
+    return found if 2 * sum(weight[s] for s in found) >= total else set()
 
 
 def main_text(html: str | None) -> str:
@@ -235,12 +269,16 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     free = parser.without_marks()
-    lines = parser.kept(free | _clustered_free(parser, free))
-    if not lines:
+    high = high_lines(parser.lines)
+    kept = parser.kept(free | _clustered_free(parser, free, high), high)
+    lines, high = [line for line, _ in kept], np.array([h for _, h in kept], dtype=bool)
+    if not high.any():  # boilerplate may be all that clusters high: what is left is clustered by itself
+        high = high_lines(lines)
+    if not high.any():
         return ""
-    if any(line[3] for line in lines):
-        return "\n".join(line[0] for line in lines if line[3])
-    high = high_lines(lines)
+    chosen = _chosen(lines, high)
+    if chosen:
+        return "\n".join(line[0] for line in lines if line[3] in chosen)
     # characters of the high lines, and of all lines, in each section
     weight: dict[int, int] = {}
     size: dict[int, int] = {}
@@ -278,6 +316,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
     Null, empty and textless pages have the empty text; broken markup is read as far as the parser can tell; nothing of
     the kept regions is dropped or cut, however long. Repeated rows each return a row.
     """
+    clash = {"text", "n_chars"}.intersection(c.lower() for c in keep)
+    if clash:
+        raise ValueError(f"kept columns {sorted(clash)} have the names of results: rename them first")
     src = pages.select(F.struct(*keep).alias("_at"), F.col(html_col).alias("_html"))
 
     def kernel(texts: list) -> list[pa.Array]:

@@ -21,7 +21,7 @@ from .common import labelled_sample, map_texts, pieces
 ROWS = 1 << 14
 ORDERS = (1, 2, 3)
 PER_LANG = 1500  # training rows of each language at most
-MAX_CHARS = 20_000  # longer texts are not drawn for training (all count for the document frequencies)
+PIECE = 24  # characters of the short pieces that calibrate beside whole texts
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -96,10 +96,17 @@ class LanguageModel:
         self.w = self._weights(z, n)
         self.temperature = 1.0
         if cal and k > 1:
-            logits = np.array([self._logits(*v) for v, _, _ in cal])
-            y = np.array([r[1] for r in cal])
-            losses = [(-np.log(self._softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean(), t)
-                      for t in np.geomspace(0.05, 5, 60)]
+            # a short piece from each text's middle: whole texts alone are never wrong, and any temperature would do
+            short = [(self.vector(p), self.langs.index(x)) for x in self.langs for i, t in enumerate(texts[x]) if i % 5 == 4
+                     for p in [t[len(t) // 2:len(t) // 2 + PIECE]] if _LETTER.search(p)]
+            logits = np.array([self._logits(*v) for v in [r[0] for r in cal] + [r[0] for r in short]])
+            y = np.array([r[1] for r in cal] + [r[1] for r in short])
+            # one wrong label more than there are: without an error the best temperature would be zero
+            miss = 1 / (len(y) + 1)
+            losses = []
+            for t in np.geomspace(0.01, 20, 120):
+                p = np.log(self._softmax(logits / t) + 1e-12)
+                losses.append((-((1 - miss) * p[np.arange(len(y)), y] + miss * p.mean(axis=1)).mean(), t))
             self.temperature = min(losses)[1]
         return self
 
@@ -135,7 +142,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     """Document frequencies over all rows with text and language; weights from ``per_lang`` texts of each language."""
     rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     model = LanguageModel(*document_frequencies(rows, text))
-    return model.fit(labelled_sample(rows, None, id_col, text, lang, per_lang, MAX_CHARS))
+    return model.fit(labelled_sample(rows, None, id_col, text, lang, per_lang))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

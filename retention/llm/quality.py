@@ -14,6 +14,8 @@ text.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -26,11 +28,13 @@ BLOCK = 1024
 DICT_BYTES = 110_000
 LEVEL = 3
 PER_LABEL = 3000  # training rows of each label at most
-MAX_CHARS = 20_000  # longer labelled texts are not drawn for training
+MOST_BLOCKS = 1 << 15  # blocks that a dictionary is trained on at most: those of the lowest checksum
 
 
 def _blocks(text: str | None) -> list[bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
+    """Pieces of BLOCK bytes; a text of white space alone has none, like an empty one."""
+    raw = "" if text is None or text.isspace() else text
+    raw = raw.encode("utf-8", "surrogatepass")
     return [raw[i:i + BLOCK] for i in range(0, len(raw), BLOCK)]
 
 
@@ -53,6 +57,8 @@ class CompressionClassifier:
     @staticmethod
     def _dictionary(texts: list[str]) -> bytes:
         blocks = [b for t in texts for b in _blocks(t)]
+        if len(blocks) > MOST_BLOCKS:
+            blocks = sorted(blocks, key=zlib.crc32)[:MOST_BLOCKS]
         try:
             return zstandard.train_dictionary(DICT_BYTES, blocks, level=LEVEL).as_bytes()
         except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself is the dictionary
@@ -87,14 +93,14 @@ class CompressionClassifier:
 def fit(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
         per_label: int = PER_LABEL) -> CompressionClassifier:
     """Train on a bounded sample of the rows that ``marks`` (id, label) labels: at most ``per_label`` of each label."""
-    found = labelled_sample(docs, marks, id_col, text, label, per_label, MAX_CHARS, [1, 0])
+    found = labelled_sample(docs, marks, id_col, text, label, per_label, [1, 0])
     learnable = marks.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
     share = learnable.agg(F.avg(F.col(label).cast("double"))).first()[0]
     return CompressionClassifier().fit(found[1], found[0], share)
 
 
 def score(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): probability of good quality of every whole text. Null and empty texts have difference 0."""
+    """(id, score): probability of good quality of every whole text. Null, empty and blank texts have difference 0."""
     return map_texts(docs, id_col, text_col, "score double", lambda texts: [pa.array(model.score(texts))])
 
 

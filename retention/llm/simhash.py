@@ -178,8 +178,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by 128 bits of hashes of id and text, so the chosen rows meet the table on an even key.
     A group without any id keeps its row of the lowest hash.
     """
-    k1 = F.xxhash64(F.col(id_col), F.col(text_col))
-    k2 = F.xxhash64(F.lit("second"), F.col(text_col), F.col(id_col))
+    # hashes pass over nulls, so what is null is part of the key
+    null = F.when(F.col(id_col).isNull(), 1).otherwise(0) + F.when(F.col(text_col).isNull(), 2).otherwise(0)
+    k1 = F.xxhash64(null, F.col(id_col), F.col(text_col))
+    k2 = F.xxhash64(F.lit("second"), F.col(text_col), F.col(id_col), null)
     own = cut_lineage(fingerprints(docs, id_col, text_col, words, k1=k1, k2=k2))
     of = _groups(own, id_col, max_bits, blocks)
     c1, c2, nth = (free_name(n, docs.columns) for n in ("_k1", "_k2", "_nth"))
@@ -187,5 +189,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "k1", "k2"))
                    .alias("c")).select(F.col("c.k1").alias(c1), F.col("c.k2").alias(c2)))
     rows = docs.withColumns({c1: k1, c2: k2}).join(chosen, [c1, c2], "left_semi")
-    order = Window.partitionBy(c1, c2).orderBy(F.xxhash64(*docs.columns))
+    # maps have no hash of their own
+    plain = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    order = Window.partitionBy(c1, c2).orderBy(F.xxhash64(*plain))
     return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)

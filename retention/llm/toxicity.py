@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import defaultdict
 from itertools import chain
 
@@ -28,7 +29,6 @@ HIDDEN, EMBED, ATTEND = 8, 8, 8
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
 NGRAMS = (3, 4, 5)
 PER_LABEL = 1500  # training rows of each label at most
-MAX_CHARS = 6_000  # longer labelled texts are not drawn for training
 BATCH, NOISY_STEPS, BAG_STEPS = 160, 120, 120
 CHUNK = 2048  # windows scored at once
 LONGEST, PIECE, STEP = 24, 16, 12  # characters of a word at most; of a piece of a longer one; from piece to piece
@@ -37,16 +37,17 @@ _MARKS = "".join(c for c in map(chr, [*range(0x300, 0x1F000), *range(0xE0100, 0x
                  if unicodedata.category(c)[0] == "M")
 _APART = f"(?:[^\\w{_MARKS}]|_)+"
 _BREAK = re.compile(_APART)
+_JOINS = {ord(c): " " for c in "_-./\\|+*=~:;,!?"}  # words written together with one of these are words of their own
 _BARE = re.compile(f"^{_APART}|{_APART}$")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words between white space; punctuation at their ends is taken off before they are looked up.
+    """Lower-case words between white space or joins; punctuation at their ends is taken off before they are looked up.
 
     Of a run of more than ``LONGEST`` characters every part between punctuation is a word, and a part that is still longer
     (a script without spaces) is cut into pieces that overlap by the longest n-gram less one, so none is left out.
     """
-    words = (text or "").lower().split()
+    words = (text or "").lower().translate(_JOINS).split()
     if max(map(len, words), default=0) <= LONGEST:
         return words
     found = []
@@ -315,6 +316,7 @@ class ToxicityModel:
         self.net, self.curve = BiGru(), None
         if not toxic or not clean:  # nothing to tell apart: the share of toxic rows
             self.prior = float(len(toxic) > 0)
+            warnings.warn(f"only one label to learn from: every score is {self.prior}", stacklevel=2)
             return self
         g = np.random.default_rng(seed)
         # a quarter of the texts calibrates
@@ -362,7 +364,7 @@ class ToxicityModel:
 def fit(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
         per_label: int = PER_LABEL) -> ToxicityModel:
     """Train on a bounded sample of the rows that ``marks`` (id, label) labels: at most ``per_label`` of each label."""
-    found = labelled_sample(docs, marks, id_col, text, label, per_label, MAX_CHARS, [1, 0])
+    found = labelled_sample(docs, marks, id_col, text, label, per_label, [1, 0])
     share = marks.agg(F.avg(F.col(label).cast("double"))).first()[0]
     return ToxicityModel().fit(found[1], found[0], share)
 

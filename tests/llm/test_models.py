@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from retention.llm import langid, quality, queries, toxicity
-from retention.llm.common import Platt
+from retention.llm.common import Platt, labelled_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -135,3 +135,31 @@ def test_platt_separates():
     curve = Platt().fit(x, x)
     assert curve(np.array([1.0]))[0] > 0.9 > 0.1 > curve(np.array([0.0]))[0]
     assert abs(curve.towards(0.01, 0.5)(np.array([0.5]))[0] - 0.01) < 0.01
+
+
+def test_long_texts_are_drawn_for_training(make_docs, spark):
+    docs = make_docs([(1, "long " * 60_000), (2, "short"), (3, None)])
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (4, 0)], "doc_id bigint, toxic int")
+    assert labelled_sample(docs, marks, "doc_id", "text", "toxic", 100, [1, 0]) == {1: ["long " * 60_000], 0: ["short"]}
+
+
+def test_blank_texts_score_as_empty_ones():
+    model = quality.CompressionClassifier().fit(["good words in a line"] * 40, ["b@d %% w0rds"] * 40)
+    scores = model.score([None, "", " ", "\n\t  "])
+    assert len(set(scores.tolist())) == 1
+
+
+def test_joined_words_are_read_one_by_one():
+    assert toxicity.words_of("you_stupid_idiot") == toxicity.words_of("you_stupid_idiot_and_more_words")[:3] == ["you", "stupid", "idiot"]
+
+
+def test_one_label_warns():
+    with pytest.warns(UserWarning):
+        assert set(toxicity.ToxicityModel().fit(["bad"], []).score(["a", None])) == {1.0}
+
+
+def test_temperature_lies_inside_its_grid():
+    texts = {"aa": [f"abra kadabra {i} alaka zam" for i in range(60)], "bb": [f"hokus pokus {i} fidi bus" for i in range(60)]}
+    model = langid.LanguageModel(120, np.ones(langid.ROWS)).fit(texts)
+    assert 0.01 < model.temperature < 20
+    assert model.predict(["abra kadabra", "pokus hokus", None, "12"])[0] == ["aa", "bb", "und", "und"]

@@ -102,6 +102,14 @@ def test_keep_first_keeps_one_whole_row_of_each_group(make_docs, odd_rows):
     assert simhash.keep_first(make_docs([])).count() == 0
 
 
+def test_keep_first_tells_nulls_apart(spark):
+    """(id 'a', no text) and (no id, text 'a') are two rows of two groups; a map column does no harm."""
+    rows = [("a", None, {"k": 1}), (None, "a", {"k": 2}), (None, "a", {"k": 2}), ("b", "some other words here", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, extra map<string,int>")
+    kept = simhash.keep_first(docs).collect()
+    assert sorted((r.doc_id or "", r.text or "") for r in kept) == [("", "a"), ("a", ""), ("b", "some other words here")]
+
+
 def test_minhash_estimates_likeness():
     g, errors = random.Random(5), []
     for share in np.linspace(0, 1, 30):

@@ -1,5 +1,9 @@
 """HTML extraction and token counts."""
 
+import math
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -54,7 +58,70 @@ def test_other_articles_and_formulas():
     words = " ".join(LONG.split())
     body = (f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, <label>see</label></p></article>"
             f'<div id="comments"><article><p>{LONG}</p></article></div>')
-    assert H.main_text(PAGE.replace("{}", body)) == f"{words}\nso x=1, see"
+    assert H.main_text(PAGE.replace("{}", body)) == f"{words}\nso x=1,"
+
+
+def naive_high(texts, tags):
+    """Ratio, Gaussian mean of the neighbours and the two-level threshold, line by line."""
+    x = [math.log1p(min(len(t) / max(1, n), H.PLENTY)) for t, n in zip(texts, tags)]
+    smooth = []
+    for i in range(len(x)):
+        near = [(math.exp(-0.5 * ((i - j) / H.SIGMA) ** 2), x[j]) for j in range(len(x)) if abs(i - j) <= math.ceil(3 * H.SIGMA)]
+        smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    t = sum(smooth) / len(smooth)
+    for _ in range(50):
+        low, high = [v for v in smooth if v < t], [v for v in smooth if v >= t]
+        if not low:
+            return [True] * len(x)
+        new = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        if abs(new - t) < 1e-9:
+            break
+        t = new
+    high = [v >= t for v in smooth]
+    up = [v for v, h in zip(smooth, high) if h]
+    down = [v for v, h in zip(smooth, high) if not h]
+    return high if sum(up) / len(up) - sum(down) / len(down) >= H.APART else [True] * len(x)
+
+
+def test_clustering_against_naive():
+    g = random.Random(3)
+    for _ in range(200):
+        lines = [("x" * g.choice([5, 20, 80, 400]), g.randint(0, 9)) for _ in range(g.randint(1, 30))]
+        assert H.high_lines(lines).tolist() == naive_high(*zip(*lines))
+
+
+def test_the_clustering_chooses_the_region(monkeypatch):
+    links = "".join(f"<div><a href=#><b>go</b></a> <a href=#><i>to {i}</i></a></div>" for i in range(8))
+    words = " ".join(LONG.split())
+    pages = [f"<body><div>{links}</div><div><p>{LONG}</p><p>{LONG}</p></div><div>{links}</div></body>",
+             f"<body><article>{links}</article><div><p>{LONG}</p><p>{LONG}</p></div></body>",
+             f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p></article><article>{links}</article></body>"]
+    for page in pages:
+        assert H.main_text(page) == f"{words}\n{words}"
+    for turn in (lambda lines: np.zeros(len(lines), dtype=bool), lambda lines: np.array(["go" in x[0] for x in lines], dtype=bool)):
+        monkeypatch.setattr(H, "high_lines", turn)
+        assert all(H.main_text(page) != f"{words}\n{words}" for page in pages)
+
+
+@pytest.mark.parametrize("page", [
+    "<article><p>{}</p><div id=comments><p>%s</p></div></article>", "<div><p>{}</p></div><div class=comments><p>%s</p></div>",
+    "<article><p>{}</p><p class=notice>%s</p></article>", "<article><p>{}</p><button>%s</button><label>%s</label></article>"])
+def test_length_makes_no_content(page):
+    text = " ".join("word" for _ in range(20))
+    assert H.main_text("<body>" + page.replace("{}", text).replace("%s", "chatter " * 150) + "</body>") == text
+
+
+def test_pages_of_sf001_with_other_tags(spark):
+    """The clustering alone gives what the article elements give."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    assert sum(H.main_text(a) == H.main_text(b) for a, b in zip(pages, plain)) >= 0.99 * len(pages)
+
+
+def test_kept_names_must_not_clash(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t")], "page_id int, url string, html string, text string")
+    with pytest.raises(ValueError):
+        H.extract(pages, keep=("page_id", "text"))
 
 
 def test_no_part_of_the_content_is_lost():
