@@ -9,7 +9,7 @@ model comparison) is one grouped aggregate each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -60,7 +60,7 @@ def top_factors(df: DataFrame, scorer: LinearScorer, k: int = 15, id_col: str =
 def waterfall(df: DataFrame, scorer: LinearScorer, k: int = 15, id_col: str = K.ID_COL) -> DataFrame:
     """Base value, the k-1 largest contributions and the sum of all others, with running totals; the last
     running total is the scorer's margin (I7)."""
-    base = F.lit(float(scorer.intercept))
+    base = scorer.intercept if isinstance(scorer.intercept, Column) else F.lit(float(scorer.intercept))
     first = F.struct(F.lit(0).alias("rank"), F.lit("base_value").alias("feature"),
                      base.alias("contribution"), base.alias("running"))
 
@@ -69,7 +69,7 @@ def waterfall(df: DataFrame, scorer: LinearScorer, k: int = 15, id_col: str = K.
                                             value.alias("contribution"),
                                             (F.element_at(acc, -1)["running"] + value).alias("running")))
 
-    ranked = df.select(id_col, _sorted_top(scorer).alias("_all"))
+    ranked = df.select("*", _sorted_top(scorer).alias("_all"))
     # one pass over the sorted array: each step appends (rank, feature, c, running + c)
     top = F.aggregate(F.slice("_all", 1, k - 1), F.array(first), lambda acc, x: step(acc, x["feature"], x["contribution"]))
     rest = F.aggregate(F.slice("_all", k, len(K.FEATURES)), F.lit(0.0), lambda acc, x: acc + x["contribution"])

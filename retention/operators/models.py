@@ -4,12 +4,12 @@ Pipelines (one per model family, mirroring the reference's three pipelines):
 
 * logistic regression: median imputation -> population z-scores -> [SMOTE on the
   training rows only] -> ``LogisticRegression`` (standardization off: inputs are scaled)
-* random forest: imputation -> ``RandomForestClassifier`` with balanced class weights
-* boosted trees: imputation -> ``GBTClassifier`` with positive weight neg/pos (truncated)
+* random forest: imputation -> ``grow.fit_forest``, class weights balanced within each tree's bag, out-of-bag scores
+* boosted trees: imputation -> ``grow.fit_boosted``, second order, positive weight neg/pos (truncated)
 
-Imputation and scaling are Column projections with fitted literals (no Python in
-the hot path); the classifier is a Spark ML stage. Probabilities come out of one
-``transform`` as ``vector_to_array(probability)[1]`` (no second pass, T18).
+Imputation and scaling are Column projections with fitted literals. The logistic classifier is a Spark ML stage, whose
+probabilities come out of one ``transform`` as ``vector_to_array(probability)[1]`` (no second pass, T18). Trees are
+scored in Arrow batches.
 Metrics reuse the SQL-checked operators of ``metrics``.
 """
 
@@ -18,26 +18,30 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from . import encode as EN
 from . import features as FE
+from . import grow as GR
 from . import metrics as ME
 from . import split as SP
 
 SEED = 42
 
 # FIXED VALUES: parameter spaces and iteration counts of the randomized search, in Spark's names. Parameters without
-# an effect in Spark (solver, min_samples_split, reg_alpha, reg_lambda) are left out, so that two maps are two fits.
+# an effect here (solver, min_samples_split) are left out, so that two maps are two fits.
 PARAM_SPACE = {
     "logistic_regression": {
         "C": [0.1, 0.5, 1, 2, 5, 10],
@@ -46,7 +50,7 @@ PARAM_SPACE = {
     },
     "random_forest": {
         "numTrees": [300, 400, 500],
-        "maxDepth": [15, 20, 25, 30],             # unlimited depth is Spark's maximum, 30
+        "maxDepth": [15, 20, 25, 30],             # unlimited depth: 30
         "minInstancesPerNode": [1, 2, 3, 4, 5],
         "featureSubsetStrategy": ["sqrt", "log2", "0.25", "0.33"],
         "minInfoGain": [0.0, 0.001, 0.01],
@@ -57,7 +61,9 @@ PARAM_SPACE = {
         "stepSize": [0.01, 0.05, 0.1],
         "subsamplingRate": [0.8, 0.9, 1.0],
         "featureSubsetStrategy": ["0.8", "0.9", "1.0"],
-        "minInfoGain": [0, 0.1, 0.2],
+        "minInfoGain": [0, 0.1, 0.2],             # gamma
+        "regAlpha": [0, 0.1, 1],
+        "regLambda": [0.5, 1, 2],
     },
 }
 SEARCH_ITERATIONS = {"logistic_regression": 30, "random_forest": 75, "xgboost": 50}
@@ -68,7 +74,7 @@ DEFAULT_PARAMS = {
     "random_forest": {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 1,
                       "featureSubsetStrategy": "sqrt", "minInfoGain": 0.0},
     "xgboost": {"maxIter": 50, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 1.0,
-                "featureSubsetStrategy": "all", "minInfoGain": 0.0},
+                "featureSubsetStrategy": "1.0", "minInfoGain": 0.0, "regAlpha": 0.0, "regLambda": 1.0, "minChildWeight": 1.0},
 }
 
 
@@ -122,14 +128,12 @@ class FittedModel:
         """Pipeline via Spark ML persistence, fitted literals as one JSON line."""
         self.pipeline.write().overwrite().save(f"{path}/{self.name}/pipeline")
         meta = {"name": self.name, "medians": self.medians, "scaling": self.scaling, "params": self.params}
-        from pyspark.sql import SparkSession
         ss = SparkSession.getActiveSession()
         ss.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/{self.name}/state")
 
     @classmethod
     def load(cls, path: str, name: str) -> "FittedModel":
-        from pyspark.sql import SparkSession
         ss = SparkSession.getActiveSession()
         meta = json.loads(ss.read.text(f"{path}/{name}/state").first()[0])
         scaling = {k: tuple(v) for k, v in meta["scaling"].items()}
@@ -137,39 +141,70 @@ class FittedModel:
                    meta["params"])
 
 
-def _classifier(model: str, params: dict, rows: int):
-    """``rows``: how many rows the fit reads. Spark averages the loss where C weighs its sum, so the penalty
-    that belongs to C is 1 / (C * rows)."""
-    if model == "logistic_regression":
-        c = float(params.get("C", 1.0))
-        return LogisticRegression(featuresCol="features", labelCol="label", maxIter=int(params.get("maxIter", 5000)),
-                                  regParam=1.0 / (c * max(1, rows)), elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0,
-                                  standardization=False)
-    if model == "random_forest":
-        return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=SEED,
-                                      numTrees=int(params.get("numTrees", 100)), maxDepth=int(params.get("maxDepth", 8)),
-                                      minInstancesPerNode=int(params.get("minInstancesPerNode", 1)),
-                                      featureSubsetStrategy=str(params.get("featureSubsetStrategy", "sqrt")),
-                                      minInfoGain=float(params.get("minInfoGain", 0.0)), bootstrap=True)
-    if model == "xgboost":
-        return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=SEED,
-                             maxIter=int(params.get("maxIter", 50)), maxDepth=int(params.get("maxDepth", 4)),
-                             stepSize=float(params.get("stepSize", 0.1)),
-                             subsamplingRate=float(params.get("subsamplingRate", 1.0)),
-                             featureSubsetStrategy=str(params.get("featureSubsetStrategy", "all")),
-                             minInfoGain=float(params.get("minInfoGain", 0.0)))
-    raise ValueError(model)
+@dataclass
+class FittedTrees:
+    """A grown ensemble. ``bags``: the forest's binned training rows with their bags, for the out-of-bag score; not saved."""
+    name: str
+    ensemble: GR.Ensemble
+    medians: dict[str, float]
+    params: dict = field(default_factory=dict)
+    bags: DataFrame | None = None
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        return FE.impute(df, self.medians, K.FEATURES)
 
-def _weights(train: DataFrame, model: str) -> DataFrame:
-    if model == "random_forest":
-        return SP.weighted(train, SP.class_weights(train))
-    if model == "xgboost":
-        spw = SP.scale_pos_weight(train).select("scale_pos_weight")
-        return (train.crossJoin(F.broadcast(spw))  # 1-row side
-                .withColumn("weight", F.when(F.col("label") == 1, F.col("scale_pos_weight")).otherwise(F.lit(1.0)))
-                .drop("scale_pos_weight"))
-    return train
+    def output(self) -> Column:
+        """The margin of boosted trees, the share of label 1 of a forest, on prepared rows."""
+        arrays, base = self.ensemble.arrays(), self.ensemble.base
+
+        @F.pandas_udf("double")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for x in batches:
+                yield pd.Series(GR.outputs(arrays, base, np.stack(x.to_list())) if len(x) else np.zeros(0))
+
+        return run(F.array(*[F.col(f).cast("double") for f in self.ensemble.features]))
+
+    def probability(self) -> Column:
+        out = self.output()
+        return out if self.ensemble.kind == "forest" else F.lit(1.0) / (F.lit(1.0) + F.exp(-out))
+
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        scored = self.prepare(df).select(*(keep or []), F.round(self.probability(), 9).alias("churn_probability"))
+        return scored.select(*(keep or []), F.lit(self.name).alias("model_used"),
+                             (F.col("churn_probability") > 0.5).cast("int").alias("churn_prediction"), "churn_probability")
+
+    def out_of_bag(self) -> DataFrame:
+        """(customerID, label, trees, probability) of the training rows, each by the trees that have not seen it."""
+        if self.bags is None:
+            raise ValueError("out-of-bag scores need the fit's own rows")
+        return GR.out_of_bag(self.ensemble, self.bags)
+
+    def save(self, path: str) -> None:
+        """Node table as parquet, fitted literals as one JSON line."""
+        ss, e = SparkSession.getActiveSession(), self.ensemble
+        e.table(ss).write.mode("overwrite").parquet(f"{path}/{self.name}/nodes")
+        meta = {"name": self.name, "kind": e.kind, "features": e.features, "base": e.base, "medians": self.medians, "params": self.params}
+        ss.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/{self.name}/state")
+
+    @classmethod
+    def load(cls, path: str, name: str) -> "FittedTrees":
+        ss = SparkSession.getActiveSession()
+        meta = json.loads(ss.read.text(f"{path}/{name}/state").first()[0])
+        e = GR.Ensemble.from_rows(meta["kind"], meta["features"], meta["base"], ss.read.parquet(f"{path}/{name}/nodes").collect())
+        return cls(meta["name"], e, meta["medians"], meta["params"])
+
+
+def load(path: str, name: str) -> FittedModel | FittedTrees:
+    return (FittedModel if name == "logistic_regression" else FittedTrees).load(path, name)
+
+
+def _classifier(params: dict, rows: int) -> LogisticRegression:
+    """``rows``: how many rows the fit reads. Spark averages the loss where C weighs its sum, so the penalty
+    that belongs to C is 1 / (C * rows)."""
+    c = float(params.get("C", 1.0))
+    return LogisticRegression(featuresCol="features", labelCol="label", maxIter=int(params.get("maxIter", 5000)),
+                              regParam=1.0 / (c * max(1, rows)), elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0,
+                              standardization=False)
 
 
 @dataclass
@@ -195,21 +230,26 @@ def prepare_fit(model: str, train: DataFrame, smote: bool = True) -> FitInput:
     return FitInput(medians, scaling, base, nn)
 
 
-def fit_prepared(model: str, prep: FitInput, params: dict | None = None) -> FittedModel:
+def fit_prepared(model: str, prep: FitInput, params: dict | None = None) -> FittedModel | FittedTrees:
     params = {**DEFAULT_PARAMS[model], **(params or {})}
     base = prep.base
+    if model == "random_forest":
+        ensemble, bags = GR.fit_forest(base, K.FEATURES, params, K.ID_COL, seed=SEED)
+        return FittedTrees(model, ensemble, prep.medians, params, bags)
+    if model == "xgboost":
+        weight = SP.scale_pos_weight(base).first()["scale_pos_weight"]
+        return FittedTrees(model, GR.fit_boosted(base, K.FEATURES, params, K.ID_COL, pos_weight=weight or 1.0, seed=SEED),
+                           prep.medians, params)
     if prep.neighbours is not None:
         from .smote import oversample
         base = oversample(base, ratio=float(params.get("smote_ratio", 1.0)), neighbours=prep.neighbours)
-    base = _weights(base, model)
     assembler = VectorAssembler(inputCols=K.FEATURES, outputCol="features", handleInvalid="error")
-    rows = base.count() if model == "logistic_regression" else 0
-    pipe = Pipeline(stages=[assembler, _classifier(model, params, rows)])
+    pipe = Pipeline(stages=[assembler, _classifier(params, base.count())])
     pm = pipe.fit(base.withColumns({f: F.col(f).cast("double") for f in K.FEATURES}))
     return FittedModel(model, pm, prep.medians, prep.scaling, params)
 
 
-def fit(model: str, train: DataFrame, params: dict | None = None, smote: bool = True) -> FittedModel:
+def fit(model: str, train: DataFrame, params: dict | None = None, smote: bool = True) -> FittedModel | FittedTrees:
     """Fit one pipeline on encoded training rows (columns FEATURES + label)."""
     return fit_prepared(model, prepare_fit(model, train, smote), params)
 
@@ -256,7 +296,7 @@ def best_params(cv: DataFrame) -> DataFrame:
             .orderBy(F.col("mean_test_auc").desc(), "param_id"))
 
 
-def refit_final(model: str, prepared: DataFrame, params: dict | None = None) -> FittedModel:
+def refit_final(model: str, prepared: DataFrame, params: dict | None = None) -> FittedModel | FittedTrees:
     """Final model on train + validation rows."""
     return fit(model, prepared.where(F.col("split").isin("train", "val")), params)
 

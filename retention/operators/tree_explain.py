@@ -2,34 +2,37 @@
 Shapley values (I2-I5, I9).
 
 TreeSHAP follows the published algorithm (Lundberg, Erion, Lee 2018, "Consistent
-individualized feature attribution for tree ensembles", Algorithm 2). Node tables
-are read from the saved Spark model (``data`` parquet: one row per node; model-sized,
-so collected and broadcast as numpy arrays). Rows are explained in ``mapInPandas``;
-inside a batch the recursion over a tree is shared by all rows - the path state
-(``one fraction`` and path weights) is a vector over the rows of the batch, so the
-Python work per batch is O(nodes x depth^2) numpy operations, independent of the
-row count.
-
-Explained value: random forest -> P(churn) (mean of the trees' leaf class shares);
-boosted trees -> the margin sum_t w_t tree_t(x) (Spark's rawPrediction[1]).
-Local accuracy holds: base_value + sum(phi) = explained value.
+individualized feature attribution for tree ensembles", Algorithm 2). The model is its node table, one row per node, which
+the tasks read: rows are dealt into row blocks and trees into tree blocks, every pair of blocks is one task's work, and
+the partial attributions of a row are summed over the tree blocks. No node reaches the driver and nothing is
+broadcast, so neither the number of trees nor their depth is bounded by one process. Inside a task the recursion over a tree is
+shared by all rows of the block: the path state is a vector over the rows, so the Python work is O(nodes x depth^2) numpy
+operations per pair of blocks.
+
+Attributions stay one array per customer (``Attributions``): ranking them and their running sums are row-local.
+
+Explained value: random forest -> P(churn) (sum of the trees' leaf shares); boosted trees -> the margin.
+Local accuracy holds: base value + sum(phi) = explained value.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import constants as K
-from ..session import ensure_checkpoint_dir
-from .split import seeded_sample
+from ..session import cut_lineage
+from . import grow as GR
+from .rank import hash_positions
+
+ROW_BLOCK, TREE_BLOCK = 4096, 32
+DIGITS = 9
 
 
 @dataclass
@@ -42,49 +45,12 @@ class TreeArrays:
     cover: np.ndarray       # weighted training count at the node
 
 
-def load_trees(fitted, kind: str) -> list[TreeArrays]:
-    """Read the node table of a fitted forest / boosted model from its saved form."""
-    from pyspark.sql import SparkSession
-    ss = SparkSession.getActiveSession()
-    base = ensure_checkpoint_dir(ss)
-    path = os.path.join(base, f"trees-{uuid.uuid4().hex}")
-    clf = fitted.pipeline.stages[-1]
-    clf.write().overwrite().save(path)
-    nodes = ss.read.parquet(os.path.join(path, "data")).select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-        "nodeData.split.numCategories").toPandas()          # model-sized: trees x nodes
-    meta = ss.read.parquet(os.path.join(path, "treesMetadata")).toPandas()
-    weights = dict(zip(meta["_1"], meta["_3"]))
-    n_trees = len(weights)
-    trees = []
-    for tid, g in nodes.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        left = np.full(n, -1)
-        right = np.full(n, -1)
-        feat = np.full(n, -1)
-        thr = np.zeros(n)
-        val = np.zeros(n)
-        cov = np.zeros(n)
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            stats = np.asarray(r.impurityStats, dtype=float)
-            if kind == "random_forest":
-                tot = stats.sum()
-                cov[i] = tot
-                val[i] = (stats[1] / tot if tot > 0 and len(stats) > 1 else 0.0) / n_trees
-            else:
-                cov[i] = stats[0]
-                val[i] = r.prediction * weights[tid]
-            if r.leftChild >= 0:
-                if r.numCategories != -1:
-                    raise ValueError("categorical splits are not produced by this pipeline")
-                left[i], right[i] = int(r.leftChild), int(r.rightChild)
-                feat[i] = int(r.featureIndex)
-                thr[i] = float(r.leftCategoriesOrThreshold[0])
-        trees.append(TreeArrays(left, right, feat, thr, val, cov))
-    return trees
+def _trees(nodes: pd.DataFrame) -> list[TreeArrays]:
+    """The trees of a node table (tree, node, feature, threshold, left, right, value, cover)."""
+    out = []
+    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        out.append(TreeArrays(*[g[c].to_numpy() for c in ("left", "right", "feature", "threshold", "value", "cover")]))
+    return out
 
 
 def _expected(t: TreeArrays, j: int = 0) -> float:
@@ -175,91 +141,193 @@ def shap_values(trees: list[TreeArrays], X: np.ndarray) -> tuple[np.ndarray, flo
     return phi, float(sum(_expected(t) for t in trees))
 
 
-def tree_contributions(fitted, kind: str, df: DataFrame, id_col: str = K.ID_COL) -> DataFrame:
-    """Long table (customerID, model, feature, value, contribution) plus one
-    ``base_value`` row per customer (I4). Runs in mapInPandas over ``df``'s partitions."""
-    trees = load_trees(fitted, kind)
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(trees)           # model-sized
-    feats = list(K.FEATURES)
-    name = fitted.name
-    prepared = fitted.prepare(df).select(F.col(id_col).cast("string").alias(id_col),
-                                         *[F.col(f).cast("double") for f in feats])
-
-    def run(batches):
-        ts = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = pdf[feats].to_numpy(dtype=float)
-            phi, base = shap_values(ts, X)
-            ids = pdf[id_col].to_numpy()
-            n, d = X.shape
-            out = pd.DataFrame({
-                id_col: np.repeat(ids, d + 1),
-                "model": name,
-                "feature": np.tile(np.array(["base_value"] + feats, dtype=object), n),
-                "value": np.column_stack([np.full(n, np.nan), X]).ravel(),
-                "contribution": np.column_stack([np.full(n, base), phi]).ravel(),
-            })
-            yield out
-
-    schema = f"{id_col} string, model string, feature string, value double, contribution double"
-    return prepared.mapInPandas(run, schema)
-
-
-def default_importance(fitted, kind: str) -> DataFrame:
-    """Model-native importance: tree gain importance (Spark ``featureImportances``) or
-    |coefficient| for linear models; zeros when the model exposes neither (I2)."""
+def attribute(nodes: DataFrame, rows: DataFrame, features: list[str], id_col: str = K.ID_COL, base: float = 0.0,
+              row_block: int = ROW_BLOCK, tree_block: int = TREE_BLOCK) -> DataFrame:
+    """(id, base, x, phi): base value, feature values and their attributions as arrays in the order of ``features`` (I4).
+
+    ``nodes`` is a node table, whose values add up to the model's output less ``base``. Customers with equal id and values are
+    computed once and returned as often as they occur. An ensemble without trees attributes nothing.
+    """
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    own = rows.select(F.col(id_col).cast("string").alias("id"), x.alias("x")).groupBy("id", "x").agg(F.count("*").alias("copies"))
+    counts = own.agg(F.count("*")).first()[0], nodes.agg(F.max("tree")).first()[0]
+    row_blocks = max(1, math.ceil(counts[0] / row_block))
+    tree_blocks = 1 if counts[1] is None else counts[1] // tree_block + 1
+    k = len(features)
+
+    def some(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = own.select("*", F.pmod(F.xxhash64("id", "x"), F.lit(row_blocks)).cast("int").alias("rb"), some(tree_blocks).alias("tb"))
+    right = nodes.select("*", F.floor(F.col("tree") / tree_block).cast("int").alias("tb"), some(row_blocks).alias("rb"))
+
+    def kernel(some_rows: pd.DataFrame, some_nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(some_rows):
+            return pd.DataFrame({"id": [], "x": [], "copies": [], "part": []})
+        values = np.stack(some_rows["x"].to_list())
+        phi, expected = shap_values(_trees(some_nodes), values)
+        parts = np.c_[phi, np.full(len(phi), expected)]
+        return some_rows[["id", "x", "copies"]].assign(part=list(parts))
+
+    parts = left.groupBy("rb", "tb").cogroup(right.groupBy("rb", "tb")).applyInPandas(
+        kernel, "id string, x array<double>, copies bigint, part array<double>")
+    total = parts.groupBy("id", "x").agg(F.first("copies").alias("copies"), *[F.sum(F.col("part")[i]).alias(f"p{i}") for i in range(k + 1)])
+    found = total.select(F.col("id").alias(id_col), (F.lit(float(base)) + F.col(f"p{k}")).alias("base"), "x",
+                         F.array(*[F.col(f"p{i}") for i in range(k)]).alias("phi"), "copies")
+    return found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
+
+
+@dataclass
+class Attributions:
+    """``table`` (id, base, x, phi) in the form that ``explain.top_factors`` and ``explain.waterfall`` take as a scorer."""
+    name: str
+    features: list[str]
+    table: DataFrame
+
+    @property
+    def intercept(self) -> Column:
+        return F.col("base")
+
+    def contributions(self) -> Column:
+        names = F.array(*[F.lit(f) for f in self.features])
+        pairs = F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("phi").alias("contribution"))
+        return F.transform(pairs, lambda p: F.struct(
+            p["feature"].alias("feature"), p["value"].alias("value"), F.lit(None).cast("double").alias("coefficient"),
+            (F.bround(p["contribution"], DIGITS) + F.lit(0.0)).alias("contribution")))
+
+    def long(self, id_col: str = K.ID_COL) -> DataFrame:
+        """(id, model, feature, value, contribution) and one ``base_value`` row per customer."""
+        first = F.array(F.struct(F.lit("base_value").alias("feature"), F.lit(float("nan")).alias("value"),
+                                 F.col("base").alias("contribution")))
+        names = F.array(*[F.lit(f) for f in self.features])
+        rest = F.transform(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("phi").alias("contribution")),
+                           lambda p: F.struct(p["feature"].alias("feature"), p["value"].alias("value"),
+                                              p["contribution"].alias("contribution")))
+        return self.table.select(id_col, F.explode(F.concat(first, rest)).alias("c")).select(
+            id_col, F.lit(self.name).alias("model"), "c.feature", "c.value", "c.contribution")
+
+
+def attributions(fitted, df: DataFrame, id_col: str = K.ID_COL) -> Attributions:
+    """Attributions of a fitted ensemble for every row of ``df``."""
+    e = fitted.ensemble
+    table = attribute(e.table(df.sparkSession), fitted.prepare(df), e.features, id_col, e.base)
+    return Attributions(fitted.name, e.features, table)
+
+
+def tree_contributions(fitted, df: DataFrame, id_col: str = K.ID_COL) -> DataFrame:
+    """Long table (customerID, model, feature, value, contribution) plus one ``base_value`` row per customer (I4)."""
+    return attributions(fitted, df, id_col).long(id_col)
+
+
+def default_importance(fitted) -> DataFrame:
+    """Model-native importance: tree gains, or |coefficient| for linear models; zeros when the model exposes neither."""
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
-    clf = fitted.pipeline.stages[-1]
-    if hasattr(clf, "featureImportances"):
-        imp = clf.featureImportances.toArray()
-    elif hasattr(clf, "coefficients"):
-        imp = np.abs(clf.coefficients.toArray())
+    if hasattr(fitted, "ensemble"):
+        imp = fitted.ensemble.importance()
     else:
-        imp = np.zeros(len(K.FEATURES))
+        clf = fitted.pipeline.stages[-1]
+        imp = np.abs(clf.coefficients.toArray()) if hasattr(clf, "coefficients") else np.zeros(len(K.FEATURES))
     imp = list(imp[:len(K.FEATURES)]) + [0.0] * max(0, len(K.FEATURES) - len(imp))
     return ss.createDataFrame([(fitted.name, f, float(v)) for f, v in zip(K.FEATURES, imp)],
                               "model string, feature string, importance double")
 
 
-def sampled_shapley(fitted, df: DataFrame, background: DataFrame, permutations: int = 4, background_rows: int = 10,
-                    id_col: str = K.ID_COL, seed: int = 42) -> DataFrame:
-    """Model-agnostic permutation Shapley values as one Spark job.
+def predictor(fitted, margin: bool = False):
+    """A numpy function of prepared feature rows: the probability of churn (or the margin)."""
+    if hasattr(fitted, "ensemble"):
+        arrays, base, forest = fitted.ensemble.arrays(), fitted.ensemble.base, fitted.ensemble.kind == "forest"
+
+        def trees(x: np.ndarray) -> np.ndarray:
+            out = GR.outputs(arrays, base, x)
+            return out if forest or margin else 1 / (1 + np.exp(-out))
+        return trees
+    lr = fitted.pipeline.stages[-1]
+    weights, start = lr.coefficients.toArray(), float(lr.intercept)
+
+    def linear(x: np.ndarray) -> np.ndarray:
+        out = x @ weights + start
+        return out if margin else 1 / (1 + np.exp(-out))
+    return linear
+
+
+def _numbered(rows: DataFrame, id_col: str, seed: int) -> tuple[DataFrame, int]:
+    """(at, b): the feature vectors of ``rows``, numbered 0, 1, ... in hash order of the id, and how many they are."""
+    keyed = rows.withColumn("_key", C.seeded_hash(id_col, seed))
+    place = hash_positions(keyed.select("_key", F.lit(0).alias("_g")), ["_g"], "_key").select("_key", "w_before")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("b")) - 1  # copies of an id
+    out = cut_lineage(keyed.join(place, "_key").select((F.col("w_before") + nth).alias("at"), "b"))
+    return out, out.count()
+
+
+def sampled_shapley(fitted, df: DataFrame, background: DataFrame, draws: int = 24, id_col: str = K.ID_COL, seed: int = 42,
+                    margin: bool = False) -> DataFrame:
+    """(id, model, feature, contribution, std_error): model-agnostic Shapley values with their error.
+
+    Each draw of a row is one background row, dealt by a hash from all rows of ``background`` through a join, and one
+    permutation of the features walked forwards and backwards (antithetic). Along it the row's values replace the background's
+    one by one, and a feature's effect is the change of the model's output. The draw is one row, whose coalitions are scored and
+    differenced in one batch; its values are averaged over the draws, and their spread gives the standard error. The feature
+    ``base_value`` is the mean output of the drawn background rows: with it a row's values add up to its own output.
+    All rows of ``df`` are explained; an empty background explains none.
+    """
+    feats, d = list(K.FEATURES), len(K.FEATURES)
+    vector = F.array(*[F.col(f).cast("double") for f in feats])
+    pool, n = _numbered(fitted.prepare(background).select(id_col, vector.alias("b")), id_col, seed)
+    rows = fitted.prepare(df).select(F.col(id_col).cast("string").alias(id_col), vector.alias("x"))
+    unit = F.pmod(F.xxhash64(F.lit(seed), id_col, "x", "draw"), F.lit(max(1, n)))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("at", unit)
+    met = drawn.join(pool, "at").select(id_col, "x", "b", F.xxhash64(F.lit(seed), id_col, "draw").alias("h"))
+    predict = predictor(fitted, margin)
+
+    @F.pandas_udf("array<double>")
+    def effects(x: pd.Series, b: pd.Series, h: pd.Series) -> pd.Series:
+        """The effects of all features in one draw, then the background row's output."""
+        out = []
+        for i in range(0, len(x), 256):
+            xs, bs = np.stack(x.iloc[i:i + 256].to_list()), np.stack(b.iloc[i:i + 256].to_list())
+            order = np.stack([np.random.default_rng(int(v) & (2 ** 63 - 1)).permutation(d) for v in h.iloc[i:i + 256]])
+            total = np.zeros((len(xs), d + 1))
+            for way in (order, order[:, ::-1]):
+                place = np.argsort(way, axis=1)
+                mixed = np.where(place[:, None, :] < np.arange(d + 1)[None, :, None], xs[:, None, :], bs[:, None, :])
+                value = predict(mixed.reshape(-1, d)).reshape(len(xs), d + 1)
+                np.put_along_axis(total, way, np.take_along_axis(total, way, 1) + np.diff(value, axis=1) / 2, 1)
+                total[:, d] += value[:, 0] / 2
+            out += list(total)
+        return pd.Series(out)
+
+    per_draw = met.select(id_col, effects("x", "b", "h").alias("e"))
+    means = per_draw.groupBy(id_col).agg(*[f(F.col("e")[i]).alias(f"{c}{i}") for i in range(d + 1)
+                                           for c, f in (("m", F.avg), ("s", F.stddev_samp))], F.count("*").alias("k"))
+    return means.select(id_col, F.lit(fitted.name).alias("model"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("contribution"),
+                 (F.col(f"s{i}") / F.sqrt("k")).alias("std_error")) for i, f in enumerate([*feats, "base_value"])])).alias("c")
+    ).select(id_col, "model", "c.*")
+
+
+# FIXED VALUES of this library (not from the reference): a frozen ensemble over encoded features, a deterministic
+# stand-in for fitted trees. (tree, node, feature, threshold, left, right, value, cover); no feature: a leaf.
+FROZEN_TREES = [
+    (0, 0, "tenure", 12.0, 1, 2, 0.0, 1000.0), (0, 1, "Contract", 0.0, 3, 4, 0.0, 500.0), (0, 2, "MonthlyCharges", 70.0, 5, 6, 0.0, 500.0),
+    (0, 3, None, 0.0, -1, -1, 0.62, 310.0), (0, 4, None, 0.0, -1, -1, 0.21, 190.0), (0, 5, None, 0.0, -1, -1, -0.35, 270.0),
+    (0, 6, None, 0.0, -1, -1, -0.08, 230.0),
+    (1, 0, "internet_no_tech_support", 0.0, 1, 2, 0.0, 1000.0), (1, 1, None, 0.0, -1, -1, -0.17, 600.0),
+    (1, 2, "tenure", 24.0, 3, 4, 0.0, 400.0), (1, 3, None, 0.0, -1, -1, 0.43, 260.0), (1, 4, None, 0.0, -1, -1, 0.05, 140.0),
+    (2, 0, "Contract", 1.0, 1, 2, 0.0, 1000.0), (2, 1, "PaymentMethod", 1.0, 3, 4, 0.0, 620.0), (2, 2, None, 0.0, -1, -1, -0.4, 380.0),
+    (2, 3, None, 0.0, -1, -1, 0.02, 220.0), (2, 4, "Contract", 0.0, 5, 6, 0.0, 400.0), (2, 5, None, 0.0, -1, -1, 0.31, 240.0),
+    (2, 6, None, 0.0, -1, -1, -0.12, 160.0),
+    (3, 0, "clv", 2500.0, 1, 2, 0.0, 1000.0), (3, 1, "services_count", 3.0, 3, 4, 0.0, 500.0), (3, 2, "TotalCharges", 1000.0, 5, 6, 0.0, 500.0),
+    (3, 3, None, 0.0, -1, -1, 0.07, 330.0), (3, 4, None, 0.0, -1, -1, -0.03, 170.0), (3, 5, None, 0.0, -1, -1, 0.19, 210.0),
+    (3, 6, None, 0.0, -1, -1, -0.22, 290.0),
+]
+
 
-    For each explained row, permutation p and background row b, the coalitions along
-    the permutation are materialised as rows (features before position k from the
-    explained row, the rest from b), scored by ONE ``transform``, and the marginal
-    contributions are averaged with ``groupBy``. The background is a seeded sample of ``background_rows``
-    rows, the precision of the estimate; it and the permutations enter as literal arrays exploded per row.
-    All rows of ``df`` are explained."""
-    import random
+def frozen_attributions(df: DataFrame, id_col: str = K.ID_COL) -> Attributions:
+    """Attributions of the frozen ensemble; a missing value counts as 0."""
     feats = list(K.FEATURES)
-    d = len(feats)
-    rng = random.Random(seed)
-    perms = [rng.sample(range(d), d) for _ in range(permutations)]
-    sample = seeded_sample(background, background_rows, seed, id_col)
-    bg_rows = fitted.prepare(sample).select(*[F.col(f).cast("double") for f in feats]).collect()
-    perm_arr = F.array(*[F.array(*[F.lit(i) for i in p]) for p in perms])
-    bg_arr = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg_rows])
-    x = fitted.prepare(df).select(F.col(id_col).cast("string").alias(id_col), *[F.col(f).cast("double") for f in feats])
-    grid = (x.select("*", F.posexplode(perm_arr).alias("perm", "order"))
-            .select("*", F.posexplode(bg_arr).alias("bg", "bvec"))
-            .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(d)))))
-    # feature f comes from the explained row when its position in the permutation is < k
-    pos = {f: F.array_position(F.col("order"), F.lit(i)) - 1 for i, f in enumerate(feats)}
-    coal = grid.select(id_col, "perm", "bg", "k", "order",
-                       *[F.when(pos[f] < F.col("k"), F.col(f)).otherwise(F.col("bvec")[i]).alias(f)
-                         for i, f in enumerate(feats)])
-    scored = fitted.pipeline.transform(coal).select(
-        id_col, "perm", "bg", "k", "order", vector_to_array("probability")[1].alias("p"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(id_col, "perm", "bg").orderBy("k")
-    marg = (scored.withColumn("delta", F.col("p") - F.lag("p").over(w)).where(F.col("k") > 0)
-            .withColumn("feature_idx", F.col("order")[F.col("k") - 1]))
-    names = F.array(*[F.lit(f) for f in feats])
-    return (marg.groupBy(id_col, "feature_idx").agg(F.avg("delta").alias("contribution"))
-            .select(id_col, F.lit(fitted.name).alias("model"), names[F.col("feature_idx")].alias("feature"),
-                    "contribution"))
+    rows = [(t, n, -1 if f is None else feats.index(f), thr, low, high, v, c) for t, n, f, thr, low, high, v, c in FROZEN_TREES]
+    nodes = df.sparkSession.createDataFrame(rows, "tree int, node int, feature int, threshold double, left int, right int, "
+                                                  "value double, cover double")
+    filled = df.select(id_col, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
+    return Attributions("frozen_trees", feats, attribute(nodes, filled, feats, id_col))

@@ -7,6 +7,9 @@ the SQL text are written independently. ``with_base(body)`` prefixes the view.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 CUSTOMERS_SQL = """
 o as (select o_orderkey, o_custkey, cast(round(o_totalprice*100) as bigint) cents, o_orderdate, o_orderpriority,
     row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) rn from orders),
@@ -531,12 +534,101 @@ select concat(g.customerID, '#smote', cast(g.t as varchar)) customerID, 1 label,
 from g join zt a on a.customerID = g.customerID join nn on nn.customerID = g.customerID and nn.rank = g.rank
 join zt b on b.customerID = nn.neighbor_id"""))
 
+# ---------------------------------------------------------------- bags, histograms
+def unit_sql(key: str, tree: str) -> str:
+    return f"cast('0x' || substring(md5(concat({key}, '/', {tree}, '/42')), 1, 8) as bigint)"
+
+
+def poisson_sql(u: str) -> str:
+    # e^-1 / k! added up over k = 0..7
+    total, ends = 0.0, []
+    for k in range(8):
+        total += math.exp(-1) / math.factorial(k)
+        ends.append(math.floor(total * 2 ** 32))
+    return " + ".join(f"cast({u} >= {e} as int)" for e in ends)
+
+
+register("forest_bags", with_base(*PREP_ENC, f"""
+bag as (select t.tree, label, {poisson_sql('u')} w from (select cast(range as int) tree, label, {unit_sql('customerID', 'range')} u
+  from (select * from en where split='train') cross join range(100)) t)""", body="""
+select tree, label, cast(sum(w) as bigint) n from bag group by tree, label"""))
+
+_FEW = [*CATEGORICAL, "internet_no_tech_support", "phone_no_security", "premium_no_backup", "long_tenure_low_value", "SeniorCitizen",
+        "services_count"]
+register("boost_histogram", with_base(*PREP_ENC, f"""
+tr as (select * from en where split='train'),
+bw as (select floor(count(*) filter (label=0) / cast(count(*) filter (label=1) as double)) spw from tr),
+va as ({' union all '.join(f"select customerID, label, '{f}' feature, cast({f} as double) v from tr" for f in _FEW)}),
+mx as (select feature, max(v) top from va group by feature)""", body=f"""
+select va.feature, case when v = top then null else v end upper, count(*) n,
+  sum(case when label=1 then -0.5 * spw else 0.5 end) g, sum(case when label=1 then 0.25 * spw else 0.25 end) h
+from va join mx using (feature) cross join bw where {unit_sql('customerID', "'0'")} < floor(0.8 * 4294967296)
+group by va.feature, v, top"""))
+
+# ---------------------------------------------------------------- the frozen trees, restated: a leaf is (value, cover), an inner
+# node (feature, threshold, low, high). Attributions by the definition: over all sets of the tree's features.
+FROZEN = [
+    ("tenure", 12, ("Contract", 0, (0.62, 310), (0.21, 190)), ("MonthlyCharges", 70, (-0.35, 270), (-0.08, 230))),
+    ("internet_no_tech_support", 0, (-0.17, 600), ("tenure", 24, (0.43, 260), (0.05, 140))),
+    ("Contract", 1, ("PaymentMethod", 1, (0.02, 220), ("Contract", 0, (0.31, 240), (-0.12, 160))), (-0.4, 380)),
+    ("clv", 2500, ("services_count", 3, (0.07, 330), (-0.03, 170)), ("TotalCharges", 1000, (0.19, 210), (-0.22, 290))),
+]
+
+
+def _cover(node) -> float:
+    return node[1] if len(node) == 2 else _cover(node[2]) + _cover(node[3])
+
+
+def _uses(node) -> set[str]:
+    return set() if len(node) == 2 else {node[0]} | _uses(node[2]) | _uses(node[3])
+
+
+def _game(node, known: frozenset) -> str:
+    """The tree's mean output when only the features ``known`` are: other splits are weighted by their covers."""
+    if len(node) == 2:
+        return _d(node[0])
+    low, high = (_game(x, known) for x in node[2:])
+    if node[0] in known:
+        return f"case when coalesce(cast({node[0]} as double), 0) <= {_d(node[1])} then {low} else {high} end"
+    return f"(({_d(_cover(node[2]))} * {low} + {_d(_cover(node[3]))} * {high}) / {_d(_cover(node))})"
+
+
+def frozen_phi_sql(f: str) -> str:
+    parts = ["cast(0 as double)"]
+    for tree in FROZEN:
+        if f in (used := _uses(tree)):
+            k, others = len(used), sorted(used - {f})
+            for r in range(k):
+                for known in itertools.combinations(others, r):
+                    w = math.factorial(r) * math.factorial(k - r - 1) / math.factorial(k)
+                    parts.append(f"{_d(w)} * ({_game(tree, frozenset(known) | {f})} - {_game(tree, frozenset(known))})")
+    return " + ".join(parts)
+
+
+FROZEN_BASE = " + ".join(_game(tree, frozenset()) for tree in FROZEN)
+CONF = "conf as (" + " union all ".join(
+    f"select customerID, '{f}' feature, coalesce(cast({f} as double), 0) v, round_even({frozen_phi_sql(f)}, 9) + cast(0 as double) c from en"
+    for f in FEATURES) + ")"
+RANKF = """
+fr as (select *, cast(row_number() over (partition by customerID order by abs(c) desc, feature) as int) rank from conf)"""
+register("frozen_tree_contributions", with_base(*PREP_ENC, CONF, body="""
+select customerID, 'frozen_trees' model, feature, v as value, c as contribution from conf"""))
+register("tree_top_factors", with_base(*PREP_ENC, CONF, RANKF, body="""
+select customerID, 'frozen_trees' model, rank, feature, round_even(v, 9) + cast(0 as double) value, c contribution from fr where rank <= 15"""))
+register("tree_waterfall", with_base(*PREP_ENC, CONF, RANKF, f"""
+fo as (select customerID, 15 rank, 'other_features' feature, sum(c) c from fr where rank >= 15 group by customerID),
+fa as (select customerID, rank, feature, c from fr where rank < 15 union all select * from fo
+  union all select customerID, 0, 'base_value', {FROZEN_BASE} from en)""", body="""
+select customerID, 'frozen_trees' model, rank, feature, round_even(c, 9) + 0::double contribution,
+  round_even(sum(c) over (partition by customerID order by rank rows between unbounded preceding and current row), 9) + 0::double running
+from fa"""))
+
 # ---------------------------------------------------------------- invariants: every one holds
 for _name, _rows in {
     "check_logistic": ["gradient_is_zero", "learns_the_train_split", "l1_keeps_coefficients"],
     "check_trees": [f"{m}_{c}" for m in ("random_forest", "xgboost")
                     for c in ("adds_up", "explains_every_customer", "refit_agrees", "importance_is_one")],
-    "check_shapley": ["adds_up", "explains_every_test_row"],
+    "check_shapley": ["adds_up", "explains_every_test_row", "errors_as_stated", "base_is_the_train_mean"],
     "check_search": ["folds_sides_metrics", "best_is_the_mean", "no_constant_model"],
 }.items():
     register(_name, "select * from (values " + ", ".join(f"('{r}', true)" for r in _rows) + ") t(name, ok)")

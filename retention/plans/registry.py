@@ -6,8 +6,11 @@ the same names as in the SQL oracles (``retention.oracle``).
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,18 @@ from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import clv as CLV
 from ..operators import encode as EN
+from ..operators import explain as EX
+from ..operators import explainers as XP
 from ..operators import features as FE
+from ..operators import grow as GR
+from ..operators import metrics as ME
+from ..operators import models as MD
+from ..operators import score as SC
+from ..operators import smote as SM
 from ..operators import split as SP
+from ..operators import tree_explain as TX
+from ..session import ensure_checkpoint_dir
+from ..sources import files as FS
 from ..sources.tables import customers
 from .prepare import prepare
 
@@ -39,6 +52,19 @@ def _train(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train")
 
 
+# like prepared state, by application and path: several queries explain or score the same fits
+_FITS: dict[tuple, MD.FittedModel | MD.FittedTrees] = {}
+
+
+def _fitted(spark, sf_dir, model: str, params: dict | None = None):
+    """The encoded customers and the model fitted on their train split."""
+    enc = _prep(spark, sf_dir).encoded
+    key = (spark.sparkContext.applicationId, sf_dir, model, json.dumps(params, sort_keys=True))
+    if key not in _FITS:
+        _FITS[key] = MD.fit(model, _train(enc), params)
+    return enc, _FITS[key]
+
+
 # ------------------------------------------------------------------ sources, cleaning
 @query("customers")
 def q_customers(spark, sf_dir):
@@ -266,10 +292,6 @@ def q_clv_insights(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ scoring (frozen scorecards)
-from ..operators import explain as EX  # noqa: E402
-from ..operators import metrics as ME  # noqa: E402
-from ..operators import score as SC  # noqa: E402
-
 MODELS = list(SC.SCORECARDS)
 FORM_FIELDS = ["customerID", "tenure", "MonthlyCharges", "Contract", "InternetService", "TechSupport",
                "OnlineSecurity", "OnlineBackup", "PhoneService", "MultipleLines", "PaymentMethod",
@@ -462,10 +484,6 @@ def q_compare_importance(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ SMOTE
-from ..operators import models as MD  # noqa: E402
-from ..operators import smote as SM  # noqa: E402
-
-
 def _scaled_train(spark, sf_dir):
     """Training rows as the logistic pipeline sees them: imputed, population z-scores."""
     train = _train(_prep(spark, sf_dir).encoded)
@@ -515,6 +533,46 @@ def q_train_gbt(spark, sf_dir):
     return _fit_eval(spark, sf_dir, "xgboost")
 
 
+@query("forest_oob")
+def q_forest_oob(spark, sf_dir):
+    """The forest's out-of-bag AUC beside that of the rows kept out of training (M2)."""
+    enc, fm = _fitted(spark, sf_dir, "random_forest")
+    oob = fm.out_of_bag()
+    auc = ME.auc(oob.where("probability is not null").select(F.lit("oob").alias("rows"), "label", F.round("probability", 9).alias("churn_probability")), ["rows"])
+    held = fm.transform(enc.where(F.col("split") != "train"), keep=["label"]).withColumn("rows", F.lit("held_out"))
+    counts = oob.agg(F.lit("oob").alias("rows"), F.count("probability").alias("scored"), F.count(F.lit(1)).alias("customers"))
+    counts = counts.unionByName(held.agg(F.lit("held_out").alias("rows"), F.count("churn_probability").alias("scored"), F.count(F.lit(1)).alias("customers")))
+    return counts.join(auc.unionByName(ME.auc(held, ["rows"])), "rows")
+
+
+@query("forest_bags")
+def q_forest_bags(spark, sf_dir):
+    """Rows of each class in every tree's bag, from which its balanced weights follow."""
+    train = _train(_prep(spark, sf_dir).encoded)
+    rows = train.select("label", GR.bags("customerID", MD.DEFAULT_PARAMS["random_forest"]["numTrees"], MD.SEED).alias("bag"))
+    return GR.bag_classes(rows)
+
+
+#: features that never have more values than there are bins: a bin holds one value
+FEW_VALUES = [*K.CATEGORICAL, *K.FLAG_COLUMNS, "SeniorCitizen", "services_count"]
+
+
+@query("boost_histogram")
+def q_boost_histogram(spark, sf_dir):
+    """Gradient and hessian sums of the first level of the first boosted tree, on 0.8 of the train rows (M3)."""
+    train = _train(_prep(spark, sf_dir).encoded)
+    edges = GR.bin_edges(train, FEW_VALUES)
+    rows = GR.binned(train, edges, "customerID", "label", GR.bags("customerID", 1, MD.SEED, 0.8))
+    model = GR.Ensemble("boosted", FEW_VALUES)
+    model.roots.append(model.add(0))
+    weight = SP.scale_pos_weight(train).first()["scale_pos_weight"]
+    cells = GR.level_cells(rows, model, [0], np.arange(len(FEW_VALUES))[None, :], weight)
+    upper = F.array(*[F.array(*[F.lit(float(v)) for v in edges[f]]).cast("array<double>") for f in FEW_VALUES])
+    names = F.array(*[F.lit(f) for f in FEW_VALUES])
+    return cells.select(names[F.col("j")].alias("feature"), F.get(upper[F.col("j")], F.col("bin")).alias("upper"), "n",
+                        (F.col("a") / GR.UNIT).alias("g"), (F.col("b") / GR.UNIT).alias("h"))
+
+
 @query("cv_results")
 def q_cv_results(spark, sf_dir):
     return MD.cross_validate("logistic_regression", _train(_prep(spark, sf_dir).encoded), n_iter=2, folds=5)
@@ -523,8 +581,7 @@ def q_cv_results(spark, sf_dir):
 @query("score_ml_models")
 def q_score_ml_models(spark, sf_dir):
     enc = _prep(spark, sf_dir).encoded
-    fitted = [MD.fit(m, _train(enc)) for m in K.MODEL_NAMES]
-    return MD.score_all(fitted, enc, keep=["customerID"])
+    return MD.score_all([_fitted(spark, sf_dir, m)[1] for m in K.MODEL_NAMES], enc, keep=["customerID"])
 
 
 @query("train_final")
@@ -534,26 +591,74 @@ def q_train_final(spark, sf_dir):
     return MD.evaluate([fm], enc.where(F.col("split") == "test"), fit_on="train+val")
 
 
-# ------------------------------------------------------------------ tree explanations (no SQL oracle)
-from ..operators import tree_explain as TX  # noqa: E402
-
-
-def _fitted(spark, sf_dir, model):
-    enc = _prep(spark, sf_dir).encoded
-    return enc, MD.fit(model, _train(enc))
+# ------------------------------------------------------------------ tree explanations
 
 
 @query("tree_contributions")
 def q_tree_contributions(spark, sf_dir):
     """Path-dependent TreeSHAP of the boosted-trees model for every customer (I4)."""
     enc, fm = _fitted(spark, sf_dir, "xgboost")
-    return TX.tree_contributions(fm, "xgboost", enc)
+    return TX.tree_contributions(fm, enc)
+
+
+@query("frozen_tree_contributions")
+def q_frozen_tree_contributions(spark, sf_dir):
+    """TreeSHAP of the frozen ensemble for every customer (I4)."""
+    c = TX.frozen_attributions(_scoring_input(spark, sf_dir)).long().where(F.col("feature") != "base_value")
+    return c.withColumn("contribution", F.bround("contribution", 9) + F.lit(0.0))
+
+
+@query("tree_top_factors")
+def q_tree_top_factors(spark, sf_dir):
+    """Top-15 tree attributions of the frozen ensemble for every customer."""
+    a = TX.frozen_attributions(_scoring_input(spark, sf_dir))
+    return EX.top_factors(a.table, a, 15).drop("coefficient")
+
+
+@query("tree_waterfall")
+def q_tree_waterfall(spark, sf_dir):
+    """From the base value to the frozen ensemble's margin, for every customer."""
+    a = TX.frozen_attributions(_scoring_input(spark, sf_dir))
+    return EX.waterfall(a.table, a, 15)
+
+
+@query("gbt_top_factors")
+def q_gbt_top_factors(spark, sf_dir):
+    """Top-15 attributions of the fitted boosted trees for every customer."""
+    enc, fm = _fitted(spark, sf_dir, "xgboost")
+    a = TX.attributions(fm, enc)
+    return EX.top_factors(a.table, a, 15).drop("coefficient")
+
+
+@query("gbt_waterfall")
+def q_gbt_waterfall(spark, sf_dir):
+    """From the base value to the margin of the fitted boosted trees, for every customer."""
+    enc, fm = _fitted(spark, sf_dir, "xgboost")
+    a = TX.attributions(fm, enc)
+    return EX.waterfall(a.table, a, 15)
+
+
+def _fitted_importance(spark, sf_dir):
+    enc = _prep(spark, sf_dir).encoded
+    return XP.global_importance([_fitted(spark, sf_dir, m)[1] for m in K.MODEL_NAMES], enc.where(F.col("split") == "test"), _train(enc))
+
+
+@query("global_importance")
+def q_global_importance(spark, sf_dir):
+    """Mean |attribution| of the three fitted models over the test split, each by the explainer that suits it."""
+    return _fitted_importance(spark, sf_dir)
+
+
+@query("compare_fitted_importance")
+def q_compare_fitted_importance(spark, sf_dir):
+    """The 15 most important features of the three fitted models side by side (I8)."""
+    return EX.compare_importance(_fitted_importance(spark, sf_dir).drop("explainer"), list(K.MODEL_NAMES), 15)
 
 
 def _forest_test_shap(spark, sf_dir):
     """The forest's attributions of every test row."""
     enc, fm = _fitted(spark, sf_dir, "random_forest")
-    return TX.tree_contributions(fm, "random_forest", enc.where(F.col("split") == "test"))
+    return TX.tree_contributions(fm, enc.where(F.col("split") == "test"))
 
 
 @query("tree_global_importance")
@@ -574,12 +679,8 @@ def q_beeswarm(spark, sf_dir):
 @query("default_importance")
 def q_default_importance(spark, sf_dir):
     """Model-native importance of the forest and the boosted trees."""
-    enc = _prep(spark, sf_dir).encoded
-    out = None
-    for m in ("random_forest", "xgboost"):
-        t = TX.default_importance(MD.fit(m, _train(enc)), m)
-        out = t if out is None else out.unionByName(t)
-    return out
+    first, second = (TX.default_importance(_fitted(spark, sf_dir, m)[1]) for m in ("random_forest", "xgboost"))
+    return first.unionByName(second)
 
 
 @query("sampled_shapley")
@@ -625,42 +726,42 @@ def q_check_logistic(spark, sf_dir):
 @query("check_trees")
 def q_check_trees(spark, sf_dir):
     """Attributions add up to the model's output for every customer, refits agree, importances add up to 1."""
-    from pyspark.ml.functions import vector_to_array
     enc = _prep(spark, sf_dir).encoded
     rows = {}
-    small = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "xgboost": {"maxIter": 10, "maxDepth": 3}}
-    for m, col in (("random_forest", "probability"), ("xgboost", "rawPrediction")):
-        fm, again = (MD.fit(m, _train(enc), small[m]) for _ in range(2))
-        total = TX.tree_contributions(fm, m, enc).groupBy("customerID").agg(
+    for m in ("random_forest", "xgboost"):
+        fm, again = _fitted(spark, sf_dir, m)[1], MD.fit(m, _train(enc))
+        total = TX.tree_contributions(fm, enc).groupBy("customerID").agg(
             F.sum("contribution").alias("s"), F.count(F.lit(1)).alias("n"))
-        out = fm.pipeline.transform(fm.prepare(enc)).select("customerID", vector_to_array(col)[1].alias("f"))
+        out = fm.prepare(enc).select("customerID", fm.output().alias("f"))
         r = total.join(out, "customerID").agg(F.max(F.abs(F.col("s") - F.col("f"))).alias("gap"), F.min("n").alias("lo"),
                                               F.max("n").alias("hi"), F.count(F.lit(1)).alias("rows")).first()
         rows[f"{m}_adds_up"] = r["gap"] < 1e-6
         rows[f"{m}_explains_every_customer"] = (r["lo"], r["hi"], r["rows"]) == (29, 29, enc.count())
         a, b = (x.transform(enc, keep=["customerID"]) for x in (fm, again))
         rows[f"{m}_refit_agrees"] = a.exceptAll(b).isEmpty()
-        imp = TX.default_importance(fm, m).agg(F.sum("importance")).first()[0]
-        rows[f"{m}_importance_is_one"] = abs(imp - 1) < 1e-9
+        rows[f"{m}_importance_is_one"] = abs(TX.default_importance(fm).agg(F.sum("importance")).first()[0] - 1) < 1e-9
     return _checks(spark, rows)
 
 
 @query("check_shapley")
 def q_check_shapley(spark, sf_dir):
-    """Permutation Shapley values of every test row add up to its output less the background's mean."""
-    from pyspark.ml.functions import vector_to_array
+    """Sampled Shapley values of every test row add up to its output; against the linear margin's closed form and the train
+    mean their errors are as large as the standard errors say (I5)."""
     enc, fm = _fitted(spark, sf_dir, "logistic_regression")
     test, train = enc.where(F.col("split") == "test"), _train(enc)
-    total = (TX.sampled_shapley(fm, test, train, permutations=2, background_rows=5).groupBy("customerID")
-             .agg(F.sum("contribution").alias("s")))
-
-    def out(df):
-        return fm.pipeline.transform(fm.prepare(df)).select("customerID", vector_to_array("probability")[1].alias("p"))
-
-    base = out(SP.seeded_sample(train, 5)).agg(F.avg("p")).first()[0]
-    r = total.join(out(test), "customerID").agg(F.max(F.abs(F.col("s") + F.lit(base) - F.col("p"))).alias("gap"),
-                                                F.count(F.lit(1)).alias("n")).first()
-    return _checks(spark, {"adds_up": r["gap"] < 1e-9, "explains_every_test_row": r["n"] == test.count()})
+    found = TX.sampled_shapley(fm, test, train, margin=True)
+    scorer = SC.from_spark_lr(fm)
+    margin = FE.impute(test, fm.medians, K.FEATURES).select("customerID", scorer.margin().alias("m"))
+    total = found.groupBy("customerID").agg(F.sum("contribution").alias("s"))
+    r = total.join(margin, "customerID").agg(F.max(F.abs(F.col("s") - F.col("m"))).alias("gap"), F.count(F.lit(1)).alias("n")).first()
+    # scaled by the train rows, so their mean is 0: the closed form of a feature is its own contribution
+    exact = EX.contributions(FE.impute(test, fm.medians, K.FEATURES), scorer).select("customerID", "feature", F.col("contribution").alias("exact"))
+    off = found.join(exact, ["customerID", "feature"]).where("std_error > 0").select((F.col("contribution") - F.col("exact")).alias("d"), "std_error")
+    near = off.agg(F.avg((F.abs("d") <= 4 * F.col("std_error")).cast("double")).alias("a")).first()["a"]
+    base = found.where("feature = 'base_value'").agg(F.avg("contribution").alias("b"), F.sqrt(F.sum(F.col("std_error") ** 2)).alias("e"),
+                                                     F.count(F.lit(1)).alias("n")).first()
+    return _checks(spark, {"adds_up": r["gap"] < 1e-9, "explains_every_test_row": r["n"] == test.count(),
+                           "errors_as_stated": near > 0.97, "base_is_the_train_mean": abs(base["b"] - scorer.intercept) <= 3 * base["e"] / base["n"]})
 
 
 @query("check_search")
@@ -675,12 +776,6 @@ def q_check_search(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ files: written to the shared folder and read again
-import uuid  # noqa: E402
-
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..sources import files as FS  # noqa: E402
-
-
 def _new_path(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

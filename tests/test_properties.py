@@ -90,7 +90,7 @@ def test_models_learn_signal_and_persist(spark, tmp_out):
         auc = m.where("metric = 'auc_roc'").first()["value"]
         assert auc >= 0.7, (name, auc)
         fm.save(tmp_out)
-        back = MD.FittedModel.load(tmp_out, name)
+        back = MD.load(tmp_out, name)
         a = fm.transform(enc, keep=["customerID"]).orderBy("customerID").collect()
         b = back.transform(enc, keep=["customerID"]).orderBy("customerID").collect()
         assert a == b
@@ -99,7 +99,7 @@ def test_models_learn_signal_and_persist(spark, tmp_out):
 def test_param_sampling_is_distinct_and_seeded():
     assert MD.param_grid_size("logistic_regression") == 36
     assert MD.param_grid_size("random_forest") == 720
-    assert MD.param_grid_size("xgboost") == 972
+    assert MD.param_grid_size("xgboost") == 972 * 9
     a = MD.sample_params("random_forest", 75)
     assert len({str(sorted(p.items())) for p in a}) == 75 and a == MD.sample_params("random_forest", 75)
 
@@ -160,18 +160,19 @@ def test_model_queries_run(spark, name):
 
 @pytest.mark.parametrize("kind", ["xgboost", "random_forest"])
 def test_tree_shap_local_accuracy(spark, kind):
-    from pyspark.ml.functions import vector_to_array
+    from retention.operators import explain as EX
     from retention.operators import tree_explain as TX
     enc = prepare(spark, SF_SMALL).encoded
     params = {"maxIter": 10, "maxDepth": 3} if kind == "xgboost" else {"numTrees": 10, "maxDepth": 4}
     fm = MD.fit(kind, enc.where("split = 'train'"), params)
-    c = TX.tree_contributions(fm, kind, enc)
-    tot = c.groupBy("customerID").agg(F.sum("contribution").alias("s"))
-    col = "rawPrediction" if kind == "xgboost" else "probability"
-    out = fm.pipeline.transform(fm.prepare(enc)).select("customerID", vector_to_array(col)[1].alias("f"))
+    a = TX.attributions(fm, enc)
+    tot = a.long().groupBy("customerID").agg(F.sum("contribution").alias("s"))
+    out = fm.prepare(enc).select("customerID", fm.output().alias("f"))
     rows = tot.join(out, "customerID").collect()
     assert len(rows) == enc.count()
     assert max(abs(r.s - r.f) for r in rows) < 1e-6
+    last = EX.waterfall(a.table, a, 15).where("rank = 15").select("customerID", "running").join(out, "customerID").collect()
+    assert len(last) == enc.count() and max(abs(r.running - r.f) for r in last) < 1e-6
 
 
 def test_sampled_shapley_local_accuracy(spark):
@@ -304,7 +305,7 @@ def test_training_flow(spark, tmp_out):
     assert len(kinds) == 2 * 3
     assert spark.read.parquet(f"{tmp_out}/metrics").count() == t.metrics.count()
     assert spark.read.json(f"{tmp_out}/best_params").count() == 2
-    back = MD.FittedModel.load(f"{tmp_out}/models", "random_forest")
+    back = MD.load(f"{tmp_out}/models", "random_forest")
     assert back.transform(enc).exceptAll(t.final["random_forest"].transform(enc)).isEmpty()
 
 
