@@ -4,7 +4,8 @@ Training rows are binned once and stored: one byte for each feature, and for eve
 bag, a Poisson count taken from md5(key/tree). So whether a row is out of a tree's bag can be told at any time, from the
 row alone. One level of all trees is one job: each task walks its rows down the trees grown so far and adds up
 (tree, node, feature, bin) cells in numpy; the cells are summed by Spark, and window sums over the bins give the best
-split of each node in SQL. Only chosen splits reach the driver: as many as the model has nodes.
+split of each node in SQL. Chosen splits reach the driver: as many as the model has nodes. Where all tasks together have few
+cells (``PER_TASK``), the cells do, and numpy picks the same splits.
 
 Cells are whole numbers (counts, or gradients in units of 2^-24), so sums do not depend on their order and refits agree.
 
@@ -30,6 +31,8 @@ BINS = 64
 UNIT = 1 << 24
 #: cells of one job at most (a task holds three sums of each); more open nodes are taken in several jobs
 CELLS = 1 << 22
+#: cells of all tasks that one task, or the driver, sums
+PER_TASK = 1 << 20
 ACCURACY = 10_000
 
 
@@ -212,8 +215,8 @@ def _matrices(b: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray,
 CELL_COLUMNS = "tree int, slot int, j int, bin int, n bigint, a bigint, b bigint"
 
 
-def level_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets: np.ndarray, pos_weight: float = 1.0) -> DataFrame:
-    """Sums of one level: (tree, slot, j, bin, n, a, b) for open node ``slot``, its j-th feature and bin.
+def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets: np.ndarray, pos_weight: float = 1.0) -> DataFrame:
+    """Each task's sums of one level: (tree, slot, j, bin, n, a, b) for open node ``slot``, its j-th feature and bin.
 
     n: rows in the bag; a, b: of a forest the bag's rows of label 1 and its rows; of boosted trees G and H in units of 2^-24.
     ``subsets`` (open nodes x features drawn) says which features a node looks at.
@@ -255,9 +258,14 @@ def level_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets
                    *sums[:, some]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "slot", "j", "bin", "n", "a", "b"])
 
+    return rows.mapInArrow(run, CELL_COLUMNS)
+
+
+def level_cells(cells: DataFrame, most: int) -> DataFrame:
+    """The tasks' cells summed; ``most`` is how many there can be."""
     # tasks have added up their own rows, so one exchange serves this sum and the windows over a node's feature
-    cells = rows.mapInArrow(run, CELL_COLUMNS).repartition("slot", "j")
-    return cells.groupBy("tree", "slot", "j", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b")])
+    cells = cells.repartition(math.ceil(most / PER_TASK), "slot", "j")
+    return cells.groupBy("tree", "slot", "j", "bin").agg(*map(F.expr, ("sum(n) n", "sum(a) a", "sum(b) b")))
 
 
 def _score(kind: str, p: dict, a: str, b: str) -> str:
@@ -274,24 +282,61 @@ def best_splits(cells: DataFrame, kind: str, p: dict, class_weights: dict[int, t
 
     Equal gains go to the first feature drawn and the lowest cut.
     """
+    # SQL text: built in a few calls, once for every level
     if class_weights is not None:
-        flat = [F.lit(x) for t, w in class_weights.items() for x in (t, F.struct(F.lit(w[0]).alias("w0"), F.lit(w[1]).alias("w1")))]
-        cells = cells.withColumn("w", F.create_map(*flat)[F.col("tree")]).select("*", "w.w0", "w.w1").drop("w")
-    up_to, whole = Window.partitionBy("slot", "j").orderBy("bin"), Window.partitionBy("slot", "j")
-    c = cells.withColumns({f"l{x}": F.sum(x).over(up_to) for x in "nab"} | {f"t{x}": F.sum(x).over(whole) for x in "nab"})
-    gain = F.expr(f"{_score(kind, p, 'la', 'lb')} + {_score(kind, p, '(ta - la)', '(tb - lb)')} - {_score(kind, p, 'ta', 'tb')}")
+        pairs = ", ".join(f"{t}, named_struct('w0', {w[0]!r}D, 'w1', {w[1]!r}D)" for t, w in class_weights.items())
+        cells = cells.selectExpr("*", f"map({pairs})[tree] w").selectExpr("slot", "j", "bin", "n", "a", "b", "w.w0", "w.w1")
+    sums = [f"sum({x}) over (partition by slot, j{order}) {name}{x}" for x in "nab" for name, order in (("l", " order by bin"), ("t", ""))]
     if kind == "forest":
         least = int(p["minInstancesPerNode"])
-        allowed = (F.col("ln") >= least) & (F.col("tn") - F.col("ln") >= least)
+        allowed = f"ln >= {least} and tn - ln >= {least}"
     else:
         least = float(p["minChildWeight"]) * UNIT
-        allowed = (F.col("lb") >= least) & (F.col("tb") - F.col("lb") >= least)
-    allowed &= F.col("ln") < F.col("tn")
-    c = c.withColumn("gain", F.when(allowed, F.round(gain, 9)))
-    chosen = F.max_by(F.struct("gain", "j", "bin", "ln", "la", "lb"), F.when(
-        F.col("gain").isNotNull(), F.struct(F.col("gain"), -F.col("j"), -F.col("bin"))))
-    return c.groupBy("slot").agg(F.max("tn").alias("n"), F.first("ta").alias("a"), F.first("tb").alias("b"), chosen.alias("best")).select(
-        "slot", "n", "a", "b", "best.*")
+        allowed = f"lb >= {least!r}D and tb - lb >= {least!r}D"
+    gain = f"{_score(kind, p, 'la', 'lb')} + {_score(kind, p, '(ta - la)', '(tb - lb)')} - {_score(kind, p, 'ta', 'tb')}"
+    found = cells.selectExpr("*", *sums).selectExpr("*", f"case when ln < tn and {allowed} then round({gain}, 9) end gain")
+    best = "max_by(struct(gain, j, bin, ln, la, lb), case when gain is not null then struct(gain, -j, -bin) end) best"
+    totals = found.groupBy("slot").agg(*map(F.expr, ("max(tn) n", "first(ta) a", "first(tb) b", best)))
+    return totals.selectExpr("slot", "n", "a", "b", "best.*")
+
+
+def best_of_few(cells: pa.Table, slots: int, m: int, kind: str, p: dict, class_weights=None) -> Iterator[dict]:
+    """What ``best_splits`` returns, in numpy: for at most PER_TASK cells of all tasks, where a query takes longer than its work."""
+    tree, slot, j, place, *sums = (c.to_numpy().astype(np.int64) for c in cells.columns)
+    tree_of = np.zeros(slots, dtype=np.int64)
+    tree_of[slot] = tree
+    total = np.zeros((3, slots, m, BINS), dtype=np.int64)
+    for i, v in enumerate(sums):
+        np.add.at(total[i], (slot, j, place), v)
+    low = total.cumsum(axis=3)
+    whole = low[..., -1:]
+    if kind == "forest":
+        w = np.array([class_weights[int(t)] for t in tree_of]).reshape(slots, 1, 1, 2)
+
+        def score(a, b):
+            one, none = w[..., 1] * a, w[..., 0] * (b - a)
+            return np.divide(one * one + none * none, one + none, out=np.full(one.shape, np.nan), where=one + none != 0)
+
+        allowed = (low[0] >= int(p["minInstancesPerNode"])) & (whole[0] - low[0] >= int(p["minInstancesPerNode"]))
+    else:
+        least, lam = float(p["minChildWeight"]) * UNIT, float(p["regLambda"])
+
+        def score(a, b):
+            g, h = np.maximum(np.abs(a / UNIT) - float(p["regAlpha"]), 0), b / UNIT + lam
+            return np.divide(g * g, h, out=np.full(g.shape, np.nan), where=h != 0)
+
+        allowed = (low[2] >= least) & (whole[2] - low[2] >= least)
+    gain = np.round(score(low[1], low[2]) + score(whole[1] - low[1], whole[2] - low[2]) - score(whole[1], whole[2]), 9)
+    # a cut is at a bin with rows, as the query sees no others
+    gain[~allowed | (low[0] >= whole[0]) | (total[0] == 0) | np.isnan(gain)] = -np.inf
+    at = gain.reshape(slots, -1).argmax(axis=1)  # the first of equal ones
+    for s in np.unique(slot):
+        f, cut = divmod(int(at[s]), BINS)
+        found = gain[s, f, cut] > -np.inf
+        n, a, b = (int(whole[i, s, 0, 0]) for i in range(3))
+        ln, la, lb = (int(low[i, s, f, cut]) for i in range(3))
+        yield {"slot": int(s), "n": n, "a": a, "b": b, "gain": float(gain[s, f, cut]) if found else None, "j": f, "bin": cut,
+               "ln": ln, "la": la, "lb": lb}
 
 
 def _drawn(strategy: str, features: int) -> int:
@@ -311,7 +356,7 @@ def _grow(rows: DataFrame, edges: list[np.ndarray], model: Ensemble, trees: list
     draw(tree, path): the features a node looks at; finish(node, tree, a, b): sets a node's value; price(gain, tree): whether
     a split is worth it.
     """
-    todo = []
+    todo, parts = [], rows.rdd.getNumPartitions()
     for t in trees:
         model.roots.append(model.add(t))
         todo.append((model.roots[-1], t, 1, 0))  # node, tree, path from the root as a heap number, depth
@@ -321,8 +366,10 @@ def _grow(rows: DataFrame, edges: list[np.ndarray], model: Ensemble, trees: list
         now, todo, later = todo[:at_once], [], todo[at_once:]
         subsets = np.array([draw(t, path) for _, t, path, _ in now])
         nodes = [n for n, *_ in now]
-        cells = level_cells(rows, model, nodes, subsets, pos_weight)
-        for r in best_splits(cells, model.kind, p, class_weights).collect():  # one row for each open node
+        cells, most = task_cells(rows, model, nodes, subsets, pos_weight), subsets.size * BINS * parts
+        found = (best_of_few(cells.toArrow(), *subsets.shape, model.kind, p, class_weights) if most <= PER_TASK
+                 else best_splits(level_cells(cells, most), model.kind, p, class_weights).collect())
+        for r in found:  # one row for each open node
             node, t, path, depth = now[r["slot"]]
             finish(node, t, r["a"], r["b"])
             if r["gain"] is None or depth >= int(p["maxDepth"]) or not price(r["gain"], t):

@@ -566,7 +566,8 @@ def q_boost_histogram(spark, sf_dir):
     model = GR.Ensemble("boosted", FEW_VALUES)
     model.roots.append(model.add(0))
     weight = SP.scale_pos_weight(train).first()["scale_pos_weight"]
-    cells = GR.level_cells(rows, model, [0], np.arange(len(FEW_VALUES))[None, :], weight)
+    cells = GR.task_cells(rows, model, [0], np.arange(len(FEW_VALUES))[None, :], weight)
+    cells = GR.level_cells(cells, len(FEW_VALUES) * GR.BINS * rows.rdd.getNumPartitions())
     upper = F.array(*[F.array(*[F.lit(float(v)) for v in edges[f]]).cast("array<double>") for f in FEW_VALUES])
     names = F.array(*[F.lit(f) for f in FEW_VALUES])
     return cells.select(names[F.col("j")].alias("feature"), F.get(upper[F.col("j")], F.col("bin")).alias("upper"), "n",

@@ -76,7 +76,13 @@ def test_poisson_steps_are_the_distribution(spark):
     assert abs(bag_of(spark, 4000, 2, 0.8).mean() - 0.8) < 0.02
 
 
-def test_forest_against_naive(spark, frame, data):
+@pytest.fixture(params=["query", "numpy"])
+def way(request, monkeypatch):
+    if request.param == "query":
+        monkeypatch.setattr(GR, "PER_TASK", 1000)
+
+
+def test_forest_against_naive(spark, frame, data, way):
     x, y = data
     model, rows = GR.fit_forest(frame, FEATURES, FOREST, "customerID")
     cuts = GR.bin_edges(frame, FEATURES)
@@ -108,7 +114,7 @@ def test_forest_against_naive(spark, frame, data):
         assert got[f"k{i}"].probability is None if not out.any() else abs(got[f"k{i}"].probability - want[i, out].mean()) < 1e-12
 
 
-def test_boosting_against_naive(spark, frame, data):
+def test_boosting_against_naive(spark, frame, data, way):
     x, y = data
     model = GR.fit_boosted(frame, FEATURES, BOOSTED, "customerID", pos_weight=1.5)
     cuts = GR.bin_edges(frame, FEATURES)
