@@ -1,13 +1,13 @@
 """Customer-lifetime-value segments and reports.
 
 Quartile edges and segment medians are exact linear-interpolated quantiles (``quantile.exact_quantiles``).
-Segment assignment is a CASE against the 1-row edge table (broadcast), so no rows
-are shuffled to assign segments.
+The three edges are computed once and enter as literals, so reports over segments neither shuffle rows to assign them nor
+plan the edges again. A customer without a value has no segment and is in no report by segment.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -22,10 +22,14 @@ def quartile_edges(df: DataFrame, col: str = "clv") -> DataFrame:
     return q.select(F.col("q0").alias("q1"), F.col("q1").alias("q2"), F.col("q2").alias("q3"))
 
 
-def segment_expr(col: str = "clv"):
-    c = F.col(col)
-    return (F.when(c <= F.col("q1"), F.lit(SEG_LOW)).when(c <= F.col("q2"), F.lit(SEG_MEDIUM))
-            .when(c <= F.col("q3"), F.lit(SEG_HIGH)).when(c.isNotNull(), F.lit(SEG_PREMIUM)))
+def segment_expr(edges: tuple, col: str = "clv"):
+    """The segment's name; ``edges``: the three quartile edges (None: no customer has a value)."""
+    c, out = F.col(col), F.lit(None).cast("string")
+    if edges[0] is not None:
+        out = F.when(c.isNotNull(), F.lit(SEG_PREMIUM))
+        for edge, name in zip(reversed(edges), (SEG_HIGH, SEG_MEDIUM, SEG_LOW)):
+            out = F.when(c <= F.lit(edge), F.lit(name)).otherwise(out)
+    return out
 
 
 def segment_pos_expr(seg: str = "clv_quartile"):
@@ -37,15 +41,15 @@ def segment_pos_expr(seg: str = "clv_quartile"):
 def assign_quartiles(df: DataFrame, col: str = "clv") -> DataFrame:
     """Add ``clv_quartile`` and ``segment_pos``. Ties stay in one segment; an empty
     interval (equal edges) yields an empty segment instead of an error (T11, T12)."""
-    edges = quartile_edges(df, col)
-    return (df.crossJoin(F.broadcast(edges))  # 1-row side
-            .withColumn("clv_quartile", segment_expr(col))
-            .withColumn("segment_pos", segment_pos_expr())
-            .drop("q1", "q2", "q3"))
+    e = quartile_edges(df, col).first()
+    edges = (e["q1"], e["q2"], e["q3"]) if e else (None, None, None)
+    return (df.withColumn("clv_quartile", segment_expr(edges, col))
+            .withColumn("segment_pos", segment_pos_expr()))
 
 
 def churn_by_clv(seg: DataFrame, label: str = "label", col: str = "clv") -> DataFrame:
     """Churn per CLV segment (A6, A9): rates rounded half-even to 4, pct to 2."""
+    seg = seg.where(F.col("clv_quartile").isNotNull())
     stats = seg.groupBy("clv_quartile", "segment_pos").agg(
         F.avg(label).alias("_rate"), F.sum(label).cast("bigint").alias("churned_count"),
         F.count(F.lit(1)).alias("total_customers"), F.avg(col).alias("_avg"))
@@ -67,7 +71,7 @@ def clv_summary(df: DataFrame, col: str = "clv") -> DataFrame:
 
 def quartile_bounds(seg: DataFrame, col: str = "clv") -> DataFrame:
     """min / max / mean clv per non-empty segment (A5)."""
-    return seg.groupBy("clv_quartile", "segment_pos").agg(
+    return seg.where(F.col("clv_quartile").isNotNull()).groupBy("clv_quartile", "segment_pos").agg(
         F.min(col).alias("min_clv"), F.max(col).alias("max_clv"), F.bround(F.avg(col), 4).alias("mean_clv"))
 
 
@@ -78,24 +82,27 @@ def overall_churn(df: DataFrame, label: str = "label") -> DataFrame:
 
 def segment_clv_share(seg: DataFrame, col: str = "clv") -> DataFrame:
     """CLV sum per segment and its percent of the total."""
-    per = seg.groupBy("clv_quartile", "segment_pos").agg(F.sum(col).alias("_s"))
-    tot = seg.agg(F.sum(col).alias("_t"))
-    return (per.crossJoin(F.broadcast(tot))  # 1-row side
-            .select("clv_quartile", "segment_pos", F.bround("_s", 4).alias("segment_clv"),
-                    F.bround(F.col("_s") / F.col("_t") * 100, 4).alias("share_pct")))
+    per = seg.where(F.col("clv_quartile").isNotNull()).groupBy("clv_quartile", "segment_pos").agg(F.sum(col).alias("_s"))
+    total = F.sum("_s").over(Window.partitionBy(F.lit(0)))  # four rows
+    return per.select("clv_quartile", "segment_pos", F.bround("_s", 4).alias("segment_clv"),
+                      F.bround(F.col("_s") / total * 100, 4).alias("share_pct"))
 
 
 def clv_histogram(df: DataFrame, col: str = "clv", bins: int = 50) -> DataFrame:
-    """Exactly ``bins`` equal-width bins between min and max; the max falls in the last bin (A10)."""
+    """Exactly ``bins`` equal-width bins between min and max, empty ones too; the max falls in the last bin (A10).
+    Without any value there are no bins."""
     rng = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
     binned = (df.where(F.col(col).isNotNull()).select(col).crossJoin(F.broadcast(rng))  # 1-row side
               .select(b.alias("bin"), "_lo", "_hi"))
-    return (binned.groupBy("bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("customers"))
-            .select("bin", (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"),
-                    "customers"))
+    counts = binned.groupBy("bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("customers"))
+    # at most ``bins`` rows from here on: empty bins are rows too
+    found = counts.groupBy("_lo", "_hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "customers"))).alias("n"))
+    rows = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return rows.select("bin", (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"),
+                       F.coalesce(F.col("n")[F.col("bin")], F.lit(0)).alias("customers"))
 
 
 def revenue_at_risk(cbc: DataFrame) -> DataFrame:

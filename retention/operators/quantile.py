@@ -48,5 +48,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: list[s
         return F.max(F.when((F.col("_end") - F.col("_w") <= k) & (k < F.col("_end")), F.col("_v")))
 
     found = placed.groupBy(*by, "_i").agg(stat(low).alias("_lo"), stat(high).alias("_hi"), F.max(pos - low).alias("_f"))
-    q = F.when(F.col("_f") == 0, F.col("_lo")).otherwise((1 - F.col("_f")) * F.col("_lo") + F.col("_f") * F.col("_hi"))
+    # a sketch that misses its bracket must not pass as a missing value
+    missed = F.col("_lo").isNull() | F.col("_hi").isNull()
+    q = F.when(missed, F.raise_error(F.lit("quantile outside its bracket: raise quantile.ACCURACY")).cast("double")).when(F.col("_f") == 0, F.col("_lo")).otherwise((1 - F.col("_f")) * F.col("_lo") + F.col("_f") * F.col("_hi"))
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, q)).alias(f"q{i}") for i in range(len(probs))])

@@ -235,10 +235,11 @@ register("overall_churn", with_base(*PREP, body="select count(*) customers, cast
 register("segment_clv_share", with_base(*CLVP, body="""
 select clv_quartile, segment_pos, round_even(sum(clv), 4) segment_clv, round_even(sum(clv) / (select sum(clv) from ft) * 100, 4) share_pct
 from sg2 group by all"""))
-register("clv_histogram", with_base(*PREP, "rg as (select min(clv) lo, max(clv) hi from ft)", body="""
-select bin, lo + bin * (hi - lo) / 50 bin_start, count(*) customers from (
-  select cast(case when (hi - lo) / 50 = 0 then 0 else least(floor((clv - lo) / ((hi - lo) / 50)), 49) end as int) bin, lo, hi
-  from ft cross join rg where clv is not null) group by bin, lo, hi"""))
+register("clv_histogram", with_base(*PREP, "rg as (select min(clv) lo, max(clv) hi from ft)", """
+hb as (select cast(case when (hi - lo) / 50 = 0 then 0 else least(floor((clv - lo) / ((hi - lo) / 50)), 49) end as int) bin, count(*) k
+  from ft cross join rg where clv is not null group by 1)""", body="""
+select cast(range as int) bin, lo + range * (hi - lo) / 50 bin_start, coalesce(k, 0) customers
+from rg cross join range(50) left join hb on hb.bin = range where lo is not null"""))
 register("revenue_at_risk", with_base(*CLVP, CBC, body="""
 select clv_quartile, segment_pos, total_customers, churn_rate_pct, avg_clv, churned_count,
   round_even(total_customers * (churn_rate_pct / 100) * avg_clv, 2) revenue_at_risk from cbc"""))
