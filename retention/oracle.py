@@ -636,5 +636,9 @@ for _name, _rows in {
 
 # ---------------------------------------------------------------- files: what is read again is what was written
 for _name, _same in {"scan_csv": "load_customers", "scan_split_files": "scan_split", "prediction_sink": "score_batch",
-                     "importance_sink": "lr_importance"}.items():
+                     "importance_sink": "lr_importance", "score_saved_state": "score_batch"}.items():
     register(_name, SQL[_same])
+
+# no medians are saved: the median of the whole batch
+register("score_missing_medians", with_base(*[x if x is not MED else MED.replace(" where split='train'", "") for x in PREP_ENC], body=f"""
+select customerID, premium_no_backup, long_tenure_low_value, {prob_sql('scorecard')} churn_probability from en"""))

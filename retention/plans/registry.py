@@ -30,6 +30,7 @@ from ..operators import split as SP
 from ..operators import tree_explain as TX
 from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
+from ..sources import store as ST
 from ..sources.tables import customers
 from .prepare import prepare
 
@@ -805,6 +806,28 @@ def q_prediction_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("score_saved_state")
+def q_score_saved_state(spark, sf_dir):
+    """Scores from a published version of the fitted state: those of the state in memory."""
+    p, path = _prep(spark, sf_dir), _new_path(spark, "state")
+    ST.publish(spark, path, p.encoder.to_table(spark), {"MonthlyCharges": p.median + 1.0})
+    ST.publish(spark, path, p.encoder.to_table(spark), {"MonthlyCharges": p.median}, list(K.FEATURES))
+    state = ST.read(spark, path)
+    rows = EN.align_features(ST.encoded(state, p.split), state.features, keep=["customerID"])
+    return SC.score(rows, SC.SCORECARDS["scorecard"])
+
+
+@query("score_missing_medians")
+def q_score_missing_medians(spark, sf_dir):
+    """The published version has no medians: the batch's own median takes their place."""
+    path = _new_path(spark, "state")
+    p = _prep(spark, sf_dir)
+    ST.publish(spark, path, p.encoder.to_table(spark))
+    rows = ST.encoded(ST.read(spark, path), p.split)
+    return rows.select("customerID", "premium_no_backup", "long_tenure_low_value",
+                       SC.SCORECARDS["scorecard"].probability().alias("churn_probability"))
+
+
 @query("importance_sink")
 def q_importance_sink(spark, sf_dir):
     """Importances saved as CSV, one folder per model."""
