@@ -15,6 +15,7 @@ Metrics reuse the SQL-checked operators of ``metrics``.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import random
@@ -24,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -263,16 +265,39 @@ def evaluate(fitted: list[FittedModel], df: DataFrame, fit_on: str = "train") ->
     return ME.metrics_long(scored, fit_on=fit_on)
 
 
+LEDGER = "model string, param_id int, params string, fold int, side string, metric string, value double"
+
+
+def _finished(spark: SparkSession, ledger: str | None, model: str) -> dict[tuple[str, int], list]:
+    """Rows of the fits that the ledger holds, by (parameters as JSON, fold)."""
+    done: dict[tuple[str, int], list] = {}
+    if ledger:
+        try:
+            for r in spark.read.schema(LEDGER).parquet(f"{ledger}/{model}/*").collect():  # 8 rows a fit
+                done.setdefault((r["params"], r["fold"]), []).append(tuple(r))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return done
+
+
 def cross_validate(model: str, train: DataFrame, n_iter: int = 2, folds: int = 5, parallelism: int = 4,
-                   seed: int = SEED) -> DataFrame:
+                   seed: int = SEED, ledger: str | None = None) -> DataFrame:
     """Randomized search: every (param map, fold) fit is scored on its held-out fold and on its
-    training side; recall / precision / f1 / roc_auc for both sides in a long table (M4)."""
+    training side; recall / precision / f1 / roc_auc for both sides in a long table (M4).
+
+    ``ledger`` is a folder that belongs to these training rows: each fit's metrics are written there as it ends, and fits
+    that it holds already are not repeated. A search that was stopped, or whose budget has grown, goes on from there.
+    """
     maps = sample_params(model, n_iter, seed)
     spark = train.sparkSession
+    texts = [json.dumps(m, sort_keys=True) for m in maps]
+    done = _finished(spark, ledger, model)
+    jobs = [(i, k) for i, k in itertools.product(range(len(maps)), range(folds)) if (texts[i], k) not in done]
     # imputation, scaling and SMOTE neighbours depend on the fold only: once per fold
+    open_folds = sorted({k for _, k in jobs})
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        preps = list(ex.map(lambda k: prepare_fit(model, train.where(F.col("fold") != k)), range(folds)))
-    jobs = list(itertools.product(range(len(maps)), range(folds)))
+        preps = dict(zip(open_folds, ex.map(lambda k: prepare_fit(model, train.where(F.col("fold") != k)), open_folds)))
 
     def run(job):
         i, k = job
@@ -280,13 +305,17 @@ def cross_validate(model: str, train: DataFrame, n_iter: int = 2, folds: int = 5
         sides = train.withColumn("split", F.when(F.col("fold") == k, F.lit("test")).otherwise(F.lit("train")))
         s = fm.transform(sides, keep=["label", "split"])
         m = ME.metrics_long(s).where(F.col("metric").isin("recall", "precision", "f1", "auc_roc"))
-        return [(model, i, json.dumps(maps[i], sort_keys=True), k, r["split"], r["metric"], r["value"])
-                for r in m.collect()]  # 8 rows per fit
+        rows = [(model, i, texts[i], k, r["split"], r["metric"], r["value"]) for r in m.collect()]  # 8 rows per fit
+        if ledger:
+            name = f"{hashlib.md5(texts[i].encode()).hexdigest()}-{k}"
+            spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/{model}/{name}")
+        return rows
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(itertools.chain.from_iterable(ex.map(run, jobs)))
-    return spark.createDataFrame(rows, "model string, param_id int, params string, fold int, side string, "
-                                       "metric string, value double")
+    place = {t: i for i, t in enumerate(texts)}
+    rows += [(r[0], place[r[2]], *r[2:]) for (text, k), found in done.items() if k < folds and text in place for r in found]
+    return spark.createDataFrame(rows, LEDGER)
 
 
 def best_params(cv: DataFrame) -> DataFrame:

@@ -309,6 +309,20 @@ def test_training_flow(spark, tmp_out):
     assert back.transform(enc).exceptAll(t.final["random_forest"].transform(enc)).isEmpty()
 
 
+def test_a_search_goes_on_from_its_ledger(spark, tmp_out, monkeypatch):
+    train = prepare(spark, SF_SMALL).encoded.where("split = 'train'")
+    fits = []
+    fit = MD.fit_prepared
+    monkeypatch.setattr(MD, "fit_prepared", lambda m, p, x=None: fits.append(x) or fit(m, p, {**(x or {}), "maxIter": 5}))
+    how = {"folds": 2, "ledger": tmp_out + "/ledger"}
+    first = MD.cross_validate("logistic_regression", train, n_iter=1, **how)
+    assert len(fits) == 2 and first.count() == 2 * 8
+    again = MD.cross_validate("logistic_regression", train, n_iter=1, **how)
+    assert len(fits) == 2 and again.exceptAll(first).isEmpty() and again.count() == first.count()
+    more = MD.cross_validate("logistic_regression", train, n_iter=2, **how)  # a larger budget begins with the same maps
+    assert len(fits) == 4 and more.count() == 4 * 8 and MD.best_params(more).count() == 2
+
+
 def test_cluster_needs_a_shared_checkpoint_folder():
     from types import SimpleNamespace
     from retention import session as S
