@@ -1,16 +1,24 @@
 """SMOTE oversampling of the minority class on the training rows.
 
-Exact k-nearest minority neighbours, block against block:
+Exact k-nearest minority neighbours without comparing all pairs:
 
-1. the points are dealt into blocks of about ``BLOCK`` by the hash of their row key;
-2. every pair of blocks is one task's work: all distances of the two blocks in numpy (summed feature by feature, so
-   they are the same everywhere), of which each point keeps its k nearest there. No pair of points is ever a row;
-3. the k nearest over all blocks are the first k of k x blocks candidates per point.
+1. Points of equal features are one vector, which names its first k + 1 row keys: no other copy can be among the k nearest
+   of any point. A hot vector is therefore searched once and answered k + 1 times, whatever its copies.
+2. The vectors of the lowest hashes are pivots (one for about ``CELL`` vectors, at most ``MAX_CELLS``, which bounds what the
+   tasks are sent). Each vector belongs to the cell of its nearest pivot; a cell knows its radius.
+3. Neighbours within the own cell give each vector an upper bound on its k-th distance.
+4. Another cell is searched only if the triangle inequality lets it hold something as near as that bound: from the cell's
+   radius, and from the plane between the two pivots. Both bounds are widened by more than the rounding of the distances.
+5. Compared are chunks of about ``BLOCK`` rows of each side, in numpy: a matrix product gives rough distances, and those that
+   the rounding lets be among the nearest are summed feature by feature, so they are the same everywhere. No pair of points
+   is ever a row, a large cell is many units.
 
-The work is quadratic in the minority points that a fit uses. ``max_fit_rows`` bounds them: beyond it the points of the
-lowest hash stand for the class, both as seeds and as neighbours (None: all points, the default).
+How much is skipped depends on how far the points cluster; nothing is compared that an all-pairs search would not compare.
+``max_fit_rows`` bounds the points of a fit: beyond it the points of the lowest hash stand for the class, both as seeds and
+as neighbours (None: all points, the default).
 
-Points are told apart by a row key, not by the id: copies of an id are points of their own.
+Points are told apart by a row key, not by the id: copies of an id are points of their own. Points with a missing feature
+are nobody's neighbours and have none.
 
 Synthesis is deterministic: the n_new synthetic rows are dealt round-robin over the minority points in hash order (exact
 counts, no driver loop); the neighbour and the gap u in [0, 1) come from the md5 of (row key, t).
@@ -20,7 +28,10 @@ New point = x + u * (neighbour - x).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +43,10 @@ from .rank import hash_positions
 DIGITS = 9
 SEED = 42
 BLOCK = 2048
+CELL = 4096
+MAX_CELLS = 4096
+STRIP = 256
+SLACK = 1e-7
 KEY = "_row_key"
 
 
@@ -48,54 +63,161 @@ def with_row_key(df: DataFrame, id_col: str = K.ID_COL, features: list[str] = K.
     return df.withColumn(KEY, key)
 
 
-def _nearest(k: int):
-    """Kernel of one pair of blocks: each left point's k nearest right points."""
-    import numpy as np
-    import pandas as pd
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(x), len(y)))
+    for f in range(x.shape[1]):
+        gap = x[:, f, None] - y[None, :, f]
+        d += gap * gap
+    return np.sqrt(d)
 
+
+def _strips(n: int) -> Iterator[slice]:
+    return (slice(i, i + STRIP) for i in range(0, n, STRIP))
+
+
+def _assign(pivots: np.ndarray):
+    """Adds the nearest pivot (the first of equals) and the distance to it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, cell, far = np.stack(batch["v"]), [], []
+                for at in _strips(len(x)):
+                    d = _distances(x[at], pivots)
+                    cell.append(d.argmin(axis=1))
+                    far.append(d.min(axis=1))
+                yield batch.assign(cell=np.concatenate(cell).astype(np.int32), far=np.concatenate(far))
+
+    return run
+
+
+def _survivors(pivots: np.ndarray, radius: np.ndarray):
+    """One row for each other cell that may hold a vector within ``u`` of the row's."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in _strips(len(batch)):
+                part = batch.iloc[at]
+                d, own = _distances(np.stack(part["v"]), pivots), part["cell"].to_numpy()
+                home = d[np.arange(len(d)), own][:, None]
+                least = np.maximum(d - radius[None, :], (d - home) / 2)  # what lies there is at least so far away
+                may = least <= part["u"].to_numpy()[:, None] + SLACK * (1 + d)
+                may &= np.isfinite(radius)[None, :]
+                may[np.arange(len(d)), own] = False
+                row, cell = np.nonzero(may)
+                yield part.iloc[row][["vid", "v", "u"]].assign(cell=cell.astype(np.int32))
+
+    return run
+
+
+def _nearest(most: int):
+    """Kernel of one unit: of each left vector the nearest right rows, ``most`` of them and none beyond its bound."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(left["v"]) if len(left) else np.zeros((0, 1)), np.stack(right["v"]) if len(right) else np.zeros((0, 1))
-        ids, others = left["key"].to_numpy(), right["key"].to_numpy()
-        if not len(x) or not len(y):
-            return pd.DataFrame({"key": [], "nkey": [], "distance": []})
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vid": [], "nkey": [], "distance": []})
+        x, y, u = np.stack(left["v"]), np.stack(right["w"]), left["u"].to_numpy()
+        ids, others = left["vid"].to_numpy(), right["key"].to_numpy()
         by_name = np.argsort(others, kind="stable")  # equal distances fall in the order of the keys
         y, others = y[by_name], others[by_name]
+        square = (y * y).sum(axis=1)
         out = []
-        for i in range(0, len(x), 256):
-            d = np.zeros((len(x[i:i + 256]), len(y)))
+        for at in _strips(len(x)):
+            part = x[at]
+            own = (part * part).sum(axis=1)[:, None]
+            rough = own + square - 2.0 * (part @ y.T)
+            slack = SLACK * (own + square.max())  # far more than the rounding of the product
+            least = np.partition(rough, most - 1, axis=1)[:, most - 1:most] if len(y) > most else np.full((len(part), 1), np.inf)
+            row, col = np.nonzero(rough <= np.minimum(least, u[at, None] ** 2) + slack)
+            d = np.zeros(len(row))
             for f in range(x.shape[1]):
-                gap = x[i:i + 256, f, None] - y[None, :, f]
+                gap = part[row, f] - y[col, f]
                 d += gap * gap
             d = np.sqrt(d)
-            d[ids[i:i + 256, None] == others[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, axis=1)
-            keep = np.isfinite(near)
-            out.append(pd.DataFrame({"key": np.repeat(ids[i:i + 256], best.shape[1])[keep.ravel()],
-                                     "nkey": others[best].ravel()[keep.ravel()], "distance": near.ravel()[keep.ravel()]}))
+            order = np.lexsort((col, d, row))
+            row, col, d = row[order], col[order], d[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = (nth < most) & (d <= u[at][row])
+            out.append(pd.DataFrame({"vid": ids[at][row[keep]], "nkey": others[col[keep]], "distance": d[keep]}))
         return pd.concat(out)
 
     return run
 
 
+def _compare(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(vid, nkey, distance): the nearest rows of ``right`` in the cell of each row of ``left``, chunk against chunk."""
+    def chunks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    spark = left.sparkSession
+    met = chunks(left, "nl").join(chunks(right, "nr"), "cell").select("cell", "nl", "nr").collect()  # at most MAX_CELLS rows
+    plan = F.broadcast(spark.createDataFrame(met, "cell int, nl int, nr int"))
+    lefts = left.join(plan, "cell").select("vid", "v", "u", "cell", F.pmod(F.xxhash64("vid"), "nl").cast("int").alias("i"),
+                                           F.explode(F.expr("sequence(0, nr - 1)")).alias("j"))
+    rights = right.join(plan, "cell").select("key", F.col("v").alias("w"), F.col("cell").alias("c"),
+                                             F.explode(F.expr("sequence(0, nl - 1)")).alias("i"),
+                                             F.pmod(F.xxhash64("key"), "nr").cast("int").alias("j"))
+    # a given number of partitions: units are small in bytes and long in time, and must not be coalesced into few tasks
+    units = sum(r["nl"] * r["nr"] for r in met)
+    parts = max(1, min(units, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    lefts, rights = lefts.repartition(parts, "cell", "i", "j"), rights.repartition(parts, "c", "i", "j")
+    return (lefts.groupBy("cell", "i", "j").cogroup(rights.groupBy("c", "i", "j"))
+            .applyInPandas(_nearest(most), "vid string, nkey string, distance double"))
+
+
+def _first(near: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nearest rows of every vector."""
+    order = Window.partitionBy("vid").orderBy("distance", "nkey")  # ``most`` rows a unit in which the vector was compared
+    return near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth")
+
+
+def _searched(pts: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows of ``pts`` that can be answers, with vector and cell; (vid, v, u, cell) searched in the own cell; the same for
+    other cells, None if there is one cell)."""
+    by_key = Window.partitionBy("v").orderBy("key")
+    rows = pts.select("v", "key", F.row_number().over(by_key).alias("nth")).where(F.col("nth") <= most)
+    rows = cut_lineage(rows)
+    vectors = rows.where("nth = 1").select(F.col("key").alias("vid"), "v")
+    cells = min(MAX_CELLS, max(1, math.ceil(vectors.count() / CELL)))
+    if cells == 1:
+        placed = rows.withColumns({"cell": F.lit(0), "far": F.lit(0.0)})
+        return placed, vectors.select("vid", "v", F.lit(float("inf")).alias("u"), F.lit(0).alias("cell")), None
+    picked = vectors.orderBy(C.seeded_hash("vid", SEED), "vid").limit(cells).collect()  # at most MAX_CELLS vectors
+    pivots = np.array([r["v"] for r in picked], dtype=float)
+    placed = cut_lineage(rows.mapInPandas(_assign(pivots), "v array<double>, key string, nth int, cell int, far double"))
+    own = placed.where("nth = 1").select(F.col("key").alias("vid"), "v", F.lit(float("inf")).alias("u"), "cell")
+    return placed, own, pivots
+
+
+def _other_cells(placed: DataFrame, own: DataFrame, near: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
+    """(vid, v, u, cell): what is still to be searched once the own cells are. u: no answer lies farther away."""
+    radius = np.full(len(pivots), -np.inf)  # a cell without rows is never searched
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far")).collect():  # a row a cell
+        radius[r["cell"]] = r["far"]
+    full = near.groupBy("vid").agg(F.when(F.count("*") == most, F.max("distance")).alias("_u"))
+    bounded = own.drop("u").join(full, "vid", "left").select("vid", "v", F.coalesce("_u", F.lit(float("inf"))).alias("u"), "cell")
+    return bounded.mapInPandas(_survivors(pivots, radius), "vid string, v array<double>, u double, cell int")
+
+
 def knn(points: DataFrame, k: int = 5, id_col: str = K.ID_COL, features: list[str] = K.FEATURES) -> DataFrame:
     """(id, row key, rank, neighbor_id, neighbor_key, distance, neighbor_vec) for the k nearest other points."""
     pts = cut_lineage(with_row_key(points, id_col, features).select(
-        F.col(KEY).alias("key"), F.col(id_col).alias("id"), _vector(features).alias("v")))
-    blocks = max(1, math.ceil(pts.count() / BLOCK))
-    own = pts.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("b"))
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = own.select("key", "v", F.col("b").alias("i"), F.explode(all_blocks).alias("j"))
-    right = own.select("key", "v", F.explode(all_blocks).alias("i"), F.col("b").alias("j"))
-    near = (left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
-            .applyInPandas(_nearest(k), "key string, nkey string, distance double"))
-    order = Window.partitionBy("key").orderBy("distance", "nkey")  # k x blocks rows a point
-    top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    names = pts.select("key", "id")
-    others = pts.select(F.col("key").alias("nkey"), F.col("id").alias("neighbor_id"), F.col("v").alias("neighbor_vec"))
-    return (top.join(others, "nkey").join(names, "key")
-            .select(F.col("id").alias(id_col), F.col("key").alias(KEY), "rank", "neighbor_id", F.col("nkey").alias("neighbor_key"),
-                    F.bround("distance", DIGITS).alias("distance"), "neighbor_vec"))
+        F.col(KEY).alias("key"), F.col(id_col).alias("id"), _vector(features).alias("v"))
+        .where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))))
+    most = k + 1  # a point is an answer to its own vector
+    placed, own, pivots = _searched(pts, most)
+    near = _first(_compare(own, placed, most), most)
+    if pivots is not None:
+        near = cut_lineage(near)
+        rest = cut_lineage(_other_cells(placed, own, near, pivots, most))
+        near = _first(near.unionByName(_compare(rest, placed, most)), most)
+    others = placed.select(F.col("key").alias("nkey"), F.col("v").alias("nv")).join(
+        pts.select(F.col("key").alias("nkey"), F.col("id").alias("nid")), "nkey")
+    answers = (near.join(others, "nkey").groupBy("vid")
+               .agg(F.sort_array(F.collect_list(F.struct("distance", "nkey", "nid", "nv"))).alias("near")))  # k + 1 a vector
+    named = own.select("vid", "v").join(answers, "vid").select("v", "near")
+    mine = F.slice(F.filter("near", lambda x: x["nkey"] != F.col("key")), 1, k)
+    return (pts.join(named, "v").select("id", "key", F.posexplode(mine).alias("_at", "_n"))
+            .select(F.col("id").alias(id_col), F.col("key").alias(KEY), (F.col("_at") + 1).alias("rank"),
+                    F.col("_n.nid").alias("neighbor_id"), F.col("_n.nkey").alias("neighbor_key"),
+                    F.bround("_n.distance", DIGITS).alias("distance"), F.col("_n.nv").alias("neighbor_vec")))
 
 
 def _classes(base: DataFrame, label: str):
