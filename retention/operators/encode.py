@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import cut_lineage
 
 MAX_LITERAL = 1_000
 NAN_CLASS = "nan"
@@ -40,6 +41,20 @@ def encoder_table(df: DataFrame, columns: list[str] = K.CATEGORICAL) -> DataFram
     return distinct.select("column", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
 
 
+def encoder_table_by_ranges(df: DataFrame, columns: list[str] = K.CATEGORICAL) -> DataFrame:
+    """The table of ``encoder_table`` for columns of any number of classes: ranges of the sorted values are numbered each on
+    its own, from the number of classes in the ranges before it. No task holds a column's classes. Materialised."""
+    spread = (_stack_categories(df, columns).distinct().repartitionByRange("column", "value")
+              .withColumn("part", F.spark_partition_id()))
+    ranged = cut_lineage(spread)
+    before = Window.partitionBy("column").orderBy("part")  # a row for each range
+    sizes = ranged.groupBy("column", "part").agg(F.count("*").alias("n"))
+    starts = sizes.select("column", "part", (F.sum("n").over(before) - F.col("n")).alias("start"))
+    own = Window.partitionBy("column", "part").orderBy("value")
+    placed = ranged.withColumn("nth", F.row_number().over(own)).join(starts, ["column", "part"])
+    return cut_lineage(placed.select("column", "value", (F.col("start") + F.col("nth") - 1).cast("int").alias("code")))
+
+
 @dataclass
 class EncoderState:
     """Fitted codes: column -> {value: code}, and (value, code) tables of the columns with many classes."""
@@ -152,54 +167,3 @@ def assemble(df: DataFrame, features: list[str] = K.FEATURES, output: str = "fea
     """Feature vector for Spark ML; invalid (NULL/NaN) values raise, as the matrix must be clean."""
     return VectorAssembler(inputCols=features, outputCol=output, handleInvalid="error").transform(
         df.withColumns({f: F.col(f).cast("double") for f in features}))
-
-
-# ---------------------------------------------------------------- pipeline stage
-import json  # noqa: E402
-
-from pyspark import keyword_only  # noqa: E402
-from pyspark.ml import Estimator, Model  # noqa: E402
-from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
-from pyspark.ml.param.shared import HasInputCols  # noqa: E402
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
-
-
-class _EncoderParams(HasInputCols):
-    nullAs = Param(Params._dummy(), "nullAs", "missing value handling: 'nan' class or 'first' (unseen)",
-                   typeConverter=TypeConverters.toString)
-
-    def __init__(self):
-        super().__init__()
-        self._setDefault(nullAs="nan", inputCols=list(K.CATEGORICAL))
-
-
-class CategoryEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Spark ML stage: alphabetical label codes per category column, unseen -> 0."""
-
-    @keyword_only
-    def __init__(self, *, inputCols=None, nullAs="nan"):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> "CategoryEncoderModel":
-        table = encoder_table(dataset, self.getOrDefault(self.inputCols))
-        state = EncoderState.from_table(table, 2 ** 31)  # the stage keeps all its classes in one parameter
-        return CategoryEncoderModel(codes=json.dumps(state.codes, sort_keys=True),
-                                    nullAs=self.getOrDefault(self.nullAs),
-                                    inputCols=self.getOrDefault(self.inputCols))
-
-
-class CategoryEncoderModel(Model, _EncoderParams, DefaultParamsReadable, DefaultParamsWritable):
-    codes = Param(Params._dummy(), "codes", "fitted codes as JSON {column: {value: code}}",
-                  typeConverter=TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, *, codes=None, nullAs="nan", inputCols=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def state(self) -> EncoderState:
-        return EncoderState(json.loads(self.getOrDefault(self.codes)))
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return encode(dataset, self.state(), null_as=self.getOrDefault(self.nullAs))

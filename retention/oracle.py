@@ -191,6 +191,7 @@ register("attach_label", with_base(*PREP, body=f"select ft.customerID, ft.clv, f
 # ---------------------------------------------------------------- encoding
 register("encoder_table", with_base(*PREP, ENCODER, body="select * from ev"))
 register("encode_features", with_base(*PREP_ENC, body="select customerID, " + ", ".join(CATEGORICAL) + " from en"))
+register("encoder_stage", with_base(*PREP_ENC, body="select customerID, " + ", ".join(CATEGORICAL) + " from en"))
 register("encode_selffit", with_base(*PREP, f"""
 es as (select "column", value, cast(dense_rank() over (partition by "column" order by value) - 1 as int) code
    from (select distinct "column", value from ({stack_sql('ft')})))""", encoded_sql("ft", "es", "ens"),

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import clv as CLV
 from ..operators import encode as EN
+from ..operators import encoder_stage as ES
 from ..operators import explain as EX
 from ..operators import explainers as XP
 from ..operators import features as FE
@@ -202,6 +204,15 @@ def q_encode_features(spark, sf_dir):
     return _prep(spark, sf_dir).encoded.select("customerID", *K.CATEGORICAL)
 
 
+@query("encoder_stage")
+def q_encoder_stage(spark, sf_dir):
+    """The codes by a stage that was fitted on the train split, saved and loaded again."""
+    feats = _prep(spark, sf_dir).features
+    path = f"{ensure_checkpoint_dir(spark)}/encoder-{uuid.uuid4().hex}"
+    Pipeline(stages=[ES.CategoryEncoder()]).fit(_train(feats)).save(path)
+    return PipelineModel.load(path).transform(feats).select("customerID", *K.CATEGORICAL)
+
+
 @query("encode_selffit")
 def q_encode_selffit(spark, sf_dir):
     return EN.encode_selffit(_prep(spark, sf_dir).features).select("customerID", *K.CATEGORICAL)

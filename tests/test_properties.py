@@ -179,19 +179,6 @@ def test_sampled_shapley_local_accuracy(spark):
     assert all(r.ok for r in R.QUERIES["check_shapley"](spark, SF_SMALL).collect())
 
 
-def test_category_encoder_stage_round_trip(spark, tmp_out):
-    from pyspark.ml import Pipeline, PipelineModel
-    from retention.operators import encode as EN
-    p = prepare(spark, SF_SMALL)
-    train = p.features.where("split = 'train'")
-    pm = Pipeline(stages=[EN.CategoryEncoder()]).fit(train)
-    pm.write().overwrite().save(tmp_out + "/enc")
-    back = PipelineModel.load(tmp_out + "/enc")
-    want = EN.encode(p.features, p.encoder).select("customerID", *K.CATEGORICAL).orderBy("customerID").collect()
-    got = back.transform(p.features).select("customerID", *K.CATEGORICAL).orderBy("customerID").collect()
-    assert got == want
-
-
 def test_importance_sink_partitions_by_model(spark, tmp_out):
     imp = R.QUERIES["lr_importance"](spark, SF_SMALL)
     FS.save_importance(imp, tmp_out + "/imp")
