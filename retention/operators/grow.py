@@ -12,13 +12,19 @@ Cells are whole numbers (counts, or gradients in units of 2^-24), so sums do not
 * forest: Gini impurity, class weights balanced within each bag, a random subset of features for each node
 * boosted: second-order logistic loss; gain and leaves from gradient sums G and hessian sums H with L1 (alpha), L2 (lambda)
   and a price per split (gamma); rows and features are drawn for each tree
+
+Several boosted ensembles of the same rows grow side by side, as a search needs them: one level of the current tree of all of
+them is one job. The rows carry each ensemble's margin, brought up to date every ``STORED`` rounds, so a round costs as much at
+the end as at the start.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,8 @@ UNIT = 1 << 24
 CELLS = 1 << 22
 #: cells of all tasks that one task, or the driver, sums
 PER_TASK = 1 << 20
+#: rounds of boosting between two times that the rows' margins are stored
+STORED = 25
 ACCURACY = 10_000
 
 
@@ -60,11 +68,15 @@ def bag_count(unit: Column) -> Column:
     return out
 
 
-def bags(key: str, trees: int, seed: int, share: float | None = None) -> Column:
-    """For each tree how often the row is in its bag; with ``share`` 1 for that share of the rows, else 0."""
+def bags(key: str, trees: int, seed: int, share: float | list[float] | None = None) -> Column:
+    """For each tree how often the row is in its bag; with ``share`` 1 for that share of the rows, else 0; of several shares
+    how many hold the row."""
+    shares = share if isinstance(share, list) else [] if share is None else [share]
+
     def one(t: Column) -> Column:
         unit = hash_unit(key, t, seed)
-        return (bag_count(unit) if share is None else (unit < F.lit(math.floor(share * 2 ** 32))).cast("int")).cast("tinyint")
+        held = [(unit < F.lit(math.floor(s * 2 ** 32))).cast("int") for s in shares]
+        return (reduce(add, held) if held else bag_count(unit)).cast("tinyint")
 
     return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), one)
 
@@ -112,6 +124,16 @@ class Ensemble:
             getattr(self, name).append(v)
         return len(self.tree) - 1
 
+    def extend(self, part: Ensemble, number: dict[int, int]) -> None:
+        """Take over the trees of ``part`` that ``number`` has a new number for."""
+        place = {i: self.add(number[t]) for i, t in enumerate(part.tree) if t in number}
+        for i, at in place.items():
+            for name in ("feature", "cut", "threshold", "value", "cover", "gain"):
+                getattr(self, name)[at] = getattr(part, name)[i]
+            for name in ("left", "right"):
+                getattr(self, name)[at] = place.get(getattr(part, name)[i], -1)
+        self.roots += [place[r] for r in part.roots if r in place]
+
     def arrays(self) -> dict[str, np.ndarray]:
         kinds = {"feature": np.int32, "cut": np.int32, "threshold": np.float64, "left": np.int32, "right": np.int32,
                  "value": np.float64}
@@ -215,11 +237,20 @@ def _matrices(b: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray,
 CELL_COLUMNS = "tree int, slot int, j int, bin int, n bigint, a bigint, b bigint"
 
 
-def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets: np.ndarray, pos_weight: float = 1.0) -> DataFrame:
+def _margins(b: pa.RecordBatch, fits: int) -> np.ndarray:
+    """Rows x fits: the margins stored with the rows, 0 before the first time."""
+    if "margin" not in b.schema.names:
+        return np.zeros((b.num_rows, fits))
+    return np.frombuffer(b"".join(b.column("margin").to_pylist()), dtype=np.float64).reshape(-1, fits)
+
+
+def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets: np.ndarray, pos_weight: float = 1.0,
+               rounds: int | None = None, needed: tuple[int, ...] = (1,)) -> DataFrame:
     """Each task's sums of one level: (tree, slot, j, bin, n, a, b) for open node ``slot``, its j-th feature and bin.
 
     n: rows in the bag; a, b: of a forest the bag's rows of label 1 and its rows; of boosted trees G and H in units of 2^-24.
-    ``subsets`` (open nodes x features drawn) says which features a node looks at.
+    ``subsets`` (open nodes x features drawn, -1 behind fewer ones) says which features a node looks at. Of several boosted
+    ensembles, the i-th has trees from i * ``rounds`` on, and takes a row whose bag count is at least ``needed[i]``.
     """
     a, k, m = model.arrays(), len(model.features), subsets.shape[1]
     trees = np.array([model.tree[i] for i in open_nodes])
@@ -227,9 +258,12 @@ def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets:
     slot_of[open_nodes] = np.arange(len(open_nodes))
     root_of = {model.tree[r]: r for r in model.roots}
     spans = {int(t): (int(np.flatnonzero(trees == t)[0]), int(np.flatnonzero(trees == t)[-1]) + 1) for t in np.unique(trees)}
-    boosted, done = model.kind == "boosted", [r for r in model.roots if model.tree[r] not in spans]
-    finished = a | {"roots": np.array(done, dtype=np.int32)}
-    base = model.base
+    boosted, base, none = model.kind == "boosted", model.base, subsets < 0
+    turns = rounds or max(root_of) + 1
+    finished: dict[int, list[int]] = {t // turns: [] for t in spans} if boosted else {}
+    for r in model.roots:
+        if model.tree[r] not in spans and model.tree[r] // turns in finished:
+            finished[model.tree[r] // turns].append(r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, len(open_nodes) * m * BINS), dtype=np.int64)
@@ -237,21 +271,24 @@ def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets:
             if not batch.num_rows:
                 continue
             y, bag, x = _matrices(batch, k)
-            if boosted:
-                p = 1 / (1 + np.exp(-outputs(finished, base, x, "cut")))
-                w = np.where(y == 1, pos_weight, 1.0)
-                first, second = (np.rint(v * w * UNIT).astype(np.int64) for v in (p - y, p * (1 - p)))
+            stored = _margins(batch, len(needed)) if boosted else None
             for t, (low, high) in spans.items():
+                fit, turn = divmod(t, turns)
                 slot = slot_of[leaves(a, np.array([root_of[t]]), x, "cut")[:, 0]]
-                r = np.flatnonzero((slot >= 0) & (bag[:, t] > 0))
+                r = np.flatnonzero((slot >= 0) & (bag[:, turn] >= needed[fit]))
                 if not len(r):
                     continue
-                s, w = slot[r], bag[r, t].astype(np.int64)
+                s, w = slot[r], bag[r, turn].astype(np.int64)
+                if boosted:  # an ensemble has one tree here
+                    p = 1 / (1 + np.exp(-(stored[:, fit] + outputs(a | {"roots": np.array(finished[fit], dtype=np.int32)}, base, x, "cut"))))
+                    v = np.where(y == 1, pos_weight, 1.0)
+                    first, second = (np.rint(u * v * UNIT).astype(np.int64) for u in (p - y, p * (1 - p)))
                 code = ((s - low)[:, None] * m + np.arange(m)) * BINS + x[r[:, None], subsets[s]]
                 size, at = (high - low) * m * BINS, slice(low * m * BINS, high * m * BINS)
                 one, two = (first[r], second[r]) if boosted else (w * y[r], w)
                 for i, v in enumerate((np.ones(len(r)), one, two)):
                     sums[i, at] += np.rint(np.bincount(code.ravel(), np.repeat(v, m), size)).astype(np.int64)
+        sums.reshape(3, len(open_nodes), m, BINS)[:, none] = 0
         some = np.flatnonzero(sums[0])
         slot, rest = np.divmod(some, m * BINS)
         columns = [trees[slot].astype(np.int32), slot.astype(np.int32), (rest // BINS).astype(np.int32), (rest % BINS).astype(np.int32),
@@ -268,64 +305,66 @@ def level_cells(cells: DataFrame, most: int) -> DataFrame:
     return cells.groupBy("tree", "slot", "j", "bin").agg(*map(F.expr, ("sum(n) n", "sum(a) a", "sum(b) b")))
 
 
-def _score(kind: str, p: dict, a: str, b: str) -> str:
+def _score(kind: str, a: str, b: str) -> str:
     """SQL of a node's share in the gain: W (sum of squared class shares), or G^2 / (H + lambda)."""
     if kind == "forest":
         one, none = f"(w1 * {a})", f"(w0 * ({b} - {a}))"
         return f"(({one} * {one} + {none} * {none}) / nullif({one} + {none}, 0D))"
-    g, h = f"(greatest(abs({a} / {UNIT}D) - {float(p['regAlpha'])!r}D, 0D))", f"({b} / {UNIT}D + {float(p['regLambda'])!r}D)"
+    g, h = f"(greatest(abs({a} / {UNIT}D) - alpha, 0D))", f"({b} / {UNIT}D + lam)"
     return f"({g} * {g} / nullif({h}, 0D))"
 
 
-def best_splits(cells: DataFrame, kind: str, p: dict, class_weights: dict[int, tuple[float, float]] | None = None) -> DataFrame:
+def best_splits(cells: DataFrame, kind: str, terms: dict[int, dict[str, float]]) -> DataFrame:
     """One row per node: its sums (n, a, b) and the best split (gain, j, bin, and the left sums), null if none is allowed.
 
-    Equal gains go to the first feature drawn and the lowest cut.
+    ``terms`` of each tree: the least a side must have, with the class weights w0 and w1 or with alpha and lam. Equal gains go
+    to the first feature drawn and the lowest cut.
     """
-    # SQL text: built in a few calls, once for every level
-    if class_weights is not None:
-        pairs = ", ".join(f"{t}, named_struct('w0', {w[0]!r}D, 'w1', {w[1]!r}D)" for t, w in class_weights.items())
-        cells = cells.selectExpr("*", f"map({pairs})[tree] w").selectExpr("slot", "j", "bin", "n", "a", "b", "w.w0", "w.w1")
+    # SQL text: built in a few calls, once for every level; trees of the same terms share an entry
+    kinds = sorted({tuple(v.items()) for v in terms.values()})
+    structs = ", ".join("named_struct(" + ", ".join(f"'{k}', {float(v)!r}D" for k, v in one) + ")" for one in kinds)
+    number = ", ".join(f"{t}, {kinds.index(tuple(v.items()))}" for t, v in terms.items())
+    which = "0" if len(kinds) == 1 else f"map({number})[tree]"
+    cells = cells.selectExpr("*", f"array({structs})[{which}] w").selectExpr("slot", "j", "bin", "n", "a", "b", "w.*")
     sums = [f"sum({x}) over (partition by slot, j{order}) {name}{x}" for x in "nab" for name, order in (("l", " order by bin"), ("t", ""))]
-    if kind == "forest":
-        least = int(p["minInstancesPerNode"])
-        allowed = f"ln >= {least} and tn - ln >= {least}"
-    else:
-        least = float(p["minChildWeight"]) * UNIT
-        allowed = f"lb >= {least!r}D and tb - lb >= {least!r}D"
-    gain = f"{_score(kind, p, 'la', 'lb')} + {_score(kind, p, '(ta - la)', '(tb - lb)')} - {_score(kind, p, 'ta', 'tb')}"
+    side = "n" if kind == "forest" else "b"
+    allowed = f"l{side} >= least and t{side} - l{side} >= least"
+    gain = f"{_score(kind, 'la', 'lb')} + {_score(kind, '(ta - la)', '(tb - lb)')} - {_score(kind, 'ta', 'tb')}"
     found = cells.selectExpr("*", *sums).selectExpr("*", f"case when ln < tn and {allowed} then round({gain}, 9) end gain")
     best = "max_by(struct(gain, j, bin, ln, la, lb), case when gain is not null then struct(gain, -j, -bin) end) best"
     totals = found.groupBy("slot").agg(*map(F.expr, ("max(tn) n", "first(ta) a", "first(tb) b", best)))
     return totals.selectExpr("slot", "n", "a", "b", "best.*")
 
 
-def best_of_few(cells: pa.Table, slots: int, m: int, kind: str, p: dict, class_weights=None) -> Iterator[dict]:
+def best_of_few(cells: pa.Table, slots: int, m: int, kind: str, terms: dict[int, dict[str, float]]) -> Iterator[dict]:
     """What ``best_splits`` returns, in numpy: for at most PER_TASK cells of all tasks, where a query takes longer than its work."""
     tree, slot, j, place, *sums = (c.to_numpy().astype(np.int64) for c in cells.columns)
-    tree_of = np.zeros(slots, dtype=np.int64)
+    tree_of = np.full(slots, min(terms), dtype=np.int64)
     tree_of[slot] = tree
     total = np.zeros((3, slots, m, BINS), dtype=np.int64)
     for i, v in enumerate(sums):
         np.add.at(total[i], (slot, j, place), v)
     low = total.cumsum(axis=3)
     whole = low[..., -1:]
+
+    def term(name):
+        return np.array([float(terms[int(t)][name]) for t in tree_of]).reshape(slots, 1, 1)
+
     if kind == "forest":
-        w = np.array([class_weights[int(t)] for t in tree_of]).reshape(slots, 1, 1, 2)
+        w0, w1, side = term("w0"), term("w1"), 0
 
         def score(a, b):
-            one, none = w[..., 1] * a, w[..., 0] * (b - a)
+            one, none = w1 * a, w0 * (b - a)
             return np.divide(one * one + none * none, one + none, out=np.full(one.shape, np.nan), where=one + none != 0)
-
-        allowed = (low[0] >= int(p["minInstancesPerNode"])) & (whole[0] - low[0] >= int(p["minInstancesPerNode"]))
     else:
-        least, lam = float(p["minChildWeight"]) * UNIT, float(p["regLambda"])
+        alpha, lam, side = term("alpha"), term("lam"), 2
 
         def score(a, b):
-            g, h = np.maximum(np.abs(a / UNIT) - float(p["regAlpha"]), 0), b / UNIT + lam
+            g, h = np.maximum(np.abs(a / UNIT) - alpha, 0), b / UNIT + lam
             return np.divide(g * g, h, out=np.full(g.shape, np.nan), where=h != 0)
 
-        allowed = (low[2] >= least) & (whole[2] - low[2] >= least)
+    least = term("least")
+    allowed = (low[side] >= least) & (whole[side] - low[side] >= least)
     gain = np.round(score(low[1], low[2]) + score(whole[1] - low[1], whole[2] - low[2]) - score(whole[1], whole[2]), 9)
     # a cut is at a bin with rows, as the query sees no others
     gain[~allowed | (low[0] >= whole[0]) | (total[0] == 0) | np.isnan(gain)] = -np.inf
@@ -349,12 +388,12 @@ def _drawn(strategy: str, features: int) -> int:
     return max(1, int(float(strategy) * features))
 
 
-def _grow(rows: DataFrame, edges: list[np.ndarray], model: Ensemble, trees: list[int], p: dict, draw, finish, price,
-          class_weights=None, pos_weight: float = 1.0) -> None:
+def _grow(rows: DataFrame, edges: list[np.ndarray], model: Ensemble, trees: list[int], depth_of: Callable[[int], int], draw, finish,
+          price, terms: Callable[[int], dict[str, float]], **sums) -> None:
     """Grow ``trees`` of the model to their depth, level by level.
 
     draw(tree, path): the features a node looks at; finish(node, tree, a, b): sets a node's value; price(gain, tree): whether
-    a split is worth it.
+    a split is worth it; terms(tree): see ``best_splits``; ``sums``: see ``task_cells``.
     """
     todo, parts = [], rows.rdd.getNumPartitions()
     for t in trees:
@@ -366,13 +405,14 @@ def _grow(rows: DataFrame, edges: list[np.ndarray], model: Ensemble, trees: list
         now, todo, later = todo[:at_once], [], todo[at_once:]
         subsets = np.array([draw(t, path) for _, t, path, _ in now])
         nodes = [n for n, *_ in now]
-        cells, most = task_cells(rows, model, nodes, subsets, pos_weight), subsets.size * BINS * parts
-        found = (best_of_few(cells.toArrow(), *subsets.shape, model.kind, p, class_weights) if most <= PER_TASK
-                 else best_splits(level_cells(cells, most), model.kind, p, class_weights).collect())
+        cells, most = task_cells(rows, model, nodes, subsets, **sums), subsets.size * BINS * parts
+        of_tree = {t: terms(t) for _, t, *_ in now}
+        found = (best_of_few(cells.toArrow(), *subsets.shape, model.kind, of_tree) if most <= PER_TASK
+                 else best_splits(level_cells(cells, most), model.kind, of_tree).collect())
         for r in found:  # one row for each open node
             node, t, path, depth = now[r["slot"]]
             finish(node, t, r["a"], r["b"])
-            if r["gain"] is None or depth >= int(p["maxDepth"]) or not price(r["gain"], t):
+            if r["gain"] is None or depth >= depth_of(t) or not price(r["gain"], t):
                 continue
             f = int(subsets[r["slot"], r["j"]])
             model.feature[node], model.cut[node], model.threshold[node] = f, r["bin"], float(edges[f][r["bin"]])
@@ -383,7 +423,7 @@ def _grow(rows: DataFrame, edges: list[np.ndarray], model: Ensemble, trees: list
             for side, (child, (n, a, b)) in enumerate(zip(children, sides)):
                 finish(child, t, a, b)
                 pure = model.kind == "forest" and (a == 0 or a == b)
-                if depth + 1 < int(p["maxDepth"]) and n > 1 and not pure:
+                if depth + 1 < depth_of(t) and n > 1 and not pure:
                     todo.append((child, t, 2 * path + side, depth + 1))
         todo = sorted(later + todo, key=lambda x: (x[1], x[0]))
 
@@ -419,8 +459,9 @@ def fit_forest(train: DataFrame, features: list[str], params: dict, key: str, la
         model.cover[node] = w1 * a + w0 * (b - a)
         model.value[node] = w1 * a / model.cover[node] / trees if model.cover[node] else 0.0
 
-    _grow(rows, list(edges.values()), model, list(weights), p, draw, finish, lambda gain, t: gain > 1e-9 and gain / total[t] >= least,
-          class_weights=weights)
+    _grow(rows, list(edges.values()), model, list(weights), lambda t: int(p["maxDepth"]), draw, finish,
+          lambda gain, t: gain > 1e-9 and gain / total[t] >= least,
+          lambda t: {"w0": weights[t][0], "w1": weights[t][1], "least": float(p["minInstancesPerNode"])})
     return model, rows
 
 
@@ -445,24 +486,72 @@ def out_of_bag(model: Ensemble, rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key string, label int, trees bigint, probability double")
 
 
+def store_margins(rows: DataFrame, part: Ensemble, rounds: int, fits: int) -> DataFrame:
+    """The rows with the trees of ``part`` added to each ensemble's margin."""
+    a, k = part.arrays(), len(part.features)
+    fit_of = np.array([part.tree[r] // rounds for r in part.roots])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, _, x = _matrices(b, k)
+            margins = _margins(b, fits).copy()
+            for f in range(fits):
+                margins[:, f] += outputs(a | {"roots": a["roots"][fit_of == f]}, 0.0, x, "cut")
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("key", "label", "bag", "x")),
+                                              pa.array([m.tobytes() for m in margins], pa.binary())], names=["key", "label", "bag", "x", "margin"])
+
+    return cut_lineage(rows.mapInArrow(run, "key string, label int, bag array<tinyint>, x binary, margin binary"))
+
+
+def fit_boosted_together(train: DataFrame, features: list[str], maps: list[dict], key: str, label: str = "label",
+                         pos_weight: float = 1.0, seed: int = 42) -> list[Ensemble]:
+    """One ensemble of boosted trees for each parameter map, grown side by side on the same binned rows.
+
+    Each is the ensemble that the map gives by itself. The number of jobs is that of the longest and deepest one.
+    """
+    edges = bin_edges(train, features)
+    cuts = list(edges.values())
+    rounds = max(int(p["maxIter"]) for p in maps)
+    shares = sorted({float(p["subsamplingRate"]) for p in maps})
+    needed = tuple(len(shares) - shares.index(float(p["subsamplingRate"])) for p in maps)
+    rows = binned(train, edges, key, label, bags(key, rounds, seed, shares))
+    out = [Ensemble("boosted", features, params=dict(p)) for p in maps]
+    drawn = [_drawn(str(p["featureSubsetStrategy"]), len(features)) for p in maps]
+
+    def draw(tree: int, path: int) -> np.ndarray:
+        fit, turn = divmod(tree, rounds)
+        m = drawn[fit]
+        columns = np.sort(np.random.default_rng([seed, turn]).permutation(len(features))[:m])
+        return np.pad(columns, (0, max(drawn) - m), constant_values=-1)
+
+    def terms(tree: int) -> dict[str, float]:
+        p = maps[tree // rounds]
+        return {"alpha": float(p["regAlpha"]), "lam": float(p["regLambda"]), "least": float(p["minChildWeight"]) * UNIT}
+
+    for start in range(0, rounds, STORED):
+        part = Ensemble("boosted", features)
+
+        def finish(node: int, tree: int, a: int, b: int) -> None:
+            p, g, h = maps[tree // rounds], a / UNIT, b / UNIT
+            soft, lam = max(abs(g) - float(p["regAlpha"]), 0.0), float(p["regLambda"])
+            part.cover[node] = h
+            part.value[node] = -float(p["stepSize"]) * math.copysign(soft, g) / (h + lam) if h + lam > 0 else 0.0
+
+        for turn in range(start, min(start + STORED, rounds)):
+            trees = [f * rounds + turn for f, p in enumerate(maps) if turn < int(p["maxIter"])]
+            _grow(rows, cuts, part, trees, lambda t: int(maps[t // rounds]["maxDepth"]), draw, finish,
+                  lambda gain, t: gain > max(float(maps[t // rounds]["minInfoGain"]), 1e-9), terms,
+                  pos_weight=pos_weight, rounds=rounds, needed=needed)
+        for f, model in enumerate(out):
+            model.extend(part, {f * rounds + t: t for t in range(start, start + STORED) if t < rounds})
+        if start + STORED < rounds:
+            rows = store_margins(rows, part, rounds, len(maps))
+    return out
+
+
 def fit_boosted(train: DataFrame, features: list[str], params: dict, key: str, label: str = "label", pos_weight: float = 1.0,
                 seed: int = 42) -> Ensemble:
     """Boosted trees; the output is the margin (log odds)."""
-    p = params
-    edges = bin_edges(train, features)
-    rounds = int(p["maxIter"])
-    rows = binned(train, edges, key, label, bags(key, rounds, seed, float(p["subsamplingRate"])))
-    model = Ensemble("boosted", features, params=dict(p))
-    m = _drawn(str(p["featureSubsetStrategy"]), len(features))
-    rate, alpha, lam, gamma = (float(p[x]) for x in ("stepSize", "regAlpha", "regLambda", "minInfoGain"))
-
-    def finish(node: int, tree: int, a: int, b: int) -> None:
-        g, h = a / UNIT, b / UNIT
-        model.cover[node] = h
-        model.value[node] = -rate * math.copysign(max(abs(g) - alpha, 0.0), g) / (h + lam) if h + lam > 0 else 0.0
-
-    for t in range(rounds):
-        columns = np.sort(np.random.default_rng([seed, t]).permutation(len(features))[:m])
-        _grow(rows, list(edges.values()), model, [t], p, lambda tree, path, c=columns: c, finish,
-              lambda gain, tree: gain > max(gamma, 1e-9), pos_weight=pos_weight)
-    return model
+    return fit_boosted_together(train, features, [params], key, label, pos_weight, seed)[0]

@@ -251,6 +251,16 @@ def fit_prepared(model: str, prep: FitInput, params: dict | None = None) -> Fitt
     return FittedModel(model, pm, prep.medians, prep.scaling, params)
 
 
+def fit_maps(model: str, prep: FitInput, maps: list[dict]) -> list[FittedModel | FittedTrees]:
+    """One fitted model for each parameter map; boosted trees grow side by side, a level of all of them is one job."""
+    if model != "xgboost" or len(maps) < 2:
+        return [fit_prepared(model, prep, m) for m in maps]
+    maps = [{**DEFAULT_PARAMS[model], **m} for m in maps]
+    weight = SP.scale_pos_weight(prep.base).first()["scale_pos_weight"]
+    grown = GR.fit_boosted_together(prep.base, K.FEATURES, maps, K.ID_COL, pos_weight=weight or 1.0, seed=SEED)
+    return [FittedTrees(model, e, prep.medians, m) for e, m in zip(grown, maps)]
+
+
 def fit(model: str, train: DataFrame, params: dict | None = None, smote: bool = True) -> FittedModel | FittedTrees:
     """Fit one pipeline on encoded training rows (columns FEATURES + label)."""
     return fit_prepared(model, prepare_fit(model, train, smote), params)
@@ -282,10 +292,11 @@ def _finished(spark: SparkSession, ledger: str | None, model: str) -> dict[tuple
 
 
 def cross_validate(model: str, train: DataFrame, n_iter: int = 2, folds: int = 5, parallelism: int = 4,
-                   seed: int = SEED, ledger: str | None = None) -> DataFrame:
+                   seed: int = SEED, ledger: str | None = None, together: int = 10) -> DataFrame:
     """Randomized search: every (param map, fold) fit is scored on its held-out fold and on its
     training side; recall / precision / f1 / roc_auc for both sides in a long table (M4).
 
+    Boosted trees of up to ``together`` maps of a fold are fitted side by side.
     ``ledger`` is a folder that belongs to these training rows: each fit's metrics are written there as it ends, and fits
     that it holds already are not repeated. A search that was stopped, or whose budget has grown, goes on from there.
     """
@@ -293,15 +304,17 @@ def cross_validate(model: str, train: DataFrame, n_iter: int = 2, folds: int = 5
     spark = train.sparkSession
     texts = [json.dumps(m, sort_keys=True) for m in maps]
     done = _finished(spark, ledger, model)
-    jobs = [(i, k) for i, k in itertools.product(range(len(maps)), range(folds)) if (texts[i], k) not in done]
+    open_maps = {k: [i for i in range(len(maps)) if (texts[i], k) not in done] for k in range(folds)}
+    if model == "xgboost":  # maps of about the same length side by side
+        open_maps = {k: sorted(of, key=lambda i: (maps[i]["maxIter"], maps[i]["maxDepth"])) for k, of in open_maps.items()}
+    size = together if model == "xgboost" else 1
+    jobs = [(k, of[i:i + size]) for k, of in open_maps.items() for i in range(0, len(of), size)]
     # imputation, scaling and SMOTE neighbours depend on the fold only: once per fold
-    open_folds = sorted({k for _, k in jobs})
+    open_folds = sorted({k for k, _ in jobs})
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         preps = dict(zip(open_folds, ex.map(lambda k: prepare_fit(model, train.where(F.col("fold") != k)), open_folds)))
 
-    def run(job):
-        i, k = job
-        fm = fit_prepared(model, preps[k], maps[i])
+    def measure(fm, i, k):
         sides = train.withColumn("split", F.when(F.col("fold") == k, F.lit("test")).otherwise(F.lit("train")))
         s = fm.transform(sides, keep=["label", "split"])
         m = ME.metrics_long(s).where(F.col("metric").isin("recall", "precision", "f1", "auc_roc"))
@@ -311,6 +324,11 @@ def cross_validate(model: str, train: DataFrame, n_iter: int = 2, folds: int = 5
             spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/{model}/{name}")
         return rows
 
+    def run(job):
+        k, some = job
+        fitted = fit_maps(model, preps[k], [maps[i] for i in some])
+        return list(itertools.chain.from_iterable(measure(fm, i, k) for fm, i in zip(fitted, some)))
+
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(itertools.chain.from_iterable(ex.map(run, jobs)))
     place = {t: i for i, t in enumerate(texts)}

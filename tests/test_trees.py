@@ -136,6 +136,22 @@ def test_boosting_against_naive(spark, frame, data, way):
     assert np.allclose(GR.outputs(model.arrays(), 0.0, x), margin, atol=1e-9)
 
 
+def test_boosting_side_by_side(frame, data, way, monkeypatch):
+    """Each of several ensembles grown together is the one its map gives alone, also across stored margins."""
+    monkeypatch.setattr(GR, "STORED", 2)
+    maps = [BOOSTED, {**BOOSTED, "maxIter": 3, "maxDepth": 2, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0", "stepSize": 0.1},
+            {**BOOSTED, "maxIter": 1, "subsamplingRate": 0.5, "featureSubsetStrategy": "0.5", "regAlpha": 1.0, "regLambda": 0.5,
+             "minInfoGain": 0.0, "minChildWeight": 3.0}, BOOSTED]
+    found = GR.fit_boosted_together(frame, FEATURES, maps, "customerID", pos_weight=1.5)
+    outs = [GR.outputs(m.arrays(), 0.0, data[0]) for m in found]
+    for m, p, out in zip(found, maps, outs):
+        assert m.params == p and sorted(set(m.tree)) == list(range(p["maxIter"])) and len(m.roots) == p["maxIter"]
+        alone = GR.fit_boosted(frame, FEATURES, p, "customerID", pos_weight=1.5)
+        assert np.allclose(GR.outputs(alone.arrays(), 0.0, data[0]), out, atol=1e-12)
+        assert np.allclose(alone.importance(), m.importance())
+    assert not np.allclose(outs[0], outs[1]) and outs[0].tolist() == outs[3].tolist()
+
+
 @pytest.fixture(scope="module")
 def two_rounds(frame, data):
     return GR.outputs(GR.fit_boosted(frame, FEATURES, {**BOOSTED, "maxIter": 2}, "customerID").arrays(), 0.0, data[0])
