@@ -39,6 +39,8 @@ UNIT = 1 << 24
 CELLS = 1 << 22
 #: cells of all tasks that one task, or the driver, sums
 PER_TASK = 1 << 20
+#: rows times ensembles that one task of a boosting round takes at least: below, starting the task takes longer than its work
+ROWS_PER_TASK = 4096
 #: rounds of boosting between two times that the rows' margins are stored
 STORED = 25
 ACCURACY = 10_000
@@ -517,6 +519,9 @@ def fit_boosted_together(train: DataFrame, features: list[str], maps: list[dict]
     shares = sorted({float(p["subsamplingRate"]) for p in maps})
     needed = tuple(len(shares) - shares.index(float(p["subsamplingRate"])) for p in maps)
     rows = binned(train, edges, key, label, bags(key, rounds, seed, shares))
+    parts = math.ceil(rows.count() * len(maps) / ROWS_PER_TASK)
+    if parts < rows.rdd.getNumPartitions():
+        rows = rows.coalesce(max(1, parts))
     out = [Ensemble("boosted", features, params=dict(p)) for p in maps]
     drawn = [_drawn(str(p["featureSubsetStrategy"]), len(features)) for p in maps]
 

@@ -1,6 +1,8 @@
 """Properties of the non-SQL operators, plan checks and file round trips."""
+import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,7 +215,6 @@ def test_spark_lr_as_linear_scorer(spark):
 
 @pytest.mark.parametrize("small", [20_000, 10])
 def test_exact_quantiles_against_numpy(spark, monkeypatch, small):
-    import numpy as np
     from retention.operators import quantile as Q
     monkeypatch.setattr(Q, "SMALL", small)
     g = np.random.default_rng(1)
@@ -244,7 +245,6 @@ def test_scored_rows_are_read_once(spark):
 
 
 def test_smote_copies_of_an_id_are_points_of_their_own(spark, monkeypatch):
-    import numpy as np
     g = np.random.default_rng(2)
     ids = [f"C{i}" for i in range(8)] + [f"C{i}" for i in range(4)]
     rows = [(i, *map(float, g.normal(size=3))) for i in ids]
@@ -310,6 +310,31 @@ def test_a_search_goes_on_from_its_ledger(spark, tmp_out, monkeypatch):
     assert len(fits) == 4 and more.count() == 4 * 8 and MD.best_params(more).count() == 2
 
 
+def test_a_search_of_all_families_feeds_the_final_fits(spark, tmp_out, monkeypatch):
+    from retention.plans import train as TR
+    monkeypatch.setitem(MD.PARAM_SPACE, "logistic_regression", {"C": [0.1, 1], "maxIter": [5]})
+    monkeypatch.setitem(MD.PARAM_SPACE, "random_forest", {"numTrees": [3, 4], "maxDepth": [2]})
+    monkeypatch.setitem(MD.PARAM_SPACE, "xgboost", {"maxIter": [2, 4], "maxDepth": [2], "stepSize": [0.1, 0.5]})
+    enc = prepare(spark, SF_SMALL).encoded
+    train, budget = enc.where("split = 'train'"), {"logistic_regression": 1, "random_forest": 2, "xgboost": 3}
+    t = TR.training_flow(enc, tmp_out, budget, folds=2)
+    cv = TR.search_results(train, budget, 2, tmp_out + "/ledger").toPandas()
+    assert len(cv) == 6 * 2 * 8 and set(cv.model) == set(budget)
+    held = cv[(cv.side == "test") & (cv.metric == "auc_roc")].groupby(["model", "param_id", "params"], as_index=False).value.mean()
+    for model, some in held.groupby("model"):
+        top = some.sort_values(["value", "param_id"], ascending=[False, True]).iloc[0]
+        assert t.best[model] == json.loads(top.params)
+        assert {k: t.final[model].params[k] for k in t.best[model]} == t.best[model]
+    # boosted trees of a fold are fitted together: the same metrics as one map after the other
+    alone = MD.cross_validate("xgboost", train, n_iter=3, folds=2, together=1).toPandas()
+    both = cv[cv.model == "xgboost"].merge(alone, on=["param_id", "params", "fold", "side", "metric"])
+    assert len(both) == 3 * 2 * 8 and np.allclose(both.value_x, both.value_y, equal_nan=True)
+    # started again, nothing is fitted, and no search gives the defaults
+    monkeypatch.setattr(MD, "fit_maps", None)
+    assert {m: p for m, (p, _) in TR.search(train, budget, 2, tmp_out + "/ledger").items()} == t.best
+    assert TR.search(train, {"xgboost": 0}) == {"xgboost": (MD.DEFAULT_PARAMS["xgboost"], None)}
+
+
 def test_cluster_needs_a_shared_checkpoint_folder():
     from types import SimpleNamespace
     from retention import session as S
