@@ -75,12 +75,13 @@ def bags(key: str, trees: int, seed: int, share: float | list[float] | None = No
     how many hold the row."""
     shares = share if isinstance(share, list) else [] if share is None else [share]
 
-    def one(t: Column) -> Column:
-        unit = hash_unit(key, t, seed)
+    def one(unit: Column) -> Column:
         held = [(unit < F.lit(math.floor(s * 2 ** 32))).cast("int") for s in shares]
         return (reduce(add, held) if held else bag_count(unit)).cast("tinyint")
 
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), one)
+    # the hashes first: a lambda computes its expression anew wherever it stands, and a count looks at its hash eight times
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hash_unit(key, t, seed))
+    return F.transform(hashes, one)
 
 
 def bin_edges(rows: DataFrame, features: list[str], bins: int = BINS) -> dict[str, np.ndarray]:
