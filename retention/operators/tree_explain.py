@@ -1,13 +1,13 @@
 """Tree-model explanations: path-dependent TreeSHAP, default importance, sampled
 Shapley values (I2-I5, I9).
 
-TreeSHAP follows the published algorithm (Lundberg, Erion, Lee 2018, "Consistent
-individualized feature attribution for tree ensembles", Algorithm 2). The model is its node table, one row per node, which
+The values are those of path-dependent TreeSHAP (Lundberg, Erion, Lee 2018, "Consistent
+individualized feature attribution for tree ensembles"), computed leaf by leaf (``_path_shap``). The model is its node table, one row per node, which
 the tasks read: rows are dealt into row blocks and trees into tree blocks, every pair of blocks is one task's work, and
 the partial attributions of a row are summed over the tree blocks. No node reaches the driver and nothing is
-broadcast, so neither the number of trees nor their depth is bounded by one process. Inside a task the recursion over a tree is
-shared by all rows of the block: the path state is a vector over the rows, so the Python work is O(nodes x depth^2) numpy
-operations per pair of blocks.
+broadcast, so neither the number of trees nor their depth is bounded by one process. Inside a task the walk over a tree is
+shared by all rows of the block. What a leaf adds to a row depends only on which features of its path let the row through, so
+it is computed once for each such pattern, and a row costs O(depth) lookups a leaf.
 
 Attributions stay one array per customer (``Attributions``): ranking them and their running sums are row-local.
 
@@ -17,6 +17,7 @@ Local accuracy holds: base value + sum(phi) = explained value.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from ..session import cut_lineage
 from . import grow as GR
 from .rank import hash_positions
 
-ROW_BLOCK, TREE_BLOCK = 4096, 32
+ROW_BLOCK, SMALL_BLOCK, TREE_BLOCK = 16384, 1024, 32
 DIGITS = 9
 
 
@@ -64,81 +65,75 @@ def _expected(t: TreeArrays, j: int = 0) -> float:
     return (cl * _expected(t, lc) + cr * _expected(t, rc)) / tot
 
 
+def _path_shap(z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Shapley values (features of the path x patterns) of a leaf of value 1; z: the share of the training rows that each feature
+    lets through, o: whether it lets the row through.
+
+    The game of a leaf is a product, one factor a feature, o with the feature known and z without. Its Shapley values are
+    (o - z) times the integral over t in [0, 1] of the other features' o t + z (1 - t): a polynomial of a degree below the number
+    of features, which Gauss-Legendre nodes, half as many, integrate exactly.
+    """
+    at, weights = np.polynomial.legendre.leggauss((len(z) + 1) // 2)
+    out, z = np.zeros(o.shape), z[:, None]
+    for t, w in zip((at + 1) / 2, weights / 2):
+        factors = o * t + z * (1 - t)
+        # a factor of 0 belongs to a feature of o = z = 0, whose value is 0; that of all others has the factor
+        out += w * factors.prod(axis=0) / np.where(factors == 0, 1.0, factors)
+    return (o - z) * out
+
+
+@functools.lru_cache(maxsize=64)
+def _patterns(d: int) -> np.ndarray:
+    return ((np.arange(1 << d) >> np.arange(d)[:, None]) & 1).astype(float)
+
+
 def _tree_shap(t: TreeArrays, X: np.ndarray, phi: np.ndarray) -> None:
-    """Add the SHAP values of one tree for all rows of X into phi (n x d)."""
-    n = X.shape[0]
-    ones = np.ones(n)
-
-    def extend(path, pz, po, pi):
-        ln = len(path)
-        path.append([pi, pz, po, ones.copy() if ln == 0 else np.zeros(n)])
-        for i in range(ln - 1, -1, -1):
-            path[i + 1][3] = path[i + 1][3] + po * path[i][3] * (i + 1) / (ln + 1)
-            path[i][3] = pz * path[i][3] * (ln - i) / (ln + 1)
-
-    def unwind(path, i):
-        ln = len(path) - 1
-        o, z = path[i][2], path[i][1]
-        nz = o != 0
-        safe_o = np.where(nz, o, 1.0)
-        nxt = path[ln][3].copy()
-        for j in range(ln - 1, -1, -1):
-            wj = path[j][3]
-            a = nxt * (ln + 1) / ((j + 1) * safe_o)
-            b = wj * (ln + 1) / (z * (ln - j)) if z != 0 else np.zeros(n)
-            new_w = np.where(nz, a, b)
-            nxt = np.where(nz, wj - a * z * (ln - j) / (ln + 1), nxt)
-            path[j][3] = new_w
-        for j in range(i, ln):
-            path[j][0], path[j][1], path[j][2] = path[j + 1][0], path[j + 1][1], path[j + 1][2]
-        path.pop()
-
-    def unwound_sum(path, i):
-        ln = len(path) - 1
-        o, z = path[i][2], path[i][1]
-        nz = o != 0
-        safe_o = np.where(nz, o, 1.0)
-        total = np.zeros(n)
-        nxt = path[ln][3].copy()
-        for j in range(ln - 1, -1, -1):
-            a = nxt * (ln + 1) / ((j + 1) * safe_o)
-            b = (path[j][3] / z) / ((ln - j) / (ln + 1)) if z != 0 else np.zeros(n)
-            total = total + np.where(nz, a, b)
-            nxt = np.where(nz, path[j][3] - a * z * (ln - j) / (ln + 1), nxt)
-        return total
-
-    def recurse(j, path, pz, po, pi):
-        path = [list(e) for e in path]
-        extend(path, pz, po, pi)
+    """Add the SHAP values of one tree for all rows into phi; X and phi hold one row for each feature, one column for each row.
+
+    What a leaf gives to a row depends only on which of the path's features let the row through: one bit for each feature. The
+    values of all patterns are computed once for the leaf and looked up for the rows.
+    """
+    n = X.shape[1]
+
+    def leaf(v, path, code):
+        d = len(path)
+        z = np.array([share for _, share in path])
+        if 1 << d <= max(n, 2):
+            table = _path_shap(z, _patterns(d))
+        else:  # more patterns than rows: only those that occur
+            found, code = np.unique(code, return_inverse=True)
+            table = _path_shap(z, ((found >> np.arange(d)[:, None]) & 1).astype(float))
+        for (f, _), values in zip(path, table * v):
+            phi[f] += values.take(code)
+
+    def recurse(j, path, code):
         if t.left[j] < 0:
-            v = t.value[j]
-            for i in range(1, len(path)):
-                w = unwound_sum(path, i)
-                phi[:, path[i][0]] += w * (path[i][2] - path[i][1]) * v
+            if path:
+                leaf(t.value[j], path, code)
             return
-        f = t.feature[j]
-        go_left = (X[:, f] <= t.threshold[j]).astype(float)
-        iz, io = 1.0, ones
-        for k in range(1, len(path)):
-            if path[k][0] == f:
-                iz, io = path[k][1], path[k][2]
-                unwind(path, k)
-                break
-        lc, rc = t.left[j], t.right[j]
+        f, lc, rc = t.feature[j], t.left[j], t.right[j]
+        low = X[f] <= t.threshold[j]
         cj = t.cover[lc] + t.cover[rc]
-        fl = t.cover[lc] / cj if cj > 0 else 0.5
-        fr = t.cover[rc] / cj if cj > 0 else 0.5
-        recurse(lc, path, iz * fl, io * go_left, f)
-        recurse(rc, path, iz * fr, io * (1.0 - go_left), f)
+        place = next((i for i, (g, _) in enumerate(path) if g == f), len(path))
+        if place > 62:
+            raise ValueError("a path of more than 63 different features")
+        for child, goes in ((lc, low), (rc, ~low)):
+            share = t.cover[child] / cj if cj > 0 else 0.5
+            if place < len(path):  # the feature again: a row passes if it passed before
+                below = path[:place] + [(f, path[place][1] * share)] + path[place + 1:]
+                recurse(child, below, code & ~((~goes).astype(np.int64) << place))
+            else:
+                recurse(child, [*path, (f, share)], code | (goes.astype(np.int64) << place))
 
-    recurse(0, [], 1.0, ones, -1)
+    recurse(0, [], np.zeros(n, dtype=np.int64))
 
 
 def shap_values(trees: list[TreeArrays], X: np.ndarray) -> tuple[np.ndarray, float]:
-    phi = np.zeros_like(X, dtype=float)
+    columns = np.ascontiguousarray(X.T)
+    phi = np.zeros(columns.shape)
     for t in trees:
-        _tree_shap(t, X, phi)
-    return phi, float(sum(_expected(t) for t in trees))
+        _tree_shap(t, columns, phi)
+    return phi.T, float(sum(_expected(t) for t in trees))
 
 
 def attribute(nodes: DataFrame, rows: DataFrame, features: list[str], id_col: str = K.ID_COL, base: float = 0.0,
@@ -151,8 +146,10 @@ def attribute(nodes: DataFrame, rows: DataFrame, features: list[str], id_col: st
     x = F.array(*[F.col(f).cast("double") for f in features])
     own = rows.select(F.col(id_col).cast("string").alias("id"), x.alias("x")).groupBy("id", "x").agg(F.count("*").alias("copies"))
     counts = own.agg(F.count("*")).first()[0], nodes.agg(F.max("tree")).first()[0]
-    row_blocks = max(1, math.ceil(counts[0] / row_block))
     tree_blocks = 1 if counts[1] is None else counts[1] // tree_block + 1
+    # a large block shares the work for a leaf; a few rows are dealt into smaller ones, two pairs of blocks a core
+    spread = math.ceil(2 * rows.sparkSession.sparkContext.defaultParallelism / tree_blocks)
+    row_blocks = max(1, math.ceil(counts[0] / row_block), min(spread, math.ceil(counts[0] / SMALL_BLOCK)))
     k = len(features)
 
     def some(n: int) -> Column:
@@ -169,6 +166,9 @@ def attribute(nodes: DataFrame, rows: DataFrame, features: list[str], id_col: st
         parts = np.c_[phi, np.full(len(phi), expected)]
         return some_rows[["id", "x", "copies"]].assign(part=list(parts))
 
+    # a given number of partitions: pairs of blocks are small in bytes and long in time, and must not be coalesced into few tasks
+    tasks = max(1, min(row_blocks * tree_blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    left, right = left.repartition(tasks, "rb", "tb"), right.repartition(tasks, "rb", "tb")
     parts = left.groupBy("rb", "tb").cogroup(right.groupBy("rb", "tb")).applyInPandas(
         kernel, "id string, x array<double>, copies bigint, part array<double>")
     total = parts.groupBy("id", "x").agg(F.first("copies").alias("copies"), *[F.sum(F.col("part")[i]).alias(f"p{i}") for i in range(k + 1)])

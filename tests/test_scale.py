@@ -1,8 +1,42 @@
 """What keeps the queries' time and memory in proportion to their rows."""
 
+import itertools
+import math
+
+import numpy as np
+
 from retention.operators import grow as GR
+from retention.operators import tree_explain as TX
 
 
 def test_a_bag_hashes_once_for_each_tree(spark):
     plan = spark.range(1).select(GR.bags("id", 5, 42).alias("b"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("md5(") == 1
+
+
+def test_path_values_against_all_coalitions():
+    g = np.random.default_rng(4)
+    for d in (1, 2, 5, 6):
+        z, o = g.random(d), TX._patterns(d)
+        z[0] = 0.0
+        got = TX._path_shap(z, o)
+        for p in range(1 << d):
+            for e in range(d):
+                want, others = 0.0, [i for i in range(d) if i != e]
+                for s in itertools.chain.from_iterable(itertools.combinations(others, r) for r in range(d)):
+                    rest = math.prod(o[i, p] if i in s else z[i] for i in others)
+                    want += math.factorial(len(s)) * math.factorial(d - len(s) - 1) / math.factorial(d) * (o[e, p] - z[e]) * rest
+                assert abs(got[e, p] - want) < 1e-12
+
+
+def test_a_leaf_is_computed_once_for_a_block(monkeypatch):
+    """A tree of three leaves computes the values of three leaves, of their patterns and not of the rows."""
+    tree = TX.TreeArrays(*map(np.array, ([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0, -1, 1, -1, -1], [0.0, 0, 0.5, 0, 0],
+                                         [0.0, 1.0, 0.0, 2.0, 4.0], [10.0, 4.0, 6.0, 3.0, 3.0])))
+    sizes, one = [], TX._path_shap
+    monkeypatch.setattr(TX, "_path_shap", lambda z, o: sizes.append(o.shape) or one(z, o))
+    x = np.random.default_rng(1).normal(size=(5000, 2))
+    phi, base = TX.shap_values([tree], x)
+    assert sorted(sizes) == [(1, 2), (2, 4), (2, 4)]
+    out = np.where(x[:, 0] <= 0, 1.0, np.where(x[:, 1] <= 0.5, 2.0, 4.0))
+    assert np.allclose(phi.sum(axis=1) + base, out, atol=1e-12)
