@@ -40,3 +40,44 @@ def test_a_leaf_is_computed_once_for_a_block(monkeypatch):
     assert sorted(sizes) == [(1, 2), (2, 4), (2, 4)]
     out = np.where(x[:, 0] <= 0, 1.0, np.where(x[:, 1] <= 0.5, 2.0, 4.0))
     assert np.allclose(phi.sum(axis=1) + base, out, atol=1e-12)
+
+
+def _wide(spark):
+    g = np.random.default_rng(0)
+    x = np.c_[g.integers(0, 4, 900), g.integers(0, 2, 900), g.normal(size=900).round(2), g.integers(0, 30, 900)].astype(float)
+    y = (g.random(900) < 1 / (1 + np.exp(-(x[:, 0] - 1.5 + x[:, 2] - 0.05 * x[:, 3])))).astype(int)
+    return x, spark.createDataFrame([(f"k{i}", int(t), *map(float, r)) for i, (r, t) in enumerate(zip(x, y))],
+                                    "customerID string, label int, a double, b double, c double, d double").repartition(5)
+
+
+def test_subtrees_grown_in_a_task_are_those_of_the_levels(spark, monkeypatch):
+    """The same forest however many nodes are grown in tasks, in fewer jobs than it has levels."""
+    x, frame = _wide(spark)
+    params = {"numTrees": 6, "maxDepth": 14, "minInstancesPerNode": 1, "featureSubsetStrategy": "0.5", "minInfoGain": 0.0}
+    jobs, one = [], GR.task_cells
+    monkeypatch.setattr(GR, "task_cells", lambda *a, **k: jobs.append(1) or one(*a, **k))
+    found = {}
+    for local in (0, 150, 16384):
+        jobs.clear()
+        monkeypatch.setattr(GR, "LOCAL", local)
+        model = GR.fit_forest(frame, list("abcd"), params, "customerID")[0]
+        table = {(r.tree, tuple(_way(model, i))): (r.feature, r.threshold, r.value, r.cover) for i, r in enumerate(_nodes(model))}
+        found[local] = len(jobs), table, GR.outputs(model.arrays(), 0.0, x).tolist(), model.importance().round(12).tolist(), model.table(spark).count()
+    assert found[0][0] > 10 and found[16384][0] == 1 < found[150][0] < found[0][0]
+    assert found[0][1:] == found[150][1:] == found[16384][1:]
+
+
+def _nodes(model):
+    from collections import namedtuple
+    node = namedtuple("node", "tree feature threshold value cover")
+    return [node(*map(float, r)) for r in zip(model.tree, model.feature, model.threshold, model.value, model.cover)]
+
+
+def _way(model, i):
+    """The turns from the root to a node."""
+    up = {int(c): (p, s) for p, both in enumerate(zip(model.left, model.right)) for s, c in enumerate(both) if c >= 0}
+    out = []
+    while i in up:
+        i, side = up[i]
+        out.append(side)
+    return out[::-1]
