@@ -4,8 +4,8 @@ Training rows are binned once and stored: one byte for each feature, and for eve
 bag, a Poisson count taken from md5(key/tree). So whether a row is out of a tree's bag can be told at any time, from the
 row alone. One level of all trees is one job: each task walks its rows down the trees grown so far and adds up
 (tree, node, feature, bin) cells in numpy; the cells are summed by Spark, and window sums over the bins give the best
-split of each node in SQL. Chosen splits reach the driver: as many as the model has nodes. Where all tasks together have few
-cells (``PER_TASK``), the cells do, and numpy picks the same splits.
+split of each node in SQL. Chosen splits reach the driver: as many as the model has nodes. Where there are few cells, of all
+tasks or of their sums (an eighth of ``PER_TASK``), the cells do, and numpy picks the same splits.
 
 A node of a forest with few rows and many levels to go (``LOCAL``, ``LEVELS``) is not taken further that way, where a level would
 be a job over all rows and the driver would draw for every node: its rows are sent to one task, which grows all that is below it
@@ -42,7 +42,7 @@ BINS = 64
 UNIT = 1 << 24
 #: cells of one job at most (a task holds three sums of each); more open nodes are taken in several jobs
 CELLS = 1 << 22
-#: cells of all tasks that one task, or the driver, sums
+#: cells of all tasks that one task sums; the driver gets an eighth of that at most, of all tasks or of their sums
 PER_TASK = 1 << 20
 #: rows times ensembles that one task of a boosting round takes at least: below, starting the task takes longer than its work
 ROWS_PER_TASK = 4096
@@ -55,7 +55,7 @@ AT_ONCE = 1 << 18
 #: rows that walk down the trees at a time: what they look at stays in the processor's cache
 STRIP = 1024
 #: rounds of boosting between two times that the rows' margins are stored
-STORED = 25
+STORED = 10
 ACCURACY = 10_000
 
 
@@ -92,6 +92,8 @@ def bags(key: str, trees: int, seed: int, share: float | list[float] | None = No
         held = [(unit < F.lit(math.floor(s * 2 ** 32))).cast("int") for s in shares]
         return (reduce(add, held) if held else bag_count(unit)).cast("tinyint")
 
+    if shares and min(shares) >= 1:  # every hash is below every end
+        return F.array_repeat(F.lit(len(shares)).cast("tinyint"), trees)
     # the hashes first: a lambda computes its expression anew wherever it stands, and a count looks at its hash eight times
     hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: hash_unit(key, t, seed))
     return F.transform(hashes, one)
@@ -264,14 +266,20 @@ def binned(train: DataFrame, edges: dict[str, np.ndarray], key: str, label: str,
                                              names=["key", "label", "bag", "x"])
 
     out = src.mapInArrow(run, "key string, label int, bag array<tinyint>, x binary")
-    # the rows are small and the work for each is not: at least one part for each core
+    # the rows are small and the work for each is not: two parts for each core, or three and more
     parts, cores = out.rdd.getNumPartitions(), train.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(out.repartition(cores, "key") if parts < cores else out)
+    return cut_lineage(out.repartition(2 * cores, "key") if parts < 3 * cores else out)
+
+
+def _bytes(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Rows x ``width`` of a column of equally long binary values, read in place."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(memoryview(column.buffers()[2])[ends[0]:ends[-1]], dtype=kind).reshape(-1, width)
 
 
 def _matrices(b: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(labels, bag counts, bins) of a batch of binned rows."""
-    x = np.frombuffer(b"".join(b.column("x").to_pylist()), dtype=np.uint8).reshape(-1, features)
+    x = _bytes(b.column("x"), np.uint8, features)
     bag = b.column("bag").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
     return b.column("label").to_numpy(zero_copy_only=False).astype(np.int64), bag, x
 
@@ -283,7 +291,7 @@ def _margins(b: pa.RecordBatch, fits: int) -> np.ndarray:
     """Rows x fits: the margins stored with the rows, 0 before the first time."""
     if "margin" not in b.schema.names:
         return np.zeros((b.num_rows, fits))
-    return np.frombuffer(b"".join(b.column("margin").to_pylist()), dtype=np.float64).reshape(-1, fits)
+    return _bytes(b.column("margin"), np.float64, fits)
 
 
 def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets: np.ndarray, pos_weight: float = 1.0,
@@ -309,6 +317,7 @@ def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, len(open_nodes) * m * BINS), dtype=np.int64)
+        cells = sums.reshape(3, len(open_nodes), m, BINS)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -325,12 +334,13 @@ def task_cells(rows: DataFrame, model: Ensemble, open_nodes: list[int], subsets:
                     p = 1 / (1 + np.exp(-(stored[:, fit] + outputs(a | {"roots": np.array(finished[fit], dtype=np.int32)}, base, x, "cut"))))
                     v = np.where(y == 1, pos_weight, 1.0)
                     first, second = (np.rint(u * v * UNIT).astype(np.int64) for u in (p - y, p * (1 - p)))
-                code = ((s - low)[:, None] * m + np.arange(m)) * BINS + x[r[:, None], subsets[s]]
-                size, at = (high - low) * m * BINS, slice(low * m * BINS, high * m * BINS)
                 one, two = (first[r], second[r]) if boosted else (w * y[r], w)
-                for i, v in enumerate((np.ones(len(r)), one, two)):
-                    sums[i, at] += np.rint(np.bincount(code.ravel(), np.repeat(v, m), size)).astype(np.int64)
-        sums.reshape(3, len(open_nodes), m, BINS)[:, none] = 0
+                alike, own, size = (subsets[low:high] == subsets[low]).all(), x[r], (high - low) * BINS
+                for j in range(m):  # one feature at a time: its cells stay in the processor's cache
+                    code = (s - low) * BINS + (own[:, subsets[low, j]] if alike else x[r, subsets[s, j]])
+                    for i, v in enumerate((None, one, two)):
+                        cells[i, low:high, j] += np.bincount(code, v, size).astype(np.int64).reshape(-1, BINS)
+        cells[:, none] = 0
         some = np.flatnonzero(sums[0])
         slot, rest = np.divmod(some, m * BINS)
         columns = [trees[slot].astype(np.int32), slot.astype(np.int32), (rest // BINS).astype(np.int32), (rest % BINS).astype(np.int32),
@@ -379,7 +389,7 @@ def best_splits(cells: DataFrame, kind: str, terms: dict[int, dict[str, float]])
 
 
 def best_of_few(cells: pa.Table, slots: int, m: int, kind: str, terms: dict[int, dict[str, float]]) -> Iterator[dict]:
-    """What ``best_splits`` returns, in numpy: for at most PER_TASK cells of all tasks, where a query takes longer than its work."""
+    """What ``best_splits`` returns, in numpy: for few cells, where a query takes longer than its work."""
     tree, slot, j, place, *sums = (c.to_numpy().astype(np.int64) for c in cells.columns)
     tree_of = np.full(slots, min(terms), dtype=np.int64)
     tree_of[slot] = tree
@@ -563,8 +573,10 @@ def _grow(rows: DataFrame, edges: list[np.ndarray], model: Ensemble, trees: list
         nodes = [n for n, *_ in now]
         cells, most = task_cells(rows, model, nodes, subsets, **sums), subsets.size * BINS * parts
         of_tree = {t: terms(t) for _, t, *_ in now}
-        found = (best_of_few(cells.toArrow(), *subsets.shape, model.kind, of_tree) if most <= PER_TASK
-                 else best_splits(level_cells(cells, most), model.kind, of_tree).collect())
+        if most > PER_TASK // 8:
+            cells = level_cells(cells, most)
+        found = (best_of_few(cells.toArrow(), *subsets.shape, model.kind, of_tree) if min(most, subsets.size * BINS) <= PER_TASK // 8
+                 else best_splits(cells, model.kind, of_tree).collect())
         for r in found:  # one row for each open node
             node, t, path, depth = now[r["slot"]]
             finish(node, t, r["a"], r["b"])

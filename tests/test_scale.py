@@ -81,3 +81,22 @@ def _way(model, i):
         i, side = up[i]
         out.append(side)
     return out[::-1]
+
+
+def test_the_driver_gets_sums_of_all_tasks(spark, monkeypatch):
+    """However many tasks read the rows, a level of boosted trees brings few cells to the driver."""
+    x, frame = _wide(spark)
+    edges = GR.bin_edges(frame, list("abcd"))
+    rows = GR.binned(frame.repartition(24), edges, "customerID", "label", GR.bags("customerID", 1, 42, 1.0))
+    seen, one = [], GR.best_of_few
+    monkeypatch.setattr(GR, "PER_TASK", 8 * 4 * GR.BINS)
+    monkeypatch.setattr(GR, "best_of_few", lambda cells, *a: seen.append(cells.num_rows) or one(cells, *a))
+    model = GR.Ensemble("boosted", list("abcd"))
+    GR._grow(rows, list(edges.values()), model, [0], lambda t: 1, lambda t, path: np.arange(4), lambda *a: None, lambda gain, t: True,
+             lambda t: {"alpha": 0.0, "lam": 1.0, "least": 0.0}, rounds=1)
+    assert len(seen) == 1 and seen[0] == sum(len(e) + 1 for e in edges.values())
+
+
+def test_a_full_share_needs_no_hash(spark):
+    bag = spark.range(3).select(GR.bags("id", 4, 42, [1.0, 1.0]).alias("b"))
+    assert "md5" not in bag._jdf.queryExecution().analyzed().toString() and [r.b for r in bag.collect()] == [[2] * 4] * 3
