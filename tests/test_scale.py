@@ -4,8 +4,10 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 
 from retention.operators import grow as GR
+from retention.operators import smote as SM
 from retention.operators import tree_explain as TX
 
 
@@ -100,3 +102,19 @@ def test_the_driver_gets_sums_of_all_tasks(spark, monkeypatch):
 def test_a_full_share_needs_no_hash(spark):
     bag = spark.range(3).select(GR.bags("id", 4, 42, [1.0, 1.0]).alias("b"))
     assert "md5" not in bag._jdf.queryExecution().analyzed().toString() and [r.b for r in bag.collect()] == [[2] * 4] * 3
+
+
+def test_bounded_neighbours_are_not_ranked(monkeypatch):
+    """With a bound from the own cell a unit sorts only what lies within it."""
+    g = np.random.default_rng(2)
+    x, y = g.normal(size=(300, 5)), g.normal(size=(500, 5))
+    left = pd.DataFrame({"vid": [f"l{i:03}" for i in range(300)], "v": list(x), "u": 1.0})
+    right = pd.DataFrame({"key": [f"r{i:03}" for i in range(500)], "w": list(y)})
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    want = {(f"l{i:03}", f"r{j:03}") for i in range(300) for j in np.argsort(d[i])[:6] if d[i, j] <= 1.0}
+    calls, one = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **k: calls.append(1) or one(*a, **k))
+    got = SM._nearest(6)(left, right)
+    assert set(zip(got.vid, got.nkey)) == want and not calls
+    free = SM._nearest(6)(left.assign(u=np.inf), right)
+    assert calls and len(free) == 300 * 6 and want <= set(zip(free.vid, free.nkey))
