@@ -59,6 +59,18 @@ def test_cells_that_are_too_far_are_skipped(spark, monkeypatch):
     assert rest.count() < own.count() * (len(pivots) - 1) / 4
 
 
+def test_a_vector_meets_few_cells_however_many_there_are(spark, monkeypatch):
+    """Vectors that differ in flags lie in cells of their own."""
+    monkeypatch.setattr(SM, "CELL", 8)
+    g = np.random.default_rng(5)
+    flags = (np.arange(16)[:, None] >> np.arange(4)) & 1
+    x = np.c_[np.repeat(flags * 2.0, 40, axis=0), np.round(g.random(640) * 4, 6)]
+    pts = spark.createDataFrame([(f"C{i}", list(map(float, p))) for i, p in enumerate(x)], "id string, v array<double>").selectExpr("id key", "id", "v")
+    placed, own, cuts = SM._searched(pts, 4)
+    near = SM._first(SM._compare(own, placed, 4), 4)
+    assert len(cuts) == 80 and SM._other_cells(placed, own, near, cuts, 4).count() < own.count() * 5
+
+
 def test_few_and_odd_points(spark):
     assert SM.knn(_points(spark, np.zeros((1, 3))), 3, features=NAMES).count() == 0
     assert SM.knn(_points(spark, np.zeros((1, 3))).limit(0), 3, features=NAMES).count() == 0
