@@ -790,7 +790,7 @@ def q_check_shapley(spark, sf_dir):
     mean their errors are as large as the standard errors say (I5)."""
     enc, fm = _fitted(spark, sf_dir, "logistic_regression")
     test, train = enc.where(F.col("split") == "test"), _train(enc)
-    found = TX.sampled_shapley(fm, test, train, margin=True)
+    found = TX.sampled_shapley(fm, test, train, margin=True).persist()  # read three times
     scorer = SC.from_spark_lr(fm)
     margin = FE.impute(test, fm.medians, K.FEATURES).select("customerID", scorer.margin().alias("m"))
     total = found.groupBy("customerID").agg(F.sum("contribution").alias("s"))
@@ -801,6 +801,7 @@ def q_check_shapley(spark, sf_dir):
     near = off.agg(F.avg((F.abs("d") <= 4 * F.col("std_error")).cast("double")).alias("a")).first()["a"]
     base = found.where("feature = 'base_value'").agg(F.avg("contribution").alias("b"), F.sqrt(F.sum(F.col("std_error") ** 2)).alias("e"),
                                                      F.count(F.lit(1)).alias("n")).first()
+    found.unpersist()
     return _checks(spark, {"adds_up": r["gap"] < 1e-9, "explains_every_test_row": r["n"] == test.count(),
                            "errors_as_stated": near > 0.97, "base_is_the_train_mean": abs(base["b"] - scorer.intercept) <= 3 * base["e"] / base["n"]})
 

@@ -181,6 +181,26 @@ def test_sampled_shapley_local_accuracy(spark):
     assert all(r.ok for r in R.QUERIES["check_shapley"](spark, SF_SMALL).collect())
 
 
+def test_check_shapley_scores_each_coalition_once(spark, monkeypatch):
+    """Three checks read the values of one run: every row, draw, direction and step of its walk is scored once."""
+    from retention.operators import tree_explain as TX
+    scored, one = spark.sparkContext.accumulator(0), TX.predictor
+
+    def counted(*a, **k):
+        predict = one(*a, **k)
+
+        def run(x):
+            scored.add(len(x))
+            return predict(x)
+        return run
+
+    monkeypatch.setattr(TX, "predictor", counted)
+    assert all(r.ok for r in R.QUERIES["check_shapley"](spark, SF_SMALL).collect())
+    rows = prepare(spark, SF_SMALL).encoded.where("split = 'test'").count()
+    assert scored.value == rows * 24 * 2 * 29
+
+
+
 def test_importance_sink_partitions_by_model(spark, tmp_out):
     imp = R.QUERIES["lr_importance"](spark, SF_SMALL)
     FS.save_importance(imp, tmp_out + "/imp")
