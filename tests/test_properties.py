@@ -383,3 +383,25 @@ def test_encoder_of_many_classes_joins(spark):
         a, b = (EN.encode(df, s, null_as) for s in (literal, joined))
         assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert joined.to_table(spark).exceptAll(table).isEmpty()
+
+
+def test_registered_searches_take_the_whole_budget(spark, monkeypatch):
+    """cv_results, search_results, best_maps and train_final search as many maps as the reference, five folds each."""
+    asked, fitted = [], {}
+
+    def searched(model, train, n_iter=2, folds=5, **_):
+        asked.append((model, n_iter, folds, train.select("split").distinct().collect()[0][0]))
+        rows = [(model, i, json.dumps(m, sort_keys=True), 0, "test", "auc_roc", float(i)) for i, m in enumerate(MD.sample_params(model, n_iter))]
+        return spark.createDataFrame(rows, MD.LEDGER)
+
+    monkeypatch.setattr(MD, "cross_validate", searched)
+    monkeypatch.setattr(MD, "refit_final", lambda m, rows, params=None: fitted.update({m: params}) or m)
+    monkeypatch.setattr(MD, "evaluate", lambda models, *_, **__: models)
+    whole = {("logistic_regression", 30, 5, "train"), ("random_forest", 75, 5, "train"), ("xgboost", 50, 5, "train")}
+    R.QUERIES["cv_results"](spark, SF_SMALL)
+    assert asked == [("logistic_regression", 30, 5, "train")]
+    for name in ("search_results", "best_maps", "train_final"):
+        asked.clear()
+        R.QUERIES[name](spark, SF_SMALL)
+        assert set(asked) == whole and len(asked) == 3
+    assert fitted == {m: MD.sample_params(m, n)[-1] for m, n, *_ in whole}
